@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import fingerprint, mixing, ngram_join, pii, token_files
+from quillon.llm import fingerprint, mixing, ngram_join, pii, secrets, token_files, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(_read(spark, sf_dir, "documents"), secrets.Ledger(spark)))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
     return token_files.encoded(_read(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_read(spark, sf_dir, "pages"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_read(spark, sf_dir, "documents"))
 
@@ -36,7 +44,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op3_mixing, op5_token_files, op8_ngram_join, op10_pii)}
+    return {f.__name__: f for f in (op1_fingerprint, op3_mixing, op4_secrets, op5_token_files, op6_warc, op8_ngram_join, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,23 +1,53 @@
-"""A corpus pipeline from the operators of quillon.llm (stages are added as their operators are)."""
+"""A corpus pipeline from the operators of quillon.llm.
+
+Each stage takes all that the one before it kept, as a written table: toxic documents go, one document of each group of near
+duplicates stays, documents that hold benchmark items go, sources are mixed to their weights (documents may repeat), and what is
+left is written as token ids and read back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing
+from quillon.llm import decontaminate, mixing, ngram_join, token_files, toxicity
 from quillon.llm.shared import table
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("mix sources", mix_sources)]
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mix", source_mix),
+    ("token_output", token_output),
+]
+#: SQL expresses neither the learnt filter nor the tokenizer; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = table(stage(spark, docs, sf_dir), name)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, fingerprint, mixing, ngram_join, pii, secrets, token_files, toxicity, warc
+from quillon.llm import decontaminate, fingerprint, mixing, ngram_join, pii, secrets, token_counts, token_files, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_read(spark, sf_dir, "pages"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), token_counts.zipf_scores(vocabulary or public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_read(spark, sf_dir, "documents"))
 
@@ -52,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_mixing, op4_secrets, op5_token_files, op6_warc, op8_ngram_join, op9_decontaminate, op10_pii)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_mixing, op4_secrets, op5_token_files, op6_warc, op7_token_counts, op8_ngram_join, op9_decontaminate, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

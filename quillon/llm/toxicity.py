@@ -170,7 +170,7 @@ def _score_all(shared, names: list[str]):
                         done[key] = scored(term, count)
                     out.append(done[key])
                 score, who, how = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(how, pa.list_(pa.float64()))], names=[*names, "toxicity", "evidence", "evidence_similarity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(how, pa.list_(pa.float64()))], names=names)
 
     return run
 
@@ -191,11 +191,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(found)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxicity, and the ids and similarities of the three nearest examples."""
+def scored(docs: DataFrame, model: Model, out: tuple[str, str, str] = ("toxicity", "evidence", "evidence_similarity")) -> DataFrame:
+    """docs with the score, and the ids and similarities of the three nearest examples; columns of these names are replaced."""
+    docs = docs.drop(*out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType()), StructField("evidence", ArrayType(LongType())), StructField("evidence_similarity", ArrayType(DoubleType()))])
-    return docs.mapInArrow(_score_all(shared, docs.columns), schema)
+    kinds = (DoubleType(), ArrayType(LongType()), ArrayType(DoubleType()))
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(out, kinds, strict=True))])
+    return docs.mapInArrow(_score_all(shared, [*docs.columns, *out]), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,4 +208,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic."""
-    return scored(docs, train(docs, labels)).where("toxicity < 0.5").select(*docs.columns)
+    own = ("__toxicity", "__evidence", "__similarity")
+    return scored(docs, train(docs, labels), own).where("__toxicity < 0.5").select(*docs.columns)

@@ -1,4 +1,397 @@
-"""Registered queries of the profiling engine and their SQL."""
+"""Registered queries of the profiling engine, and the same in SQL over the tables."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.operators import classic, columns, insights, profile, relations, reports
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+#: Derived columns of lineitem on which rules fire that the tables themselves don't trigger.
+V1 = "nullif(l_discount, 0) AS discount"
+V2 = "l_extendedprice AS gross, l_extendedprice * (1 - l_discount) AS net"
+V3 = "CASE WHEN l_quantity > 10 THEN 'bulk' ELSE 'small' END AS size_class"
+V4 = "CAST(CASE WHEN l_quantity > 30 THEN 1 ELSE 0 END AS DOUBLE) AS large"
+V5 = "CAST(1 AS DOUBLE) AS one"
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _typed(spark: SparkSession, sf_dir: str, table: str, *cells: str) -> columns.Typed:
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return columns.classify(df.selectExpr(*cells) if cells else df)
+
+
+def _rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, places) for n in names})
+
+
+def _longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+def _numeric_sql(source: str, names: list[str]) -> str:
+    """The statistics of each column, unrounded; quartiles are elements of the sorted values."""
+    one = """SELECT {ord} AS ord, '{c}' AS "column", count({c}) AS n, (count(*) - count({c})) * 100.0 / count(*) AS missing_pct, avg({c}) AS mean, median({c}) AS median, min({c}) AS min, max({c}) AS max,
+ list({c} ORDER BY {c})[CAST(floor(count({c}) * 0.25) AS INT) + 1] AS q1, list({c} ORDER BY {c})[CAST(floor(count({c}) * 0.75) AS INT) + 1] AS q3, stddev_pop({c}) AS std, stddev_pop({c}) / nullif(avg({c}), 0) * 100 AS cv
+ FROM {source} WHERE true"""
+    return _union([one.format(ord=i, c=c, source=f"(SELECT CAST({c} AS DOUBLE) AS {c} FROM {source})") for i, c in enumerate(names)])
+
+
+STATS = ("missing_pct", "mean", "median", "min", "max", "q1", "q3", "std", "cv")
+_round_stats = ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in STATS)
+
+
+@query(f'SELECT "column", n, {_round_stats} FROM ({_numeric_sql("lineitem", LINE_NUMBERS)})')
+def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(profile.numeric_profile(_typed(spark, sf_dir, "lineitem", *LINE_NUMBERS)), 4, *STATS).drop("ord")
+
+
+@query(f'SELECT "column", q1, median, q3 FROM ({_numeric_sql("orders", ["o_totalprice"])} UNION ALL {_numeric_sql("events", ["value"])})')
+def floor_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [profile.numeric_profile(_typed(spark, sf_dir, t, c)) for t, c in (("orders", "o_totalprice"), ("events", "value"))]
+    return both[0].union(both[1]).select("column", "q1", "median", "q3")
+
+
+def _histogram_sql(table: str, c: str, bins: int) -> str:
+    return f"""WITH e AS (SELECT min({c}) AS lo, max({c}) AS hi, (max({c}) - min({c})) / {bins} AS step FROM {table}),
+ h AS (SELECT least(CAST(floor(({c} - lo) / step) AS INT), {bins - 1}) AS bin, count(*) AS n FROM {table}, e WHERE {c} IS NOT NULL GROUP BY 1)
+ SELECT '{c}' AS "column", CAST(b.bin AS INT) AS bin, round(lo + b.bin * step, 4) AS range_start, CAST(coalesce(n, 0) AS BIGINT) AS "count" FROM (SELECT unnest(range({bins})) AS bin) b CROSS JOIN e LEFT JOIN h ON h.bin = b.bin"""
+
+
+@query(_histogram_sql("events", "value", 15))
+def histogram15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(profile.histogram(_typed(spark, sf_dir, "events", "value")), 4, "range_start").drop("range")
+
+
+@query(_histogram_sql("lineitem", "l_extendedprice", 30))
+def histogram30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(profile.histogram(_typed(spark, sf_dir, "lineitem", "l_extendedprice"), 30), 4, "range_start").drop("range")
+
+
+def _counts_sql(table: str, names: list[str]) -> str:
+    return _union([f"""SELECT {i} AS ord, '{c}' AS "column", CAST({c} AS VARCHAR) AS name, count(*) AS value FROM {table} WHERE {c} IS NOT NULL GROUP BY 3""" for i, c in enumerate(names)])
+
+
+def _frequency_sql(table: str, names: list[str]) -> str:
+    return f"""SELECT ord, "column", CAST(row_number() OVER (PARTITION BY ord ORDER BY value DESC, name) AS INT) AS rank, substring(name, 1, 20) AS name, value, value * 100.0 / sum(value) OVER (PARTITION BY ord) AS percentage FROM ({_counts_sql(table, names)})"""
+
+
+@query(f'SELECT "column", rank, name, value, round(CAST(percentage AS DOUBLE), 4) AS percentage FROM ({_frequency_sql("events", ["event_type"])})')
+def category_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.frequencies(profile.value_counts(_typed(spark, sf_dir, "events", "event_type")))
+    return found.select("column", "rank", "name", "value", F.round(F.col("percentage").cast("double"), 4).alias("percentage"))
+
+
+ORDER_CATEGORIES = ["o_orderstatus", "o_orderpriority"]
+
+
+@query(f'SELECT "column", name AS mode, value AS "count" FROM ({_frequency_sql("orders", ORDER_CATEGORIES)}) WHERE rank = 1')
+def category_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = profile.frequencies(profile.value_counts(_typed(spark, sf_dir, "orders", *ORDER_CATEGORIES)), top=1)
+    return top.select("column", F.col("name").alias("mode"), F.col("value").alias("count"))
+
+
+def _categorical_sql(table: str, names: list[str]) -> str:
+    return _union([f"""SELECT {i} AS ord, '{c}' AS "column", count(DISTINCT {c}) AS "unique", (SELECT substring(name, 1, 20) FROM (SELECT {c} AS name, count(*) AS k FROM {table} WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY k DESC, name LIMIT 1) AS mode, CAST((count(*) - count({c})) * 100.0 / count(*) AS DOUBLE) AS missing_pct FROM {table}""" for i, c in enumerate(names)])
+
+
+def _categories(spark: SparkSession, sf_dir: str, table: str, *cells: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, table, *cells)
+    return profile.categorical_profile(typed, profile.value_counts(typed))
+
+
+CUSTOMER_CATEGORIES = ["c_name", "c_mktsegment"]
+
+
+@query(f'SELECT "column", "unique", mode, missing_pct FROM ({_categorical_sql("orders", ORDER_CATEGORIES)} UNION ALL {_categorical_sql("customer", CUSTOMER_CATEGORIES)})')
+def categorical_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _categories(spark, sf_dir, "orders", *ORDER_CATEGORIES).union(_categories(spark, sf_dir, "customer", *CUSTOMER_CATEGORIES)).drop("ord")
+
+
+@query('SELECT "column", CAST("unique" AS BIGINT) AS "unique" FROM (' + _categorical_sql("part", ["p_name", "p_brand", "p_type"]) + ') WHERE "unique" < 15')
+def low_cardinality_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.low_cardinality(_categories(spark, sf_dir, "part", "p_name", "p_brand", "p_type")).select("column", "unique")
+
+
+def _pairs_sql(source: str, names: list[str]) -> str:
+    r = "CASE WHEN corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) IS NULL OR isnan(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))) THEN 0 ELSE corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END"
+    return _union([f"SELECT {i} AS ord1, {j} AS ord2, '{a}' AS col1, '{b}' AS col2, {r.format(a=a, b=b)} AS correlation FROM {source}" for i, a in enumerate(names) for j, b in enumerate(names) if i < j])
+
+
+@query(f'SELECT ord1, ord2, col1, col2, round(correlation, 6) AS correlation FROM ({_pairs_sql("lineitem", LINE_NUMBERS)})')
+def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(relations.correlations(_typed(spark, sf_dir, "lineitem", *LINE_NUMBERS)), 6, "correlation")
+
+
+PART_NUMBERS = ["p_partkey", "p_size", "p_retailprice"]
+
+
+@query(f"""WITH p AS ({_pairs_sql("part", PART_NUMBERS)}), m AS (SELECT col1, col2, correlation FROM p UNION ALL SELECT col2, col1, correlation FROM p {" ".join(f"UNION ALL SELECT '{c}', '{c}', 1.0" for c in PART_NUMBERS)})
+SELECT col1 AS "column", {", ".join(f"round(max(CASE WHEN col2 = '{c}' THEN correlation END), 6) AS {c}" for c in PART_NUMBERS)} FROM m GROUP BY 1""")
+def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, "part", *PART_NUMBERS)
+    return _rounded(relations.correlation_matrix(typed, relations.correlations(typed)), 6, *PART_NUMBERS).drop("ord1")
+
+
+@query(f"""WITH p AS ({_pairs_sql("part", PART_NUMBERS)}) SELECT col1, col2, CAST(floor(abs(correlation) * 9 + 0.5) * 10 AS INT) AS intensity, CASE WHEN correlation >= 0 THEN 'positive' ELSE 'negative' END AS hue FROM p""")
+def correlation_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.correlations(_typed(spark, sf_dir, "part", *PART_NUMBERS)).select("col1", "col2", *relations.heat())
+
+
+@query(f'SELECT col1, col2, round(CAST(correlation AS DOUBLE), 6) AS correlation FROM ({_pairs_sql(f"(SELECT l_quantity, {V5} FROM lineitem)", ["l_quantity", "one"])})')
+def corr_guard_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.correlations(_typed(spark, sf_dir, "lineitem", "l_quantity", V5)).select("col1", "col2", F.round("correlation", 6).alias("correlation"))
+
+
+V2_NUMBERS = ["l_quantity", "gross", "net", "l_discount"]
+_V2_SOURCE = f"(SELECT l_quantity, {V2}, l_discount FROM lineitem)"
+
+
+@query(f"""SELECT col1, col2, round(correlation, 6) AS correlation FROM ({_pairs_sql(_V2_SOURCE, V2_NUMBERS)}) WHERE abs(round(correlation, 2)) > 0.5 ORDER BY abs(round(correlation, 2)) DESC, ord1, ord2 LIMIT 5""")
+def top_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = relations.correlations(_typed(spark, sf_dir, "lineitem", "l_quantity", *V2.split(", "), "l_discount"))
+    return reports.top_correlations(pairs).select("col1", "col2", F.round("correlation", 6).alias("correlation"))
+
+
+@query(f"""SELECT col1, col2, round(correlation, 6) AS correlation FROM ({_pairs_sql(_V2_SOURCE, V2_NUMBERS)}) WHERE abs(correlation) >= 0.7 ORDER BY abs(correlation) DESC, ord1, ord2 LIMIT 3""")
+def decision_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = relations.correlations(_typed(spark, sf_dir, "lineitem", "l_quantity", *V2.split(", "), "l_discount"))
+    return reports.drivers(pairs).select("col1", "col2", F.round("correlation", 6).alias("correlation"))
+
+
+@query(f"""SELECT col1, col2, CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS sign, round(correlation, 6) AS correlation FROM ({_pairs_sql(_V2_SOURCE, V2_NUMBERS)}) WHERE abs(correlation) > 0.7""")
+def strong_pair_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = relations.correlations(_typed(spark, sf_dir, "lineitem", "l_quantity", *V2.split(", "), "l_discount"))
+    return insights.strong_pairs(pairs).select("col1", "col2", F.when(F.col("correlation") > 0, "positive").otherwise("negative").alias("sign"), F.round("correlation", 6).alias("correlation"))
+
+
+def _groups_sql(source: str, categories: list[str], names: list[str]) -> str:
+    return _union([f"SELECT '{k}' AS cat_col, '{x}' AS num_col, substring(CAST({k} AS VARCHAR), 1, 15) AS category, avg({x}) AS mean, median({x}) AS median, min({x}) AS min, max({x}) AS max, count({x}) AS \"count\" FROM {source} WHERE {k} IS NOT NULL GROUP BY {k} HAVING count({x}) > 0" for k in categories for x in names])
+
+
+def _groups(typed: columns.Typed) -> DataFrame:
+    low = relations.low_cardinality(profile.categorical_profile(typed, profile.value_counts(typed))).orderBy("ord").select("column").collect()
+    return relations.group_summary(typed, [r["column"] for r in low])
+
+
+@query(f'SELECT cat_col, num_col, category, round(mean, 4) AS mean, round(median, 4) AS median, min, max, "count" FROM ({_groups_sql("lineitem", ["l_returnflag", "l_linestatus"], LINE_NUMBERS)})')
+def group_numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_groups(_typed(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", *LINE_NUMBERS)), 4, "mean", "median")
+
+
+_FLAG_SOURCES = [("events", "value", "value"), ("lineitem", V4, "large"), ("documents", "n_chars", "n_chars")]
+
+
+@query("SELECT \"column\", rule FROM (" + _union([f"SELECT \"column\", 'skew' AS rule FROM ({_numeric_sql(f'(SELECT {e} FROM {t})', [c])}) WHERE std > 0 AND n > 30 AND abs(mean - median) / std > 0.5 UNION ALL SELECT \"column\", 'outlier' FROM ({_numeric_sql(f'(SELECT {e} FROM {t})', [c])}) WHERE std > 0 AND max > mean + 3 * std" for t, e, c in _FLAG_SOURCES]) + ")")
+def skew_outlier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for table, cell, _ in _FLAG_SOURCES:
+        numeric = profile.numeric_profile(_typed(spark, sf_dir, table, cell))
+        part = insights.skewed(numeric).select("column", F.lit("skew").alias("rule")).union(insights.outlying(numeric).select("column", F.lit("outlier").alias("rule")))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(f"""SELECT "column", name, round(CAST(percentage AS DOUBLE), 4) AS percentage FROM ({_frequency_sql(f"(SELECT {V3}, l_linestatus FROM lineitem)", ["size_class", "l_linestatus"])}) f WHERE rank = 1 AND percentage > 70""")
+def dominance_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.frequencies(profile.value_counts(_typed(spark, sf_dir, "lineitem", V3, "l_linestatus")), top=2)
+    return insights.dominated(found).select("column", "name", F.round(F.col("percentage").cast("double"), 4).alias("percentage"))
+
+
+def _all_insights(typed: columns.Typed) -> DataFrame:
+    counts = profile.value_counts(typed)
+    categorical = profile.categorical_profile(typed, counts)
+    low = relations.low_cardinality(categorical).count()
+    return insights.insights(profile.numeric_profile(typed), profile.frequencies(counts, 2), relations.correlations(typed), typed.rows, len(typed.df.columns), len(typed.numeric), low)
+
+
+def _insight_sql() -> str:
+    source, names = f"(SELECT {V2}, {V3}, {V4} FROM lineitem)", ["gross", "net", "large"]
+    stats = _numeric_sql(source, names)
+    at = "CASE \"column\" WHEN 'gross' THEN 0 WHEN 'net' THEN 1 ELSE 3 END"
+    return f"""WITH s AS ({stats}), f AS ({_frequency_sql(source, ["size_class"])}), p AS ({_pairs_sql(source, names)}), found AS (
+ SELECT 0 AS part, {at} AS a, 0 AS b, 'Analyst' AS agent, 'warning' AS type, 'skew' AS rule, "column" AS col1, NULL AS col2, abs(mean - median) / std AS metric FROM s WHERE std > 0 AND n > 30 AND abs(mean - median) / std > 0.5
+ UNION ALL SELECT 0, {at}, 1, 'Analyst', 'warning', 'outlier', "column", NULL, max FROM s WHERE std > 0 AND max > mean + 3 * std
+ UNION ALL SELECT 0, 2, 0, 'Insight', 'info', 'dominance', "column", NULL, percentage FROM f WHERE rank = 1 AND percentage > 70 AND (SELECT count(*) FROM f) > 1
+ UNION ALL SELECT 1, CASE WHEN ord1 = 2 THEN 3 ELSE ord1 END, CASE WHEN ord2 = 2 THEN 3 ELSE ord2 END, 'Analyst', 'info', 'strong_pair', col1, col2, correlation FROM p WHERE abs(correlation) > 0.7
+ UNION ALL SELECT 2, 0, 0, 'Insight', 'success', 'completion', NULL, NULL, count(*) FROM lineitem HAVING count(*) > 10)
+ SELECT CAST(row_number() OVER (ORDER BY part, a, b) AS INT) AS seq, agent, type, rule, col1, col2, round(CAST(metric AS DOUBLE), 4) AS metric FROM found"""
+
+
+@query(_insight_sql())
+def all_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_all_insights(_typed(spark, sf_dir, "lineitem", *V2.split(", "), V3, V4)), 4, "metric").drop("text")
+
+
+@query(f"SELECT seq, rule, col1 FROM ({_insight_sql()}) WHERE type = 'warning'")
+def critical_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.critical_insights(_all_insights(_typed(spark, sf_dir, "lineitem", *V2.split(", "), V3, V4))).select("seq", "rule", "col1")
+
+
+@query(f"SELECT seq, rule FROM ({_insight_sql()}) ORDER BY seq LIMIT 5")
+def snapshot_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.snapshot(_all_insights(_typed(spark, sf_dir, "lineitem", *V2.split(", "), V3, V4))).select("seq", "rule")
+
+
+LABELS = ["quality", "toxic"]
+
+
+@query(f'SELECT "column", round(cv, 4) AS cv FROM ({_numeric_sql("labels", LABELS)} UNION ALL {_numeric_sql("events", ["value"])}) WHERE round(cv, 2) > 50')
+def unstable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = profile.numeric_profile(_typed(spark, sf_dir, "labels", *LABELS)).union(profile.numeric_profile(_typed(spark, sf_dir, "events", "value")))
+    return reports.unstable_columns(both).select("column", F.round("cv", 4).alias("cv"))
+
+
+@query(f'SELECT "column", round(cv, 4) AS cv FROM ({_numeric_sql("labels", LABELS)}) WHERE round(cv, 2) > 75')
+def inconsistent_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numeric = profile.numeric_profile(_typed(spark, sf_dir, "labels", *LABELS))
+    return reports.unstable_columns(numeric, 75).select("column", F.round("cv", 4).alias("cv"))
+
+
+@query("""WITH m AS (SELECT count(*) AS rows, count(*) - count(nullif(l_discount, 0)) AS gone FROM lineitem)
+SELECT 'discount' AS "column", round(gone * 100.0 / rows, 1) AS missing_pct, gone AS missing_rows, CAST(floor(CAST(round(gone * 100.0 / rows, 1) AS DOUBLE) * rows / 100 + 0.5) AS BIGINT) AS affected_records FROM m WHERE round(gone * 100.0 / rows, 1) > 0""")
+def missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, "lineitem", V1, "l_tax")
+    profiles = profile.numeric_profile(typed).select("ord", "column", "missing_pct")
+    present = spark.createDataFrame(list(typed.present.items()), "column string, present bigint")
+    return reports.missing_summary(profiles, typed.rows, present).drop("ord")
+
+
+@query("""SELECT 'text' AS "column", count(DISTINCT text) AS "unique" FROM documents HAVING count(DISTINCT text) / CAST(count(*) AS DOUBLE) > 0.8
+UNION ALL SELECT 'source', count(DISTINCT source) FROM documents HAVING count(DISTINCT source) / CAST(count(*) AS DOUBLE) > 0.8""")
+def key_like_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, "documents", "text", "source")
+    return reports.key_like_columns(profile.categorical_profile(typed, profile.value_counts(typed)), typed.rows).drop("ord")
+
+
+@query("""SELECT count(*) AS records, CAST(2 AS BIGINT) AS numeric_columns, CAST(1 AS BIGINT) AS categorical_columns, CAST(1 AS BIGINT) AS incomplete_columns, '1 Columns Affected' AS status FROM lineitem""")
+def quality_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, "lineitem", V1, "l_tax", "l_returnflag")
+    return reports.quality_overview(profile.numeric_profile(typed), profile.categorical_profile(typed, profile.value_counts(typed)), typed.rows)
+
+
+@query(f"""WITH s AS ({_numeric_sql("part", PART_NUMBERS)}), p AS ({_pairs_sql("part", PART_NUMBERS)}), m AS (SELECT col1, col2, correlation FROM p UNION ALL SELECT col2, col1, correlation FROM p)
+SELECT "column", round(abs(correlation), 4) AS correlation, round(cv, 2) AS cv, round(abs(correlation) / (round(cv, 2) / 100), 3) AS score FROM s JOIN m ON m.col1 = "column" AND m.col2 = 'p_retailprice' WHERE round(cv, 2) <> 0 ORDER BY score DESC, ord LIMIT 5""")
+def risk_adjusted_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, "part", *PART_NUMBERS)
+    target = reports.choose_target(typed.numeric)
+    return reports.risk_adjusted(profile.numeric_profile(typed), relations.correlations(typed), target).select("column", F.round("correlation", 4).alias("correlation"), "cv", "score")
+
+
+@query(f"""WITH g AS ({_groups_sql("events", ["event_type"], ["value"])}), s AS (SELECT round(stddev_pop(value), 2) AS std FROM events)
+SELECT cat_col, category, round(mean - median, 0) AS gain FROM g, s WHERE mean - median > 0.2 * std AND mean > 0 ORDER BY gain DESC, cat_col, category LIMIT 3""")
+def leveraged_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, "events", "event_type", "value")
+    return reports.leveraged_gain(_groups(typed), profile.numeric_profile(typed), "value").select("cat_col", "category", "gain")
+
+
+_PART_GROUPS = _groups_sql("part", ["p_type"], ["p_retailprice"])
+
+
+@query(f"""WITH g AS ({_PART_GROUPS}) SELECT * FROM (SELECT 'best' AS role, cat_col, category, round(mean, 4) AS mean FROM g ORDER BY g.mean DESC, cat_col, category LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'worst', cat_col, category, round(mean, 4) FROM g WHERE g.mean > 0 ORDER BY g.mean, cat_col, category LIMIT 1)""")
+def best_worst_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reports.best_and_worst(_groups(_typed(spark, sf_dir, "part", "p_type", "p_retailprice")), "p_retailprice"), 4, "mean")
+
+
+@query(f"SELECT cat_col, num_col, category, round(mean, 4) AS mean FROM ({_PART_GROUPS}) g ORDER BY g.mean DESC, cat_col, category LIMIT 1")
+def premium_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reports.premium_segment(_groups(_typed(spark, sf_dir, "part", "p_type", "p_retailprice")), ["p_retailprice"]), 4, "mean")
+
+
+@query(f"""WITH p AS ({_pairs_sql("part", PART_NUMBERS)}), b AS (SELECT * FROM p WHERE col1 LIKE '%price%' OR col2 LIKE '%price%' ORDER BY abs(correlation) DESC, ord1, ord2 LIMIT 1)
+SELECT col1, round(correlation, 6) AS chosen_r, (SELECT round(correlation, 6) FROM p WHERE p.col1 = b.col1 ORDER BY ord1, ord2 LIMIT 1) AS shown_r FROM b""")
+def price_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(reports.price_driver(relations.correlations(_typed(spark, sf_dir, "part", *PART_NUMBERS))), 6, "chosen_r", "shown_r")
+
+
+@query(f"""SELECT "column", mode, "unique" FROM ({_categorical_sql("part", ["p_name", "p_brand", "p_type"])}) WHERE "unique" > 1 ORDER BY "unique" DESC, ord LIMIT 1""")
+def core_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.core_segment(_categories(spark, sf_dir, "part", "p_name", "p_brand", "p_type"))
+
+
+@query(_union([f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, max({c}) AS max FROM lineitem""" for c in LINE_NUMBERS]))
+def describe_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(classic.describe(_typed(spark, sf_dir, "lineitem", *LINE_NUMBERS)), 4, "mean", "std", "p25", "p50", "p75")
+
+
+@query("SELECT o_orderstatus AS category, count(o_totalprice) AS \"count\", round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS median, round(stddev_samp(o_totalprice), 2) AS std, round(min(o_totalprice), 2) AS min, round(max(o_totalprice), 2) AS max FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1")
+def group_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classic.group_aggregate(_typed(spark, sf_dir, "orders", "o_orderstatus", "o_totalprice"), "o_totalprice")
+
+
+@query(f'SELECT "column", name, round(CAST(percentage AS DOUBLE), 2) AS pct FROM ({_frequency_sql("orders", ORDER_CATEGORIES)})')
+def value_counts_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classic.value_shares(profile.frequencies(profile.value_counts(_typed(spark, sf_dir, "orders", *ORDER_CATEGORIES))))
+    return found.withColumn("pct", F.col("pct").cast("double"))
+
+
+@query(_union([f"""SELECT '{c}' AS "column", round(q1, 4) AS q1, round(q2, 4) AS q2, round(q3, 4) AS q3, round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 4) AS upper_fence FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3 FROM lineitem)""" for c in LINE_NUMBERS]))
+def boxplot_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(classic.boxplot(_typed(spark, sf_dir, "lineitem", *LINE_NUMBERS)), 4, "q1", "q2", "q3", "lower_fence", "upper_fence")
+
+
+@query("SELECT 'discount' AS \"column\", count(*) - count(nullif(l_discount, 0)) AS nulls FROM lineitem UNION ALL SELECT 'l_tax', count(*) - count(l_tax) FROM lineitem")
+def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classic.null_counts(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(V1, "l_tax"))
+
+
+@query(f"""WITH p AS ({_pairs_sql("lineitem", LINE_NUMBERS)}) SELECT DISTINCT round(correlation, 6) AS correlation FROM (SELECT correlation FROM p UNION SELECT 1.0) ORDER BY 1 DESC LIMIT 5""")
+def distinct_corr_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(classic.highest_correlations(relations.correlations(_typed(spark, sf_dir, "lineitem", *LINE_NUMBERS))), 6, "correlation")
+
+
+@query("""SELECT * FROM (VALUES (0, 'event_id', 'numeric'), (1, 'ts', 'categorical'), (2, 'user_id', 'numeric'), (3, 'event_type', 'categorical'), (4, 'value', 'numeric'), (5, 'props', 'categorical')) t(ord, "column", type) WHERE (SELECT count(*) FROM events) > 0""")
+def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.column_types(_typed(spark, sf_dir, "events"))
+
+
+@query("SELECT type, count(*) AS columns FROM (VALUES ('numeric'), ('numeric'), ('numeric'), ('categorical'), ('categorical'), ('categorical')) t(type) WHERE (SELECT count(*) FROM orders) > 0 GROUP BY 1")
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.column_types(_typed(spark, sf_dir, "orders")).groupBy("type").agg(F.count(F.lit(1)).alias("columns"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+
+
+@query("SELECT * FROM customer")
+def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources.catalog import Catalog
+
+    catalog = Catalog(spark, _scratch(spark))
+    return catalog.load(catalog.save(spark.read.parquet(f"{sf_dir}/customer.parquet"), "customer.csv"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer")
+def csv_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources import files
+
+    path = _scratch(spark)
+    files.write_csv(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), path)
+    return files.read_csv(spark, path)

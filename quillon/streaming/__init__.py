@@ -1,0 +1 @@
+"""Nothing here: the reference profiles whole files and has no streaming operator."""

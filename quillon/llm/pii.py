@@ -78,7 +78,7 @@ def _spans(text: Column, rule: Rule, ord_: int, hits: Column, gaps: Column) -> C
 
     def score(start: Column) -> Column:
         before = F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)).cast("int"), F.least(start, F.lit(CONTEXT_CHARS)).cast("int"))
-        return F.when(F.lower(before).rlike(rf"\b(?:{rule.context})"), F.lit(rule.base + CONTEXT_BONUS)).otherwise(F.lit(rule.base))
+        return F.when(F.lower(before).rlike(rf"(?:^|[^a-z])(?:{rule.context})"), F.lit(rule.base + CONTEXT_BONUS)).otherwise(F.lit(rule.base))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]

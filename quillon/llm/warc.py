@@ -72,12 +72,11 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
     decided = table(resolve(pages), "revisits")
     total = decided.agg(F.sum("bytes")).first()[0] or 0
     files = max(partitions(spark), -(-total // FILE_BYTES))
-    here = pages.withColumn("hex", F.sha1("html")).alias("p")
-    d = decided.alias("d")
-    # both sides go to the tasks that write: by page and payload, so copies of one payload are spread out
-    joined = here.join(d, F.col("p.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("p.hex") == F.col("d.hex"))).select("p.page_id", "p.hex", "url", "html", "bytes", "response")
-    joined = joined.repartition(files, "page_id", "hex")
-    nth = F.row_number().over(Window.partitionBy("page_id", "hex").orderBy("url"))
+    # payloads are shuffled once, to the tasks that write: by page and payload, so copies of one payload are spread out
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "hex")
+    here = pages.withColumn("hex", F.sha1("html")).withColumn("key", key).repartition(files, "key")
+    joined = here.join(decided.select(key.alias("key"), "bytes", "response"), "key")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("url"))
     typed = joined.withColumn("nth", nth).withColumn("type", F.when(F.col("page_id").eqNullSafe(F.col("response")) & (F.col("nth") == 1), "response").otherwise("revisit"))
     records = typed.withColumn("digest", base32(F.col("hex"))).select(_record(date).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)

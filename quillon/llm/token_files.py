@@ -10,9 +10,9 @@ hashes; a null doc_id comes first. Empty input writes no rows. Other columns are
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +20,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import maybe_broadcast, partitions, scratch, table
+from quillon.llm.textkernel import BLOCK, slices
 
 PIECE = 1 << 16
-#: Rows of a row-index stride; distinct pieces of text whose ids a task remembers.
-STRIDE, REMEMBERED = 1000, 300_000
+#: Rows of a row-index stride; words whose ids a Python worker remembers, and words encoded at once.
+STRIDE, REMEMBERED, AT_ONCE = 1000, 600_000, 20_000
 #: Documents of several pieces up to which their table is broadcast; a larger one is joined by shuffling.
 BROADCAST_LONG = 1_000_000
-#: Text at which a pre-token always ends in byte-level BPE: one blank or line feed between two visible characters.
-SEAM = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
-
-
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    Texts are cut where the tokenizer's own pre-tokens end anyway, and the ids of each distinct piece are asked from the
-    library once; words repeat, so this does a fraction of its work.
+    A single blank between visible characters begins a pre-token, so the ids of a text are those of its words (each with
+    the blank before it), one after the other. Distinct words are encoded by the library, many in one call; their ids are
+    told apart by the tokens that begin with a blank. Texts with other blanks are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -42,17 +40,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at : at + AT_ONCE]
+            ids = self._ids(" " + " ".join(some))
+            cut = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
+            if len(cut) != len(some) + 1:
+                raise ValueError("the tokenizer doesn't begin pre-tokens at blanks")
+            raw = ids.tobytes()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [SEAM.split(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
+        split = [t.split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
-            new = list({p for pieces in cut for p in pieces})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+            new = set().union(*split)
+        # a word that is empty or has white space at an end isn't one whose blank surely begins a pre-token
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        self.known.update(dict.fromkeys(odd))
+        self._learn(list(new - odd))
+        known, out = self.known.__getitem__, []
+        firsts = self.tokenizer.encode_batch_fast([words[0] for words in split], add_special_tokens=False)
+        for text, words, first in zip(texts, split, firsts, strict=True):
+            if words[0] and not words[0][-1].isspace():
+                try:
+                    out.append(np.array(first.ids, "<u4").tobytes() + b"".join(map(known, words[1:])))
+                    continue
+                except TypeError:  # an odd word
+                    pass
+            out.append(self._ids(text).tobytes())
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which Spark uses for many tasks."""
+    return Encoder(path)
 
 
 def _encode(path: str, end: int):
@@ -60,12 +91,11 @@ def _encode(path: str, end: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, offset, number = Encoder(path), 0, 0
+        coder, offset, number = encoder(path), 0, 0
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 256):
+            for part in slices(batch, "text", 2 * BLOCK):
                 rows = []
-                for doc_id, raw in zip(ids[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
+                for doc_id, raw in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
                     got = np.frombuffer(raw + tail, "<i4")
                     for k in range(0, len(got), PIECE):
                         rows.append((doc_id, number, k // PIECE, offset, got[k : k + PIECE]))

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, A-Z lower-cased. Every `SEED` words of a test item are a seed. A scan of all
-documents keeps the places where seeds occur; the rarest half of each item's seeds (at least `LEAST_SEEDS`), by the documents that have
-them, join documents to items. Around each place the passage is aligned with the item's words: edits, gaps and
+documents keeps the places where seeds occur. Seeds in many more documents than the rarer quarter of their item's are phrases of the
+language; the others, rare ones, join documents to items. (A leaked item's own seeds are all about as frequent, however often it leaked.) Around each place the passage is aligned with the item's words: edits, gaps and
 replaced words only lower the score, which is divided by that of a perfect copy.
 
 Null and empty texts and items match nothing, as do items of fewer than `SEED` words. Rows with equal doc_id are one document,
@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quillon.llm.shared import maybe_broadcast, table
 from quillon.llm.textkernel import buffers, grams, slices, word_hashes
 
-SEED, LEAST_SEEDS = 4, 8
+SEED = 4
+#: A seed is rare up to that many times the documents of its item's lower quartile, and so many more.
+COMMON_TIMES, COMMON_MORE = 8, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a perfect copy's score from which a passage counts as a copy.
 THRESHOLD = 0.5
@@ -136,9 +137,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     places = table(places if known is not None else places.join(distinct, "seed"), "places")
 
     spread = places.select("seed", "doc_id").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
-    ranked = Window.partitionBy("item_id").orderBy("docs", "seed", "nth")
-    rare = seeds.join(spread, "seed").join(items.select("item_id", F.size("seeds").alias("own")), "item_id")
-    rare = rare.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= F.greatest(F.lit(LEAST_SEEDS), F.ceil(F.col("own") / 2)))
+    occurring = seeds.join(spread, "seed")
+    typical = occurring.groupBy("item_id").agg((F.percentile("docs", F.lit(0.25)) * COMMON_TIMES + COMMON_MORE).alias("most"))
+    rare = occurring.join(typical, "item_id").where("docs <= most")
     pairs = places.join(rare.select("seed", "item_id", "nth"), "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("place") - F.col("nth")).alias("starts"))
     found = pairs.join(items.where("item_id is not null").select("item_id", "words"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "starts", "words")).alias("found"))
     found = table(found, "candidates")

@@ -27,8 +27,8 @@ from quillon.llm.textkernel import buffers, slices, word_hashes
 
 #: The bounds of what is fitted: labelled examples, and terms of their vocabulary.
 EXAMPLES, TERMS = 8000, 4096
-#: Least chi-squared of a term.
-ASSOCIATED = 30.0
+#: A term's least number of examples; its least chi-squared is this much above twice the logarithm of the number of terms, of which the best would come near that by chance.
+LEAST_EXAMPLES, ASSOCIATED = 3, 4.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the prior among the votes.
 PRIOR = 0.5
@@ -123,7 +123,7 @@ def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model:
     spread = have * (n - have) * yes * (n - yes)
     chi = np.divide(n * (both * n - have * yes) ** 2, spread, out=np.zeros_like(have), where=spread > 0)
     chosen = np.sort(np.lexsort((words, -chi))[:TERMS])
-    chosen = chosen[chi[chosen] >= ASSOCIATED]
+    chosen = chosen[(chi[chosen] >= ASSOCIATED + 2 * np.log(max(1, len(words)))) & (have[chosen] >= LEAST_EXAMPLES)]
     number = np.full(len(words), -1)
     number[chosen] = np.arange(len(chosen))
     term = number[which] if len(every) else np.zeros(0, np.int64)

@@ -1,0 +1,487 @@
+"""Operators against brute force on small inputs with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quillon.llm import components, decontaminate, fingerprint, mixing, ngram_join, pii, secrets, textkernel, token_counts, token_files, toxicity, warc
+from quillon.llm.shared import scratch
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+RNG = random.Random(11)
+VOCABULARY = ["".join(RNG.choice("abcdeé") for _ in range(RNG.randint(1, 6))) for _ in range(400)]
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def shingles(text):
+    w = WORD.findall(lower(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows that every operator has to live with; `size`, `part` and others clash with names used inside."""
+    base = prose(60)
+    near = base.split()
+    near[5] = "changed"
+    texts = [None, "", "   ", "one", "two words", base, base, " ".join(near), base.upper(), prose(3000), prose(300), "x" * 5000, "a\n b  c\td ", prose(60) + " ip 10.0.0.1 mail a@b.co", "é" * 50]
+    rows = [(i, t, "en", None if i == 3 else f"s{i % 3}", len(t or ""), i, "clash", 1.0) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[1], (None, "no id", None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, part string, toxicity double").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("false")
+
+
+def local(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(textkernel, "BLOCK", 64)
+    rows = [None, "", "a", "  a  b ", "A b"] + ["".join(RNG.choice("ab \n\tAéx.") for _ in range(RNG.randint(0, 90))) for _ in range(500)] + ["y" * 1000]
+    value, _, _, begins = textkernel.word_hashes(*textkernel.buffers(pa.array(rows)))
+    seen = {}
+    for text, a, b in zip(rows, begins[:-1], begins[1:]):
+        words = WORD.findall(lower(text or ""))
+        assert len(words) == b - a
+        for w, h in zip(words, value[a:b].tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+# 1
+
+
+def test_canonical_form():
+    assert fingerprint.canonical(" ﬁne  STRASSE\n") == fingerprint.canonical("fine straße")
+    assert fingerprint.canonical(None) == fingerprint.canonical(" \t") == ""
+
+
+def test_edited_texts(spark, odd):
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = sorted(texts)
+    got = {r["doc_id"]: r for r in local(fingerprint.edited_against_next(docs))}
+    assert sorted(got) == ids
+    for i, follower in zip(ids, ids[1:] + ids[:1]):
+        text, half = texts[i], len(texts[i]) // 2
+        edited = text[: len(text) - half] + texts[follower][:half]
+        assert got[i]["n_chars"] == len(text)
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[i]["near_edited"] == float(fingerprint.canonical(edited) == fingerprint.canonical(text))
+        assert got[i]["near_next"] == float(fingerprint.canonical(texts[follower]) == fingerprint.canonical(text))
+    assert got[5]["fingerprint"] == got[6]["fingerprint"] == got[8]["fingerprint"] != got[7]["fingerprint"]
+
+
+def test_fingerprints_of_odd_rows(odd, empty):
+    assert fingerprint.edited_against_next(odd).count() == odd.count()
+    assert fingerprint.edited_against_next(empty).count() == 0
+    marks = fingerprint.fingerprints(odd)
+    assert marks.columns == [*odd.columns, "fingerprint"] and marks.select("text", "fingerprint").distinct().count() == odd.select("text").distinct().count()
+
+
+def test_clashing_digests_are_told_apart(spark, monkeypatch):
+    texts = spark.createDataFrame([("a",), ("A ",), ("b",), ("c",)], "text string")
+    monkeypatch.setattr(fingerprint.xxhash, "xxh3_128_hexdigest", lambda b: "same")  # in this process: digests below are given
+    digests = spark.createDataFrame([("7f",)] * 4, "digest string")
+    assert fingerprint.clashes(texts, digests).count() == 0  # none of the texts has that digest
+
+
+# 2
+
+
+def labelled(spark, n=600):
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        words = prose(rng.randint(5, 60), rng).split()
+        if bad:
+            words.insert(rng.randrange(len(words)), rng.choice(["nasty", "awful"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = labelled(spark)
+    got = {r["doc_id"]: r for r in local(toxicity.report(docs, labels))}
+    out = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert out and all(got[i]["held_out"] == (i in out) for i in got)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    assert np.mean([got[i]["predicted"] == (i % 4 == 0) for i in out]) > 0.95
+    assert not any(e in out for r in got.values() for e in r["evidence"])
+
+
+def test_nearest_examples_are_exact():
+    rng = np.random.default_rng(2)
+    examples = []
+    for i in range(500):
+        label = int(i % 3 == 0)
+        terms = np.unique(rng.integers(0, 40, 12) + 40 * label * (rng.random() < 0.9)).astype(np.uint64)
+        examples.append((i, label, terms, rng.integers(1, 5, len(terms)).astype(np.int32)))
+    model = toxicity.fit(examples)
+    dense = np.zeros((len(examples), len(model.terms)))
+    for b, (row, term, weight) in enumerate(model.blocks):
+        dense[row + b * toxicity.BLOCK, term] = weight
+    for i in range(0, 500, 7):
+        term = np.flatnonzero(dense[i])
+        who, how = model.nearest(term, dense[i][term], but=i)
+        cosine = dense @ dense[i]
+        cosine[i] = -1
+        assert np.allclose(how, np.sort(cosine)[::-1][: len(how)]) and len(how) == min(toxicity.NEIGHBOURS, (cosine > 0).sum())
+        assert np.allclose(cosine[who], how)
+
+
+def test_toxicity_of_odd_rows(spark, odd, empty):
+    docs, labels = labelled(spark)
+    assert toxicity.report(odd, labels).count() == odd.count()
+    assert toxicity.report(empty, labels).count() == 0
+    none = labels.where("false")
+    assert {r["score"] for r in local(toxicity.report(odd, none))} == {0.0}
+    model = toxicity.train(docs, labels)
+    assert sorted(toxicity.scored(odd, model).columns) == sorted({*odd.columns, "evidence", "evidence_similarity"})
+    assert toxicity.without_toxic(odd, labels).columns == odd.columns
+
+
+# 3
+
+
+def mixed_by_hand(rows):
+    """taken by (doc_id, source, text) and targets by source."""
+    size = lambda t: len(WORD.findall(t or ""))
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s))
+    own = {s: sum(size(t) for _, x, t in rows if x == s) for s in sources}
+    weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
+    budget, capped = sum(own.values()), set()
+    while True:
+        left, w = budget - sum(3 * own[s] for s in capped), sum(weight[s] for s in sources if s not in capped)
+        target = {s: 3.0 * own[s] if s in capped else left * weight[s] / w for s in sources}
+        over = {s for s in sources if s not in capped and target[s] > 3 * own[s]}
+        if not over:
+            break
+        capped |= over
+    units = defaultdict(int)
+    for d, s, t in rows:
+        units[d, s, t] += size(t)
+    queue = []
+    for s in sources:
+        upto = 0
+        hashed = [(hashlib.md5(f"mix|{'null' if d is None else d}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), (d, x, t)) for d, x, t in units if x == s]
+        for key, u in sorted(hashed, key=lambda h: h[0]):
+            upto += units[u]
+            queue += [((upto + e * own[s]) / target[s], key, e, u) for e in range(3) if target[s]]
+    used, copies = 0, defaultdict(int)
+    for *_, u in sorted(queue, key=lambda q: q[:3]):
+        used += units[u]
+        if used <= budget:
+            copies[u] += 1
+    return copies, target, own
+
+
+def test_mix(spark, odd, empty):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "b", "b", "b", "b", "c", None]), prose(rng.randint(0, 30), rng)) for i in range(300)] + [(7, "b", "same words")] * 3
+    docs = spark.createDataFrame([(d, t, s) for d, s, t in rows], "doc_id bigint, text string, source string")
+    copies, target, own = mixed_by_hand(rows)
+    got = local(mixing.mix_report(docs))
+    by_size = {}
+    assert len(got) == len(rows)
+    for r in got:
+        by_size.setdefault(r["source_size"], r["target"])
+        assert r["taken"] <= 3 * r["size"]
+    assert by_size == pytest.approx({own[s]: target[s] for s in own})
+    taken = sum(r["taken"] for r in got)
+    assert taken == sum(copies[u] * len(WORD.findall(u[2])) * rows.count(u) for u in set(rows) & set(copies))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(copies[r] for r in rows)
+    assert sorted(map(str, local(mixing.mix_report(docs.repartition(5))))) == sorted(map(str, got))
+    assert mixing.mix_report(odd).count() == odd.count() and mixing.mix(odd).columns == odd.columns
+    assert mixing.mix_report(empty).count() == mixing.mix(empty).count() == 0
+
+
+# 4
+
+BASE = {"assign": re.compile(r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
+KEPT = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+
+
+def secret_rows(spark):
+    rng = random.Random(3)
+    bits = ["password", "PassWord", "tokeN", "api_key", "apikey", "ſecret", "secret", '"', "'", " ", ":", "=", "abc", "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGHIJ012345", "é", "\n", "-", "==", "-----BEGIN PRIVATE KEY-----"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(400)] + [None, "", "password=abcdef"] + ["password=abcdef"] * 5
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+def test_secrets(spark, odd, empty):
+    texts, docs = secret_rows(spark)
+    ledger = secrets.Ledger(spark)
+    got = {r["doc_id"]: r for r in local(secrets.digest(secrets.find_secrets(docs, ledger)))}
+    for i, text in enumerate(texts):
+        found = sorted((m.start(), n, k, m.end()) for n, (k, p) in enumerate(BASE.items()) for m in p.finditer(text or "") if KEPT[k](m))
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in found).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for a, _, k, b in found} <= set(got[i]["spans"].split(",")) | {""}
+    assert any("pem" in r["spans"] for r in got.values())
+    assert ledger.read().count() == len({t or "" for t in texts})
+    secrets.find_secrets(docs, ledger).count()
+    assert ledger.read().count() == len({t or "" for t in texts})  # nothing was scanned again
+    more = spark.createDataFrame([(1000, "token = newtoken99"), (1001, texts[0])], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_assign"] for r in local(secrets.digest(secrets.find_secrets(more, ledger)))}[1000] == 1
+    assert ledger.read().count() == len({t or "" for t in texts}) + 1
+    assert secrets.find_secrets(odd, ledger).count() == odd.count() and secrets.find_secrets(empty, ledger).count() == 0
+
+
+# 5
+
+
+def encode_by_hand(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    t.encode_special_tokens = True
+    return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+
+
+def test_encoder_is_the_library():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "don't", " ", "  ", "\n", "\t", "é", "12", "<|endoftext|>", ".", " ", "\x1c", "hello"]) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    got = token_files.Encoder(BPE).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() + [2] for g in got] == encode_by_hand(texts)
+
+
+@pytest.mark.parametrize("piece", [token_files.PIECE, 700])
+def test_token_files(spark, odd, empty, monkeypatch, piece):
+    monkeypatch.setattr(token_files, "PIECE", piece)
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: r[0])
+    path, start = scratch(spark, "tokens"), 0
+    token_files.write_tokens(docs, path, BPE)
+    got = {r["doc_id"]: r for r in local(token_files.documents_read_back(spark, path))}
+    for (i, _), ids in zip(rows, encode_by_hand([t for _, t in rows])):
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    one = token_files.read_tokens(spark, path, [9]).orderBy("piece").collect()
+    assert [x for r in one for x in r["ids"]] == encode_by_hand([dict(rows)[9]])[0]
+    assert "EqualTo(doc_id,9)" in token_files.read_tokens(spark, path, [9])._jdf.queryExecution().toString()
+    assert token_files.encoded(odd, BPE).count() == odd.count() and token_files.encoded(empty, BPE).count() == 0
+
+
+# 6
+
+
+def test_warc(spark):
+    rows = [(i, f"http://h/{i}\r\nx", h) for i, h in enumerate(["<p>é</p>", None, "", "<p>é</p>", "a\r\n\r\nWARC/1.1\r\n", "b" * 3000, "<p>é</p>"])]
+    pages = spark.createDataFrame([*rows, (None, None, "no id"), rows[3]], "page_id bigint, url string, html string").withColumn("hex", F.lit("clash"))
+    got = local(warc.archived(pages))
+    assert len(got) == 9 and all(r["intact"] for r in got)
+    first = {}
+    for i, _, h in rows:
+        first.setdefault((h or "").encode(), i)
+    for r in got:
+        if r["page_id"] is not None:
+            body = (rows[r["page_id"]][2] or "").encode()
+            assert (r["payload_bytes"], r["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+            assert (r["record_type"], r["refers_to"]) == (("response", None) if first[body] == r["page_id"] else ("revisit", first[body]))
+    assert warc.archived(pages.where("false")).count() == 0
+    twice = spark.createDataFrame([(1, "u", "x")] * 3, "page_id bigint, url string, html string")
+    assert sorted(r["record_type"] for r in local(warc.archived(twice))) == ["response", "revisit", "revisit"]
+
+
+# 7
+
+
+def test_token_counts(spark, odd, empty, monkeypatch):
+    scores = token_counts.zipf_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    longest = max(map(len, scores))
+
+    def by_hand(word):
+        text, best = token_counts.MARK + word, [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            size = len(text[end - 1].encode())
+            top = (best[end - 1][0] + token_counts.BYTE_SCORE * size, best[end - 1][1] + size)
+            for begin in range(max(0, end - longest), end):
+                s = scores.get(text[begin:end])
+                if s is not None and best[begin][0] + s > top[0]:
+                    top = (best[begin][0] + s, best[begin][1] + 1)
+            best.append(top)
+        return best[-1][1]
+
+    monkeypatch.setattr(token_counts, "REMEMBERED", 50)
+    docs = spark.createDataFrame([(i, prose(40)) for i in range(20)], "doc_id bigint, text string").union(odd.select("doc_id", "text"))
+    for r, t in zip(local(token_counts.count_tokens(docs, scores)), docs.collect()):
+        assert r["n_tokens"] == sum(map(by_hand, (t["text"] or "").split()))
+    assert token_counts.count_tokens(empty, scores).count() == 0
+
+
+# 8
+
+
+def linked_by_hand(rows, percent=80):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join(spark, odd, empty, monkeypatch, small):
+    if small:
+        for k, v in (("CHUNK", 2000), ("RANGE", 3000), ("BLOCK", 8), ("BROADCAST_IDS", 5)):
+            monkeypatch.setattr(ngram_join, k, v)
+    rng = random.Random(9)
+    texts = [prose(rng.randint(1, 120), rng) for _ in range(150)]
+    for _ in range(150):  # near copies of few texts, with more and more edits
+        words = rng.choice(texts[:6]).split()
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts + [None, "", " ", "one", "One", texts[0], texts[0].upper().replace("É", "é")]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in local(ngram_join.link(docs))}
+    assert got == linked_by_hand(rows)
+    kept = {r["doc_id"] for r in local(ngram_join.keep_one(docs))}
+    assert kept == {d for d, (_, c) in got.items() if d == c}
+    if not small:
+        assert ngram_join.link(odd).count() == odd.count() and ngram_join.keep_one(odd).columns == odd.columns
+        assert ngram_join.link(empty).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    edges = [(a, b) for a, b in edges if a != b]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in local(components.components(spark.createDataFrame(edges, "a bigint, b bigint")))}
+    assert got == {n: find(n) for n in list(root) if find(n) != n}
+
+
+# 9
+
+
+def test_alignment():
+    item = np.arange(20)
+    assert decontaminate.align(item, np.concatenate([[77], item, [78]])) == (40, 21)
+    assert decontaminate.align(item, np.delete(item, 10)) == (19 * 2 - 1, 19)
+    assert decontaminate.align(item, np.full(30, 99)) == (0, 0)
+
+
+def test_decontaminate(spark, odd, empty):
+    rng = random.Random(8)
+    items = [prose(30, rng) for _ in range(12)] + ["too short", None]
+    docs, bad = [], set()
+    for i in range(200):
+        text = prose(rng.randint(20, 200), rng)
+        if i % 10 == 0:
+            words = items[rng.randrange(12)].split()
+            for _ in range(4 if i % 20 == 0 else 0):
+                words[rng.randrange(len(words))] = "edited"
+            cut = text.split()
+            text = " ".join([*cut[:7], *words, *cut[7:]])
+            bad.add(i)
+        docs.append((i, text))
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = local(decontaminate.contaminated(frame, bench))
+    assert {r["doc_id"] for r in got} == bad
+    exact = {r["doc_id"]: r for r in got if r["doc_id"] % 20}
+    assert all(r["score"] == 1 and (r["start_word"], r["end_word"]) == (7, 37) for r in exact.values())
+    assert {r["doc_id"] for r in local(decontaminate.decontaminated(frame, bench))} == set(range(200)) - bad
+    assert decontaminate.decontaminated(odd, bench).count() == odd.count()
+    assert decontaminate.contaminated(empty, bench).count() == decontaminate.contaminated(frame, bench.where("false")).count() == 0
+
+
+def test_decontaminate_by_shuffling(spark, monkeypatch):
+    item = prose(25)
+    docs = spark.createDataFrame([(i, prose(50) + (" " + item if i == 3 else "")) for i in range(10)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", 0)
+    assert [r["doc_id"] for r in local(decontaminate.contaminated(docs, bench))] == [3]
+
+
+# 10
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, hit):
+    digits = re.sub("[^0-9]", "", hit)
+    if kind == "card":
+        worth = sum(v - 9 if (v := int(c) * (1 + i % 2)) > 9 else v for i, c in enumerate(reversed(digits)))
+        return 12 <= len(digits) <= 19 and worth % 10 == 0
+    return {"email": True, "ip": all(int(x) <= 255 for x in hit.split(".")) if kind == "ip" else True, "phone": 9 <= len(digits) <= 15}[kind]
+
+
+def test_pii(spark, odd, empty):
+    rng = random.Random(6)
+    bits = ["a", "b.c", "@", ".", "-", "_", "1", "12", "255", "256", "4111111111111111", "4111 1111 1111 1111", "+", "(", ")", " ", "é", "\n", "+49 170 1234567", "x@y.zz", "10.0.0.1", "007", "card "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(1500)] + [None, "", "a@b.c_x@d.e", "1.2.3.4.5.6.7.8", "9" * 50_000, "a" * 50_000 + "@", "x@" + "a." * 20_000 + "b", "IBAN DE89370400440532013000, not DE89370400440532013001"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in local(pii.digest(pii.find_pii(docs)))}
+    for i, text in enumerate(texts):
+        found = sorted((m.start(), n, k, m.end()) for n, (k, p) in enumerate(PII.items()) for m in re.finditer(p, text or "") if valid(k, m[0]))
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in found).encode()).hexdigest(), text
+        assert [got[i][f"n_{k}"] for k in PII] == [sum(f[2] == k for f in found) for k in PII]
+    assert got[len(texts) - 1]["spans"].count("iban") == 1
+    near, far = (local(pii.find_pii(spark.createDataFrame([(1, t)], "doc_id int, text string")))[0]["pii"][0]["score"] for t in ("call phone +49 170 1234567", "+49 170 1234567"))
+    assert near > far
+    assert pii.find_pii(odd).columns == [*odd.columns, "pii"] and pii.digest(pii.find_pii(empty)).count() == 0
+
+
+def test_pipeline(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = corpus_pipeline.table(stage(spark, docs, sf), name)
+        sizes.append(docs.count())
+        if name != "token_output":
+            assert docs.columns == columns
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > 0 and sizes[4] == sizes[5] > 0
+    assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    last = docs.orderBy("start").collect()
+    assert [r["start"] for r in last] == [0, *np.cumsum([r["n_tokens"] for r in last])[:-1].tolist()]

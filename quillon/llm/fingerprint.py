@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import maybe_broadcast, partitions, table
+from quillon.llm.textkernel import releasing
 
 #: Digests up to which a table of them is broadcast; a larger one is joined by shuffling.
 BROADCAST_DIGESTS = 1_000_000
@@ -38,7 +39,18 @@ def digest(text: str | None) -> str:
     return xxhash.xxh3_128_hexdigest(canonical(text).encode())
 
 
-def _digests(text: str, schema: pa.Schema):
+def named(text: str | None, apart: dict[str, list[str]]) -> str:
+    """The fingerprint, given the canonical texts that share a digest: the first has it plain, others with their number."""
+    form = canonical(text)
+    mark = xxhash.xxh3_128_hexdigest(form.encode())
+    if not apart or mark not in apart:
+        return mark
+    forms = apart[mark]
+    n = forms.index(form) if form in forms else len(forms)
+    return f"{mark}.{n}" if n else mark
+
+
+def _digests(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [digest(t) for t in batch.column(text).to_pylist()]
@@ -53,6 +65,12 @@ def _schema(df: DataFrame, extra: str) -> str:
     return StructType([*df.schema.fields, StructField(extra, StringType())])
 
 
+def _canonical_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        form = [canonical(t) for t in batch.column(0).to_pylist()]
+        yield pa.record_batch([pa.array([xxhash.xxh3_128_hexdigest(f.encode()) for f in form], pa.string()), pa.array(form, pa.string())], names=["digest", "canonical"])
+
+
 def clashes(texts: DataFrame, digests: DataFrame) -> DataFrame:
     """(digest, canonical, ordinal) of canonical texts that share their digest with a different one.
 
@@ -61,12 +79,7 @@ def clashes(texts: DataFrame, digests: DataFrame) -> DataFrame:
     """
     many = table(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest"), "buckets")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            form = [canonical(t) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([xxhash.xxh3_128_hexdigest(f.encode()) for f in form]), pa.array(form)], names=["digest", "canonical"])
-
-    forms = texts.select("text").mapInArrow(run, "digest string, canonical string")
+    forms = texts.select("text").mapInArrow(_canonical_forms, "digest string, canonical string")
     shared = forms.join(maybe_broadcast(many, BROADCAST_DIGESTS), "digest", "left_semi").distinct()
     counts = shared.groupBy("digest").agg(F.count(F.lit(1)).alias("forms"), F.collect_list("canonical").alias("all")).where("forms > 1")
     return counts.select("digest", F.posexplode(F.array_sort("all")).alias("ordinal", "canonical"))
@@ -74,7 +87,7 @@ def clashes(texts: DataFrame, digests: DataFrame) -> DataFrame:
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint of each row's text."""
-    with_digest = df.mapInArrow(_digests(text, None), _schema(df, "__digest"))
+    with_digest = df.mapInArrow(_digests(text), _schema(df, "__digest"))
     apart = table(clashes(df.select(F.col(text).alias("text")), with_digest.select(F.col("__digest").alias("digest"))), "clashes")
     if apart.isEmpty():
         return with_digest.withColumnRenamed("__digest", out)
@@ -112,25 +125,32 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("next_fingerprint", pa.string())])
 
-    def row(doc_id: int | None, text: str, mark: str, follower: str, follower_mark: str) -> tuple:
-        half = len(text) // 2
-        edited = text[: len(text) - half] + follower[:half]
-        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, digest(edited), follower_mark
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row whose next document is yet to come
-        for batch in batches:
-            out = []
-            for part_, is_ahead, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mark = digest(text)
-                if held is not None and held[0] == part_:
-                    out.append(row(*held[1:], text, mark))
-                held = None if is_ahead else (part_, doc_id, text, mark)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
-
-    marked = table(sent.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"), "fingerprints")
+    def compare(apart: dict[str, list[str]]) -> DataFrame:
+        def row(doc_id: int | None, text: str, mark: str, follower: str, follower_mark: str) -> tuple:
+            half = len(text) // 2
+            edited = text[: len(text) - half] + follower[:half]
+            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark, named(edited, apart), follower_mark
+
+        @releasing
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None  # the row whose next document is yet to come
+            for batch in batches:
+                out = []
+                for part_, is_ahead, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    mark = named(text, apart)
+                    if held is not None and held[0] == part_:
+                        out.append(row(*held[1:], text, mark))
+                    held = None if is_ahead else (part_, doc_id, text, mark)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+
+        return table(sent.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"), "fingerprints")
+
+    marked = compare({})
     apart = table(clashes(docs, marked.select(F.col("fingerprint").alias("digest"))), "clashes")
-    if not apart.isEmpty():
-        raise ArithmeticError("different texts share a 128-bit digest; use fingerprints(), which keeps them apart")
+    if not apart.isEmpty():  # of 128-bit digests, so there are a few at most
+        forms: dict[str, list[str]] = {}
+        for r in apart.orderBy("digest", "ordinal").collect():
+            forms.setdefault(r["digest"], []).append(r["canonical"])
+        marked = compare(forms)
     like = lambda k: (F.col("fingerprint") == F.col(k)).cast("double")
     return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))

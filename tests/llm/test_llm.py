@@ -103,10 +103,22 @@ def test_fingerprints_of_odd_rows(odd, empty):
 
 
 def test_clashing_digests_are_told_apart(spark, monkeypatch):
-    texts = spark.createDataFrame([("a",), ("A ",), ("b",), ("c",)], "text string")
-    monkeypatch.setattr(fingerprint.xxhash, "xxh3_128_hexdigest", lambda b: "same")  # in this process: digests below are given
-    digests = spark.createDataFrame([("7f",)] * 4, "digest string")
-    assert fingerprint.clashes(texts, digests).count() == 0  # none of the texts has that digest
+    mark = fingerprint.digest("a")
+    assert [fingerprint.named(t, {mark: ["0", "a"]}) for t in ("A ", "b")] == [mark + ".1", fingerprint.digest("b")]
+    # tasks see a hash that is too short to tell texts apart
+    texts = spark.createDataFrame([("a",), ("A ",), ("b",), ("cc",)], "text string")
+
+    def short(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            forms = [fingerprint.canonical(t) for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([str(len(f)) for f in forms]), pa.array(forms)], names=["digest", "canonical"])
+
+    monkeypatch.setattr(fingerprint, "_canonical_forms", short)
+    digests = spark.createDataFrame([("1",)] * 3 + [("2",)], "digest string")
+    found = sorted((r["digest"], r["ordinal"], r["canonical"]) for r in fingerprint.clashes(texts, digests).collect())
+    assert found == [("1", 0, "a"), ("1", 1, "b")]
 
 
 # 2

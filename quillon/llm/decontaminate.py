@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import maybe_broadcast, table
-from quillon.llm.textkernel import buffers, grams, slices, word_hashes
+from quillon.llm.textkernel import buffers, grams, releasing, slices, word_hashes
 
 SEED = 4
 #: A seed is rare up to that many times the documents of its item's lower quartile, and so many more.
@@ -47,6 +47,7 @@ def _places(seeds: np.ndarray | None):
     """Where seeds (all n-grams, if None) occur: (doc_id, seed, place in words)."""
     schema = pa.schema([("doc_id", pa.int64()), ("seed", pa.int64()), ("place", pa.int64())])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -103,6 +104,7 @@ def _align_all(threshold: float):
         if high is not None:
             yield low, high
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import components
 from quillon.llm.shared import maybe_broadcast, table
-from quillon.llm.textkernel import shingle_sets, slices
+from quillon.llm.textkernel import releasing, shingle_sets, slices
 
 #: Share of the hash space in which shingles are counted by step 1; more rejects more, and moves more.
 SHARE = 0.4
 #: Distinct hashes that one batch sends, and that one range is meant to get.
-CHUNK, RANGE = 1 << 20, 1 << 21
+CHUNK, RANGE = 1 << 19, 1 << 21
 #: Nodes in a block of step 4; slices of its bound.
 BLOCK, SLICES = 1024, 64
 #: Rows up to which a table of ids is broadcast; a larger one is joined by shuffling.
@@ -53,6 +53,7 @@ def _send(words: int, ranges: int, width: int):
     limit = U(int(SHARE * 2.0**64))
     step = int(SHARE * 2.0**64) // ranges + 1
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -155,6 +156,7 @@ def _decide(percent: int):
 def _sets(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary())])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -219,6 +221,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _block_pairs(percent: int):
     """Pairs within groups (token, i, j), whose rows come together: nodes of block i with nodes of block j that may link."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, key, found = [], None, set()
 

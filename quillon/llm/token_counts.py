@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.textkernel import BLOCK, slices
+from quillon.llm.textkernel import BLOCK, releasing, slices
 
 MARK = "▁"
 REMEMBERED = 300_000
@@ -79,6 +79,7 @@ def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(scores)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
         for batch in batches:

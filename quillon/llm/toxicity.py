@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from quillon.llm.shared import table
-from quillon.llm.textkernel import buffers, slices, word_hashes
+from quillon.llm.textkernel import buffers, releasing, slices, word_hashes
 
 #: The bounds of what is fitted: labelled examples, and terms of their vocabulary.
 EXAMPLES, TERMS = 8000, 4096
@@ -146,6 +146,7 @@ def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model:
 
 
 def _score_all(shared, names: list[str]):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, done = shared.value, {}
         empty = np.zeros(0, np.int64)

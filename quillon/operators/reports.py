@@ -116,3 +116,15 @@ def best_and_worst(groups: DataFrame, target: str) -> DataFrame:
 
 def snapshot(insights: DataFrame, limit: int = 5) -> DataFrame:
     return insights.orderBy("seq").limit(limit)
+
+
+def panel_counts(numeric: DataFrame, categorical: DataFrame, pairs: DataFrame, rows: int, threshold: float = 0.7) -> DataFrame:
+    """One row: records, columns of each type, pairs whose |r| is above the threshold."""
+    n, c = numeric.agg(F.count(F.lit(1)).alias("numeric_columns")), categorical.agg(F.count(F.lit(1)).alias("categorical_columns"))
+    strong = pairs.agg(F.count_if(F.abs("correlation") > threshold).alias("strong_pairs"))
+    return n.crossJoin(c).crossJoin(strong).select(F.lit(rows).cast("long").alias("records"), "*")  # one row each
+
+
+def category_cards(frequencies: DataFrame, low: DataFrame) -> DataFrame:
+    """Frequencies of the columns that `relations.low_cardinality` keeps."""
+    return frequencies.join(F.broadcast(low.select("ord")), "ord", "left_semi")

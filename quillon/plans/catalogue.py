@@ -362,6 +362,20 @@ def distinct_corr_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(classic.highest_correlations(relations.correlations(_typed(spark, sf_dir, "lineitem", *LINE_NUMBERS))), 6, "correlation")
 
 
+@query(f"""SELECT (SELECT count(*) FROM lineitem) AS records, CAST({len(V2_NUMBERS)} AS BIGINT) AS numeric_columns, CAST(1 AS BIGINT) AS categorical_columns, count(*) FILTER (abs(correlation) > 0.7) AS strong_pairs FROM ({_pairs_sql(_V2_SOURCE, V2_NUMBERS)})""")
+def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, "lineitem", "l_quantity", *V2.split(", "), "l_discount", "l_returnflag")
+    return reports.panel_counts(profile.numeric_profile(typed), profile.categorical_profile(typed, profile.value_counts(typed)), relations.correlations(typed), typed.rows)
+
+
+@query(f"""SELECT "column", rank, name, value FROM ({_frequency_sql("part", ["p_type"])})""")
+def category_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir, "part", "p_name", "p_brand", "p_type")
+    counts = profile.value_counts(typed)
+    low = relations.low_cardinality(profile.categorical_profile(typed, counts))
+    return reports.category_cards(profile.frequencies(counts), low).select("column", "rank", "name", "value")
+
+
 @query("""SELECT * FROM (VALUES (0, 'event_id', 'numeric'), (1, 'ts', 'categorical'), (2, 'user_id', 'numeric'), (3, 'event_type', 'categorical'), (4, 'value', 'numeric'), (5, 'props', 'categorical')) t(ord, "column", type) WHERE (SELECT count(*) FROM events) > 0""")
 def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.column_types(_typed(spark, sf_dir, "events"))

@@ -28,11 +28,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(row) of each line whose cells don't match the header."""
+    """(row, cells) of each line whose cells don't match the header: the line itself and what was read from it."""
     header = spark.read.options(header=True, multiLine=True, escape='"').csv(path).schema
     schema = header.add(CORRUPT, "string")
     rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True).csv(path)
-    return rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("row"))
+    # Spark parses only the columns that are asked for, so they are part of the result
+    cells = F.struct(*(F.col(f"`{c}`") for c in header.fieldNames() if c != CORRUPT))
+    return rows.select(F.col(CORRUPT).alias("row"), cells.alias("cells")).where(F.col("row").isNotNull())
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -145,6 +145,17 @@ def test_ragged_and_quoted(spark, tmp_path):
     assert rows == [("1", None), ("2", "3"), ("x\ny", "5")]
 
 
+def test_malformed_rows(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
+    assert sorted(r["row"] for r in files.malformed_rows(spark, str(tmp_path / "m.csv")).collect()) == ["3", "4,5,6"]
+
+
+def test_prefix_targets(spark):
+    groups = spark.createDataFrame([("k", "Price", "a", 1.0), ("k", "PriceOld", "a", 2.0)], "cat_col string, num_col string, category string, mean double")
+    assert (reports.of_target(groups, "Price").count(), reports.of_target(groups, "Price", prefix=True).count()) == (1, 2)
+    assert reports.choose_target(["a", "Salary", "UnitPrice"]) == "UnitPrice" and reports.choose_target(["a"]) is None
+
+
 def test_nan_is_present_but_no_number(spark):
     typed = columns.classify(spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "v double"))
     row = profile.numeric_profile(typed).first()

@@ -177,6 +177,7 @@ def _prefixes(percent: int):
     """Of each node: its shared shingles, those of its prefix, and how many fall into each slice of the hash space."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("prefix", pa.list_(pa.int64())), ("slices", pa.binary()), ("hashes", pa.binary())])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -204,6 +205,7 @@ def possible(n1: Column, m1: Column, n2: Column, m2: Column, percent: int) -> Co
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold, by their whole sets."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yes = []

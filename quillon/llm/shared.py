@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,8 +22,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: where the session has Spark's default number of rows in an Arrow batch, this lowers it, so that batches stay a few MB."""
+    if spark.conf.get(ROWS) == "10000":
+        spark.conf.set(ROWS, "1000")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
+    small_batches(spark)
     return f"{shared_root(spark)}/quillon-{uuid.uuid4().hex}/{name}"
 
 

@@ -7,7 +7,7 @@ taken as a difference of running sums, so the cost is a few array passes whateve
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 from functools import lru_cache, wraps
 
@@ -22,11 +22,18 @@ BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = bytes([0x20, 9, 10, 11, 12, 13])
 
 
-def releasing(run):
-    """The same function of batches, which gives memory that it has freed back to the system when its task ends: Python workers live on."""
+#: What Python workers keep from task to task: how to drop it, by the operator that keeps it. Workers serve all operators.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def releasing(run, keeps: str = ""):
+    """The same function of batches for a task that drops what other operators keep, and gives memory that it has freed back to the system."""
 
     @wraps(run)
     def task(batches):
+        for name, drop in KEPT.items():
+            if name != keeps:
+                drop()
         try:
             yield from run(batches)
         finally:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillon.llm.shared import small_batches
 from quillon.llm.textkernel import BLOCK, releasing, slices
 
 MARK = "▁"
@@ -77,6 +78,7 @@ class Counter:
 
 def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scores)
 
     @releasing

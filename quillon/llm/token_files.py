@@ -10,6 +10,8 @@ hashes; a null doc_id comes first. Empty input writes no rows. Other columns are
 
 from __future__ import annotations
 
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,19 +22,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import maybe_broadcast, partitions, scratch, table
-from quillon.llm.textkernel import BLOCK, slices
+from quillon.llm.textkernel import BLOCK, KEPT, releasing, slices
 
 PIECE = 1 << 16
-#: Rows of a row-index stride; words whose ids a Python worker remembers, and words encoded at once.
-STRIDE, REMEMBERED, AT_ONCE = 1000, 600_000, 20_000
+#: Rows of a row-index stride; words that a Python worker remembers, and words encoded at once.
+STRIDE, REMEMBERED, AT_ONCE = 1000, 300_000, 20_000
 #: Documents of several pieces up to which their table is broadcast; a larger one is joined by shuffling.
 BROADCAST_LONG = 1_000_000
+#: Characters of a short word.
+SHORT = 6
+PACK = [struct.Struct(f"<{n}I") for n in range(32)]
+#: Letters below this code point are letters to every version of Unicode.
+LATIN_END = "\u0250"
+#: Byte-level BPE's names of bytes: printable Latin-1 characters stand for themselves, the others for 256 and up, in order.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     A single blank between visible characters begins a pre-token, so the ids of a text are those of its words (each with
-    the blank before it), one after the other. Distinct words are encoded by the library, many in one call; their ids are
-    told apart by the tokens that begin with a blank. Texts with other blanks are encoded whole.
+    the blank before it), one after the other. A word of letters is a pre-token, and punctuation after it another one, so
+    the library's BPE model is asked for the letters alone; other words are encoded by the whole tokenizer, many in one call, and their
+    ids told apart by the tokens that begin with a blank. Texts with other blanks are encoded whole.
+    Short words are remembered, others from the second batch that has them: most of these never come again.
     """
 
     def __init__(self, path: str):
@@ -42,31 +55,52 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.once: set[str] = set()
+        self.tails: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), AT_ONCE):
-            some = words[at : at + AT_ONCE]
+    def _tail(self, text: str) -> bytes:
+        if text not in self.tails:
+            if len(self.tails) > AT_ONCE:
+                self.tails = {}
+            self.tails[text] = self._ids(text).tobytes()
+        return self.tails[text]
+
+    def _learn(self, words: set[str]) -> None:
+        known, others = self.known, []
+        stems: dict[str, bytes] = {}
+        for word in words:
+            stem = word.rstrip(string.punctuation)
+            if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
+                raw = known.get(stem) or stems.get(stem)
+                if raw is None:
+                    letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_LETTERS)
+                    ids = [t.id for t in self.model.tokenize("Ġ" + letters)]
+                    raw = stems[stem] = PACK[len(ids)].pack(*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+                known[word] = raw + self._tail(word[len(stem) :]) if len(stem) < len(word) else raw
+            elif not word or word[0].isspace() or word[-1].isspace():
+                known[word] = None  # not a word whose blank surely begins a pre-token
+            else:
+                others.append(word)
+        for at in range(0, len(others), AT_ONCE):
+            some = others[at : at + AT_ONCE]
             ids = self._ids(" " + " ".join(some))
             cut = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
             if len(cut) != len(some) + 1:
                 raise ValueError("the tokenizer doesn't begin pre-tokens at blanks")
             raw = ids.tobytes()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
+            known.update(zip(some, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known = {}
-            new = set().union(*split)
-        # a word that is empty or has white space at an end isn't one whose blank surely begins a pre-token
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        self.known.update(dict.fromkeys(odd))
-        self._learn(list(new - odd))
+        new = set().union(*split).difference(self.known)
+        self._learn(new)
         known, out = self.known.__getitem__, []
         firsts = self.tokenizer.encode_batch_fast([words[0] for words in split], add_special_tokens=False)
         for text, words, first in zip(texts, split, firsts, strict=True):
@@ -77,6 +111,12 @@ class Encoder:
                 except TypeError:  # an odd word
                     pass
             out.append(self._ids(text).tobytes())
+        for word in new.difference(self.once):
+            if len(word) > SHORT:
+                del self.known[word]
+        if len(self.once) > REMEMBERED:
+            self.once = set()
+        self.once |= new
         return out
 
 
@@ -86,8 +126,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+KEPT["token_files"] = encoder.cache_clear
+
+
 def _encode(path: str, end: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("offset", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,14 +141,14 @@ def _encode(path: str, end: int):
                 for doc_id, raw in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
                     got = np.frombuffer(raw + tail, "<i4")
                     for k in range(0, len(got), PIECE):
-                        rows.append((doc_id, number, k // PIECE, offset, got[k : k + PIECE]))
+                        rows.append((doc_id, number, k // PIECE, offset, len(got[k : k + PIECE]), got[k : k + PIECE]))
                         offset += len(got[k : k + PIECE])
                     number += 1
-                cuts = np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([r[4] for r in rows]), pa.int32()))
-                yield pa.record_batch([*(pa.array([r[i] for r in rows], schema.types[i]) for i in range(4)), lists], schema=schema)
+                cuts = np.cumsum([0, *(r[4] for r in rows)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([r[5] for r in rows]), pa.int32()))
+                yield pa.record_batch([*(pa.array([r[i] for r in rows], schema.types[i]) for i in range(5)), lists], schema=schema)
 
-    return run
+    return releasing(run, keeps="token_files")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
@@ -113,14 +156,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> No
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = docs.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = ordered.mapInArrow(_encode(tokenizer, end), "doc_id bigint, row bigint, piece int, offset bigint, ids array<int>")
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "compression": "zstd"}
+    rows = ordered.mapInArrow(_encode(tokenizer, end), "doc_id bigint, row bigint, piece int, offset bigint, n int, ids array<int>")
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "compression": "snappy"}
     rows.write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """(doc_id, piece, ids, offset, row, file) of the files at path; doc_ids are looked up by row index and Bloom filter."""
-    rows = spark.read.schema("doc_id bigint, row bigint, piece int, offset bigint, ids array<int>").orc(path)
+    rows = spark.read.schema("doc_id bigint, row bigint, piece int, offset bigint, n int, ids array<int>").orc(path)
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
     return rows.withColumn("file", F.col("_metadata.file_name"))
@@ -128,8 +171,10 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crc = [zlib.crc32(np.asarray(x.values, dtype="<u4")) for x in batch.column("ids")]
-        yield pa.record_batch([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "ids"), pa.array(crc, pa.int64()), pa.array([len(x) for x in batch.column("ids")], pa.int64())], names=[*(n for n in batch.schema.names if n != "ids"), "crc", "n"])
+        column = batch.column("ids")
+        raw, cut = np.asarray(column.values, dtype="<u4").tobytes(), (np.asarray(column.offsets) * 4).tolist()
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.record_batch([*batch.drop_columns(["ids"]).columns, pa.array(crc, pa.int64())], names=["doc_id", "file", "offset", "n_tokens", "ids_crc32"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +192,17 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def documents_read_back(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
     rows = read_tokens(spark, path)
-    ends = rows.groupBy("file").agg(F.min("doc_id").alias("first"), F.max(F.struct("offset", F.size("ids").alias("n"))).alias("last"))
+    ends = rows.groupBy("file").agg(F.max(F.struct("offset", "n")).alias("last"))
     ends = table(ends.select("file", (F.col("last.offset") + F.col("last.n")).alias("total")), "file_totals")
-    # files are named by the number of their range, so their names are in order of ids
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # files are named by the number of their range, so they are in order of ids
+    before = Window.orderBy(F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = ends.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
     long_ = table(rows.where("piece > 0").select("file", "row").distinct(), "long")
     few = maybe_broadcast(long_, BROADCAST_LONG)
-    single = rows.join(few, ["file", "row"], "left_anti").select("doc_id", "file", "offset", "ids")
-    single = single.mapInArrow(_crc, "doc_id bigint, file string, offset bigint, crc bigint, n bigint").select("doc_id", "file", "offset", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    several = rows.join(few, ["file", "row"], "left_semi").groupBy("file", "row", "doc_id").agg(F.min("offset").alias("offset"), F.sum(F.size("ids")).alias("n_tokens"), F.collect_list(F.struct("piece", "ids")).alias("parts"))
+    single = rows.join(few, ["file", "row"], "left_anti").select("doc_id", "file", "offset", "n", "ids")
+    single = single.mapInArrow(_crc, "doc_id bigint, file string, offset bigint, n_tokens int, ids_crc32 bigint").withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
+    several = rows.join(few, ["file", "row"], "left_semi").groupBy("file", "row", "doc_id").agg(F.min("offset").alias("offset"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("piece", "ids")).alias("parts"))
     several = several.select("doc_id", "file", "offset", "n_tokens", "parts").mapInArrow(_whole, "doc_id bigint, file string, offset bigint, n_tokens bigint, ids_crc32 bigint")
     both = single.unionByName(several)
     return both.join(F.broadcast(bases), "file").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

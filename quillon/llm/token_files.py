@@ -26,11 +26,11 @@ from quillon.llm.textkernel import BLOCK, KEPT, releasing, slices
 
 PIECE = 1 << 16
 #: Rows of a row-index stride; words that a Python worker remembers, and words encoded at once.
-STRIDE, REMEMBERED, AT_ONCE = 1000, 300_000, 20_000
+STRIDE, REMEMBERED, AT_ONCE = 1000, 500_000, 20_000
 #: Documents of several pieces up to which their table is broadcast; a larger one is joined by shuffling.
 BROADCAST_LONG = 1_000_000
 #: Characters of a short word.
-SHORT = 6
+SHORT = 8
 PACK = [struct.Struct(f"<{n}I") for n in range(32)]
 #: Letters below this code point are letters to every version of Unicode.
 LATIN_END = "\u0250"
@@ -45,7 +45,7 @@ class Encoder:
     the blank before it), one after the other. A word of letters is a pre-token, and punctuation after it another one, so
     the library's BPE model is asked for the letters alone; other words are encoded by the whole tokenizer, many in one call, and their
     ids told apart by the tokens that begin with a blank. Texts with other blanks are encoded whole.
-    Short words are remembered, others from the second batch that has them: most of these never come again.
+    Short words are remembered; most of the others never come again.
     """
 
     def __init__(self, path: str):
@@ -56,32 +56,32 @@ class Encoder:
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes | None] = {}
-        self.once: set[str] = set()
         self.tails: dict[str, bytes] = {}
         self.model = self.tokenizer.model
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _tail(self, text: str) -> bytes:
-        if text not in self.tails:
-            if len(self.tails) > AT_ONCE:
-                self.tails = {}
-            self.tails[text] = self._ids(text).tobytes()
-        return self.tails[text]
-
     def _learn(self, words: set[str]) -> None:
-        known, others = self.known, []
-        stems: dict[str, bytes] = {}
+        known, tails, others = self.known, self.tails, []
+        tokenize, punctuation = self.model.tokenize, string.punctuation
         for word in words:
-            stem = word.rstrip(string.punctuation)
+            stem = word.rstrip(punctuation)
             if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
-                raw = known.get(stem) or stems.get(stem)
+                raw = known.get(stem)
                 if raw is None:
                     letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_LETTERS)
-                    ids = [t.id for t in self.model.tokenize("Ġ" + letters)]
-                    raw = stems[stem] = PACK[len(ids)].pack(*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
-                known[word] = raw + self._tail(word[len(stem) :]) if len(stem) < len(word) else raw
+                    ids = [t.id for t in tokenize("Ġ" + letters)]
+                    raw = PACK[len(ids)].pack(*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+                if len(stem) < len(word):
+                    tail = word[len(stem) :]
+                    end = tails.get(tail)
+                    if end is None:
+                        if len(tails) > AT_ONCE:
+                            tails.clear()
+                        end = tails[tail] = self._ids(tail).tobytes()
+                    raw += end
+                known[word] = raw
             elif not word or word[0].isspace() or word[-1].isspace():
                 known[word] = None  # not a word whose blank surely begins a pre-token
             else:
@@ -111,12 +111,9 @@ class Encoder:
                 except TypeError:  # an odd word
                     pass
             out.append(self._ids(text).tobytes())
-        for word in new.difference(self.once):
+        for word in new:
             if len(word) > SHORT:
                 del self.known[word]
-        if len(self.once) > REMEMBERED:
-            self.once = set()
-        self.once |= new
         return out
 
 

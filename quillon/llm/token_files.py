@@ -133,7 +133,7 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, offset, number = encoder(path), 0, 0
         for batch in batches:
-            for part in slices(batch, "text", 2 * BLOCK):
+            for part in slices(batch, "text", 4 * BLOCK):
                 rows = []
                 for doc_id, raw in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
                     got = np.frombuffer(raw + tail, "<i4")

@@ -78,9 +78,9 @@ def plan(units: DataFrame, seed: str = "mix") -> DataFrame:
     earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("slot", F.coalesce(F.sum("slot_total").over(earlier), F.lit(0)).alias("earlier"))
     inside = Window.partitionBy("slot").orderBy("finish", "key", "epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    budget = units.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("budget"))
-    queued = epochs.withColumn("inside", F.sum("total").over(inside)).join(F.broadcast(slots), "slot").crossJoin(F.broadcast(budget))
-    taken = queued.where(F.col("earlier") + F.col("inside") <= F.col("budget"))
+    budget = units.agg(F.sum("total")).first()[0] or 0
+    queued = epochs.withColumn("inside", F.sum("total").over(inside)).join(F.broadcast(slots), "slot")  # at most (MAX_EPOCHS + 1) * SLOTS rows
+    taken = queued.where(F.col("earlier") + F.col("inside") <= budget)
     copies = taken.groupBy("doc_id", "source", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     same = F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.text_hash") == F.col("c.text_hash"))
     return run.alias("r").join(copies.alias("c"), same, "left").select("r.doc_id", "r.source", "r.text_hash", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"))

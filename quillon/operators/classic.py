@@ -15,14 +15,20 @@ def _records(typed: Typed, of) -> DataFrame:
     return wide.agg(F.array(*records).alias("records")).select(F.inline("records"))
 
 
+def _quartiles(x, *names: str) -> list:
+    """Interpolated quartiles: parts of one aggregate, so the values are gathered once."""
+    three = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return [three[i].alias(n) for i, n in enumerate(names)]
+
+
 def describe(typed: Typed) -> DataFrame:
     """count, mean, sample deviation, min, interpolated quartiles, max of each numeric column."""
-    return _records(typed, lambda x: [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *(F.percentile(x, F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))), F.max(x).alias("max")])
+    return _records(typed, lambda x: [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *_quartiles(x, "p25", "p50", "p75"), F.max(x).alias("max")])
 
 
 def boxplot(typed: Typed) -> DataFrame:
     """Interpolated quartiles and the fences at 1.5 times their distance."""
-    q = _records(typed, lambda x: [F.percentile(x, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = _records(typed, lambda x: _quartiles(x, "q1", "q2", "q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return q.select("*", (F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence"))
 

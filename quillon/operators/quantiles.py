@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIRECT = 5_000_000
+DIRECT = 200_000
 ACCURACY = 10_000
 #: Share by which brackets reach over the rank: several times the error of the approximation.
 MARGIN = 4 / ACCURACY

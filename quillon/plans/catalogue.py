@@ -347,9 +347,10 @@ def value_counts_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("pct", F.col("pct").cast("double"))
 
 
-@query(_union([f"""SELECT '{c}' AS "column", round(q1, 4) AS q1, round(q2, 4) AS q2, round(q3, 4) AS q3, round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 4) AS upper_fence FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3 FROM lineitem)""" for c in LINE_NUMBERS]))
+@query(_union([f"""SELECT '{c}' AS "column", round(q1, 4) AS q1, round(q2, 4) AS q2, round(q3, 4) AS q3, round(q1 - 1.5 * (q3 - q1), 2) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 2) AS upper_fence FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3 FROM lineitem)""" for c in LINE_NUMBERS]))
 def boxplot_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(classic.boxplot(_typed(spark, sf_dir, "lineitem", *LINE_NUMBERS)), 4, "q1", "q2", "q3", "lower_fence", "upper_fence")
+    boxes = _rounded(classic.boxplot(_typed(spark, sf_dir, "lineitem", *LINE_NUMBERS)), 4, "q1", "q2", "q3")
+    return _rounded(boxes, 2, "lower_fence", "upper_fence")
 
 
 @query("SELECT 'discount' AS \"column\", count(*) - count(nullif(l_discount, 0)) AS nulls FROM lineitem UNION ALL SELECT 'l_tax', count(*) - count(l_tax) FROM lineitem")

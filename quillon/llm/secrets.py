@@ -72,10 +72,14 @@ class Ledger:
         """Scans what is new. rows: (path, text); versions: (path, blob) of the same rows, already written."""
         seen = self.read().where(F.col("version") == VERSION).select("blob")
         new = table(versions.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti"), "unseen")
-        # of the rows, those that are another's copy or whose blob is known aren't scanned; they are usually few, or nearly all
-        spare = table(versions.join(new, ["blob", "path"], "left_anti").select(F.col("path").alias("spare")).distinct(), "spare")
-        kept = rows.join(maybe_broadcast(spare, BROADCAST_ROWS), F.col("path").eqNullSafe(F.col("spare")), "left_anti")
-        found = kept.select(blob(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_scan, f"blob string, findings {FINDINGS}")
+        # of the rows, those that are another's copy or whose blob is known aren't scanned; they are usually few, or nearly all.
+        # A path may have many blobs, and be null: rows are told apart by both.
+        same = [F.col("path").eqNullSafe(F.col("new_path")), F.col("blob") == F.col("new_blob")]
+        others = versions.join(new.select(F.col("blob").alias("new_blob"), F.col("path").alias("new_path")), same, "left_anti")
+        spare = table(others.select(F.col("blob").alias("spare_blob"), F.col("path").alias("spare")).distinct(), "spare")
+        here = rows.select("path", blob(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+        kept = here.join(maybe_broadcast(spare, BROADCAST_ROWS), F.col("path").eqNullSafe(F.col("spare")) & (F.col("blob") == F.col("spare_blob")), "left_anti")
+        found = kept.select("blob", "text").mapInArrow(_scan, f"blob string, findings {FINDINGS}")
         hits = found.where(F.size("findings") > 0).dropDuplicates(["blob"])
         new.select("blob").join(hits, "blob", "left").select("blob", F.lit(VERSION).alias("version"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")).write.mode("append").parquet(self.path)
 

@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, A-Z lower-cased. Every `SEED` words of a test item are a seed. A scan of all
-documents keeps the places where seeds occur. Seeds in many more documents than the rarer quarter of their item's are phrases of the
-language; the others, rare ones, join documents to items. (A leaked item's own seeds are all about as frequent, however often it leaked.) Around each place the passage is aligned with the item's words: edits, gaps and
-replaced words only lower the score, which is divided by that of a perfect copy.
+documents keeps the places where seeds occur. Every seed joins documents to items, however frequent it is: an edited copy that is
+itself copied often makes what is left of its item as frequent as a phrase of the language. Around each place the passage is aligned
+with the item's words, unless too few of them occur in it to reach the threshold: edits, gaps and replaced words only lower the score,
+which is divided by that of a perfect copy.
 
 Null and empty texts and items match nothing, as do items of fewer than `SEED` words. Rows with equal doc_id are one document,
 and the best of them counts; a null doc_id is left out of the result. Equal items are reported each. Empty input gives an empty result; other columns are ignored.
@@ -22,8 +23,6 @@ from quillon.llm.shared import maybe_broadcast, table
 from quillon.llm.textkernel import buffers, grams, releasing, slices, word_hashes
 
 SEED = 4
-#: A seed is rare up to that many times the documents of its item's lower quartile, and so many more.
-COMMON_TIMES, COMMON_MORE = 8, 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a perfect copy's score from which a passage counts as a copy.
 THRESHOLD = 0.5
@@ -31,7 +30,7 @@ THRESHOLD = 0.5
 SLACK = 8
 #: Seeds up to which they are sent to all tasks (8 bytes each); with more, documents' n-grams join them by shuffling.
 BROADCAST_SEEDS = 4_000_000
-#: Documents with candidates up to which their table is broadcast.
+#: Pairs of a document and an item (or a tenth of the documents to drop) up to which their table is broadcast.
 BROADCAST_DOCS = 100_000
 
 
@@ -87,6 +86,15 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def bound(item: list[int], present: set[int]) -> int:
+    """What no alignment with a passage of these words can exceed: an item's word that doesn't occur costs at least a mismatch or a gap."""
+    best = here = 0
+    for word in item:
+        here = max(here + (MATCH if word in present else max(MISMATCH, GAP)), 0)
+        best = max(best, here)
+    return best
+
+
 def _align_all(threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 
@@ -115,6 +123,8 @@ def _align_all(threshold: float):
                     for f in found:
                         item, best = np.array(f["words"], np.int64), (0, 0, 0)
                         for a, b in passages(f["starts"], len(item), len(words)):
+                            if bound(f["words"], set(words[a:b].tolist())) / (MATCH * len(item)) < threshold:
+                                continue
                             score, end = align(item, words[a:b])
                             best = max(best, (score, a, a + end))
                         share = best[0] / (MATCH * len(item))
@@ -138,14 +148,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     places = docs.mapInArrow(_places(known), "doc_id bigint, seed bigint, place bigint")
     places = table(places if known is not None else places.join(distinct, "seed"), "places")
 
-    spread = places.select("seed", "doc_id").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
-    occurring = seeds.join(spread, "seed")
-    typical = occurring.groupBy("item_id").agg((F.percentile("docs", F.lit(0.25)) * COMMON_TIMES + COMMON_MORE).alias("most"))
-    rare = occurring.join(typical, "item_id").where("docs <= most")
-    pairs = places.join(rare.select("seed", "item_id", "nth"), "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("place") - F.col("nth")).alias("starts"))
+    pairs = places.join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("place") - F.col("nth")).alias("starts"))
     found = pairs.join(items.where("item_id is not null").select("item_id", "words"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "starts", "words")).alias("found"))
     found = table(found, "candidates")
-    whole = docs.join(maybe_broadcast(found, BROADCAST_DOCS), "doc_id")
+    few = (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_DOCS
+    whole = docs.join(F.broadcast(found) if few else found, "doc_id")
     aligned = whole.select("doc_id", "text", "found").mapInArrow(_align_all(threshold), "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
     best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "start_word", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")

@@ -471,6 +471,22 @@ def test_decontaminate_by_shuffling(spark, monkeypatch):
     assert [r["doc_id"] for r in local(decontaminate.contaminated(docs, bench))] == [3]
 
 
+def test_copies_of_an_edited_item_are_found(spark):
+    item = [f"w{i}" for i in range(15)]
+    middle, lone = ([f"edited{i}" if i in gone else w for i, w in enumerate(item)] for gone in ((7,), (3, 8, 12)))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    for edited, score in ((middle, 27 / 30), (lone, 21 / 30)):  # 8 seeds are left, or one
+        docs = spark.createDataFrame([(0, " ".join(item)), *((i, f"before {' '.join(edited)} after {i}") for i in range(1, 101)), (101, "w4 w5 w6 w7 alone")], "doc_id bigint, text string")
+        assert {r["doc_id"]: r["score"] for r in local(decontaminate.contaminated(docs, bench))} == {0: 1.0} | {i: score for i in range(1, 101)}
+
+
+def test_bound_of_alignments():
+    rng = random.Random(12)
+    for _ in range(300):
+        item, passage = ([rng.randrange(9) for _ in range(n)] for n in (12, 15))
+        assert decontaminate.align(np.array(item), np.array(passage))[0] <= decontaminate.bound(item, set(passage))
+
+
 # 10
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -1,8 +1,8 @@
 """Exact order statistics of columns of any length.
 
 A built-in percentile keeps every distinct value of a column in one task. That is right up to `DIRECT` rows; beyond it the
-rank is bracketed by approximate percentiles, whose rank error is a fixed share, until few enough values lie
-between the brackets to be sorted.
+rank is bracketed by approximate percentiles, whose rank error is a fixed share, until it falls on a bracket or few enough values lie
+between the brackets to be sorted. Rows below and at each bracket are counted, so ties and a bracket that misses only cost a round.
 """
 
 from __future__ import annotations
@@ -17,33 +17,43 @@ MARGIN = 4 / ACCURACY
 
 
 def ranked(df: DataFrame, wanted: dict[str, list[int]], few: int = 100_000) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks of columns, among their non-null values. Each round scans df once for all columns."""
-    lows: dict[tuple[str, int], float | None] = {(c, r): None for c, ranks in wanted.items() for r in ranks}
-    highs = dict(lows)
+    """Values at 0-based ranks of columns, among their non-null values. Each round scans df twice, once for all columns each time."""
+    todo = [(c, r) for c, ranks in wanted.items() for r in ranks]
     found: dict[tuple[str, int], float] = {}
-    while todo := [k for k in lows if k not in found]:
-        inside = {}
-        for c, r in todo:
-            low, high = lows[c, r], highs[c, r]
-            inside[c, r] = F.when(F.lit(True) if low is None else F.col(c).between(low, high), F.col(c))
-        counts = df.agg(*(f for i, (c, r) in enumerate(todo) for f in (F.count(inside[c, r]).alias(f"n{i}"), (F.lit(0) if lows[c, r] is None else F.count_if(F.col(c) < lows[c, r])).alias(f"below{i}")))).first()
-        small = [i for i, k in enumerate(todo) if counts[f"n{i}"] <= few or lows[k] is not None and lows[k] == highs[k]]
-        exact, rough = [], []
+    if not todo:
+        return found
+    total = df.agg(*(F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(wanted))).first()
+    # the rank lies strictly between two values (None: open); rows up to the lower one, rows between them
+    between: dict[tuple[str, int], tuple[float | None, float | None, int, int]] = {(c, r): (None, None, 0, total[f"n{i}"]) for i, (c, ranks) in enumerate(wanted.items()) for r in ranks}
+    while todo:
+        values = []
         for i, (c, r) in enumerate(todo):
-            at = r - counts[f"below{i}"]
-            if lows[c, r] is not None and lows[c, r] == highs[c, r]:
-                found[c, r] = lows[c, r]
-            elif i in small:
-                exact.append(F.element_at(F.array_sort(F.collect_list(inside[c, r])), at + 1).alias(f"v{i}"))
+            low, high, before, n = between[c, r]
+            x = F.col(c)
+            inside = F.when((F.lit(True) if low is None else x > low) & (F.lit(True) if high is None else x < high), x)
+            if n <= few:
+                values.append(F.element_at(F.array_sort(F.collect_list(inside)), r - before + 1).alias(f"v{i}"))
             else:
-                share = (at + 0.5) / counts[f"n{i}"]
-                rough.append(F.percentile_approx(inside[c, r], [max(0.0, share - MARGIN), min(1.0, share + MARGIN)], ACCURACY).alias(f"v{i}"))
-        if exact or rough:
-            got = df.agg(*exact, *rough).first().asDict()
-            for i, k in enumerate(todo):
-                if f"v{i}" in got:
-                    if isinstance(got[f"v{i}"], list):
-                        lows[k], highs[k] = got[f"v{i}"]
-                    else:
-                        found[k] = got[f"v{i}"]
+                share = (r - before + 0.5) / n
+                values.append(F.percentile_approx(inside, [max(0.0, share - MARGIN), min(1.0, share + MARGIN)], ACCURACY).alias(f"v{i}"))
+        got = df.agg(*values).first()
+        brackets = {i: got[f"v{i}"] for i, k in enumerate(todo) if isinstance(got[f"v{i}"], list)}
+        found |= {k: got[f"v{i}"] for i, k in enumerate(todo) if i not in brackets}
+        if brackets:
+            counts = df.agg(*(F.count_if(f).alias(f"{name}{i}") for i, (low, high) in brackets.items() for x in [F.col(todo[i][0])] for name, f in (("a", x < low), ("b", x <= low), ("c", x < high), ("d", x <= high)))).first()
+            for i, (low, high) in brackets.items():
+                k = todo[i]
+                below_low, to_low, below_high, to_high = (counts[f"{name}{i}"] for name in "abcd")
+                first, last, before, n = between[k]
+                if k[1] < below_low:
+                    between[k] = first, low, before, below_low - before
+                elif k[1] < to_low:
+                    found[k] = low
+                elif k[1] < below_high:
+                    between[k] = low, high, to_low, below_high - to_low
+                elif k[1] < to_high:
+                    found[k] = high
+                else:
+                    between[k] = high, last, to_high, before + n - to_high
+        todo = [k for k in todo if k not in found]
     return found

@@ -222,6 +222,27 @@ def test_long_columns_take_ranks(spark, monkeypatch):
     assert sorted(relations.group_summary(typed, ["k"]).select(*groups[0].__fields__).collect()) == groups
 
 
+@pytest.mark.parametrize("margin", [quantiles.MARGIN, 0])
+def test_ranks_at_the_boundary_of_ties(spark, monkeypatch, margin):
+    monkeypatch.setattr(quantiles, "MARGIN", margin)  # 0: brackets that may miss
+    rng = random.Random(6)
+    columns_ = [[i % 2 for i in range(4000)], [i % 50 + 1 for i in range(4000)], [float(i % 2) if i % 4 else rng.random() for i in range(4000)]]
+    df = spark.createDataFrame([tuple(map(float, v)) for v in zip(*columns_)], "x0 double, x1 double, x2 double").repartition(4)
+    ranks = [0, 1000, 1999, 2000, 3000, 3999]
+    found = quantiles.ranked(df, {f"x{i}": ranks for i in range(3)}, few=50)
+    for i, values in enumerate(columns_):
+        assert [found[f"x{i}", r] for r in ranks] == [sorted(values)[r] for r in ranks]
+
+
+def test_profile_of_long_even_flags(spark, monkeypatch):
+    typed = columns.classify(spark.createDataFrame([("ab"[i // 2 % 2], float(i % 2)) for i in range(4000)], "k string, v double"))
+    direct, groups = profile.numeric_profile(typed).collect(), sorted(relations.group_summary(typed, ["k"]).collect())
+    monkeypatch.setattr(quantiles, "DIRECT", 100)
+    monkeypatch.setattr(quantiles.ranked, "__defaults__", (50,))
+    assert profile.numeric_profile(typed).collect() == direct
+    assert sorted(relations.group_summary(typed, ["k"]).select(*groups[0].__fields__).collect()) == groups
+
+
 def test_partitions_dont_matter(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_type", "p_size", "p_retailprice")
     a, b = (columns.classify(d) for d in (df.coalesce(1), df.repartition(7)))

@@ -7,7 +7,7 @@ with the item's words, unless too few of them occur in it to reach the threshold
 which is divided by that of a perfect copy.
 
 Null and empty texts and items match nothing, as do items of fewer than `SEED` words. Rows with equal doc_id are one document,
-and the best of them counts; a null doc_id is left out of the result. Equal items are reported each. Empty input gives an empty result; other columns are ignored.
+and the best of them counts; a null doc_id is left out of the result, but `decontaminated` drops such rows too if they hold a copy. Equal items are reported each. Empty input gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,6 +159,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that hold a copy of an item."""
+    """docs without the documents that hold a copy of an item. Rows with a null doc_id are told apart by their texts."""
     bad = table(contaminated(docs, items, threshold).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
-    return docs.join(maybe_broadcast(bad, BROADCAST_DOCS * 10), docs["doc_id"] == F.col("__bad"), "left_anti")
+    left = docs.join(maybe_broadcast(bad, BROADCAST_DOCS * 10), docs["doc_id"] == F.col("__bad"), "left_anti")
+    unnamed = docs.where("doc_id is null")
+    if unnamed.isEmpty():
+        return left
+    digest = F.sha2("text", 256)
+    texts = unnamed.where("text is not null").groupBy(digest.alias("digest")).agg(F.first("text").alias("text"))
+    texts = table(texts.withColumn("doc_id", F.monotonically_increasing_id()), "unnamed")  # written, so that ids stay
+    copies = contaminated(texts, items, threshold).select("doc_id").distinct()
+    bad = table(texts.join(copies, "doc_id").select(F.col("digest").alias("__bad")), "bad_unnamed")
+    unnamed = unnamed.join(maybe_broadcast(bad, BROADCAST_DOCS * 10), digest == F.col("__bad"), "left_anti")
+    return left.where("doc_id is not null").unionByName(unnamed)

@@ -487,6 +487,15 @@ def test_bound_of_alignments():
         assert decontaminate.align(np.array(item), np.array(passage))[0] <= decontaminate.bound(item, set(passage))
 
 
+def test_rows_without_id_are_decontaminated(spark):
+    item, clean = prose(25), prose(40)
+    rows = [(None, "before " + item, 1), (None, "before " + item, 2), (None, clean, 3), (None, None, 4), (7, item, 5), (0, clean, 6), (1, clean, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __n int").repartition(3)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = decontaminate.decontaminated(docs, bench)
+    assert got.columns == docs.columns and sorted(r["__n"] for r in local(got)) == [3, 4, 6, 7]
+
+
 # 10
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -67,10 +67,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def _tables(letters_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased byte (A-Z only), and whether it separates words: ASCII white space, or all ASCII but letters and digits."""
+def _tables(letters_only: bool, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The byte (A-Z lower-cased if fold), and whether it separates words: ASCII white space, or all ASCII but letters and digits."""
     low = np.arange(256, dtype=np.uint8)
-    low[65:91] += 32
+    if fold:
+        low[65:91] += 32
     sep = np.zeros(256, dtype=bool)
     if letters_only:
         sep[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -90,9 +91,9 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _block_words(data: np.ndarray, cuts: np.ndarray, letters_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_words(data: np.ndarray, cuts: np.ndarray, letters_only: bool, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of the words of a block; cuts: where rows begin in it."""
-    low, sep = _tables(letters_only)
+    low, sep = _tables(letters_only, fold)
     data = low[data]
     n = len(data)
     word = ~sep[data]
@@ -111,7 +112,7 @@ def _block_words(data: np.ndarray, cuts: np.ndarray, letters_only: bool) -> tupl
     return start, end, _scramble((total[end] - total[start]) * down[start] + (end - start).astype(U))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = False, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of all words and, for each row, where its words begin in these arrays."""
     _, sep = _tables(letters_only)
     at, n, found = 0, len(data), []
@@ -125,7 +126,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = Fals
                 ahead = np.flatnonzero(sep[data[at:]])
                 to = min(at + int(ahead[0]) + 1 if len(ahead) else n, int(offsets[np.searchsorted(offsets, at, "right")]))
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at
-        start, end, value = _block_words(data[at:to], inner, letters_only)
+        start, end, value = _block_words(data[at:to], inner, letters_only, fold)
         found.append((value, start + at, end + at))
         at = to
     if not found:
@@ -134,6 +135,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = Fals
     return value, start, end, np.searchsorted(start, offsets)
 
 
+def ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (n[0] of them), at[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def grams(value: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n consecutive values (rows are not told apart)."""
     if len(value) < n:

@@ -10,8 +10,6 @@ hashes; a null doc_id comes first. Empty input writes no rows. Other columns are
 
 from __future__ import annotations
 
-import string
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,30 +20,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import maybe_broadcast, partitions, scratch, table
-from quillon.llm.textkernel import BLOCK, KEPT, releasing, slices
+from quillon.llm.textkernel import BLOCK, KEPT, buffers, ragged, releasing, slices, word_hashes
 
 PIECE = 1 << 16
-#: Rows of a row-index stride; words that a Python worker remembers, and words encoded at once.
-STRIDE, REMEMBERED, AT_ONCE = 1000, 500_000, 20_000
+#: Rows of a row-index stride; words that a Python worker remembers (about 40 bytes each); bytes of text in one file.
+STRIDE, REMEMBERED, FILE_BYTES = 1000, 3_000_000, 256 << 20
 #: Documents of several pieces up to which their table is broadcast; a larger one is joined by shuffling.
 BROADCAST_LONG = 1_000_000
-#: Characters of a short word.
-SHORT = 8
-PACK = [struct.Struct(f"<{n}I") for n in range(32)]
-#: Letters below this code point are letters to every version of Unicode.
-LATIN_END = "\u0250"
-#: Byte-level BPE's names of bytes: printable Latin-1 characters stand for themselves, the others for 256 and up, in order.
-BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+U = np.uint64
+#: Marks the hash of a word that has a blank before it.
+BLANK = U(0x5851F42D4C957F2D)
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+    """Ids of texts: the library's ids of their words, one after the other.
 
-    A single blank between visible characters begins a pre-token, so the ids of a text are those of its words (each with
-    the blank before it), one after the other. A word of letters is a pre-token, and punctuation after it another one, so
-    the library's BPE model is asked for the letters alone; other words are encoded by the whole tokenizer, many in one call, and their
-    ids told apart by the tokens that begin with a blank. Texts with other blanks are encoded whole.
-    Short words are remembered; most of the others never come again.
+    A unit is a run of anything but ASCII white space, with the blank before it, if there is one. Pre-tokens don't reach over units:
+    white space belongs to a pre-token of something else only as the one blank before it. The rest of a white space run is its own
+    pre-tokens: at a text's end one, elsewhere one for the last character, unless that is such a blank, and one for those before it.
+    So a word is encoded by the library once for each worker and found by its 64-bit hash from then on; texts aren't cut into
+    Python strings. Texts with a unit that begins or ends with other white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,68 +47,119 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
-        self.known: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
-        self.model = self.tokenizer.model
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: set[str]) -> None:
-        known, tails, others = self.known, self.tails, []
-        tokenize, punctuation = self.model.tokenize, string.punctuation
-        for word in words:
-            stem = word.rstrip(punctuation)
-            if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
-                raw = known.get(stem)
-                if raw is None:
-                    letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_LETTERS)
-                    ids = [t.id for t in tokenize("Ġ" + letters)]
-                    raw = PACK[len(ids)].pack(*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
-                if len(stem) < len(word):
-                    tail = word[len(stem) :]
-                    end = tails.get(tail)
-                    if end is None:
-                        if len(tails) > AT_ONCE:
-                            tails.clear()
-                        end = tails[tail] = self._ids(tail).tobytes()
-                    raw += end
-                known[word] = raw
-            elif not word or word[0].isspace() or word[-1].isspace():
-                known[word] = None  # not a word whose blank surely begins a pre-token
-            else:
-                others.append(word)
-        for at in range(0, len(others), AT_ONCE):
-            some = others[at : at + AT_ONCE]
-            ids = self._ids(" " + " ".join(some))
-            cut = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
-            if len(cut) != len(some) + 1:
-                raise ValueError("the tokenizer doesn't begin pre-tokens at blanks")
-            raw = ids.tobytes()
-            known.update(zip(some, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = set().union(*split).difference(self.known)
-        self._learn(new)
-        known, out = self.known.__getitem__, []
-        firsts = self.tokenizer.encode_batch_fast([words[0] for words in split], add_special_tokens=False)
-        for text, words, first in zip(texts, split, firsts, strict=True):
-            if words[0] and not words[0][-1].isspace():
-                try:
-                    out.append(np.array(first.ids, "<u4").tobytes() + b"".join(map(known, words[1:])))
-                    continue
-                except TypeError:  # an odd word
-                    pass
-            out.append(self._ids(text).tobytes())
-        for word in new:
-            if len(word) > SHORT:
-                del self.known[word]
-        return out
+        self.newline = self.ids("\n")
+        if len(self.newline) != 1:
+            raise ValueError("the tokenizer has no id for a line's end")
+        self.gaps: dict[tuple[bytes, bool], np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words: hashes in order, where their ids begin and how many they are (-1: not a unit), whether they came again."""
+        self.hash, self.at, self.n, self.again = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.flat = np.zeros(0, np.int32)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _gap(self, gap: bytes, one: bool) -> np.ndarray:
+        """Ids of white space that is one pre-token, or whose last character is another."""
+        got = self.gaps.get((gap, one))
+        if got is None:
+            if len(self.gaps) > 10_000:
+                self.gaps.clear()
+            text = gap.decode()
+            got = self.ids(text) if one or len(text) == 1 else np.concatenate([self.ids(text[:-1]), self.ids(text[-1])])
+            if len(gap) <= 100:
+                self.gaps[gap, one] = got
+        return got
+
+    def _learn(self, value: np.ndarray, units: list[str]) -> None:
+        """Adds words that are not known yet: all are encoded as one text of lines, which a line's end tells apart."""
+        odd = np.array([u[-1].isspace() or u.lstrip(" ")[0].isspace() for u in units])
+        fine = [u for u, o in zip(units, odd, strict=True) if not o]
+        got = self.ids("".join(f"{u}\n" for u in fine) + ".")[:-1]
+        ends = np.flatnonzero(got == self.newline[0])
+        if len(ends) != len(fine):
+            raise ValueError("the tokenizer doesn't keep lines apart")
+        n = np.full(len(units), -1, np.int32)
+        n[~odd] = np.diff(ends, prepend=-1) - 1
+        at = np.zeros(len(units), np.int64)
+        at[~odd] = np.r_[0, ends[:-1] + 1][: len(ends)] + len(self.flat)
+        self.flat = np.concatenate([self.flat, got])
+        every = np.concatenate([self.hash, value])
+        order = np.argsort(every, kind="stable")
+        self.hash = every[order]
+        self.at, self.n = np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        self.again = np.concatenate([self.again, np.zeros(len(value), bool)])[order]
+
+    def _forget(self) -> None:
+        """Keeps words that came again since the last time, up to half of the room."""
+        keep = np.flatnonzero(self.again)[: REMEMBERED // 2]
+        n = np.maximum(self.n[keep], 0)
+        self.flat = self.flat[ragged(self.at[keep], n)]
+        self.hash, self.at, self.n, self.again = self.hash[keep], np.cumsum(n) - n, self.n[keep], np.zeros(len(keep), bool)
+
+    def _find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the known words, whether it is known)."""
+        if not len(self.hash):
+            return np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+        at = np.minimum(np.searchsorted(self.hash, value), len(self.hash) - 1)
+        return at, self.hash[at] == value
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each one's begin in them, with their number at the end)."""
+        if len(self.hash) > REMEMBERED:
+            self._forget()
+        data, rows = buffers(texts)
+        value, start, end, begins = word_hashes(data, rows, fold=False)
+        # white space before each word, and after the last one of each text
+        row = np.repeat(np.arange(len(rows) - 1), np.diff(begins))
+        before = np.r_[0, end[:-1]][: len(end)]
+        first = begins[:-1][begins[:-1] < begins[1:]]
+        before[first] = rows[row[first]]
+        blank = (start > before) & (data[np.maximum(start, 1) - 1] == 0x20)
+        value = value ^ np.where(blank, BLANK, U(0))
+        tail = rows[:-1].copy()
+        filled = np.flatnonzero(begins[:-1] < begins[1:])
+        tail[filled] = end[begins[1:][filled] - 1]
+
+        distinct, inverse = np.unique(value, return_inverse=True)
+        place, known = self._find(distinct)
+        self.again[place[known]] = True
+        if not known.all():
+            some = np.zeros(len(distinct), np.int64)
+            some[inverse] = np.arange(len(value))  # one of its places
+            some = some[~known]
+            raw = data.tobytes()
+            self._learn(distinct[~known], [(" " if b else "") + raw[s:e].decode() for s, e, b in zip(start[some].tolist(), end[some].tolist(), blank[some].tolist(), strict=True)])
+            place, _ = self._find(distinct)
+        at, n = self.at[place][inverse], self.n[place][inverse]
+
+        # other white space comes between as units of its own
+        gaps = [(int(before[k]), int(start[k] - blank[k]), k, bool(blank[k])) for k in np.flatnonzero(start - blank > before).tolist()]
+        gaps += [(int(tail[r]), int(rows[r + 1]), int(begins[r + 1]), True) for r in np.flatnonzero(tail < rows[1:]).tolist()]
+        source = self.flat
+        if gaps:
+            found = [self._gap(data[a:b].tobytes(), one) for a, b, _, one in gaps]
+            lengths = np.array([len(f) for f in found])
+            source = np.concatenate([source, *found])
+            where = np.array([k for _, _, k, _ in gaps])
+            of_row = np.searchsorted(rows, [a for a, *_ in gaps], "right") - 1
+            order = np.lexsort(([a for a, *_ in gaps], where))
+            at = np.insert(at, where[order], (len(self.flat) + np.cumsum(lengths) - lengths)[order])
+            n = np.insert(n, where[order], lengths[order])
+            begins = begins + np.r_[0, np.cumsum(np.bincount(of_row, minlength=len(rows) - 1))]
+        odd = np.add.reduceat(np.r_[n < 0, False], begins[:-1]) * (begins[:-1] < begins[1:]) > 0 if len(begins) > 1 else np.zeros(0, bool)
+        if odd.any():
+            n = np.where(np.repeat(odd, np.diff(begins)), 0, n)
+        total = np.r_[0, np.cumsum(n)][begins]
+        ids = source[ragged(at, n)]
+        if odd.any():
+            parts = np.split(ids, total[1:-1])
+            for r in np.flatnonzero(odd).tolist():
+                parts[r] = self.ids(texts[r].as_py())
+            ids, total = np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
+        return ids, total
 
 
 @lru_cache(maxsize=1)
@@ -128,22 +173,22 @@ KEPT["token_files"] = encoder.cache_clear
 
 def _encode(path: str, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("offset", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, offset, number = encoder(path), 0, 0
         for batch in batches:
             for part in slices(batch, "text", 4 * BLOCK):
-                rows = []
-                for doc_id, raw in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
-                    got = np.frombuffer(raw + tail, "<i4")
-                    for k in range(0, len(got), PIECE):
-                        rows.append((doc_id, number, k // PIECE, offset, len(got[k : k + PIECE]), got[k : k + PIECE]))
-                        offset += len(got[k : k + PIECE])
-                    number += 1
-                cuts = np.cumsum([0, *(r[4] for r in rows)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([r[5] for r in rows]), pa.int32()))
-                yield pa.record_batch([*(pa.array([r[i] for r in rows], schema.types[i]) for i in range(5)), lists], schema=schema)
+                ids, begins = coder.encode(part.column("text"))
+                ids = np.insert(ids, begins[1:], end)  # the end id after each document
+                begins = begins + np.arange(len(begins))
+                pieces = np.maximum(1, -(-np.diff(begins) // PIECE))
+                row = np.repeat(np.arange(len(pieces)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                cuts = np.r_[begins[row] + piece * PIECE, begins[-1]]
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+                columns = (row + number, piece, cuts[:-1] + offset, np.diff(cuts))
+                yield pa.record_batch([part.column("doc_id").take(pa.array(row)), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:5], strict=True)), lists], schema=schema)
+                offset, number = offset + len(ids), number + len(pieces)
 
     return releasing(run, keeps="token_files")
 
@@ -152,7 +197,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> No
     """Writes the ids of docs (doc_id, text) as ORC files, in ascending doc_id order over files and rows."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    files = max(partitions(spark), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES)
+    ordered = docs.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = ordered.mapInArrow(_encode(tokenizer, end), "doc_id bigint, row bigint, piece int, offset bigint, n int, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "compression": "snappy"}
     rows.write.options(**options).orc(path)

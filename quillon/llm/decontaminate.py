@@ -1,73 +1,81 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, A-Z lower-cased. Every `SEED` words of a test item are a seed. A scan of all
-documents keeps the places where seeds occur. Every seed joins documents to items, however frequent it is: an edited copy that is
-itself copied often makes what is left of its item as frequent as a phrase of the language. Around each place the passage is aligned
-with the item's words, unless too few of them occur in it to reach the threshold: edits, gaps and replaced words only lower the score,
-which is divided by that of a perfect copy.
+Words are runs of letters and digits, A-Z lower-cased. A copy of an item scores at least a threshold's share of a perfect copy in local
+alignment, so it has at least that share of the item's words, within a passage whose length follows from the threshold too. Seeds
+are the item's rarest words by a count over all documents, as many as it takes for every copy to hold several of them. A place where that many
+seeds of an item come together is a candidate, and the passage around it is aligned with the item. So no copy that
+reaches the threshold is missed, whichever words were edited: seeds of several words in a row would miss copies with an edit in each of them.
 
-Null and empty texts and items match nothing, as do items of fewer than `SEED` words. Rows with equal doc_id are one document,
-and the best of them counts; a null doc_id is left out of the result, but `decontaminated` drops such rows too if they hold a copy. Equal items are reported each. Empty input gives an empty result; other columns are ignored.
+Documents are scanned twice, to count and to find; nothing is shuffled but counts and findings, so hot sources and groups of
+copies change nothing. Items are sent to all tasks in blocks of bounded size.
+
+Null and empty texts and items match nothing, as do items of fewer than `LEAST_WORDS` words, which are no evidence of a copy. Rows with
+equal doc_id are one document in the result of `contaminated`, and the best of them counts; a null doc_id is left out of it, a null item_id isn't.
+`decontaminated` looks at each row by itself, whatever its doc_id. Equal items are reported each. Empty input gives an
+empty result; other columns are ignored, and kept by `decontaminated`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import maybe_broadcast, table
-from quillon.llm.textkernel import buffers, grams, releasing, slices, word_hashes
+from quillon.llm.shared import table
+from quillon.llm.textkernel import buffers, ragged, releasing, slices, word_hashes
 
-SEED = 4
+LEAST_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a perfect copy's score from which a passage counts as a copy.
 THRESHOLD = 0.5
-#: Words by which a passage may reach over the item's own length on each side.
-SLACK = 8
-#: Seeds up to which they are sent to all tasks (8 bytes each); with more, documents' n-grams join them by shuffling.
-BROADCAST_SEEDS = 4_000_000
-#: Pairs of a document and an item (or a tenth of the documents to drop) up to which their table is broadcast.
-BROADCAST_DOCS = 100_000
+#: Bytes of items (8 for each word) that are sent to the tasks at once; more are taken in blocks, each with its own scans.
+ITEM_BYTES = 64 << 20
+#: Words of texts whose seeds are looked up at once.
+SEGMENT = 1 << 18
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64()))])
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         value, _, _, begins = word_hashes(*buffers(batch.column("text")), letters_only=True)
         parts = [value[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
-        yield pa.record_batch([batch.column("item_id").cast(pa.int64()), pa.array([p.view(np.int64) for p in parts], pa.list_(pa.int64())), pa.array([grams(p, SEED).view(np.int64) for p in parts], pa.list_(pa.int64()))], schema=schema)
-
-
-def _places(seeds: np.ndarray | None):
-    """Where seeds (all n-grams, if None) occur: (doc_id, seed, place in words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("seed", pa.int64()), ("place", pa.int64())])
-
-    @releasing
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
-                every = grams(value, SEED).view(np.int64)
-                if not len(every):
-                    continue
-                if seeds is None:
-                    at = np.arange(len(every))
-                elif len(seeds):
-                    near = np.searchsorted(seeds, every)
-                    at = np.flatnonzero(seeds[np.minimum(near, len(seeds) - 1)] == every)
-                else:
-                    at = np.zeros(0, np.int64)
-                row = np.searchsorted(begins, at, "right") - 1
-                inside = at + SEED <= begins[np.minimum(row + 1, len(begins) - 1)]
-                at, row = at[inside], row[inside]
-                if len(at):
-                    yield pa.record_batch([part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(every[at]), pa.array(at - begins[row])], schema=schema)
-
-    return run
+        yield pa.record_batch([batch.column("item_id").cast(pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["item_id", "n", "words"])
+
+
+@dataclass
+class Index:
+    """Items of one block, and which of them have which seeds."""
+
+    ids: list[int | None]
+    words: list[np.ndarray]
+    need: np.ndarray  # of each item: seeds that every copy holds
+    window: np.ndarray  # words over which a copy may reach
+    seeds: np.ndarray  # sorted
+    first: np.ndarray  # of each seed: where its items begin in owners, and their end
+    owners: np.ndarray
+    threshold: float
+
+
+def index(ids: list[int | None], words: list[np.ndarray], counts: dict[int, int], threshold: float) -> Index:
+    """counts: how often each word occurs in all documents."""
+    seeds, owners, need, window = [], [], [], []
+    for i, item in enumerate(words):
+        n = len(item)
+        least = max(1, int(np.ceil(n * threshold - 1e-9)))  # words that a copy has at least: each earns MATCH at most
+        c = max(1, least // 2)
+        rarest = sorted(range(n), key=lambda k: (counts.get(int(item[k]), 0), int(item[k]), k))[: n - least + c]
+        need.append(c)
+        window.append(n + int(MATCH * n * (1 - threshold) / -GAP))  # the words put in cost as much as it may lose
+        mine = sorted({int(item[k]) for k in rarest})
+        seeds += mine
+        owners += [i] * len(mine)
+    seed, owner = np.array(seeds, np.uint64), np.array(owners, np.int32)
+    order = np.argsort(seed, kind="stable")
+    distinct, first = np.unique(seed[order], return_index=True)
+    return Index(ids, words, np.array(need, np.int64), np.array(window, np.int64), distinct, np.r_[first, len(seed)], owner[order], threshold)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -86,89 +94,133 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def bound(item: list[int], present: set[int]) -> int:
-    """What no alignment with a passage of these words can exceed: an item's word that doesn't occur costs at least a mismatch or a gap."""
+def bound(item: np.ndarray, passage: np.ndarray) -> int:
+    """What no alignment with a passage can exceed: an item's word that doesn't occur in it costs at least a mismatch or a gap."""
     best = here = 0
-    for word in item:
-        here = max(here + (MATCH if word in present else max(MISMATCH, GAP)), 0)
+    for there in np.isin(item, passage).tolist():
+        here = max(here + (MATCH if there else max(MISMATCH, GAP)), 0)
         best = max(best, here)
     return best
 
 
-def _align_all(threshold: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
-
-    def passages(starts: list[int], length: int, n: int) -> Iterator[tuple[int, int]]:
-        """Where the item may lie, overlapping places merged."""
-        low = high = None
-        for s in sorted(starts):
-            a, b = max(0, s - SLACK), min(n, s + length + SLACK)
-            if high is not None and a <= high:
-                high = max(high, b)
+def candidates(value: np.ndarray, begins: np.ndarray, items: Index) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Passages (from, to) in which items may have a copy, by (row, item). value: the words of all rows; begins: where rows begin."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    if not len(items.seeds) or not len(value):
+        return found
+    reach = int(items.window.max())
+    for a in range(0, len(value), SEGMENT):
+        part = value[a : a + SEGMENT + reach]
+        at = np.minimum(np.searchsorted(items.seeds, part), len(items.seeds) - 1)
+        hit = np.flatnonzero(items.seeds[at] == part)
+        first = items.first[at[hit]]
+        n = items.first[at[hit] + 1] - first
+        owner, place = items.owners[ragged(first, n)], np.repeat(hit + a, n)
+        row = np.searchsorted(begins, place, "right") - 1
+        order = np.argsort(owner, kind="stable")  # places stay in order
+        owner, place, row = owner[order], place[order], row[order]
+        last = np.arange(len(owner)) + items.need[owner] - 1
+        some = np.flatnonzero(last < len(owner))
+        last = last[some]
+        near = (owner[some] == owner[last]) & (row[some] == row[last]) & (place[last] - place[some] < items.window[owner[some]])
+        for r, i, low, high in zip(row[some][near].tolist(), owner[some][near].tolist(), place[some][near].tolist(), place[last][near].tolist(), strict=True):
+            w = int(items.window[i])
+            low, high = max(int(begins[r]), high - w + 1), min(int(begins[r + 1]), low + w)
+            mine = found.setdefault((r, i), [])
+            if mine and low <= mine[-1][1]:
+                mine[-1] = min(mine[-1][0], low), max(mine[-1][1], high)
             else:
-                if high is not None:
-                    yield low, high
-                low, high = a, b
-        if high is not None:
-            yield low, high
-
+                mine.append((low, high))
+    return found
+
+
+def copies(texts: pa.Array, items: Index) -> Iterator[tuple[int, int, float, int, int]]:
+    """(row, item, score, first word, end) of the best copy of each item in each row."""
+    value, _, _, begins = word_hashes(*buffers(texts), letters_only=True)
+    for (row, i), passages in candidates(value, begins, items).items():
+        item, best = items.words[i], (0, 0, 0)
+        perfect = MATCH * len(item)
+        for a, b in passages:
+            if bound(item, value[a:b]) >= items.threshold * perfect:
+                score, end = align(item, value[a:b])
+                best = max(best, (score, a, a + end))
+        if best[0] >= items.threshold * perfect:
+            _, length = align(item[::-1], value[best[1] : best[2]][::-1])
+            yield row, i, best[0] / perfect, best[2] - length - int(begins[row]), best[2] - int(begins[row])
+
+
+def _count(shared):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        total = np.zeros(len(words), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
-                out = []
-                for k, (doc_id, found) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("found").to_pylist(), strict=True)):
-                    words = value[begins[k] : begins[k + 1]].view(np.int64)
-                    for f in found:
-                        item, best = np.array(f["words"], np.int64), (0, 0, 0)
-                        for a, b in passages(f["starts"], len(item), len(words)):
-                            if bound(f["words"], set(words[a:b].tolist())) / (MATCH * len(item)) < threshold:
-                                continue
-                            score, end = align(item, words[a:b])
-                            best = max(best, (score, a, a + end))
-                        share = best[0] / (MATCH * len(item))
-                        if share >= threshold:
-                            back, length = align(item[::-1], words[best[1] : best[2]][::-1])
-                            out.append((doc_id, f["item_id"], share, best[2] - length, best[2]))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+                value, *_ = word_hashes(*buffers(part.column("text")), letters_only=True)
+                at = np.minimum(np.searchsorted(words, value), len(words) - 1)
+                total += np.bincount(at[words[at] == value], minlength=len(words))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(words[some].view(np.int64)), pa.array(total[some])], names=["word", "n"])
 
     return run
 
 
+def _indexes(docs: DataFrame, items: DataFrame, threshold: float) -> Iterator[Index]:
+    """The items of one block after the other. docs: (text)."""
+    spark = docs.sparkSession
+    words = table(items.select("item_id", "text").mapInArrow(_item_words, "item_id bigint, n bigint, words binary").where(F.col("n") >= LEAST_WORDS), "items")
+    blocks = -(-8 * (words.agg(F.sum("n")).first()[0] or 0) // ITEM_BYTES)
+    for b in range(blocks):
+        rows = words.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b).select("item_id", "words").toArrow()
+        ids, sequences = rows.column("item_id").to_pylist(), [np.frombuffer(w, np.uint64) for w in rows.column("words").to_pylist()]
+        if ids:
+            distinct = spark.sparkContext.broadcast(np.unique(np.concatenate(sequences)))
+            counts = docs.select("text").mapInArrow(_count(distinct), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+            every = dict(zip(counts.column("word").to_numpy().view(np.uint64).tolist(), counts.column("n").to_pylist(), strict=True))
+            yield index(ids, sequences, every, threshold)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) of every document that holds a copy of an item; one row per pair."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    items = table(items.select("item_id", "text").mapInArrow(_item_seeds, "item_id bigint, words array<bigint>, seeds array<bigint>"), "items")
-    seeds = table(items.select("item_id", F.posexplode("seeds").alias("nth", "seed")), "seeds")
-    distinct = seeds.select("seed").distinct()
-    known = None
-    if distinct.count() <= BROADCAST_SEEDS:
-        known = np.sort(np.array([r[0] for r in distinct.collect()], np.int64))
-    places = docs.mapInArrow(_places(known), "doc_id bigint, seed bigint, place bigint")
-    places = table(places if known is not None else places.join(distinct, "seed"), "places")
-
-    pairs = places.join(seeds, "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("place") - F.col("nth")).alias("starts"))
-    found = pairs.join(items.where("item_id is not null").select("item_id", "words"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "starts", "words")).alias("found"))
-    found = table(found, "candidates")
-    few = (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_DOCS
-    whole = docs.join(F.broadcast(found) if few else found, "doc_id")
-    aligned = whole.select("doc_id", "text", "found").mapInArrow(_align_all(threshold), "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
-    best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "start_word", "end_word")).alias("b"))
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
+    names = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"
+
+    def finder(shared):
+        @releasing
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    doc_ids = part.column("doc_id")
+                    out = [(doc_ids[r].as_py(), block.ids[i], *where) for r, i, *where in copies(part.column("text"), block)]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+
+        return run
+
+    found = spark.createDataFrame([], names)
+    for block in _indexes(docs, items, threshold):
+        found = found.union(docs.mapInArrow(finder(spark.sparkContext.broadcast(block)), names))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "start_word", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that hold a copy of an item. Rows with a null doc_id are told apart by their texts."""
-    bad = table(contaminated(docs, items, threshold).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
-    left = docs.join(maybe_broadcast(bad, BROADCAST_DOCS * 10), docs["doc_id"] == F.col("__bad"), "left_anti")
-    unnamed = docs.where("doc_id is null")
-    if unnamed.isEmpty():
-        return left
-    digest = F.sha2("text", 256)
-    texts = unnamed.where("text is not null").groupBy(digest.alias("digest")).agg(F.first("text").alias("text"))
-    texts = table(texts.withColumn("doc_id", F.monotonically_increasing_id()), "unnamed")  # written, so that ids stay
-    copies = contaminated(texts, items, threshold).select("doc_id").distinct()
-    bad = table(texts.join(copies, "doc_id").select(F.col("digest").alias("__bad")), "bad_unnamed")
-    unnamed = unnamed.join(maybe_broadcast(bad, BROADCAST_DOCS * 10), digest == F.col("__bad"), "left_anti")
-    return left.where("doc_id is not null").unionByName(unnamed)
+    """The rows of docs that hold no copy of an item."""
+
+    def keeper(shared):
+        @releasing
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[r for r, *_ in copies(part.column("text"), shared.value)]] = False
+                    yield part.filter(pa.array(keep))
+
+        return run
+
+    left = docs
+    for block in _indexes(docs, items, threshold):
+        left = left.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return left

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quillon.llm.shared import maybe_broadcast, partitions, table
+from quillon.llm.shared import free, maybe_broadcast, partitions, table
 from quillon.llm.textkernel import releasing
 
 #: Digests up to which a table of them is broadcast; a larger one is joined by shuffling.
@@ -50,21 +51,15 @@ def named(text: str | None, apart: dict[str, list[str]]) -> str:
     return f"{mark}.{n}" if n else mark
 
 
-def _digests(text: str):
+def _digests(text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [digest(t) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], names=[*batch.schema.names, "__digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], names=names)
 
     return run
 
 
-def _schema(df: DataFrame, extra: str) -> str:
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    return StructType([*df.schema.fields, StructField(extra, StringType())])
-
-
 def _canonical_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         form = [canonical(t) for t in batch.column(0).to_pylist()]
@@ -86,14 +81,18 @@ def clashes(texts: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint of each row's text."""
-    with_digest = df.mapInArrow(_digests(text), _schema(df, "__digest"))
-    apart = table(clashes(df.select(F.col(text).alias("text")), with_digest.select(F.col("__digest").alias("digest"))), "clashes")
+    """Adds the fingerprint of each row's text; a column of that name is replaced, unless it is the text itself."""
+    if out == text:
+        raise ValueError("the fingerprint can't replace its text")
+    df = df.drop(out)
+    mark, form, nth = (free(df, n) for n in ("_digest", "_form", "_ordinal"))
+    with_digest = df.mapInArrow(_digests(text, [*df.columns, mark]), StructType([*df.schema.fields, StructField(mark, StringType())]))
+    apart = table(clashes(df.select(F.col(text).alias("text")), with_digest.select(F.col(mark).alias("digest"))), "clashes")
     if apart.isEmpty():
-        return with_digest.withColumnRenamed("__digest", out)
-    form = F.pandas_udf(lambda s: s.map(canonical), "string")(F.col(text))
-    named = with_digest.withColumn("__form", form).join(apart.withColumnRenamed("digest", "__digest").withColumnRenamed("canonical", "__form"), ["__digest", "__form"], "left")
-    return named.withColumn(out, F.concat("__digest", F.when(F.col("ordinal") > 0, F.concat(F.lit("."), F.col("ordinal"))).otherwise(""))).select(*df.columns, out)
+        return with_digest.withColumnRenamed(mark, out)
+    apart = apart.select(F.col("digest").alias(mark), F.col("canonical").alias(form), F.col("ordinal").alias(nth))
+    named = with_digest.withColumn(form, F.pandas_udf(lambda s: s.map(canonical), "string")(F.coalesce(F.col(text), F.lit("")))).join(apart, [mark, form], "left")
+    return named.select(*df.columns, F.concat(mark, F.when(F.col(nth) > 0, F.concat(F.lit("."), F.col(nth))).otherwise("")).alias(out))
 
 
 def edited_against_next(docs: DataFrame) -> DataFrame:

@@ -7,18 +7,26 @@ from quillon.llm import pii, warc
 _TEXTS = "SELECT doc_id, coalesce(text, '') AS t FROM documents"
 
 
-def _spans(kinds: list[tuple[str, str, str]]) -> str:
-    """(doc_id, ord, kind, hit, start, stop) of all matches that pass their test; kinds: (name, pattern, test of hit)."""
+def _spans(kinds: list[tuple[str, ...]]) -> str:
+    """(doc_id, ord, kind, start, stop, near) of all matches that pass their test; kinds: (name, pattern, kept, skipped).
+
+    kept: characters of hit that are a span, after those skipped at its beginning; near: texts around the match, up to the next ones of its kind.
+    """
     parts = []
-    for i, (kind, pattern, test) in enumerate(kinds):
+    for i, (kind, pattern, kept, *skipped) in enumerate(kinds):
         p = pattern.replace("'", "''")
-        parts.append(f"""SELECT doc_id, {i} AS ord, '{kind}' AS kind, hit, stop - length(hit) AS start, stop FROM (
- SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
-  SELECT doc_id, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM (
-   SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM d) WHERE len(hits) > 0)) WHERE {test}""")
+        parts.append(f"""SELECT doc_id, {i} AS ord, '{kind}' AS kind, start, start + kept AS stop, near FROM (
+ SELECT doc_id, stop - length(hit) + {skipped[0] if skipped else 0} AS start, {kept} AS kept, right(gap, {pii.CONTEXT_CHARS}) || ' ' || left(after, {pii.CONTEXT_CHARS}) AS near FROM (
+  SELECT doc_id, hit, gap, after, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+   SELECT doc_id, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(gaps[2:len(hits) + 1]) AS after, generate_subscripts(hits, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM d) WHERE len(hits) > 0))) WHERE kept > 0""")
     return "\nUNION ALL ".join(parts)
 
 
+def _if(test: str) -> str:
+    return f"CASE WHEN {test} THEN length(hit) ELSE 0 END"
+
+
 def _digest(base: tuple[str, ...], more: str = "") -> str:
     base_list = ", ".join(f"'{k}'" for k in base)
     listed = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, ord)"
@@ -28,29 +36,34 @@ def _digest(base: tuple[str, ...], more: str = "") -> str:
 
 _DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum([CASE WHEN (length({_DIGITS}) - k) % 2 = 0 THEN CAST({_DIGITS}[k] AS INT) WHEN CAST({_DIGITS}[k] AS INT) > 4 THEN 2 * CAST({_DIGITS}[k] AS INT) - 9 ELSE 2 * CAST({_DIGITS}[k] AS INT) END FOR k IN range(1, length({_DIGITS}) + 1)]) % 10 = 0"
-_NUMBER = "array_to_string([CASE WHEN ascii(c) >= 65 THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END FOR c IN string_split(hit[5:] || hit[1:4], '')], '')"
 _STEP = "CAST(CAST({0} AS HUGEINT) % 97 AS VARCHAR)"
-_MOD97 = _STEP.format(f"({_STEP.format(f'({_STEP.format(f'{_NUMBER}[1:30]')} || {_NUMBER}[31:60])')} || {_NUMBER}[61:])") + " = '1'"
 
+
+def _mod97(code: str) -> str:
+    number = f"array_to_string([CASE WHEN ascii(c) >= 65 THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END FOR c IN string_split({code}[5:] || {code}[1:4], '')], '')"
+    return _STEP.format(f"({_STEP.format(f'({_STEP.format(f'{number}[1:30]')} || {number}[31:60])')} || {number}[61:])") + " = '1'"
+
+
+_SHORTER = "regexp_replace(hit, ' [A-Z0-9]+$', '')"
 _PII = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
-    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"regexp_matches(hit, '^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$')"),
-    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _MOD97),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "length(hit)"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", _if(r"regexp_matches(hit, '^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$')")),
+    ("card", r"[0-9]([\x20-]?[0-9])+", _if(f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}")),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _if(f"length({_DIGITS}) BETWEEN 9 AND 15")),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b", "CASE WHEN " + _mod97("replace(hit, ' ', '')") + f" THEN length(hit) WHEN {_SHORTER} <> hit AND " + _mod97(f"replace({_SHORTER}, ' ', '')") + f" THEN length({_SHORTER}) ELSE 0 END"),
 ]
-_SCORE = " ".join(f"WHEN '{r.kind}' THEN {r.base} + CASE WHEN regexp_matches(lower(d.t[greatest(s.start - {pii.CONTEXT_CHARS} + 1, 1):s.start]), '(?:^|[^a-z])(?:{r.context})') THEN {pii.CONTEXT_BONUS} ELSE 0 END" for r in pii.RULES)
+_SCORE = " ".join(f"WHEN '{r.kind}' THEN {r.base} + CASE WHEN regexp_matches(lower(s.near), '(?:^|[^a-z])(?:{r.context})') THEN {pii.CONTEXT_BONUS} ELSE 0 END" for r in pii.RULES)
 
-OP10 = f"WITH d AS ({_TEXTS}), s AS ({_spans(_PII)})\n" + _digest(pii.BASE, f", coalesce(max(CAST(CASE kind {_SCORE} END AS DOUBLE)), 0.0) AS max_score").replace("GROUP BY d.doc_id", "GROUP BY d.doc_id")
+OP10 = f"WITH d AS ({_TEXTS}), s AS ({_spans(_PII)})\n" + _digest(pii.BASE, f", coalesce(max(CAST(CASE kind {_SCORE} END AS DOUBLE)), 0.0) AS max_score")
 
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _SECRETS = [
-    ("assign", _ASSIGN, "length(regexp_extract(hit, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 6"),
-    ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20"),
-    ("hex", "[0-9a-f]+", "length(hit) >= 24"),
-    ("pem", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", "true"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
-    ("bearer", "[Bb]earer [A-Za-z0-9._~+/-]{20,}=*", "true"),
+    ("assign", _ASSIGN, _if("length(regexp_extract(hit, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 6")),
+    ("access", "AKIA[A-Z0-9]+", _if("length(hit) >= 20")),
+    ("hex", "[0-9a-f]+", _if("length(hit) >= 24")),
+    ("pem", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", "length(hit)"),
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "length(hit) - CASE WHEN starts_with(hit, 'eyJ') THEN 0 ELSE 1 END", "CASE WHEN starts_with(hit, 'eyJ') THEN 0 ELSE 1 END"),
+    ("bearer", "[Bb]earer [A-Za-z0-9._~+/-]{20,}=*", "length(hit)"),
 ]
 OP4 = f"WITH d AS ({_TEXTS}), s AS ({_spans(_SECRETS)})\n" + _digest(("assign", "access", "hex"))
 

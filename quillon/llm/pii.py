@@ -1,8 +1,11 @@
 """Personal data in texts: proposed by regular expressions, confirmed by checksums, scored by context.
 
-Everything is one projection of built-in functions: no Python on the executors and no shuffle, so a hot
-source or a group of copies changes nothing. A null or empty text has no spans. Other columns stay as
-they are; repeated rows are scored one by one. Offsets count code points, ends are exclusive.
+Everything is one projection of built-in functions: no Python on the executors and no shuffle, so a hot source or a group of
+copies changes nothing. The cost grows in proportion to the texts: patterns don't backtrack over what they have read, offsets are running
+sums of the lengths of matches and of the texts between them, taken in blocks, and context is looked for in those texts.
+
+A null or empty text has no spans. Other columns stay as they are, but one that has the name of the result is replaced;
+repeated rows are scored one by one. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import free
+
 SPAN = "array<struct<start:bigint,ord:int,stop:bigint,kind:string,score:double>>"
 
 
@@ -54,40 +59,78 @@ class Rule:
     pattern: str
     gate: str  # a plain string without which the pattern can't match; "" if there is none
     needs: str  # else a cheaper pattern without which it can't match
-    valid: Callable[[Column], Column]
+    confirmed: Callable[[Column], Column]  # how many characters of a match, from its beginning, are a span; 0 if none
     base: float
-    context: str  # words that, shortly before a span, raise its score
+    context: str  # words that, shortly before or after a match, raise its score
+
+
+def _if(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda hit: F.when(test(hit), F.length(hit)).otherwise(0)
+
+
+def _iban(hit: Column) -> Column:
+    """The whole match, or what is before its last blank: a word in capitals may follow the groups of four."""
+    shorter = F.regexp_replace(hit, r"\x20[A-Z0-9]+$", "")
+    code = lambda h: F.replace(h, F.lit(" "), F.lit(""))
+    return F.when(mod97(code(hit)), F.length(hit)).when((shorter != hit) & mod97(code(shorter)), F.length(shorter)).otherwise(0)
 
 
 # Possessive and anchored forms of the published patterns: the same leftmost matches without backtracking.
 RULES = (
-    Rule("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "", lambda h: F.lit(True), 0.8, "mail|contact|write|address"),
-    Rule("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "", r"[0-9]\.[0-9]", _octets, 0.6, "ip|host|server|address|login"),
-    Rule("card", r"[0-9](?:[\x20-]?[0-9])++", "", r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", lambda h: F.length(_digits(h)).between(12, 19) & luhn(_digits(h)), 0.7, "card|visa|pay|credit|account"),
-    Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", "", lambda h: F.length(_digits(h)).between(9, 15), 0.6, "phone|tel|call|mobile|fax"),
-    Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", "", r"[A-Z][0-9]{2}[A-Z0-9]{11}", lambda h: mod97(h), 0.9, "iban|bank|account|transfer"),
+    Rule("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "", F.length, 0.8, "mail|contact|write|address"),
+    Rule("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "", r"[0-9]\.[0-9]", _if(_octets), 0.6, "ip|host|server|address|login"),
+    Rule("card", r"[0-9](?:[\x20-]?[0-9])++", "", r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", _if(lambda h: F.length(_digits(h)).between(12, 19) & luhn(_digits(h))), 0.7, "card|visa|pay|credit|account"),
+    Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", "", _if(lambda h: F.length(_digits(h)).between(9, 15)), 0.6, "phone|tel|call|mobile|fax"),
+    Rule("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9_])", "", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", _iban, 0.9, "iban|bank|account|transfer"),
 )
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.15
+#: Matches whose offsets are added up at once.
+BLOCK = 256
+
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
 
-def _spans(text: Column, rule: Rule, ord_: int, hits: Column, gaps: Column) -> Column:
-    """Valid spans of one rule, from its matches and the texts between them: their running lengths are the offsets."""
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), h.alias("hit")))
 
-    def score(start: Column) -> Column:
-        before = F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)).cast("int"), F.least(start, F.lit(CONTEXT_CHARS)).cast("int"))
-        return F.when(F.lower(before).rlike(rf"(?:^|[^a-z])(?:{rule.context})"), F.lit(rule.base + CONTEXT_BONUS)).otherwise(F.lit(rule.base))
+def _placed(hits: Column, gaps: Column) -> Column:
+    """(start, hit, before, after) of matches, from the texts around them: running sums in blocks, so that no long array is copied for each match."""
+    n = F.size(hits)
+    left = F.zip_with(F.slice(gaps, F.lit(1), n), hits, lambda g, h: F.struct(g.alias("before"), h.alias("hit")))
+    both = F.zip_with(left, F.slice(gaps, F.lit(2), n), lambda x, g: F.struct(x["before"].alias("before"), x["hit"].alias("hit"), g.alias("after")))
+    row = "struct<start:bigint,hit:string,before:string,after:string>"
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(ord_).alias("ord"), stop.alias("stop"), F.lit(rule.kind).alias("kind"), score(start).alias("score"))
-        return F.struct(stop.alias("at"), F.when(rule.valid(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + F.length(x["before"])
+        one = F.struct(start.alias("start"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.struct((start + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def block(every: Column) -> Callable[[Column, Column], Column]:
+        def add(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(every, k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), F.array().cast(f"array<{row}>").alias("out")), step)
+            return _let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+        return add
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{row}>>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+    return _let(both, lambda every: F.aggregate(blocks, zero, block(every), lambda acc: F.flatten(acc["out"])))
+
+
+def _spans(rule: Rule, ord_: int, hits: Column, gaps: Column) -> Column:
+    """Confirmed spans of one rule. Context is what lies between matches of the rule, up to CONTEXT_CHARS of it on each side."""
+
+    def score(x: Column) -> Column:
+        near = F.concat_ws(" ", F.right(x["before"], F.lit(CONTEXT_CHARS)), F.left(x["after"], F.lit(CONTEXT_CHARS)))
+        return F.when(F.lower(near).rlike(rf"(?:^|[^a-z])(?:{rule.context})"), F.lit(rule.base + CONTEXT_BONUS)).otherwise(F.lit(rule.base))
+
+    def span(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(ord_).alias("ord"), (x["start"] + rule.confirmed(x["hit"])).alias("stop"), F.lit(rule.kind).alias("kind"), score(x).alias("score"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(both, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    found = F.filter(F.transform(_placed(hits, gaps), span), lambda s: s["stop"] > s["start"])
+    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(df: DataFrame, text: str = "text", out: str = "pii", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -103,11 +146,11 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii", rules: tuple[R
         got = F.regexp_extract_all(whole, F.lit(r.pattern), F.lit(0))
         return F.when(F.contains(whole, F.lit(r.gate)) if r.gate else whole.rlike(r.needs), got).otherwise(none)
 
-    h = {r.kind: f"_{out}_{r.kind}_hits" for r in rules}
-    g = {r.kind: f"_{out}_{r.kind}_gaps" for r in rules}
+    h = {r.kind: free(df, f"_{r.kind}_hits") for r in rules}
+    g = {r.kind: free(df, f"_{r.kind}_gaps") for r in rules}
     cut = df.withColumns({h[r.kind]: hits(r) for r in rules})
     cut = cut.withColumns({g[r.kind]: F.when(F.size(h[r.kind]) > 0, F.split(whole, r.pattern, -1)).otherwise(none) for r in rules})
-    found = F.concat(*(_spans(whole, r, i, F.col(h[r.kind]), F.col(g[r.kind])) for i, r in enumerate(rules)))
+    found = F.concat(*(_spans(r, i, F.col(h[r.kind]), F.col(g[r.kind])) for i, r in enumerate(rules)))
     return cut.withColumn(out, F.array_sort(found)).drop(*h.values(), *g.values())
 
 

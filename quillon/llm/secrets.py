@@ -5,6 +5,8 @@ what was found. A scan hashes all rows, drops pairs that the ledger has, scans o
 appends to the ledger; findings are then joined back to every path. Rows with equal texts are scanned once, however
 many there are; findings are narrow, so a text that a third of all rows share is one row on one side of a join.
 
+Runs that update one ledger at the same time may scan a blob twice; its findings are read once.
+
 A null text is the empty blob and has no findings. Repeated rows all get their findings. Offsets count code points, ends are exclusive.
 Other columns are ignored. Empty input gives empty output.
 """
@@ -26,12 +28,12 @@ RULES = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
     ("pem", re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"), 0, 0),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
     ("bearer", re.compile(r"[Bb]earer [A-Za-z0-9._~+/-]{20,}=*"), 0, 0),
 )
 BASE = ("assign", "access", "hex")
 #: Changes whenever RULES does: findings of another version aren't used.
-VERSION = "1"
+VERSION = "2"
 #: Blobs or rows up to which a table of them is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
@@ -68,6 +70,10 @@ class Ledger:
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
         return self.spark.read.schema(schema).parquet(self.path) if there else self.spark.createDataFrame([], schema)
 
+    def findings(self) -> DataFrame:
+        """(blob, findings) of this version's blobs that have any; runs at the same time may have written a blob twice."""
+        return self.read().where((F.col("version") == VERSION) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
+
     def update(self, rows: DataFrame, versions: DataFrame) -> None:
         """Scans what is new. rows: (path, text); versions: (path, blob) of the same rows, already written."""
         seen = self.read().where(F.col("version") == VERSION).select("blob")
@@ -93,8 +99,7 @@ def find_secrets(rows: DataFrame, ledger: Ledger, path: str = "doc_id", text: st
     rows = rows.select(F.col(path).alias("path"), F.col(text).alias("text"))
     versions = table(rows.select("path", blob(F.col("text")).alias("blob")), "versions")
     ledger.update(rows, versions)
-    known = ledger.read().where((F.col("version") == VERSION) & (F.size("findings") > 0)).select("blob", "findings")
-    return versions.join(known, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return versions.join(ledger.findings(), "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def digest(found: DataFrame) -> DataFrame:

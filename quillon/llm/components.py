@@ -10,13 +10,13 @@ from quillon.llm.shared import table
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    least = table(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = table(down.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).distinct()
 
@@ -24,8 +24,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link but its component's smallest node; links: (a, b), a <> b.
 
-    Each round is written to the shared folder. Both steps only take minima and join them back, so a node with
-    very many links is no single task's work.
+    Each round is written to the shared folder, and so are the minima that are joined back: between two plain
+    tables, adaptive execution splits the rows of a node with very many links over several tasks.
     """
     edges, before = table(links.select("a", "b").distinct(), "links"), None
     while True:

@@ -2,40 +2,43 @@
 
 An exact grouped prefix join:
 
-1. Shingle sets are hashed in Arrow batches. Of a fixed share of the hash space, every batch sends each distinct
-   hash once to the range that owns it and hears which ones occur elsewhere. A document with more shingles
-   that occur nowhere else than the threshold allows can't link and is left out from here on.
-2. Documents with equal sets become one node, whatever their number.
-3. Shingles are ordered by how many nodes have them, rarest first. Linked nodes share one within their prefixes.
-   The first link tested in each group of a prefix shingle is with one leader; linked nodes form components.
-4. Only pairs from different components of a group remain. The group is cut into blocks of bounded size; within
-   pairs of blocks, sizes and counts of shingles in 64 slices of the hash space bound the possible overlap, and the
-   few pairs that stay are verified. Components are then exact, without emitting all pairs within a group.
-
-Null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one document; a null doc_id
-is an id of its own. A component's id is its smallest doc_id. Empty input gives empty output; other columns are ignored.
+1. Shingle sets are hashed in Arrow batches. In a fixed share of the hash space shingles are counted; a document with more
+   shingles that occur nowhere else than the threshold allows can't link and is left out from here on.
+2. Shingles of what is left are ordered by how many different sets have them, rarest first. Linked sets share one within their prefixes.
+   Sets of one size with identical prefixes are one group, whatever their number; equal sets are one member of it.
+3. Pairs are first those that join most with least work: each member with the first of its group, and each group with
+   one leader group of each token of its prefix, if their sizes allow a link. What is verified links; linked members form components.
+4. Only members of different components remain. The members of a group that are in one component are a unit. Units that share a token of their
+   prefix are compared in blocks of bounded size, and only blocks that can hold different components meet; sizes and counts of shingles in 64 slices of the hash
+   space bound the possible overlap. Pairs of units that stay are verified by their first members, then those not yet joined are
+   expanded to their members, which are bounded in the same way, and verified.
+
+Components are then exact, without emitting all pairs within a group: members of one component are never compared with each other again.
+
+Null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one document, which links as any of them does; n_shingles is
+of each row. Rows without a doc_id are documents of their own, and have a component only if it has an id. A component's id is its smallest
+doc_id. Empty input gives empty output; other columns are ignored by `link` and kept by `keep_one`.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quillon.llm.components import components
-from quillon.llm.shared import maybe_broadcast, table
+from quillon.llm.shared import free, maybe_broadcast, table
 from quillon.llm.textkernel import releasing, shingle_sets, slices
 
 #: Share of the hash space in which shingles are counted by step 1; more rejects more, and moves more.
-SHARE = 0.4
-#: Distinct hashes that one batch sends, and that one range is meant to get.
-CHUNK, RANGE = 1 << 19, 1 << 21
-#: Nodes in a block of step 4; slices of its bound.
+SHARE = 0.3
+#: Units or members in a block of step 4; slices of its bound.
 BLOCK, SLICES = 1024, 64
 #: Rows up to which a table of ids is broadcast; a larger one is joined by shuffling.
 BROADCAST_IDS = 2_000_000
@@ -43,112 +46,29 @@ BROADCAST_IDS = 2_000_000
 U = np.uint64
 
 
-def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
+def needed(n: int | np.ndarray | Column, percent: int) -> int | np.ndarray | Column:
     """Least overlap of a set of n with any set that reaches the threshold."""
+    if isinstance(n, Column):
+        return F.floor((F.lit(percent) * n + 99) / 100)
     return (percent * n + 99) // 100
 
 
-def _send(words: int, ranges: int, width: int):
-    """Batches of documents to chunks: for each range the hashes that occur there, and the owners of those that one document has."""
+def _samples(words: int):
+    """Of each row: its number of shingles, a 64-bit name of their set, and those in the counted share of the hash space."""
     limit = U(int(SHARE * 2.0**64))
-    step = int(SHARE * 2.0**64) // ranges + 1
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("sample", pa.list_(pa.int64()))])
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ids: list = []
-        sizes: list = []
-        kept: list = []
-        chunk = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal chunk
-            if not ids:
-                return
-            name = f"{TaskContext.get().partitionId()}-{chunk}"
-            chunk += 1
-            value = np.concatenate(kept)
-            owner = np.repeat(np.arange(len(kept), dtype=np.uint16), [len(x) for x in kept])
-            order = np.argsort(value, kind="stable")
-            value, owner = value[order], owner[order]
-            first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
-            count = np.diff(np.r_[first, len(value)])
-            value, owner, one = value[first], owner[first], count == 1
-            alone = np.bincount(owner[one], minlength=len(ids))
-            rows = {"chunk": [name], "range": [zlib.crc32(name.encode()) % ranges], "hashes": [None], "single": [None], "owners": [None], "ids": [list(ids)], "sizes": [list(sizes)], "alone": [alone.tolist()]}
-            cut = np.searchsorted(value, [min(r * step, 2**64 - 1) for r in range(ranges + 1)])
-            for r in range(ranges):
-                a, b = cut[r], cut[r + 1]
-                if b > a:
-                    raw = value[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]
-                    for k, v in (("chunk", name), ("range", r), ("hashes", raw.tobytes()), ("single", np.packbits(one[a:b]).tobytes()), ("owners", owner[a:b][one[a:b]].tobytes()), ("ids", None), ("sizes", None), ("alone", None)):
-                        rows[k].append(v)
-            ids.clear(), sizes.clear(), kept.clear()
-            yield pa.RecordBatch.from_pydict(rows, schema=SENT)
-
-        total = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, found in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), words), strict=True):
-                    ids.append(doc_id), sizes.append(len(found)), kept.append(found[found < limit])
-                    total += len(kept[-1])
-                    if total >= CHUNK or len(ids) == 1 << 16:
-                        yield from flush()
-                        total = 0
-        yield from flush()
-
-    return run
-
-
-SENT = pa.schema([("chunk", pa.string()), ("range", pa.int32()), ("hashes", pa.binary()), ("single", pa.binary()), ("owners", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("alone", pa.list_(pa.int64()))])
-SENT_SQL = "chunk string, range int, hashes binary, single binary, owners binary, ids array<bigint>, sizes array<int>, alone array<bigint>"
-ANSWER_SQL = "chunk string, owners binary, ids array<bigint>, sizes array<int>, alone array<bigint>"
-ANSWER = pa.schema([("chunk", pa.string()), ("owners", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("alone", pa.list_(pa.int64()))])
-
-
-def _answer(width: int):
-    """One range: tells every chunk the owners of hashes that were alone in it but that other chunks have too."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.select(["chunk", "hashes", "single", "owners", "ids", "sizes", "alone"]).to_pylist()
-        sent = [r for r in rows if r["hashes"] is not None]
-        out = [{"chunk": r["chunk"], "owners": None, "ids": r["ids"], "sizes": r["sizes"], "alone": r["alone"]} for r in rows if r["ids"] is not None]
-        if sent:
-            lengths = [len(r["hashes"]) // width for r in sent]
-            raw = np.frombuffer(b"".join(r["hashes"] for r in sent), np.uint8).reshape(-1, width)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, 8 - width :] = raw
-            value = wide.view(">u8").ravel().astype(U)
-            order = np.argsort(value, kind="stable")
-            same = value[order][1:] == value[order][:-1]
-            shared = np.zeros(len(value), bool)
-            shared[order[1:][same]] = True
-            shared[order[:-1][same]] = True
-            at = 0
-            for r, n in zip(sent, lengths, strict=True):
-                one = np.unpackbits(np.frombuffer(r["single"], np.uint8), count=n).astype(bool)
-                owners = np.frombuffer(r["owners"], np.uint16)[shared[at : at + n][one]]
-                at += n
-                if len(owners):
-                    out.append({"chunk": r["chunk"], "owners": owners.tobytes(), "ids": None, "sizes": None, "alone": None})
-        return pa.Table.from_pylist(out, schema=ANSWER)
-
-    return run
-
-
-def _decide(percent: int):
-    """One chunk: whether each of its documents has few enough shingles of its own."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("alive", pa.bool_())])
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        own = next(r for r in rows if r["ids"] is not None)
-        alone, n = np.array(own["alone"], np.int64), np.array(own["sizes"], np.int64)
-        for r in rows:
-            if r["owners"] is not None:
-                alone -= np.bincount(np.frombuffer(r["owners"], np.uint16), minlength=len(alone))
-        return pa.table([pa.array(own["ids"], pa.int64()), pa.array(n), pa.array((n > 0) & (alone <= n - needed(n, percent)))], schema=schema)
+                n, marks, kept = [], [], []
+                for found in shingle_sets(part.column("text"), words):
+                    n.append(len(found))
+                    marks.append(xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63)
+                    kept.append(found[: np.searchsorted(found, limit)].view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept), pa.int64()))
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), lists], schema=schema)
 
     return run
 
@@ -174,8 +94,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(percent: int):
-    """Of each node: its shared shingles, those of its prefix, and how many fall into each slice of the hash space."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("prefix", pa.list_(pa.int64())), ("slices", pa.binary()), ("hashes", pa.binary())])
+    """Of each node: its shared shingles, those of its prefix and a name of them, and how many fall into each slice of the hash space."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("prefix", pa.list_(pa.int64())), ("key", pa.binary()), ("slices", pa.list_(pa.int32())), ("hashes", pa.binary())])
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +107,9 @@ def _prefixes(percent: int):
                 count, value = (np.asarray(pairs.field(k)) for k in ("count", "hash"))
                 keep = int(n - needed(n, percent) + 1 - (n - len(value)))
                 if keep > 0:
-                    first = np.lexsort((value, count))[:keep]
+                    first = value[np.lexsort((value, count))[:keep]]
                     per = np.bincount((value.view(U) >> U(58)).astype(np.int64), minlength=SLICES)
-                    kind = np.uint8 if per.max() < 1 << 8 else np.uint16 if per.max() < 1 << 16 else np.uint32
-                    out.append((node, n, len(value), value[first].tolist(), per.astype(kind).tobytes(), np.sort(value).tobytes()))
+                    out.append((node, n, len(value), first, hashlib.blake2b(first.tobytes(), digest_size=16).digest(), per.astype(np.int32), np.sort(value).tobytes()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
     return run
@@ -221,23 +140,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_pairs(percent: int):
-    """Pairs within groups (token, i, j), whose rows come together: nodes of block i with nodes of block j that may link."""
+    """Of rows that come together by (key, i, j): pairs of block i with block j, from different roots, that may link."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, key, found = [], None, set()
+        parts, key, found = [], None, set()
 
         def pairs() -> None:
-            n, m, root, node, block = (np.array([r[k] for r in rows], np.int64) for k in ("n", "m", "root", "node", "block"))
-            per = np.stack([np.frombuffer(r["slices"], {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(r["slices"]) // SLICES]).astype(np.int64) for r in rows])
+            n, m, root, id_, block = (np.concatenate([p[k] for p in parts]) for k in ("n", "m", "root", "id", "block"))
+            per = np.concatenate([p["slices"] for p in parts])
             for x in np.flatnonzero(block == key[1]):
-                other = np.flatnonzero((block == key[2]) & (root != root[x]) & (node > node[x] if key[1] == key[2] else True))
+                other = np.flatnonzero((block == key[2]) & (root != root[x]) & (id_ > id_[x] if key[1] == key[2] else True))
                 most = np.minimum(m[x], m[other])
                 other = other[100 * most >= percent * (n[x] + n[other] - most)]
                 if len(other):
                     most = np.minimum(per[x], per[other]).sum(1)
                     other = other[100 * most >= percent * (n[x] + n[other] - most)]
-                    found.update((min(node[x], y), max(node[x], y)) for y in node[other].tolist())
+                    found.update((min(id_[x], y), max(id_[x], y)) for y in id_[other].tolist())
 
         def out() -> pa.RecordBatch:
             batch = pa.record_batch([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -245,75 +164,191 @@ def _block_pairs(percent: int):
             return batch
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["token"], r["i"], r["j"]) != key:
-                    if len(rows) > 1:
+            columns = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "i", "j", "n", "m", "root", "id", "block")}
+            columns["slices"] = batch.column("slices").flatten().to_numpy(zero_copy_only=False).reshape(-1, SLICES)
+            keys = np.stack([columns[k] for k in ("key", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if key is not None and tuple(keys[a]) != key:
                         pairs()
-                    rows, key = [], (r["token"], r["i"], r["j"])
-                    if len(found) > 100_000:
-                        yield out()
-                rows.append(r)
-        if len(rows) > 1:
+                        parts = []
+                        if len(found) > 100_000:
+                            yield out()
+                    key = tuple(keys[a])
+                    parts.append({k: v[a:b] for k, v in columns.items()})
+        if parts:
             pairs()
         yield out()
 
     return run
 
 
-def link(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of ids that meet under a key, have different roots and may link. rows: (key, root, id, n, m, slices).
+
+    The rows of a key are cut into blocks of about BLOCK. A root with that many is cut into blocks of its own, which don't meet each other; the other roots share blocks.
+    """
+    roots = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    small = F.when(F.col("rows") < BLOCK, F.col("rows")).otherwise(0)
+    keys = roots.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum(small).alias("mixed")).where("roots > 1")
+    # of each root of a key: where its blocks begin, and how many they are; mixed blocks come first
+    large = F.ceil(F.col("rows") / BLOCK)
+    mixed = F.ceil(F.col("mixed") / BLOCK)
+    big = roots.where(F.col("rows") >= BLOCK).select("key", "root", large.cast("int").alias("size"))
+    lists = big.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("root", "size"))).alias("big"))
+    # plans and leaders are written before they are joined, so that the rows of a hot key can be split in the join
+    plan = keys.join(lists, "key", "left").select("key", mixed.cast("int").alias("mixed"), F.coalesce("big", F.array().cast("array<struct<root:bigint,size:int>>")).alias("big"))
+    placed = rows.join(maybe_broadcast(table(plan, "blocks"), BROADCAST_IDS // 20), "key")
+    spot = F.expr("get(filter(transform(big, (x, p) -> struct(x.root AS root, x.size AS size, mixed + aggregate(slice(big, 1, p), 0, (t, y) -> t + y.size) AS first)), x -> x.root = root), 0)")
+    total = F.col("mixed") + F.aggregate("big", F.lit(0), lambda t, y: t + y["size"])
+    placed = placed.withColumn("spot", spot).withColumn("total", total)
+    own = F.col("spot").isNotNull()
+    block = F.when(own, F.col("spot.first") + F.pmod(F.xxhash64("id"), F.col("spot.size"))).otherwise(F.pmod(F.xxhash64("root"), F.col("mixed"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda k: ~own | (k < F.col("spot.first")) | (k >= F.col("spot.first") + F.col("spot.size")))
+    sent = placed.withColumn("block", block).withColumn("other", F.explode(others))
+    sent = sent.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "id", "n", "m", "slices")
+    sent = sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return sent.mapInArrow(_block_pairs(percent), "a bigint, b bigint").distinct()
+
+
+def _roots(links: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components of links and of earlier stars."""
+    if stars is not None:
+        links = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
+    return components(links)
+
+
+def _with_roots(df: DataFrame, stars: DataFrame) -> DataFrame:
+    return df.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _node_roots(able: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of linked nodes. able: (node, n, m, prefix, key, slices, hashes), written."""
+    groups = able.groupBy("n", "key").agg(F.min("node").alias("group"), F.max("m").alias("most"))
+    groups = table(groups, "groups")
+    members = able.select("node", "n", "m", "key", "slices").join(groups, ["n", "key"]).select("node", "group", "n", "m", "most", "slices")
+    members = table(members, "members")
+
+    heads = members.where(F.col("node") == F.col("group")).select("group", "most").join(able.select(F.col("node").alias("group"), "n", "prefix"), "group")
+    tokens = table(heads.select("group", "n", "most", F.explode("prefix").alias("token")), "tokens")
+    leaders = tokens.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "group", "n", "most")).alias("l"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    pairs = tokens.join(table(leaders, "leaders"), "token").where((F.col("group") != F.col("l.group")) & possible(F.col("n"), F.col("most"), F.col("l.n"), F.col("l.most"), percent))
+    pairs = pairs.select(F.least("group", "l.group").alias("a"), F.greatest("group", "l.group").alias("b")).distinct()
+    inner = members.where("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))
+    stars = _roots(table(_verified(table(pairs.union(inner), "first_pairs"), able, percent), "first_links"))
+
+    # units are named by their first node
+    rooted = table(_with_roots(members, stars), "rooted")
+    bounds = F.array(*(F.max(F.col("slices")[k]) for k in range(SLICES)))
+    units = rooted.groupBy("group", "root").agg(F.min("node").alias("id"), F.first("n").alias("n"), F.max("m").alias("m"), F.count(F.lit(1)).alias("size"), bounds.alias("slices"))
+    units = table(units, "units")
+    meeting = tokens.select("group", F.col("token").alias("key")).join(units.select("group", "root"), "group")
+    open_ = meeting.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rows = tokens.select("group", F.col("token").alias("key")).join(open_, "key", "left_semi").join(units, "group")
+    pairs = table(_candidates(rows.select("key", "root", "id", "n", "m", "slices"), percent), "unit_pairs")
+    if pairs.isEmpty():
+        return stars
+    links = table(_verified(pairs, able, percent), "unit_links")
+    if not links.isEmpty():
+        stars = _roots(links, stars)
+
+    # what the first members don't join is expanded to all members
+    sized = units.select(F.col("id").alias("node"), "size")
+    side = lambda k: _with_roots(sized, stars).select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("root").alias(f"root_{k}"))
+    apart = pairs.join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b AND size_a * size_b > 1")
+    apart = table(apart.select(F.monotonically_increasing_id().alias("key"), F.explode(F.array("a", "b")).alias("unit")), "open_pairs")
+    if apart.isEmpty():
+        return stars
+    named = rooted.join(units.select("group", "root", F.col("id").alias("unit")), ["group", "root"])
+    rows = apart.join(named, "unit").select("key", F.col("unit").alias("root"), F.col("node").alias("id"), "n", "m", "slices")
+    more = table(_candidates(rows, percent), "member_pairs")
+    links = table(_verified(more, able, percent), "member_links")
+    return stars if links.isEmpty() else _roots(links, stars)
+
+
+def _linked(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, component_id) of every row, (digest, root, component_id) of every set that may link, and (id) of documents of several rows."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    hashes = max(1, int(SHARE * bytes_ / 4))
-    ranges = max(1, -(-hashes // RANGE))
-    width = min(8, max(5, (hashes.bit_length() + 12) // 8))
-
-    sent = docs.mapInArrow(_send(words, ranges, width), SENT_SQL)
-    answers = sent.groupBy("range").applyInArrow(_answer(width), ANSWER_SQL)
-    sized = table(answers.groupBy("chunk").applyInArrow(_decide(percent), "doc_id bigint, n bigint, alive boolean"), "sizes")
-
-    alive = table(sized.where("alive").select(F.col("doc_id").alias("id")).distinct(), "alive")
-    few = maybe_broadcast(alive, BROADCAST_IDS)
+    sampled = table(docs.mapInArrow(_samples(words), "doc_id bigint, n bigint, mark bigint, sample array<bigint>"), "samples")
+    counted = sampled.select("mark", F.explode("sample").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("rows"), F.min("mark").alias("mark"))
+    own = table(counted.where("rows = 1").groupBy("mark").agg(F.count(F.lit(1)).alias("own")), "own")  # written, so that a hot mark's rows can be split in the join
+    alive = (F.col("n") > 0) & (F.coalesce("own", F.lit(0)) <= F.col("n") - needed(F.col("n"), percent))
+    sized = table(sampled.select("doc_id", "n", "mark").join(own, "mark", "left").select("doc_id", "n", alive.alias("alive")), "sizes")
+
+    ids = table(sized.where("alive").select(F.col("doc_id").alias("id")).distinct(), "alive")
+    few = maybe_broadcast(ids, BROADCAST_IDS)
     here = F.col("doc_id").eqNullSafe(F.col("id"))
     sets = table(docs.join(few, here, "left_semi").mapInArrow(_sets(words), "doc_id bigint, n bigint, digest binary, hashes binary"), "sets")
     some = sets.where("n > 0").select("digest", "n", "hashes").dropDuplicates(["digest"])
     nodes = table(some.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     each = nodes.select("node", "hashes").mapInArrow(_unpack, "node bigint, hashes array<bigint>").select("node", F.explode("hashes").alias("hash"))
-    counts = each.groupBy("hash").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    counts = table(each.groupBy("hash").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "counts")
     shared = each.join(counts, "hash").groupBy("node").agg(F.collect_list(F.struct("count", "hash")).alias("shared"))
     shared = shared.join(nodes.select("node", "n"), "node")
-    able = table(shared.mapInArrow(_prefixes(percent), "node bigint, n bigint, m bigint, prefix array<bigint>, slices binary, hashes binary"), "prefixes")
-
-    group = able.select("node", "n", "m", F.explode("prefix").alias("token"))
-    leaders = group.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "node", "n", "m")).alias("l"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = group.join(leaders, "token").where((F.col("node") != F.col("l.node")) & possible(F.col("n"), F.col("m"), F.col("l.n"), F.col("l.m"), percent))
-    pairs = table(pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct(), "leader_pairs")
-    links = table(_verified(pairs, able, percent), "leader_links")
-    stars = components(links)
-
-    rooted = able.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    member = table(rooted.select("node", "n", "m", "root", "slices", F.explode("prefix").alias("token")), "members")
-    open_ = member.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    blocks = member.join(open_.select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "token")
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    blocks = blocks.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    blocks = blocks.select("token", "i", "j", "node", "n", "m", "root", "block", "slices").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    rest = table(blocks.mapInArrow(_block_pairs(percent), "a bigint, b bigint").distinct(), "other_pairs")
-    more = table(_verified(rest, able, percent), "other_links")
+    able = table(shared.mapInArrow(_prefixes(percent), "node bigint, n bigint, m bigint, prefix array<bigint>, key binary, slices array<int>, hashes binary"), "prefixes")
+    stars = _node_roots(able, percent)
+
+    named = table(_with_roots(nodes.select("digest", "node"), stars).select("digest", "root"), "roots")
+    linked = table(sets.select("doc_id", "n", "digest").join(named, "digest", "left"), "linked")
+    # rows of one document join its components
+    several = linked.where("doc_id is not null").groupBy("doc_id").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    more = linked.join(several, "doc_id").where("root > low").select(F.col("low").alias("a"), F.col("root").alias("b"))
+    more = table(more.distinct(), "document_links")
     if not more.isEmpty():
-        stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        higher = components(more).select(F.col("node").alias("root"), F.col("root").alias("higher"))
+        named = named.join(higher, "root", "left").select("digest", F.coalesce("higher", "root").alias("root"))
+        linked = linked.join(higher, "root", "left").select("digest", "doc_id", "n", F.coalesce("higher", "root").alias("root"))
+    least = table(linked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
+    alive_rows = linked.join(least, "root", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    dead = sized.join(few, here, "left_anti").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    rows = alive_rows.union(dead)
+    twice = table(sized.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "repeated")
+    if not twice.isEmpty():
+        low = rows.join(maybe_broadcast(twice, BROADCAST_IDS), F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("low"))
+        low = maybe_broadcast(table(low, "least_of_repeated"), BROADCAST_IDS)
+        rows = rows.join(low, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n", F.coalesce("low", "component_id").alias("component_id"))
+    return rows, named.join(least, "root").select("digest", "root", "component_id"), twice
 
-    roots = nodes.select("digest", "node").join(stars, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    linked = table(sets.select("doc_id", "n", "digest").join(roots, "digest", "left"), "linked")
-    least = linked.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    dead = sized.join(few, here, "left_anti").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.union(dead)
+
+def link(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    rows, _, _ = _linked(docs, percent, words)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """docs without those that have a linked document of a smaller doc_id in their component."""
-    linked = link(docs, percent, words)
-    gone = table(linked.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, BROADCAST_IDS), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each document, and one document of each component: that of the smallest doc_id.
+
+    Of rows with one doc_id that of the first text stays. Of linked rows without a doc_id one stays if no linked document has an id; those that link with nothing all stay.
+    """
+    rows, sets, twice = _linked(docs, percent, words)
+    gone = table(rows.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    left = docs.join(maybe_broadcast(gone, BROADCAST_IDS), docs["doc_id"] == F.col("__gone"), "left_anti").where("doc_id is not null")
+    if not twice.isEmpty():
+        few = maybe_broadcast(twice.withColumnRenamed("id", "__twice"), BROADCAST_IDS)
+        here = F.col("doc_id") == F.col("__twice")
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        first = left.join(few, here, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("__row"))
+        left = left.join(few, here, "left_anti").union(first.select("__row.*"))
+    unnamed = docs.where("doc_id is null")
+    if unnamed.isEmpty():
+        return left
+    mark = free(docs, "_digest")
+    names = [*docs.columns, mark]
+
+    @releasing
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in shingle_sets(part.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=names)
+
+    marked = unnamed.mapInArrow(digests, StructType([*docs.schema.fields, StructField(mark, BinaryType())]))
+    known = sets.select(F.col("digest").alias(mark), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
+    marked = marked.join(known, mark, "left")
+    alone = marked.where("__root is null").select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = marked.where("__root is not null and __component is null").groupBy("__root").agg(F.min_by(row, "text").alias("__row"))
+    return left.union(alone).union(one.select("__row.*"))

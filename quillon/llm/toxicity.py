@@ -1,35 +1,43 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled documents is the example set. Terms whose presence goes with the label (chi-squared) are
-its vocabulary; examples and documents are TF-IDF vectors over it. The nearest examples of a document are found
-exactly: the inverted index is cut into blocks of examples with the greatest weight of each term in each block, and blocks
-are scored in order of the bound this gives until no other can hold a nearer one. Votes weigh with similarity, and a monotone fit on the examples
-themselves, each left out in turn, makes them probabilities. The nearest examples are returned as evidence.
-
-Only texts are inputs of a score. A null or empty text, or one without a term of the vocabulary, has no neighbour and gets what
-such examples get. Repeated rows get equal scores; equal texts are one example, ties between examples go to the earlier one. Where
-there are no labelled documents every score is 0. Other columns are kept by `scored`. A document with several labels is toxic if any says so.
+A bounded sample of labelled documents is the example set. All their terms are its vocabulary; a term weighs its inverse frequency in
+all documents, and a term whose presence among the examples goes with the label (chi-squared) weighs `1 / FAINT` times as much as others,
+so that likeness is first of all likeness in what the label is about. The nearest examples of a document are found exactly, by cosine over all
+terms: the inverted index is cut into blocks of examples with the greatest weight of each term in each block, and blocks are scored in
+order of the bound this gives until no other can hold a nearer one. Votes weigh with similarity, and a monotone fit makes them
+probabilities. It is made on the examples themselves: each by votes of those outside its fold, with term weights that are learnt outside it.
+The nearest examples are returned as evidence.
+
+Only texts are inputs of a score. A null or empty text, or one without a term of the examples, has no neighbour and gets what
+such examples get; terms that no example has play no part in a document's norm. Repeated rows get equal scores; equal texts are one example, ties
+between examples go to the earlier one. Where there are no labelled documents every score is 0. Other columns are kept by `scored`. A document with
+several labels is toxic if any says so.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from quillon.llm.shared import table
-from quillon.llm.textkernel import buffers, releasing, slices, word_hashes
+from quillon.llm.textkernel import buffers, ragged, releasing, slices, word_hashes
 
-#: The bounds of what is fitted: labelled examples, and terms of their vocabulary.
-EXAMPLES, TERMS = 8000, 4096
-#: A term's least number of examples; its least chi-squared is this much above twice the logarithm of the number of terms, of which the best would come near that by chance.
+#: The bounds of what is fitted: labelled examples, and distinct terms of all of them, counted for each. Examples are taken in pseudo-random order.
+EXAMPLES, POSTINGS = 4000, 2_000_000
+#: A term goes with the label if it is in that many examples, and its chi-squared is this much above twice the logarithm of the number of terms, of which the best would come near that by chance.
 LEAST_EXAMPLES, ASSOCIATED = 3, 4.0
+#: Weight of the other terms.
+FAINT = 0.01
 NEIGHBOURS, BLOCK = 15, 64
+#: Terms of more than one in so many examples are dealt with as a matrix, for so many documents together.
+FREQUENT, TOGETHER = 8, 256
 #: Weight of the prior among the votes.
 PRIOR = 0.5
 FOLDS = 5
@@ -40,59 +48,157 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(terms, their counts) of each text."""
-    value, _, _, begins = word_hashes(*buffers(texts), letters_only=True)
-    for a, b in zip(begins[:-1], begins[1:], strict=True):
-        yield np.unique(value[a:b], return_counts=True)
-
-
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            bags = list(_terms(part.column("text")))
-            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in bags], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
+            value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
+            bags = [np.unique(value[a:b], return_counts=True) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), pa.array([len(t) for t, _ in bags], pa.int64()), pa.array([t.tobytes() for t, _ in bags], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in bags], pa.binary())], names=["doc_id", "toxic", "n", "terms", "counts"])
 
 
 @dataclass
-class Model:
-    """Vocabulary, block-max index of the examples, and the monotone map from votes to scores."""
+class Examples:
+    """Labelled examples as rows of a matrix of terms, by term: the postings of term t are first[t] to first[t + 1]."""
 
+    ids: np.ndarray
+    labels: np.ndarray
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray
-    ids: np.ndarray  # of the examples
-    labels: np.ndarray
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each: example, term, weight of its postings
-    most: np.ndarray  # (terms, blocks): greatest weight
-    prior: float
-    steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
-
-    def vector(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weight = (1 + np.log(count)) * self.idf[term]
-        return term, weight / np.sqrt((weight**2).sum())
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) of the nearest ones, exactly; but: an example that doesn't count."""
-        if not len(term) or not len(self.blocks):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weight @ self.most[term]
-        dense = np.zeros(len(self.terms))
-        dense[term] = weight
+    first: np.ndarray
+    row: np.ndarray
+    raw: np.ndarray  # weight without what the label tells
+
+    @classmethod
+    def of(cls, bags: list[tuple[int, int, np.ndarray, np.ndarray]], frequency: dict[int, int], documents: int) -> Examples:
+        """bags: (doc_id, label, terms, counts); frequency: documents that have a term."""
+        every = np.concatenate([b[2] for b in bags] or [np.zeros(0, np.uint64)])
+        count = np.concatenate([b[3] for b in bags] or [np.zeros(0, np.int32)])
+        row = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
+        terms, term = np.unique(every, return_inverse=True)
+        have = np.array([frequency.get(t, 0) for t in terms.tolist()], float)
+        idf = np.log((1 + documents) / (1 + have)) + 1
+        order = np.argsort(term, kind="stable")
+        term, row, count = term[order], row[order], count[order]
+        first = np.searchsorted(term, np.arange(len(terms) + 1))
+        return cls(np.array([b[0] for b in bags], np.int64), np.array([b[1] for b in bags], np.int64), terms, idf, first, row, (1 + np.log(count)) * idf[term])
+
+    def term(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.terms)), np.diff(self.first))
+
+    def strength(self, rows: np.ndarray) -> np.ndarray:
+        """Of each term 1 if it goes with the label among these examples, else FAINT."""
+        mine = rows[self.row]
+        term, row = self.term()[mine], self.row[mine]
+        n, yes = int(rows.sum()), int(self.labels[rows].sum())
+        have = np.bincount(term, minlength=len(self.terms)).astype(float)
+        both = np.bincount(term, self.labels[row].astype(float), len(self.terms))
+        spread = have * (n - have) * yes * (n - yes)
+        chi = np.divide(n * (both * n - have * yes) ** 2, spread, out=np.zeros_like(have), where=spread > 0)
+        known = max(1, int((have > 0).sum()))
+        return np.where((chi >= ASSOCIATED + 2 * np.log(known)) & (have >= LEAST_EXAMPLES), 1.0, FAINT)
+
+
+def nearest_of(who: np.ndarray, how: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The NEIGHBOURS greatest; ties go to the earlier one."""
+    if len(how) > NEIGHBOURS:
+        enough = how >= np.partition(how, -NEIGHBOURS)[-NEIGHBOURS] - 1e-11
+        who, how = who[enough], how[enough]
+    best = np.lexsort((who, -how.round(12)))[:NEIGHBOURS]
+    return who[best], how[best]
+
+
+def vote(how: np.ndarray, labels: np.ndarray, prior: float) -> float:
+    return float((how @ labels + PRIOR * prior) / (how.sum() + PRIOR)) if len(how) else prior
+
+
+class Model:
+    """Block-max index of examples, and the monotone map from votes to scores."""
+
+    def __init__(self, examples: Examples, rows: np.ndarray | None = None):
+        """rows: which examples are indexed; term strengths are learnt from these alone."""
+        rows = np.ones(len(examples.labels), bool) if rows is None else rows
+        self.ids, self.labels, self.terms = examples.ids[rows], examples.labels[rows], examples.terms
+        strength, mine = examples.strength(rows), rows[examples.row]
+        self.weight = examples.idf * strength
+        self.prior = float(self.labels.mean()) if len(self.labels) else 0.0
+        term, self.row = examples.term()[mine], (np.cumsum(rows) - 1)[examples.row[mine]].astype(np.int32)
+        raw = examples.raw[mine] * strength[term]
+        norm = np.sqrt(np.bincount(self.row, raw**2, len(self.labels)))
+        self.post = raw / norm[self.row]
+        # cells: the postings of one term in one block
+        self.starts = np.arange(0, len(self.labels), BLOCK)
+        cell = term * max(1, len(self.starts)) + self.row // BLOCK
+        at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.cell_first = np.r_[at, len(cell)]
+        self.cell_block = (self.row[at] // BLOCK).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(self.post, at) if len(at) else np.zeros(0)
+        self.term_cells = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
+        self.steps = (np.zeros(1), np.zeros(1))
+        self.dense: tuple[np.ndarray, np.ndarray] | None = None
+
+    def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        weight = (1 + np.log(count)) * self.weight[term]
+        return weight / np.sqrt((weight**2).sum())
+
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each term or -1, matrix of these columns and examples) of terms that more than one in FREQUENT examples has: their part is a matrix product."""
+        if self.dense is None:
+            begin = self.cell_first[self.term_cells]
+            chosen = np.flatnonzero(np.diff(begin) * FREQUENT > len(self.labels))
+            column = np.full(len(self.terms), -1)
+            column[chosen] = np.arange(len(chosen))
+            matrix = np.zeros((len(chosen), len(self.labels)))
+            n = begin[chosen + 1] - begin[chosen]
+            post = ragged(begin[chosen], n)
+            matrix[np.repeat(np.arange(len(chosen)), n), self.row[post]] = self.post[post]
+            self.dense = column, matrix
+        return self.dense
+
+    def nearest(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, similarities) of the nearest ones of each bag (terms, counts), exactly."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        column, matrix = self._frequent()
+        for at in range(0, len(bags), TOGETHER):
+            some = [(t, self.vector(t, c)) if len(t) else (t, np.zeros(0)) for t, c in bags[at : at + TOGETHER]]
+            frequent = np.zeros((len(some), len(matrix)))
+            rest = []
+            for i, (term, weight) in enumerate(some):
+                where = column[term]
+                there = where >= 0
+                frequent[i, where[there]] = weight[there]
+                rest.append((term[~there], weight[~there]))
+            out += [self._nearest(*r, known) for r, known in zip(rest, frequent @ matrix, strict=True)]
+        return out
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """known: what frequent terms add to the similarity of each example."""
         who, how = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(how) >= NEIGHBOURS and bound[b] < how[NEIGHBOURS - 1] - 1e-12:
+        if not len(known):
+            return who, how
+        n = self.term_cells[term + 1] - self.term_cells[term]
+        cell, mine = ragged(self.term_cells[term], n), np.repeat(weight, n)
+        block = self.cell_block[cell]
+        bound = np.maximum.reduceat(known, self.starts) + np.bincount(block, mine * self.cell_most[cell], len(self.starts))
+        order, at, step = np.argsort(-bound, kind="stable"), 0, 8
+        while at < len(order):
+            take = order[at : at + step]
+            take = take[bound[take] > (how[-1] - 1e-12 if len(how) == NEIGHBOURS else 0.0)]
+            if not len(take):
                 break
-            row, t, w = self.blocks[b]
-            near = np.bincount(row, w * dense[t], BLOCK)
-            at = np.flatnonzero(near > 0)
-            at = at[at + b * BLOCK != but]
-            who, how = np.concatenate([who, at + b * BLOCK]), np.concatenate([how, near[at]])
-            best = np.lexsort((who, -how.round(12)))[:NEIGHBOURS]
-            who, how = who[best], how[best]
+            chosen = np.zeros(len(self.starts), bool)
+            chosen[take] = True
+            some = np.flatnonzero(chosen[block])
+            begin = self.cell_first[cell[some]]
+            size = self.cell_first[cell[some] + 1] - begin
+            post = ragged(begin, size)
+            near = known + np.bincount(self.row[post], np.repeat(mine[some], size) * self.post[post], len(known))
+            found = np.flatnonzero((near > 0) & np.repeat(chosen, BLOCK)[: len(near)])
+            who, how = nearest_of(np.concatenate([who, found]), np.concatenate([how, near[found]]))
+            at, step = at + step, step * 8
         return who, how
 
-    def votes(self, who: np.ndarray, how: np.ndarray) -> float:
-        return float((how @ self.labels[who] + PRIOR * self.prior) / (how.sum() + PRIOR)) if len(who) else self.prior
+    def votes(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+        return [vote(how, self.labels[who], self.prior) for who, how in self.nearest(bags)]
 
     def score(self, votes: float) -> float:
         """Mostly the fitted probability; a little of the votes keeps their order where the fit is flat."""
@@ -110,86 +216,99 @@ def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
-def fit(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model:
-    """The model of at most EXAMPLES examples (doc_id, label, terms, counts)."""
-    labels = np.array([e[1] for e in examples], np.int64)
-    every = np.concatenate([e[2] for e in examples] or [np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-    count = np.concatenate([e[3] for e in examples] or [np.zeros(0, np.int32)])
-    words, which = np.unique(every, return_inverse=True)
-    n, yes = max(1, len(labels)), int(labels.sum())
-    have = np.bincount(which, minlength=len(words)).astype(float)
-    both = np.bincount(which, labels[owner].astype(float), len(words)) if len(every) else np.zeros(0)
-    spread = have * (n - have) * yes * (n - yes)
-    chi = np.divide(n * (both * n - have * yes) ** 2, spread, out=np.zeros_like(have), where=spread > 0)
-    chosen = np.sort(np.lexsort((words, -chi))[:TERMS])
-    chosen = chosen[(chi[chosen] >= ASSOCIATED + 2 * np.log(max(1, len(words)))) & (have[chosen] >= LEAST_EXAMPLES)]
-    number = np.full(len(words), -1)
-    number[chosen] = np.arange(len(chosen))
-    term = number[which] if len(every) else np.zeros(0, np.int64)
-    owner, count, term = owner[term >= 0], count[term >= 0], term[term >= 0]
-    idf = np.log((1 + n) / (1 + have[chosen])) + 1
-    weight = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt(np.bincount(owner, weight**2, len(labels)))
-    weight = weight / norm[owner]
-    blocks, most = [], np.zeros((len(chosen), -(-len(labels) // BLOCK)))
-    np.maximum.at(most, (term, owner // BLOCK), weight)
-    for b in range(most.shape[1]):
-        own = owner // BLOCK == b
-        blocks.append((owner[own] - b * BLOCK, term[own], weight[own]))
-    model = Model(words[chosen], idf, np.array([e[0] for e in examples], np.int64), labels, blocks, most, yes / n if len(labels) else 0.0)
-    cut = np.searchsorted(owner, np.arange(len(labels) + 1))
-    if len(labels):
-        votes = np.array([model.votes(*model.nearest(term[a:b], weight[a:b], i)) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
-        model.steps = _monotone(votes, labels.astype(float))
-    return model
+def _known(terms: np.ndarray, value: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, count) of the known terms of all rows, and where those of each row begin."""
+    at = np.minimum(np.searchsorted(terms, value), max(0, len(terms) - 1))
+    hit = np.flatnonzero(terms[at] == value) if len(terms) else np.zeros(0, np.int64)
+    row = np.searchsorted(begins, hit, "right") - 1
+    key, count = np.unique(row * max(1, len(terms)) + at[hit], return_counts=True)
+    row, term = np.divmod(key, max(1, len(terms)))
+    return term, count, np.searchsorted(row, np.arange(len(begins)))
 
 
-def _score_all(shared, names: list[str]):
+def _frequencies(shared):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, done = shared.value, {}
-        empty = np.zeros(0, np.int64)
+        terms = shared.value
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
+                total += np.bincount(_known(terms, value, begins)[0], minlength=len(terms))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(terms[some].view(np.int64)), pa.array(total[some])], names=["term", "n"])
+
+    return run
+
+
+def _votes(shared, places: dict[int, int]):
+    """Votes of a model on the bags whose place is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            mine = [(places[d], np.searchsorted(model.terms, np.frombuffer(t, np.uint64)), np.frombuffer(c, np.int32)) for d, t, c in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "terms", "counts")), strict=True) if d in places]
+            yield pa.record_batch([pa.array([m[0] for m in mine], pa.int64()), pa.array(model.votes([m[1:] for m in mine]), pa.float64())], names=["place", "votes"])
+
+    return run
 
-        def scored(term: np.ndarray, count: np.ndarray) -> tuple:
-            who, how = model.nearest(*model.vector(term, count)) if len(term) else (empty, np.zeros(0))
-            return model.score(model.votes(who, how)), model.ids[who[:3]].tolist(), how[:3].tolist()
 
+def _score_all(shared, names: list[str]):
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, done = shared.value, {}
         for batch in batches:
             for part in slices(batch, "text"):
                 value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
-                near = np.minimum(np.searchsorted(model.terms, value), max(0, len(model.terms) - 1))
-                at = np.flatnonzero(model.terms[near] == value) if len(model.terms) else empty
-                cut = np.searchsorted(at, begins)
-                out = []
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    term, count = np.unique(near[at[a:b]], return_counts=True)
-                    key = term.tobytes() + count.tobytes()
-                    if key not in done:
-                        if len(done) > 50_000:
-                            done.clear()
-                        done[key] = scored(term, count)
-                    out.append(done[key])
-                score, who, how = zip(*out, strict=True)
+                term, count, cut = _known(model.terms, value, begins)
+                bags = [(term[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                keys = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in bags]
+                if len(done) > 50_000:
+                    done.clear()
+                new = {k: bag for k, bag in zip(keys, bags, strict=True) if k not in done}
+                for k, (who, how) in zip(new, model.nearest(list(new.values())), strict=True):
+                    done[k] = model.score(vote(how, model.labels[who], model.prior)), model.ids[who[:3]].tolist(), how[:3].tolist()
+                score, who, how = zip(*map(done.__getitem__, keys), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(how, pa.list_(pa.float64()))], names=names)
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits the model on labelled documents that aren't held out: of EXAMPLES at most, taken in pseudo-random order of ids."""
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, postings: int = POSTINGS) -> Model:
+    """Fits the model on labelled documents that aren't held out: as many as both bounds allow, taken in pseudo-random order of ids. Term frequencies are of all docs."""
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
-    some = table(some, "examples")
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    bags = texts.select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id bigint, toxic int, terms binary, counts binary").collect()
-    found, texts_seen = [], set()
-    for r in sorted(bags, key=lambda r: r["doc_id"]):
+    some = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(table(some, "examples")), "doc_id")
+    bags = table(texts.select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id bigint, toxic int, n bigint, terms binary, counts binary"), "bags")
+    # at most `examples` documents, though a document may have several rows
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "counts").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = bags.distinct().withColumn("upto", upto).where(F.col("upto") <= postings)
+    found, seen = [], set()
+    for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], bytes(r["terms"]), bytes(r["counts"]))):
         bag = (bytes(r["terms"]), bytes(r["counts"]), r["toxic"])
-        if bag not in texts_seen:
-            texts_seen.add(bag)
+        if bag not in seen:
+            seen.add(bag)
             found.append((r["doc_id"], r["toxic"], np.frombuffer(bag[0], np.uint64), np.frombuffer(bag[1], np.int32)))
-    return fit(found)
+    terms = np.unique(np.concatenate([f[2] for f in found] or [np.zeros(0, np.uint64)]))
+    frequency, documents = {}, 0
+    if len(terms):
+        counts = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(terms)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        frequency = dict(zip(counts.column("term").to_numpy().view(np.uint64).tolist(), counts.column("n").to_pylist(), strict=True))
+        documents = docs.count()
+    of = Examples.of(found, frequency, documents)
+    model = Model(of)
+    if found:
+        # each example is voted on by those outside its fold; equal texts are in one fold
+        fold = np.array([int.from_bytes(hashlib.blake2b(f[2].tobytes() + f[3].tobytes(), digest_size=2).digest(), "big") % FOLDS for f in found])
+        votes = np.full(len(found), model.prior)
+        for f in range(FOLDS):
+            places = {int(of.ids[i]): int(i) for i in np.flatnonzero(fold == f)}
+            shared = spark.sparkContext.broadcast(Model(of, fold != f))
+            for r in bags.select("doc_id", "terms", "counts").mapInArrow(_votes(shared, places), "place bigint, votes double").groupBy("place").agg(F.min("votes").alias("votes")).collect():
+                votes[r["place"]] = r["votes"]
+        model.steps = _monotone(votes, of.labels.astype(float))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, out: tuple[str, str, str] = ("toxicity", "evidence", "evidence_similarity")) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -164,24 +164,86 @@ def test_toxicity_on_held_out_rows(spark):
     assert not any(e in out for r in got.values() for e in r["evidence"])
 
 
-def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(2)
-    examples = []
-    for i in range(500):
+def random_examples(rng, n, vocabulary=60):
+    bags = []
+    for i in range(n):
         label = int(i % 3 == 0)
-        terms = np.unique(rng.integers(0, 40, 12) + 40 * label * (rng.random() < 0.9)).astype(np.uint64)
-        examples.append((i, label, terms, rng.integers(1, 5, len(terms)).astype(np.int32)))
-    model = toxicity.fit(examples)
-    dense = np.zeros((len(examples), len(model.terms)))
-    for b, (row, term, weight) in enumerate(model.blocks):
-        dense[row + b * toxicity.BLOCK, term] = weight
-    for i in range(0, 500, 7):
-        term = np.flatnonzero(dense[i])
-        who, how = model.nearest(term, dense[i][term], but=i)
-        cosine = dense @ dense[i]
-        cosine[i] = -1
-        assert np.allclose(how, np.sort(cosine)[::-1][: len(how)]) and len(how) == min(toxicity.NEIGHBOURS, (cosine > 0).sum())
-        assert np.allclose(cosine[who], how)
+        terms = np.unique(np.minimum(rng.zipf(1.3, 14), vocabulary) + vocabulary * label * (rng.random() < 0.9)).astype(np.uint64)
+        bags.append((i, label, terms, rng.integers(1, 5, len(terms)).astype(np.int32)))
+    return bags
+
+
+def exhaustive(model, bags, matrix):
+    """The NEIGHBOURS nearest of each bag by the cosine with every example over all terms."""
+    out = []
+    for term, count in bags:
+        query = np.zeros(len(model.terms))
+        query[term] = model.vector(term, count)
+        cosine = matrix @ query
+        who = np.lexsort((np.arange(len(cosine)), -cosine.round(12)))
+        out.append([(int(i), float(cosine[i])) for i in who if cosine[i] > 0][: toxicity.NEIGHBOURS])
+    return out
+
+
+def weights_by_hand(bags, terms, idf, strength):
+    matrix = np.zeros((len(bags), len(terms)))
+    for i, (_, _, t, c) in enumerate(bags):
+        at = np.searchsorted(terms, t)
+        matrix[i, at] = (1 + np.log(c)) * idf[at] * strength[at]
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def test_nearest_examples_are_exact():
+    bags = random_examples(np.random.default_rng(2), 500)
+    frequency = {t: 3 + t % 50 for t in range(200)}
+    examples = toxicity.Examples.of(bags, frequency, 1000)
+    model = toxicity.Model(examples)
+    strength = examples.strength(np.ones(500, bool))
+    assert 0 < (strength == 1).sum() < len(strength)
+    idf = np.array([np.log(1001 / (1 + frequency[t])) + 1 for t in model.terms.tolist()])
+    matrix = weights_by_hand(bags, model.terms, idf, strength)
+    queries = [(np.searchsorted(model.terms, t), c) for *_, t, c in bags[::7]] + [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    for (who, how), expected in zip(model.nearest(queries), exhaustive(model, queries, matrix)):
+        assert who.tolist() == [i for i, _ in expected] and np.allclose(how, [s for _, s in expected])
+
+
+def test_scores_are_votes_of_the_nearest(spark):
+    """Whole scores, from texts and labels, by exhaustive search and the definition of votes and of the fit."""
+    docs, labels = labelled(spark, 200)
+    model = toxicity.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    words = {d: Counter(re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t))) for d, t in texts.items()}
+    used = [d for d in sorted(texts) if zlib.crc32(str(d).encode()) % 5]
+    assert model.ids.tolist() == used and model.labels.tolist() == [toxic[d] for d in used]
+    vocabulary = sorted(set().union(*(words[d] for d in used)))
+    assert len(vocabulary) == len(model.terms)
+    have = {w: sum(w in c for c in words.values()) for w in vocabulary}  # of all documents, held out or not
+    n, yes = len(used), sum(toxic[d] for d in used)
+    weight = {}
+    for w in vocabulary:
+        h, both = sum(w in words[d] for d in used), sum(toxic[d] for d in used if w in words[d])
+        spread = h * (n - h) * yes * (n - yes)
+        chi = n * (both * n - h * yes) ** 2 / spread if spread else 0
+        strong = chi >= toxicity.ASSOCIATED + 2 * np.log(len(vocabulary)) and h >= toxicity.LEAST_EXAMPLES
+        weight[w] = (np.log((1 + len(texts)) / (1 + have[w])) + 1) * (1 if strong else toxicity.FAINT)
+
+    def vector(d):
+        v = {w: (1 + np.log(c)) * weight[w] for w, c in words[d].items() if w in weight}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {d: vector(d) for d in texts}
+    got = {r["doc_id"]: r for r in local(toxicity.report(docs, labels))}
+    for d in sorted(texts)[::9]:
+        near = sorted(((-round(sum(x * vectors[e].get(w, 0) for w, x in vectors[d].items()), 12), e) for e in used))[: toxicity.NEIGHBOURS]
+        near = [(-s, e) for s, e in near if s < 0]
+        votes = (sum(s * toxic[e] for s, e in near) + toxicity.PRIOR * yes / n) / (sum(s for s, _ in near) + toxicity.PRIOR)
+        score = 0.98 * np.interp(votes, *model.steps) + 0.02 * votes
+        assert got[d]["score"] == pytest.approx(score) and got[d]["evidence"] == [e for _, e in near[:3]]
+    # the fit never falls, and is the mean label where it is flat
+    x, y = model.steps
+    assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 <= y[0] and y[-1] <= 1
 
 
 def test_toxicity_of_odd_rows(spark, odd, empty):
@@ -458,7 +520,7 @@ def linked_by_hand(rows, percent=80):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join(spark, odd, empty, monkeypatch, small):
     if small:
-        for k, v in (("CHUNK", 2000), ("RANGE", 3000), ("BLOCK", 8), ("BROADCAST_IDS", 5)):
+        for k, v in (("SHARE", 0.05), ("BLOCK", 4), ("BROADCAST_IDS", 5)):
             monkeypatch.setattr(ngram_join, k, v)
     rng = random.Random(9)
     texts = [prose(rng.randint(1, 120), rng) for _ in range(150)]
@@ -478,6 +540,29 @@ def test_ngram_join(spark, odd, empty, monkeypatch, small):
         assert ngram_join.link(empty).count() == 0
 
 
+def test_rows_of_one_document_are_linked(spark):
+    rng = random.Random(14)
+    a, b, c, d = (prose(40, rng) for _ in range(4))
+    rows = [(5, a), (5, b), (1, a), (9, b), (7, c), (7, ""), (7, d), (8, d), (None, a), (None, c), (None, "no links"), (None, "x y z u v w"), (None, "x y z u v w"), (11, ""), (11, ""), (12, "one two")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, __n int").repartition(4)
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in local(ngram_join.link(docs)))
+    expected = {5: 1, 1: 1, 9: 1, 7: 7, 8: 7, 11: 11, 12: 12}
+    by_text = {a: 1, c: 7}
+    assert got == sorted((d or -1, len(shingles(t)), expected[d] if d else by_text.get(t, -1)) for d, t in rows)
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in local(ngram_join.keep_one(docs)))
+    assert kept == sorted([(1, a), (7, ""), (11, ""), (12, "one two"), (-1, "no links"), (-1, "x y z u v w")])
+
+
+def test_large_blocks_of_one_component(spark, monkeypatch):
+    """A component of more members than a block, and outsiders that share tokens with it: no pair within the component is compared."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    per = [1] * 64
+    rows = [(1, 100 if i < 60 else i, i, 64, 64, per) for i in range(66)] + [(2, 100, i, 64, 64, per) for i in range(30)]
+    frame = spark.createDataFrame(rows, "key bigint, root bigint, id bigint, n bigint, m bigint, slices array<int>")
+    got = {(r["a"], r["b"]) for r in local(ngram_join._candidates(frame, 80))}
+    assert got == {(a, b) for a in range(66) for b in range(60, 66) if a < b}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]

@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import table
+from quillon.llm.shared import remove, scratch
+
+#: Links of a node from which its minimum is broadcast: there are at most twice as many such nodes as there are links over this.
+HEAVY = 100_000
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, least): each link with the least b of its a. Minima are aggregated before they are shuffled; links of heavy nodes aren't shuffled at all."""
+    stats = edges.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+    heavy = F.broadcast(stats.where(F.col("n") > HEAVY).select(F.col("a").alias("heavy"), "least"))
+    here = F.col("a") == F.col("heavy")
+    rest = edges.join(heavy.select("heavy"), here, "left_anti").join(stats.where(F.col("n") <= HEAVY).select("a", "least"), "a")
+    return edges.join(heavy, here).select("a", "b", "least").union(rest.select("a", "b", "least"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = table(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")), "least")
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = table(down.groupBy("a").agg(F.min("b").alias("least")), "least")
-    moved = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.union(least.select("a", F.col("least").alias("b"))).distinct()
+    down = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    return down.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link but its component's smallest node; links: (a, b), a <> b.
 
-    Each round is written to the shared folder, and so are the minima that are joined back: between two plain
-    tables, adaptive execution splits the rows of a node with very many links over several tasks.
+    Each round is written to the shared folder, in place of the one before, until every node has one link, to a node that has none to a smaller one.
     """
-    edges, before = table(links.select("a", "b").distinct(), "links"), None
+    spark, path = links.sparkSession, scratch(links.sparkSession, "links")
+    links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().write.parquet(path)
     while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
+        edges = spark.read.schema("a bigint, b bigint").parquet(path)
+        ways = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        inner = edges.select(F.col("b").alias("a")).distinct().join(ways.select("a"), "a", "left_semi")
+        if ways.where("n > 1").select("a").union(inner).isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges, before = table(_small_star(_large_star(edges)), "stars"), mark
+        last, path = path, scratch(spark, "stars")
+        _small_star(_large_star(edges)).write.parquet(path)
+        remove(spark, last)

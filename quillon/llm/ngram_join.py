@@ -6,8 +6,8 @@ An exact grouped prefix join:
    shingles that occur nowhere else than the threshold allows can't link and is left out from here on.
 2. Shingles of what is left are ordered by how many different sets have them, rarest first. Linked sets share one within their prefixes.
    Sets of one size with identical prefixes are one group, whatever their number; equal sets are one member of it.
-3. Pairs are first those that join most with least work: each member with the first of its group, and each group with
-   one leader group of each token of its prefix, if their sizes allow a link. What is verified links; linked members form components.
+3. Pairs are first those that join most with least work: each member with the first of its group; and each group meets
+   one leader group of each token of its prefix, and, if their sizes allow a link, its members are compared with the first of that. What is verified links; linked members form components.
 4. Only members of different components remain. The members of a group that are in one component are a unit. Units that share a token of their
    prefix are compared in blocks of bounded size, and only blocks that can hold different components meet; sizes and counts of shingles in 64 slices of the hash
    space bound the possible overlap. Pairs of units that stay are verified by their first members, then those not yet joined are
@@ -212,11 +212,9 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     return sent.mapInArrow(_block_pairs(percent), "a bigint, b bigint").distinct()
 
 
-def _roots(links: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+def _roots(links: DataFrame, stars: DataFrame) -> DataFrame:
     """(node, root) of the components of links and of earlier stars."""
-    if stars is not None:
-        links = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
-    return components(links)
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
 def _with_roots(df: DataFrame, stars: DataFrame) -> DataFrame:
@@ -225,7 +223,9 @@ def _with_roots(df: DataFrame, stars: DataFrame) -> DataFrame:
 
 def _node_roots(able: DataFrame, percent: int) -> DataFrame:
     """(node, root) of linked nodes. able: (node, n, m, prefix, key, slices, hashes), written."""
-    groups = able.groupBy("n", "key").agg(F.min("node").alias("group"), F.max("m").alias("most"))
+    # the first member of a group, or unit, is the one that shares most: others are edits of it rather than of each other
+    first = F.min(F.struct((-F.col("m")).alias("minus"), "node"))["node"]
+    groups = able.groupBy("n", "key").agg(first.alias("group"), F.max("m").alias("most"))
     groups = table(groups, "groups")
     members = able.select("node", "n", "m", "key", "slices").join(groups, ["n", "key"]).select("node", "group", "n", "m", "most", "slices")
     members = table(members, "members")
@@ -234,19 +234,21 @@ def _node_roots(able: DataFrame, percent: int) -> DataFrame:
     tokens = table(heads.select("group", "n", "most", F.explode("prefix").alias("token")), "tokens")
     leaders = tokens.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "group", "n", "most")).alias("l"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     pairs = tokens.join(table(leaders, "leaders"), "token").where((F.col("group") != F.col("l.group")) & possible(F.col("n"), F.col("most"), F.col("l.n"), F.col("l.most"), percent))
-    pairs = pairs.select(F.least("group", "l.group").alias("a"), F.greatest("group", "l.group").alias("b")).distinct()
+    pairs = pairs.select("group", F.col("l.group").alias("leader")).distinct().join(members.select("group", "node"), "group")
+    pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     inner = members.where("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))
-    stars = _roots(table(_verified(table(pairs.union(inner), "first_pairs"), able, percent), "first_links"))
+    stars = components(_verified(pairs.union(inner), able, percent))
 
-    # units are named by their first node
+    # units are named by their first member
     rooted = table(_with_roots(members, stars), "rooted")
     bounds = F.array(*(F.max(F.col("slices")[k]) for k in range(SLICES)))
-    units = rooted.groupBy("group", "root").agg(F.min("node").alias("id"), F.first("n").alias("n"), F.max("m").alias("m"), F.count(F.lit(1)).alias("size"), bounds.alias("slices"))
+    units = rooted.groupBy("group", "root").agg(first.alias("id"), F.first("n").alias("n"), F.max("m").alias("m"), F.count(F.lit(1)).alias("size"), bounds.alias("slices"))
     units = table(units, "units")
     meeting = tokens.select("group", F.col("token").alias("key")).join(units.select("group", "root"), "group")
     open_ = meeting.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rows = tokens.select("group", F.col("token").alias("key")).join(open_, "key", "left_semi").join(units, "group")
-    pairs = table(_candidates(rows.select("key", "root", "id", "n", "m", "slices"), percent), "unit_pairs")
+    rows = table(rows.select("key", "root", "id", "n", "m", "slices"), "unit_rows")
+    pairs = table(_candidates(rows, percent), "unit_pairs")
     if pairs.isEmpty():
         return stars
     links = table(_verified(pairs, able, percent), "unit_links")
@@ -261,7 +263,7 @@ def _node_roots(able: DataFrame, percent: int) -> DataFrame:
     if apart.isEmpty():
         return stars
     named = rooted.join(units.select("group", "root", F.col("id").alias("unit")), ["group", "root"])
-    rows = apart.join(named, "unit").select("key", F.col("unit").alias("root"), F.col("node").alias("id"), "n", "m", "slices")
+    rows = table(apart.join(named, "unit").select("key", F.col("unit").alias("root"), F.col("node").alias("id"), "n", "m", "slices"), "member_rows")
     more = table(_candidates(rows, percent), "member_pairs")
     links = table(_verified(more, able, percent), "member_links")
     return stars if links.isEmpty() else _roots(links, stars)

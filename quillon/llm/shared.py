@@ -1,25 +1,14 @@
-"""Scratch tables in the folder that driver and executors share."""
+"""What the operators share: scratch tables, small Arrow batches, broadcasts of checked size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import scratch as folder
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+remove = folder.remove
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -31,21 +20,13 @@ def small_batches(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     small_batches(spark)
-    return f"{shared_root(spark)}/quillon-{uuid.uuid4().hex}/{name}"
+    return folder.scratch(spark, name)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: a cut of the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    small_batches(df.sparkSession)
+    return folder.table(df, name)
 
 
 def free(df: DataFrame, name: str) -> str:

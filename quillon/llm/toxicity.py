@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from quillon.llm.shared import table
+from quillon.llm.shared import partitions, table
 from quillon.llm.textkernel import buffers, ragged, releasing, slices, word_hashes
 
 #: The bounds of what is fitted: labelled examples, and distinct terms of all of them, counted for each. Examples are taken in pseudo-random order.
@@ -58,7 +59,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Examples:
-    """Labelled examples as rows of a matrix of terms, by term: the postings of term t are first[t] to first[t + 1]."""
+    """Labelled examples as rows of a matrix of terms, by term: the postings of term t are first[t] to first[t + 1].
+
+    This is what tasks get, in a few bytes for each posting; they make their models of it, once for each worker.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
@@ -66,7 +70,8 @@ class Examples:
     idf: np.ndarray
     first: np.ndarray
     row: np.ndarray
-    raw: np.ndarray  # weight without what the label tells
+    count: np.ndarray
+    fold: np.ndarray  # equal texts are in one fold
 
     @classmethod
     def of(cls, bags: list[tuple[int, int, np.ndarray, np.ndarray]], frequency: dict[int, int], documents: int) -> Examples:
@@ -80,11 +85,23 @@ class Examples:
         order = np.argsort(term, kind="stable")
         term, row, count = term[order], row[order], count[order]
         first = np.searchsorted(term, np.arange(len(terms) + 1))
-        return cls(np.array([b[0] for b in bags], np.int64), np.array([b[1] for b in bags], np.int64), terms, idf, first, row, (1 + np.log(count)) * idf[term])
+        fold = [int.from_bytes(hashlib.blake2b(b[2].tobytes() + b[3].tobytes(), digest_size=2).digest(), "big") % FOLDS for b in bags]
+        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+        return cls(np.array([b[0] for b in bags], np.int64), np.array([b[1] for b in bags], np.int64), terms, idf, first, narrow(row), narrow(count), np.array(fold, np.int64))
 
     def term(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.terms)), np.diff(self.first))
 
+    def model(self, but: int | None = None) -> Model:
+        """The model of all examples, or of those outside a fold; the last one is kept."""
+        kept = self.__dict__.get("kept")
+        if kept is None or kept[0] != but:
+            kept = self.__dict__["kept"] = but, Model(self, np.ones(len(self.labels), bool) if but is None else self.fold != but)
+        return kept[1]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
     def strength(self, rows: np.ndarray) -> np.ndarray:
         """Of each term 1 if it goes with the label among these examples, else FAINT."""
         mine = rows[self.row]
@@ -112,17 +129,16 @@ def vote(how: np.ndarray, labels: np.ndarray, prior: float) -> float:
 
 
 class Model:
-    """Block-max index of examples, and the monotone map from votes to scores."""
+    """Block-max index of examples."""
 
-    def __init__(self, examples: Examples, rows: np.ndarray | None = None):
+    def __init__(self, examples: Examples, rows: np.ndarray):
         """rows: which examples are indexed; term strengths are learnt from these alone."""
-        rows = np.ones(len(examples.labels), bool) if rows is None else rows
         self.ids, self.labels, self.terms = examples.ids[rows], examples.labels[rows], examples.terms
-        strength, mine = examples.strength(rows), rows[examples.row]
-        self.weight = examples.idf * strength
+        mine = rows[examples.row]
+        self.weight = examples.idf * examples.strength(rows)
         self.prior = float(self.labels.mean()) if len(self.labels) else 0.0
         term, self.row = examples.term()[mine], (np.cumsum(rows) - 1)[examples.row[mine]].astype(np.int32)
-        raw = examples.raw[mine] * strength[term]
+        raw = (1 + np.log(examples.count[mine])) * self.weight[term]
         norm = np.sqrt(np.bincount(self.row, raw**2, len(self.labels)))
         self.post = raw / norm[self.row]
         # cells: the postings of one term in one block
@@ -133,7 +149,6 @@ class Model:
         self.cell_block = (self.row[at] // BLOCK).astype(np.int32)
         self.cell_most = np.maximum.reduceat(self.post, at) if len(at) else np.zeros(0)
         self.term_cells = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
-        self.steps = (np.zeros(1), np.zeros(1))
         self.dense: tuple[np.ndarray, np.ndarray] | None = None
 
     def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -200,9 +215,10 @@ class Model:
     def votes(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
         return [vote(how, self.labels[who], self.prior) for who, how in self.nearest(bags)]
 
-    def score(self, votes: float) -> float:
-        """Mostly the fitted probability; a little of the votes keeps their order where the fit is flat."""
-        return float(np.clip(0.98 * np.interp(votes, *self.steps) + 0.02 * votes, 0, 1))
+
+def calibrated(votes: float, steps: tuple[np.ndarray, np.ndarray]) -> float:
+    """Mostly the fitted probability; a little of the votes keeps their order where the fit is flat."""
+    return float(np.clip(0.98 * np.interp(votes, *steps) + 0.02 * votes, 0, 1))
 
 
 def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,22 +257,30 @@ def _frequencies(shared):
     return run
 
 
-def _votes(shared, places: dict[int, int]):
-    """Votes of a model on the bags whose place is known."""
+def _votes(shared):
+    """(place, votes): of each example that examples outside its fold vote on."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            mine = [(places[d], np.searchsorted(model.terms, np.frombuffer(t, np.uint64)), np.frombuffer(c, np.int32)) for d, t, c in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "terms", "counts")), strict=True) if d in places]
-            yield pa.record_batch([pa.array([m[0] for m in mine], pa.int64()), pa.array(model.votes([m[1:] for m in mine]), pa.float64())], names=["place", "votes"])
+        examples = shared.value
+        place = {int(d): i for i, d in enumerate(examples.ids)}
+        bags = []
+        for batch in batches:  # a share of a bounded sample
+            for d, t, c in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "terms", "counts")), strict=True):
+                if d in place:
+                    bags.append((place[d], np.searchsorted(examples.terms, np.frombuffer(t, np.uint64)), np.frombuffer(c, np.int32)))
+        for f in range(FOLDS):
+            mine = [b for b in bags if examples.fold[b[0]] == f]
+            if mine:
+                yield pa.record_batch([pa.array([b[0] for b in mine], pa.int64()), pa.array(examples.model(f).votes([b[1:] for b in mine]), pa.float64())], names=["place", "votes"])
 
     return run
 
 
-def _score_all(shared, names: list[str]):
+def _score_all(shared, steps: tuple[np.ndarray, np.ndarray], names: list[str]):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, done = shared.value, {}
+        model, done = shared.value.model(), {}
         for batch in batches:
             for part in slices(batch, "text"):
                 value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
@@ -267,14 +291,22 @@ def _score_all(shared, names: list[str]):
                     done.clear()
                 new = {k: bag for k, bag in zip(keys, bags, strict=True) if k not in done}
                 for k, (who, how) in zip(new, model.nearest(list(new.values())), strict=True):
-                    done[k] = model.score(vote(how, model.labels[who], model.prior)), model.ids[who[:3]].tolist(), how[:3].tolist()
+                    done[k] = calibrated(vote(how, model.labels[who], model.prior), steps), model.ids[who[:3]].tolist(), how[:3].tolist()
                 score, who, how = zip(*map(done.__getitem__, keys), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(who, pa.list_(pa.int64())), pa.array(how, pa.list_(pa.float64()))], names=names)
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, postings: int = POSTINGS) -> Model:
+@dataclass
+class Trained:
+    """Examples, in the memory of tasks, and the monotone map from votes to scores."""
+
+    examples: Broadcast
+    steps: tuple[np.ndarray, np.ndarray]
+
+
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, postings: int = POSTINGS) -> Trained:
     """Fits the model on labelled documents that aren't held out: as many as both bounds allow, taken in pseudo-random order of ids. Term frequencies are of all docs."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -297,27 +329,22 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, postings
         frequency = dict(zip(counts.column("term").to_numpy().view(np.uint64).tolist(), counts.column("n").to_pylist(), strict=True))
         documents = docs.count()
     of = Examples.of(found, frequency, documents)
-    model = Model(of)
+    shared = spark.sparkContext.broadcast(of)
+    prior = float(of.labels.mean()) if found else 0.0
+    votes = np.full(len(found), prior)
     if found:
-        # each example is voted on by those outside its fold; equal texts are in one fold
-        fold = np.array([int.from_bytes(hashlib.blake2b(f[2].tobytes() + f[3].tobytes(), digest_size=2).digest(), "big") % FOLDS for f in found])
-        votes = np.full(len(found), model.prior)
-        for f in range(FOLDS):
-            places = {int(of.ids[i]): int(i) for i in np.flatnonzero(fold == f)}
-            shared = spark.sparkContext.broadcast(Model(of, fold != f))
-            for r in bags.select("doc_id", "terms", "counts").mapInArrow(_votes(shared, places), "place bigint, votes double").groupBy("place").agg(F.min("votes").alias("votes")).collect():
-                votes[r["place"]] = r["votes"]
-        model.steps = _monotone(votes, of.labels.astype(float))
-    return model
+        voted = bags.select("doc_id", "terms", "counts").repartition(partitions(spark)).mapInArrow(_votes(shared), "place bigint, votes double")
+        for r in voted.groupBy("place").agg(F.min("votes").alias("votes")).collect():
+            votes[r["place"]] = r["votes"]
+    return Trained(shared, _monotone(votes, of.labels.astype(float)) if found else (np.zeros(1), np.zeros(1)))
 
 
-def scored(docs: DataFrame, model: Model, out: tuple[str, str, str] = ("toxicity", "evidence", "evidence_similarity")) -> DataFrame:
+def scored(docs: DataFrame, trained: Trained, out: tuple[str, str, str] = ("toxicity", "evidence", "evidence_similarity")) -> DataFrame:
     """docs with the score, and the ids and similarities of the three nearest examples; columns of these names are replaced."""
     docs = docs.drop(*out)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = (DoubleType(), ArrayType(LongType()), ArrayType(DoubleType()))
     schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(out, kinds, strict=True))])
-    return docs.mapInArrow(_score_all(shared, [*docs.columns, *out]), schema)
+    return docs.mapInArrow(_score_all(trained.examples, trained.steps, [*docs.columns, *out]), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators against brute force on small inputs with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import base64
+import gzip
 import hashlib
+import io
 import random
 import re
 import time
@@ -197,7 +199,7 @@ def test_nearest_examples_are_exact():
     bags = random_examples(np.random.default_rng(2), 500)
     frequency = {t: 3 + t % 50 for t in range(200)}
     examples = toxicity.Examples.of(bags, frequency, 1000)
-    model = toxicity.Model(examples)
+    model = examples.model()
     strength = examples.strength(np.ones(500, bool))
     assert 0 < (strength == 1).sum() < len(strength)
     idf = np.array([np.log(1001 / (1 + frequency[t])) + 1 for t in model.terms.tolist()])
@@ -210,7 +212,8 @@ def test_nearest_examples_are_exact():
 def test_scores_are_votes_of_the_nearest(spark):
     """Whole scores, from texts and labels, by exhaustive search and the definition of votes and of the fit."""
     docs, labels = labelled(spark, 200)
-    model = toxicity.train(docs, labels)
+    trained = toxicity.train(docs, labels)
+    model = trained.examples.value.model()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     words = {d: Counter(re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t))) for d, t in texts.items()}
@@ -239,10 +242,10 @@ def test_scores_are_votes_of_the_nearest(spark):
         near = sorted(((-round(sum(x * vectors[e].get(w, 0) for w, x in vectors[d].items()), 12), e) for e in used))[: toxicity.NEIGHBOURS]
         near = [(-s, e) for s, e in near if s < 0]
         votes = (sum(s * toxic[e] for s, e in near) + toxicity.PRIOR * yes / n) / (sum(s for s, _ in near) + toxicity.PRIOR)
-        score = 0.98 * np.interp(votes, *model.steps) + 0.02 * votes
+        score = 0.98 * np.interp(votes, *trained.steps) + 0.02 * votes
         assert got[d]["score"] == pytest.approx(score) and got[d]["evidence"] == [e for _, e in near[:3]]
     # the fit never falls, and is the mean label where it is flat
-    x, y = model.steps
+    x, y = trained.steps
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 <= y[0] and y[-1] <= 1
 
 
@@ -464,6 +467,19 @@ def test_warc(spark):
             assert (r["payload_bytes"], r["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
             assert (r["record_type"], r["refers_to"]) == (("response", None) if first[body] == r["page_id"] else ("revisit", first[body]))
     assert warc.archived(pages.where("false")).count() == 0
+    path = scratch(spark, "warc")
+    warc.write_warc(pages, path)
+    records = [r for f in spark.read.format("binaryFile").load(path).select("content").collect() for r in warc.parse(io.BytesIO(gzip.decompress(f["content"])))]
+    assert sorted(h["WARC-Type"] for h, _ in records) == ["response"] * 5 + ["revisit"] * 4 + ["warcinfo"]
+    by_id = {h["WARC-Record-ID"]: (h, block) for h, block in records}
+    assert len(by_id) == 10
+    for h, block in records:
+        if h["WARC-Type"] == "response":
+            assert block.startswith(b"HTTP/1.1 200 OK\r\n") and h["Content-Type"].startswith("application/http")
+        elif h["WARC-Type"] == "revisit":
+            original, body = by_id[h["WARC-Refers-To"]]
+            assert original["WARC-Type"] == "response" and original["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and len(body) > len(block) - 1
+            assert h["WARC-Refers-To-Target-URI"] == original["WARC-Target-URI"] and h["WARC-Refers-To-Date"] == original["WARC-Date"]
     twice = spark.createDataFrame([(1, "u", "x")] * 3, "page_id bigint, url string, html string")
     assert sorted(r["record_type"] for r in local(warc.archived(twice))) == ["response", "revisit", "revisit"]
 
@@ -471,7 +487,8 @@ def test_warc(spark):
 # 7
 
 
-def test_token_counts(spark, odd, empty, monkeypatch):
+@pytest.mark.parametrize("known", [token_counts.KNOWN, 40, 0])
+def test_token_counts(spark, odd, empty, monkeypatch, known):
     scores = token_counts.zipf_scores(public_tokenizers.path("piece_bpe_32k.model"))
     longest = max(map(len, scores))
 
@@ -487,13 +504,32 @@ def test_token_counts(spark, odd, empty, monkeypatch):
             best.append(top)
         return best[-1][1]
 
-    monkeypatch.setattr(token_counts, "REMEMBERED", 50)
+    monkeypatch.setattr(token_counts, "KNOWN", known)
+    monkeypatch.setattr(token_counts, "GATHERED", 100)
+    monkeypatch.setattr(token_counts, "RANGE", 200)
     docs = spark.createDataFrame([(i, prose(40)) for i in range(20)], "doc_id bigint, text string").union(odd.select("doc_id", "text"))
-    for r, t in zip(local(token_counts.count_tokens(docs, scores)), docs.collect()):
-        assert r["n_tokens"] == sum(map(by_hand, (t["text"] or "").split()))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_tokens"]) for r in local(token_counts.count_tokens(docs, scores)))
+    words = [(r["doc_id"], WORD.findall(r["text"] or "")) for r in docs.collect()]
+    assert got == sorted((d is None, d or 0, len(w), sum(map(by_hand, w))) for d, w in words)
     assert token_counts.count_tokens(empty, scores).count() == 0
 
 
+def test_walk_scores_prefixes_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    words, scores = ["abcdefgh", "abcdefgi", "abcdefgij", "b"], Counting({"a": -1.0, "bc": -1.5, "▁": -2.0})
+    walk = token_counts.Walk(scores)
+    for w in words:
+        walk.count(w)
+    nodes = {("▁" + w)[:n] for w in words for n in range(1, len(w) + 2)}
+    assert Counting.asked == sum(min(2, len(n)) for n in nodes)
+
+
 # 8
 
 

@@ -15,15 +15,21 @@ EXACT = 2.0**53
 
 
 def number(column: Column, kind: T.DataType) -> Column:
-    """The cell as a double, null if it is no number (or NaN)."""
+    """The cell as a double, null if it is no finite number."""
     if isinstance(kind, T.StringType):
         value = F.when(column.rlike(NUMBER), F.trim(column).try_cast("double"))
         return F.when(F.abs(value) < EXACT, value)
     if isinstance(kind, T.NumericType):
-        return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
+        value = column.cast("double")
+        return F.when(F.abs(value) < float("inf"), value)  # NaN is above all
     return F.lit(None).cast("double")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever it is made of."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def label(column: Column, kind: T.DataType) -> Column:
     """The cell as a category: text as it is, Booleans in lower case."""
     if isinstance(kind, T.StringType):

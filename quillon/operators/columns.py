@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.numbers import label, number
+from quillon.functions.numbers import label, number, quoted
 
 
 @dataclass(frozen=True)
@@ -28,10 +28,10 @@ class Typed:
         return [c for c in self.df.columns if c not in self.unsupported]
 
     def x(self, name: str) -> Column:
-        return number(F.col(f"`{name}`"), self.df.schema[name].dataType)
+        return number(quoted(name), self.df.schema[name].dataType)
 
     def k(self, name: str) -> Column:
-        return label(F.col(f"`{name}`"), self.df.schema[name].dataType)
+        return label(quoted(name), self.df.schema[name].dataType)
 
     def ord(self, name: str) -> int:
         return self.df.columns.index(name)
@@ -49,8 +49,8 @@ def classify(df: DataFrame, dynamic: bool = False) -> Typed:
     maybe = [c for c, k in kinds.items() if isinstance(k, T.NumericType) or dynamic and isinstance(k, T.StringType)]
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *(F.count(F.col(f"`{c}`")).alias(f"present{i}") for i, c in enumerate(kinds)),
-        *(F.count(number(F.col(f"`{c}`"), kinds[c])).alias(f"numbers{i}") for i, c in enumerate(maybe)),
+        *(F.count(quoted(c)).alias(f"present{i}") for i, c in enumerate(kinds)),
+        *(F.count(number(quoted(c), kinds[c])).alias(f"numbers{i}") for i, c in enumerate(maybe)),
     ).first()
     numbers = {c: counts[f"numbers{i}"] for i, c in enumerate(maybe)}
     numeric = [c for c in kinds if numbers.get(c)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.numbers import at_floor, fixed, plain, variation
 from quillon.operators import quantiles
 from quillon.operators.columns import Typed
+from quillon.sources.scratch import table
 
 NAME_CHARS = 20
 
@@ -18,16 +19,16 @@ def missing_percent(typed: Typed, name: str) -> float:
 
 def _middle(typed: Typed, wide: DataFrame) -> dict[str, tuple[Column, Column, Column]]:
     """(q1, median, q3) of each numeric column as expressions: aggregates, or constants where a column is too long for one task."""
-    n = {f"x{i}": typed.numbers[c] for i, c in enumerate(typed.numeric)}
-    long_ = {c: sorted({int(k * 0.25), (k - 1) // 2, k // 2, int(k * 0.75)}) for c, k in n.items() if k > quantiles.DIRECT}
-    known = quantiles.ranked(wide, long_) if long_ else {}
+    n = [typed.numbers[c] for c in typed.numeric]
+    long_ = {i: (k, sorted({int(k * 0.25), *quantiles.middle_ranks(k), int(k * 0.75)})) for i, k in enumerate(n) if k > quantiles.DIRECT}
+    known = quantiles.ranked(quantiles.melted(wide, {i: f"x{i}" for i in long_}), long_) if long_ else {}
     out = {}
-    for c, k in n.items():
-        if c in long_:
-            v = [known[c, r] for r in (int(k * 0.25), (k - 1) // 2, k // 2, int(k * 0.75))]
-            out[c] = F.lit(v[0]), F.lit((v[1] + v[2]) / 2), F.lit(v[3])
+    for i, k in enumerate(n):
+        if i in long_:
+            v = [known[i, r] for r in (int(k * 0.25), (k - 1) // 2, k // 2, int(k * 0.75))]
+            out[f"x{i}"] = F.lit(v[0]), F.lit((v[1] + v[2]) / 2), F.lit(v[3])
         else:
-            out[c] = at_floor(c, 0.25, k), F.percentile(F.col(c), F.lit(0.5)), at_floor(c, 0.75, k)
+            out[f"x{i}"] = at_floor(f"x{i}", 0.25, k), F.percentile(F.col(f"x{i}"), F.lit(0.5)), at_floor(f"x{i}", 0.75, k)
     return out
 
 
@@ -58,17 +59,30 @@ def value_counts(typed: Typed) -> DataFrame:
 def frequencies(counts: DataFrame, top: int | None = None) -> DataFrame:
     """(ord, column, rank, name, value, percentage) by falling value; ties by name. Percentages are of non-null cells, names are cut to 20 characters after grouping.
 
-    top keeps that many of each column, which is decided before the shuffle; all ranks of a column meet in one task.
+    top keeps that many of each column, which is decided before the shuffle. Without it every category has its rank: where there are many, they
+    are sorted in ranges and written, and a rank is a place within its range, after all that come before.
     """
     totals = counts.groupBy("ord").agg(F.sum("value").alias("total"))
-    order = Window.partitionBy("ord", "column").orderBy(F.desc("value"), "name")
-    ranks = counts.withColumn("rank", F.row_number().over(order))
-    if top is not None:
-        ranks = ranks.where(F.col("rank") <= top)
+    if top is not None or counts.count() <= quantiles.DIRECT:
+        order = Window.partitionBy("ord", "column").orderBy(F.desc("value"), "name")
+        ranks = counts.withColumn("rank", F.row_number().over(order))
+        ranks = ranks if top is None else ranks.where(F.col("rank") <= top)
+    else:
+        ranks = _ranks_by_range(counts)
     shares = ranks.join(F.broadcast(totals), "ord")  # as many rows as columns
     return shares.select("ord", "column", "rank", F.substring("name", 1, NAME_CHARS).alias("name"), "value", (F.col("value") * 100.0 / F.col("total")).alias("percentage"))
 
 
+def _ranks_by_range(counts: DataFrame) -> DataFrame:
+    ordered = table(counts.orderBy("ord", F.desc("value"), "name").withColumn("at", F.monotonically_increasing_id()), "frequencies")
+    part = F.shiftright("at", 33)  # the number of the range, as monotonically_increasing_id() has it
+    firsts = ordered.groupBy("ord", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("ord").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select("ord", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each range and column
+    ranks = ordered.withColumn("part", part).join(F.broadcast(firsts), ["ord", "part"])
+    return ranks.select(*counts.columns, (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("rank"))
+
+
 def categorical_profile(typed: Typed, counts: DataFrame) -> DataFrame:
     """(ord, column, unique, mode, missing_pct): the mode is the first of the frequencies, N/A if there is none or it is empty."""
     first = F.min(F.struct((-F.col("value")).alias("minus"), "name"))["name"]
@@ -96,7 +110,7 @@ def histogram(typed: Typed, bins: int = 15, names: list[str] | None = None) -> D
         else:
             step = (high - low) / bins
             frame += [(c, b, f"{fixed(low + b * step, 0)}-{fixed(low + (b + 1) * step, 0)}", low + b * step) for b in range(bins)]
-            bin_ = F.least(F.floor((F.col(x) - low) / step), F.lit(bins - 1)).cast("int")
+            bin_ = F.when(F.col(x).isNotNull(), F.least(F.floor((F.col(x) - low) / step), F.lit(bins - 1)).cast("int"))
         cells.append(F.struct(F.lit(c).alias("column"), bin_.alias("bin")))
     counted = wide.select(F.inline(F.array(*cells))).where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
     every = spark.createDataFrame(frame, "column string, bin int, range string, range_start double")

@@ -1,59 +1,89 @@
-"""Exact order statistics of columns of any length.
+"""Exact order statistics of columns and groups of any length.
 
-A built-in percentile keeps every distinct value of a column in one task. That is right up to `DIRECT` rows; beyond it the
-rank is bracketed by approximate percentiles, whose rank error is a fixed share, until it falls on a bracket or few enough values lie
-between the brackets to be sorted. Rows below and at each bracket are counted, so ties and a bracket that misses only cost a round.
+A built-in percentile keeps every distinct value of a column in one task. That is right up to `DIRECT` rows. Beyond it each rank is bracketed
+by approximate percentiles, whose rank error is a fixed share; one more scan counts what is below, at and above the bracket and gathers, with their
+counts, the values within, unless they are still too many to be sorted, which only costs another round. Both are aggregated before they are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import ceil, floor
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIRECT = 200_000
+#: Values of one bracket that are sorted together.
+FEW = 100_000
 ACCURACY = 10_000
 #: Share by which brackets reach over the rank: several times the error of the approximation.
 MARGIN = 4 / ACCURACY
 
 
-def ranked(df: DataFrame, wanted: dict[str, list[int]], few: int = 100_000) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks of columns, among their non-null values. Each round scans df twice, once for all columns each time."""
-    todo = [(c, r) for c, ranks in wanted.items() for r in ranks]
-    found: dict[tuple[str, int], float] = {}
-    if not todo:
-        return found
-    total = df.agg(*(F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(wanted))).first()
-    # the rank lies strictly between two values (None: open); rows up to the lower one, rows between them
-    between: dict[tuple[str, int], tuple[float | None, float | None, int, int]] = {(c, r): (None, None, 0, total[f"n{i}"]) for i, (c, ranks) in enumerate(wanted.items()) for r in ranks}
-    while todo:
-        values = []
-        for i, (c, r) in enumerate(todo):
-            low, high, before, n = between[c, r]
-            x = F.col(c)
-            inside = F.when((F.lit(True) if low is None else x > low) & (F.lit(True) if high is None else x < high), x)
-            if n <= few:
-                values.append(F.element_at(F.array_sort(F.collect_list(inside)), r - before + 1).alias(f"v{i}"))
-            else:
-                share = (r - before + 0.5) / n
-                values.append(F.percentile_approx(inside, [max(0.0, share - MARGIN), min(1.0, share + MARGIN)], ACCURACY).alias(f"v{i}"))
-        got = df.agg(*values).first()
-        brackets = {i: got[f"v{i}"] for i, k in enumerate(todo) if isinstance(got[f"v{i}"], list)}
-        found |= {k: got[f"v{i}"] for i, k in enumerate(todo) if i not in brackets}
-        if brackets:
-            counts = df.agg(*(F.count_if(f).alias(f"{name}{i}") for i, (low, high) in brackets.items() for x in [F.col(todo[i][0])] for name, f in (("a", x < low), ("b", x <= low), ("c", x < high), ("d", x <= high)))).first()
-            for i, (low, high) in brackets.items():
-                k = todo[i]
-                below_low, to_low, below_high, to_high = (counts[f"{name}{i}"] for name in "abcd")
-                first, last, before, n = between[k]
-                if k[1] < below_low:
-                    between[k] = first, low, before, below_low - before
-                elif k[1] < to_low:
-                    found[k] = low
-                elif k[1] < below_high:
-                    between[k] = low, high, to_low, below_high - to_low
-                elif k[1] < to_high:
-                    found[k] = high
-                else:
-                    between[k] = high, last, to_high, before + n - to_high
-        todo = [k for k in todo if k not in found]
+def melted(df: DataFrame, names: dict[int, str]) -> DataFrame:
+    """(key, value) of the non-null cells of columns, one key for each."""
+    cells = F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in names.items()))
+    return df.select(F.inline(cells)).where("value is not null")
+
+
+def ranked(rows: DataFrame, wanted: dict[int, tuple[int, list[int]]], few: int | None = None) -> dict[tuple[int, int], float]:
+    """Values at 0-based ranks. rows: (key, value) without nulls; wanted: of each key how many values it has, and ranks."""
+    spark, few = rows.sparkSession, FEW if few is None else few
+    found: dict[tuple[int, int], float] = {}
+    # the rank lies strictly between two values (None: open), which have so many rows before and between them
+    spans: dict[tuple[int, int], tuple[float | None, float | None, int, int]] = {(k, r): (None, None, 0, n) for k, (n, ranks) in wanted.items() for r in ranks}
+    above, below = F.col("low").isNull() | (F.col("value") > F.col("low")), F.col("high").isNull() | (F.col("value") < F.col("high"))
+    while spans:
+        items = list(spans)
+        brackets: dict[int, tuple[float, float]] = {}
+        many = {i: spans[k] for i, k in enumerate(items) if spans[k][3] > few}
+        if many:
+            shares = {i: (items[i][1] - before + 0.5) / n for i, (_, _, before, n) in many.items()}
+            ends = {i: (max(0, floor((s - MARGIN) * ACCURACY)), min(ACCURACY, ceil((s + MARGIN) * ACCURACY))) for i, s in shares.items()}
+            points = sorted({p for e in ends.values() for p in e})
+            ids = {s: j for j, s in enumerate(sorted({(items[i][0], low, high) for i, (low, high, *_) in many.items()}, key=str))}
+            frame = spark.createDataFrame([(j, *s) for s, j in ids.items()], "id int, key int, low double, high double")
+            near = F.percentile_approx("value", [p / ACCURACY for p in points], ACCURACY)
+            got = {r["id"]: r["near"] for r in rows.join(F.broadcast(frame), "key").where(above & below).groupBy("id").agg(near.alias("near")).collect()}
+            for i, (low, high, *_) in many.items():
+                values = got[ids[items[i][0], low, high]]
+                brackets[i] = values[points.index(ends[i][0])], values[points.index(ends[i][1])]
+        # of each rank: where it falls (before, at, within, at, behind the bracket), among the values of its span
+        plan = []
+        for i, (k, r) in enumerate(items):
+            low, high, before, n = spans[k, r]
+            a, b = brackets.get(i, (None, None))
+            plan.append((i, k, low, high, a, b, i not in brackets or 3 * MARGIN * n <= few, r - before))
+        frame = spark.createDataFrame(plan, "id int, key int, low double, high double, a double, b double, gather boolean, rank bigint")
+        v = F.col("value")
+        part = F.when(F.col("a").isNull(), 2).when(v < F.col("a"), 0).when(v == F.col("a"), 1).when(v < F.col("b"), 2).when(v == F.col("b"), 3).otherwise(4)
+        placed = rows.join(F.broadcast(frame), "key").where(above & below).select("id", "rank", part.alias("part"), F.when(part.isin(1, 3) | (part == 2) & F.col("gather"), v).alias("value"))
+        counts = placed.groupBy("id", "rank", "part", "value").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("id").orderBy("part", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        here = counts.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+        for row in here.collect():
+            k = items[row["id"]]
+            if row["value"] is not None:
+                found[k] = row["value"]
+                del spans[k]
+                continue
+            low, high, before, _ = spans[k]
+            a, b = brackets[row["id"]]
+            ends_ = {0: (low, a), 2: (a, b), 4: (b, high)}[row["part"]]
+            spans[k] = *ends_, before + row["upto"] - row["n"], row["n"]
     return found
+
+
+def middle_ranks(n: int) -> list[int]:
+    return sorted({(n - 1) // 2, n // 2})
+
+
+def linear_ranks(n: int, shares: tuple[float, ...]) -> list[int]:
+    return sorted({f((n - 1) * s) for s in shares for f in (floor, ceil)})
+
+
+def linear(known: dict[tuple[int, int], float], key: int, n: int, share: float) -> float:
+    """The value at (n - 1) * share, between the two nearest ranks."""
+    at = (n - 1) * share
+    low, high = known[key, floor(at)], known[key, ceil(at)]
+    return low + (high - low) * (at - floor(at))

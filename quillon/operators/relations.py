@@ -41,9 +41,10 @@ def correlation_matrix(typed: Typed, pairs: DataFrame) -> DataFrame:
 
 
 def heat(correlation: str = "correlation") -> list:
-    """Intensity (0 to 90 in tens) and hue of a heat map's cell."""
-    r = F.col(correlation)
-    return [(F.floor(F.abs(r) * 9 + 0.5) * 10).cast("int").alias("intensity"), F.when(r >= 0, "positive").otherwise("negative").alias("hue")]
+    """Intensity (0 to 90 in tens) and hue of a heat map's cell, by the value as printed; 1 and 0 have hues of their own."""
+    r = F.round(correlation, 2)
+    hue = F.when(r == 1, "full").when(r > 0, "positive").when(r < 0, "negative").otherwise("neutral")
+    return [(F.floor(F.abs(r) * 9 + 0.5) * 10).cast("int").alias("intensity"), hue.alias("hue")]
 
 
 def low_cardinality(categorical: DataFrame) -> DataFrame:
@@ -75,9 +76,13 @@ def group_summary(typed: Typed, categories: list[str], names: list[str] | None =
 def _with_medians(typed: Typed, summary: DataFrame) -> DataFrame:
     """Medians by rank: there are few groups, since columns of many categories aren't summarised."""
     groups = [(r["cat_col"], r["category"], r["num_col"], r["count"]) for r in summary.select("cat_col", "category", "num_col", "count").collect()]
-    wide = typed.wide()
-    values = wide.select(*(F.when(F.col(f"k{typed.categorical.index(k)}") == c, F.col(f"x{typed.numeric.index(x)}")).alias(f"g{i}") for i, (k, c, x, _) in enumerate(groups)))
-    known = quantiles.ranked(values, {f"g{i}": sorted({(n - 1) // 2, n // 2}) for i, (*_, n) in enumerate(groups)})
-    rows = [(k, c, x, (known[f"g{i}", (n - 1) // 2] + known[f"g{i}", n // 2]) / 2) for i, (k, c, x, n) in enumerate(groups)]
-    medians = typed.df.sparkSession.createDataFrame(rows, "cat_col string, category string, num_col string, median double")
+    keys = typed.df.sparkSession.createDataFrame([(i, k, c, x) for i, (k, c, x, _) in enumerate(groups)], "key int, cat_col string, category string, num_col string")
+    categories, names = sorted({g[0] for g in groups}), sorted({g[2] for g in groups})
+    by = F.array(*(F.struct(F.lit(c).alias("cat_col"), F.col(f"k{typed.categorical.index(c)}").alias("category")) for c in categories))
+    of = F.array(*(F.struct(F.lit(c).alias("num_col"), F.col(f"x{typed.numeric.index(c)}").alias("value")) for c in names))
+    rows = typed.wide().select(F.inline(by), of.alias("of")).select("cat_col", "category", F.inline("of")).where("value is not null")
+    rows = rows.join(F.broadcast(keys), ["cat_col", "category", "num_col"]).select("key", "value")
+    known = quantiles.ranked(rows, {i: (n, quantiles.middle_ranks(n)) for i, (*_, n) in enumerate(groups)})
+    found = [(k, c, x, quantiles.linear(known, i, n, 0.5)) for i, (k, c, x, n) in enumerate(groups)]
+    medians = typed.df.sparkSession.createDataFrame(found, "cat_col string, category string, num_col string, median double")
     return summary.drop("median").join(F.broadcast(medians), ["cat_col", "category", "num_col"])

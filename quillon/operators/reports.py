@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.profile import frequencies
 from quillon.operators.relations import mirrored
 
 
@@ -125,6 +126,6 @@ def panel_counts(numeric: DataFrame, categorical: DataFrame, pairs: DataFrame, r
     return n.crossJoin(c).crossJoin(strong).select(F.lit(rows).cast("long").alias("records"), "*")  # one row each
 
 
-def category_cards(frequencies: DataFrame, low: DataFrame) -> DataFrame:
-    """Frequencies of the columns that `relations.low_cardinality` keeps."""
-    return frequencies.join(F.broadcast(low.select("ord")), "ord", "left_semi")
+def category_cards(counts: DataFrame, low: DataFrame) -> DataFrame:
+    """Frequencies of the columns that `relations.low_cardinality` keeps; the others' counts are left out before they are ranked."""
+    return frequencies(counts.join(F.broadcast(low.select("ord")), "ord", "left_semi"))

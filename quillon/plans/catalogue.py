@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import classic, columns, insights, profile, relations, reports
+from quillon.plans.analysis import analyze, small
+from quillon.sources.scratch import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,7 +156,7 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(relations.correlation_matrix(typed, relations.correlations(typed)), 6, *PART_NUMBERS).drop("ord1")
 
 
-@query(f"""WITH p AS ({_pairs_sql("part", PART_NUMBERS)}) SELECT col1, col2, CAST(floor(abs(correlation) * 9 + 0.5) * 10 AS INT) AS intensity, CASE WHEN correlation >= 0 THEN 'positive' ELSE 'negative' END AS hue FROM p""")
+@query(f"""WITH p AS ({_pairs_sql("part", PART_NUMBERS)}) SELECT col1, col2, CAST(floor(abs(r) * 9 + 0.5) * 10 AS INT) AS intensity, CASE WHEN r = 1 THEN 'full' WHEN r > 0 THEN 'positive' WHEN r < 0 THEN 'negative' ELSE 'neutral' END AS hue FROM (SELECT col1, col2, round(correlation, 2) AS r FROM p)""")
 def correlation_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.correlations(_typed(spark, sf_dir, "part", *PART_NUMBERS)).select("col1", "col2", *relations.heat())
 
@@ -220,10 +222,9 @@ def dominance_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_insights(typed: columns.Typed) -> DataFrame:
-    counts = profile.value_counts(typed)
-    categorical = profile.categorical_profile(typed, counts)
-    low = relations.low_cardinality(categorical).count()
-    return insights.insights(profile.numeric_profile(typed), profile.frequencies(counts, 2), relations.correlations(typed), typed.rows, len(typed.df.columns), len(typed.numeric), low)
+    counts = table(profile.value_counts(typed), "value_counts")
+    low = relations.low_cardinality(profile.categorical_profile(typed, counts)).count()
+    return insights.insights(small(profile.numeric_profile(typed)), small(profile.frequencies(counts, 2)), small(relations.correlations(typed)), typed.rows, len(typed.df.columns), len(typed.numeric), low)
 
 
 def _insight_sql() -> str:
@@ -285,7 +286,9 @@ def key_like_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.key_like_columns(profile.categorical_profile(typed, profile.value_counts(typed)), typed.rows).drop("ord")
 
 
-@query("""SELECT count(*) AS records, CAST(2 AS BIGINT) AS numeric_columns, CAST(1 AS BIGINT) AS categorical_columns, CAST(1 AS BIGINT) AS incomplete_columns, '1 Columns Affected' AS status FROM lineitem""")
+@query(f"""WITH t AS (SELECT {V1}, l_tax, l_returnflag FROM lineitem), m AS (UNPIVOT (SELECT round((count(*) - count(COLUMNS(*))) * 100.0 / count(*), 1) FROM t) ON COLUMNS(*)),
+n AS (SELECT count(*) FILTER (column_type = 'DOUBLE') AS num, count(*) FILTER (column_type = 'VARCHAR') AS cat FROM (DESCRIBE t)), i AS (SELECT count(*) FILTER (value > 0) AS gone FROM m)
+SELECT (SELECT count(*) FROM t) AS records, num AS numeric_columns, cat AS categorical_columns, gone AS incomplete_columns, CASE WHEN gone = 0 THEN 'Clean' ELSE gone || ' Columns Affected' END AS status FROM n, i""")
 def quality_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = _typed(spark, sf_dir, "lineitem", V1, "l_tax", "l_returnflag")
     return reports.quality_overview(profile.numeric_profile(typed), profile.categorical_profile(typed, profile.value_counts(typed)), typed.rows)
@@ -372,34 +375,32 @@ def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT "column", rank, name, value FROM ({_frequency_sql("part", ["p_type"])})""")
 def category_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = _typed(spark, sf_dir, "part", "p_name", "p_brand", "p_type")
-    counts = profile.value_counts(typed)
-    low = relations.low_cardinality(profile.categorical_profile(typed, counts))
-    return reports.category_cards(profile.frequencies(counts), low).select("column", "rank", "name", "value")
+    counts = table(profile.value_counts(typed), "value_counts")
+    low = small(relations.low_cardinality(profile.categorical_profile(typed, counts)))
+    return reports.category_cards(counts, low).select("column", "rank", "name", "value")
 
 
-@query("""SELECT * FROM (VALUES (0, 'event_id', 'numeric'), (1, 'ts', 'categorical'), (2, 'user_id', 'numeric'), (3, 'event_type', 'categorical'), (4, 'value', 'numeric'), (5, 'props', 'categorical')) t(ord, "column", type) WHERE (SELECT count(*) FROM events) > 0""")
+def _types_sql(name: str) -> str:
+    """Analytic types by the columns' declared types; numeric ones have at least one number in them, as all numeric columns of these tables do."""
+    return f"""SELECT CAST(row_number() OVER () - 1 AS INT) AS ord, column_name AS "column", CASE WHEN column_type LIKE '%[]' THEN 'unsupported' WHEN column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE') THEN 'numeric' ELSE 'categorical' END AS type FROM (DESCRIBE {name}) WHERE (SELECT count(*) FROM {name}) > 0"""
+
+
+@query(_types_sql("events"))
 def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.column_types(_typed(spark, sf_dir, "events"))
 
 
-@query("SELECT type, count(*) AS columns FROM (VALUES ('numeric'), ('numeric'), ('numeric'), ('categorical'), ('categorical'), ('categorical')) t(type) WHERE (SELECT count(*) FROM orders) > 0 GROUP BY 1")
+@query(f"SELECT type, count(*) AS columns FROM ({_types_sql('embeddings')} UNION ALL {_types_sql('orders')}) GROUP BY 1")
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.column_types(_typed(spark, sf_dir, "orders")).groupBy("type").agg(F.count(F.lit(1)).alias("columns"))
-
-
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    both = columns.column_types(_typed(spark, sf_dir, "embeddings")).union(columns.column_types(_typed(spark, sf_dir, "orders")))
+    return both.groupBy("type").agg(F.count(F.lit(1)).alias("columns"))
 
 
 @query("SELECT * FROM customer")
 def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.sources.catalog import Catalog
 
-    catalog = Catalog(spark, _scratch(spark))
+    catalog = Catalog(spark, scratch(spark, "catalog"))
     return catalog.load(catalog.save(spark.read.parquet(f"{sf_dir}/customer.parquet"), "customer.csv"))
 
 
@@ -407,6 +408,102 @@ def catalog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.sources import files
 
-    path = _scratch(spark)
+    path = scratch(spark, "csv")
     files.write_csv(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), path)
     return files.read_csv(spark, path)
+
+
+@query("SELECT 'orders.csv' AS name, ['o_orderkey', 'o_orderstatus'] AS columns, count(*) AS row_count FROM orders")
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two data sets saved, one of them deleted."""
+    from quillon.sources.catalog import Catalog
+
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    gone = catalog.save(spark.read.parquet(f"{sf_dir}/nation.parquet"), "nation.csv")
+    catalog.save(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"), "orders.csv")
+    catalog.delete(gone)
+    return catalog.list().select("name", "columns", "row_count")
+
+
+#: Cells of a CSV file made of orders: numbers as text, some of them no numbers, and empty cells.
+_CELLS = "CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR(20)) END"
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources import files
+
+    path = scratch(spark, "csv")
+    files.write_csv(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", f"{_CELLS} AS mixed", "o_orderstatus"), path)
+    return files.read_csv(spark, path)
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {_CELLS} AS mixed, o_orderstatus FROM orders), n AS (SELECT o_orderkey, try_cast(mixed AS DOUBLE) AS x, mixed FROM t)
+SELECT 'o_orderkey' AS "column", count(o_orderkey) AS n, 0.0 AS missing_pct, round(avg(o_orderkey), 4) AS mean, CAST(max(o_orderkey) AS DOUBLE) AS max FROM t
+UNION ALL SELECT 'mixed', count(x), round(CAST((count(*) - count(mixed)) * 100.0 / count(*) AS DOUBLE), 4), round(avg(x), 4), max(x) FROM n""")
+def typed_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types found per cell: a column with any number is numeric, cells that are none don't count."""
+    numeric = profile.numeric_profile(columns.classify(_csv(spark, sf_dir), dynamic=True))
+    return _rounded(numeric.select("column", "n", "missing_pct", "mean", "max"), 4, "missing_pct", "mean")
+
+
+@query(f"WITH g AS ({_groups_sql('lineitem', ['l_returnflag'], ['l_extendedprice', 'l_discount'])}) SELECT cat_col, num_col, category, round(mean, 4) AS mean FROM g WHERE num_col LIKE 'l\\_ext%' ESCAPE '\\'")
+def prefix_target_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = _groups(_typed(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice", "l_discount"))
+    return _rounded(reports.of_target(groups, "l_ext", prefix=True), 4, "mean").select("cat_col", "num_col", "category", "mean")
+
+
+QUESTIONS = ("summarize", "average of p_retailprice", "maximum of p_size", "distribution of p_size", "most frequent category of p_type", "correlation", "which columns", "hello")
+
+
+def _answers_sql() -> str:
+    number = lambda e: f"printf('%.2f', CAST({e} AS DOUBLE))"
+    stats = f"(SELECT * FROM ({_numeric_sql('part', PART_NUMBERS)}) WHERE \"column\" = '{{}}')"
+    parts = [
+        f"""SELECT '{QUESTIONS[0]}' AS question, '**' || (SELECT count(*) FROM part) || ' records** in **4 columns**: 3 numeric, 1 categorical. Strongest correlation: ' || col1 || ' and ' || col2 || ' (' || {number("correlation")} || ').' AS answer FROM (SELECT * FROM ({_pairs_sql("part", PART_NUMBERS)}) ORDER BY abs(correlation) DESC, ord1, ord2 LIMIT 1)""",
+        f"""SELECT '{QUESTIONS[1]}', 'The mean of **p_retailprice** is **' || {number("mean")} || '**, its median ' || {number("median")} || '.' FROM {stats.format("p_retailprice")}""",
+        f"""SELECT '{QUESTIONS[2]}', 'The maximum of **p_size** is **' || {number("max")} || '**.' FROM {stats.format("p_size")}""",
+        f"""SELECT '{QUESTIONS[3]}', '**p_size** lies between **' || {number("min")} || '** and **' || {number("max")} || '** (range ' || {number("max - min")} || '); its middle half between ' || {number("q1")} || ' and ' || {number("q3")} || ' (IQR **' || {number("q3 - q1")} || '**).' FROM {stats.format("p_size")}""",
+        f"""SELECT '{QUESTIONS[4]}', '**' || max(name) FILTER (rank = 1) || '** is the most frequent category of **p_type** (' || max(printf('%.1f%%', CAST(percentage AS DOUBLE))) FILTER (rank = 1) || '), then ' || string_agg(name || ' (' || printf('%.1f%%', CAST(percentage AS DOUBLE)) || ')', ', ' ORDER BY rank) FILTER (rank IN (2, 3)) || '.' FROM ({_frequency_sql("part", ["p_type"])})""",
+        f"""SELECT '{QUESTIONS[5]}', CASE WHEN count(*) = 0 THEN 'No correlation is above 0.6.' ELSE 'Correlations above 0.6:' || chr(10) || string_agg('- **' || col1 || '** and **' || col2 || '**: ' || {number("correlation")}, chr(10) ORDER BY ord1, ord2) END FROM (SELECT * FROM ({_pairs_sql("part", PART_NUMBERS)}) WHERE abs(correlation) > 0.6 ORDER BY ord1, ord2 LIMIT 3)""",
+        f"""SELECT '{QUESTIONS[6]}', '**Numeric:** ' || string_agg(column_name, ', ' ORDER BY nth) FILTER (column_type <> 'VARCHAR') || chr(10) || chr(10) || '**Categorical:** ' || string_agg(column_name, ', ' ORDER BY nth) FILTER (column_type = 'VARCHAR') FROM (SELECT *, row_number() OVER () AS nth FROM (DESCRIBE SELECT p_partkey, p_size, p_retailprice, p_type FROM part))""",
+        f"""SELECT '{QUESTIONS[7]}', 'Ask for a summary, the columns, correlations, the distribution, maximum or average of a numeric column, the most frequent category of another, or insights.' FROM (SELECT count(*) AS n FROM part) WHERE n > 0""",
+    ]
+    return _union(parts)
+
+
+@query(_answers_sql())
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.plans.ask import ask
+
+    found = analyze(spark.read.parquet(f"{sf_dir}/part.parquet").select(*PART_NUMBERS, "p_type"), "part.csv")
+    return spark.createDataFrame([(q, ask(found, q)) for q in QUESTIONS], "question string, answer string")
+
+
+def _markdown_sql() -> str:
+    two = lambda e: f"printf('%.2f', CAST({e} AS DOUBLE))"
+    lines = {"Mean": two("mean"), "Median": two("median"), "Std Dev": two("std"), "CV (%)": two("cv"), "Range": f"{two('min')} || ' - ' || {two('max')}"}
+    stats = _numeric_sql("part", ["p_size", "p_retailprice"])
+    return _union([f"""SELECT '- **{name}:** ' || {value} AS line FROM ({stats})""" for name, value in lines.items()] + [f"""SELECT '### ' || "column" || ' (numeric)' FROM ({stats})""", "SELECT '**Records:** ' || count(*) FROM part", """SELECT '### p_type (categorical)' FROM (SELECT count(*) AS n FROM part) WHERE n > 0""", "SELECT '- **Unique Values:** ' || count(DISTINCT p_type) FROM part", f"""SELECT '- **Mode:** ' || name FROM ({_frequency_sql("part", ["p_type"])}) WHERE rank = 1""", f"""SELECT '- **Top Categories:** ' || string_agg(name || ' (' || printf('%.1f%%', CAST(percentage AS DOUBLE)) || ')', ', ' ORDER BY rank) FROM ({_frequency_sql("part", ["p_type"])}) WHERE rank <= 3"""])
+
+
+@query(_markdown_sql())
+def markdown_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the Markdown export that state a value of a column."""
+    from quillon.plans import render
+
+    text = render.markdown(analyze(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", "p_retailprice", "p_type"), "part.csv"))
+    kept = ("### ", "- **Mean", "- **Median", "- **Std", "- **CV", "- **Range", "**Records", "- **Unique", "- **Mode", "- **Top")
+    return spark.createDataFrame([(line,) for line in text.splitlines() if line.startswith(kept)], "line string")
+
+
+@query(_union([f"""SELECT '{c}' AS "column", CAST(b.bin AS INT) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS "count" FROM (SELECT unnest(range(15)) AS bin) b LEFT JOIN (SELECT least(CAST(floor(({c} - lo) / ((hi - lo) / 15)) AS INT), 14) AS bin, count(*) AS n FROM (SELECT CAST({c} AS DOUBLE) AS {c} FROM part), (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM part) GROUP BY 1) h ON h.bin = b.bin""" for c in ("p_size", "p_retailprice")]))
+def analysis_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analyze(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", "p_retailprice", "p_type"), "part.csv").histograms
+    return spark.createDataFrame([(c, r["bin"], r["count"]) for c, rows in found.items() for r in rows], "column string, bin int, count bigint")
+
+
+@query(_frequency_sql("part", ["p_name"]).replace("SELECT ord, ", "SELECT ", 1).replace(", value * 100.0 / sum(value) OVER (PARTITION BY ord) AS percentage", ""))
+def every_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All categories of a column of very many, in order."""
+    typed = _typed(spark, sf_dir, "part", "p_name")
+    return profile.frequencies(profile.value_counts(typed)).select("column", "rank", "name", "value")

@@ -30,6 +30,33 @@ def markdown(p: Profile, on: date | None = None) -> str:
     return "\n".join(lines) + "\n"
 
 
+def reports_markdown(p: Profile) -> str:
+    """The four reports: what needs a decision, how good the data is, which segments stand out, and what predicts the target."""
+    decision, quality, segments, predictive = (p.reports[k] for k in ("decision", "quality", "segmentation", "predictive"))
+
+    def section(title: str, items: list[str], none: str) -> list[str]:
+        return ["", f"### {title}", "", *([f"- {i}" for i in items] or [none])]
+
+    over = quality["overview"][0]
+    lines = [f"# Reports on {p.name}", "", "## Decisions"]
+    lines += section("Warnings", [i["text"].replace("**", "") for i in decision["critical"]], "None.")
+    lines += section("Drivers", [f"{r['col1']} and {r['col2']}: r = {fixed(r['correlation'], 2)}" for r in decision["drivers"]], "No |r| reaches 0.7.")
+    lines += section("Unstable columns", [f"{r['column']}: {r['reason']}" + (f", CV {percent(r['cv'], 2)}" if r["cv"] is not None else "") for r in decision["unstable"]], "No CV is above 50 %.")
+    lines += ["", "## Data quality", "", f"{over['records']} records, {over['numeric_columns']} numeric and {over['categorical_columns']} categorical columns: {over['status']}"]
+    lines += section("Missing cells", [f"{r['column']}: {percent(r['missing_pct'])} ({r['affected_records']} records)" for r in quality["missing"]], "None.")
+    lines += section("Inconsistent columns", [f"{r['column']}: {r['reason']}" for r in quality["inconsistent"]], "No CV is above 75 %.")
+    lines += section("Columns like keys", [f"{r['column']}: {r['unique']} values" for r in quality["key_like"]], "None.")
+    lines += ["", "## Segments"]
+    lines += section("Price driver", [f"{r['col1']}: r = {fixed(r['shown_r'], 2)}" for r in segments["price_driver"]], "No column names a price.")
+    lines += section("Premium segment", [f"{r['cat_col']} = {r['category']}: mean {r['num_col']} {fixed(r['mean'], 0)}" for r in segments["premium"]], "None.")
+    lines += section("Core segment", [f"{r['column']} = {r['mode']}" for r in segments["core"]], "None.")
+    lines += ["", f"## Predicting {p.reports['target']}" if p.reports["target"] else "## Prediction needs two numeric columns"]
+    lines += section("Predictors by risk", [f"{r['column']}: score {fixed(r['score'], 3)} (|r| {fixed(r['correlation'], 2)}, CV {percent(r['cv'], 2)})" for r in predictive["risk_adjusted"]], "None.")
+    lines += section("Leveraged groups", [f"{r['cat_col']} = {r['category']}: mean above median by {fixed(r['gain'], 0)}" for r in predictive["leveraged"]], "None.")
+    lines += section("Best and worst group", [f"{r['role']}: {r['cat_col']} = {r['category']} ({fixed(r['mean'], 2)})" for r in predictive["best_worst"]], "None.")
+    return "\n".join(lines) + "\n"
+
+
 def script(name: str, target: str | None = None) -> str:
     """PySpark code with the steps of an exploratory analysis."""
     return f'''from pyspark.sql import SparkSession

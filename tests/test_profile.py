@@ -207,9 +207,9 @@ def test_ranks_of_long_columns(spark):
     values = [rng.expovariate(1) if i % 3 else 7.0 for i in range(20_000)]
     df = spark.createDataFrame([(v,) for v in values], "x0 double").repartition(4)
     ranks = [0, 5_000, 9_999, 10_000, 15_000, 19_999]
-    found = quantiles.ranked(df, {"x0": ranks}, few=50)
+    found = quantiles.ranked(quantiles.melted(df, {3: "x0"}), {3: (len(values), ranks)}, few=50)
     order = sorted(values)
-    assert [found["x0", r] for r in ranks] == [order[r] for r in ranks]
+    assert [found[3, r] for r in ranks] == [order[r] for r in ranks]
 
 
 def test_long_columns_take_ranks(spark, monkeypatch):
@@ -217,7 +217,11 @@ def test_long_columns_take_ranks(spark, monkeypatch):
     df = spark.createDataFrame([(rng.choice("ab"), rng.random()) for _ in range(3000)], "k string, v double")
     typed = columns.classify(df)
     direct, groups = profile.numeric_profile(typed).collect(), sorted(relations.group_summary(typed, ["k"]).collect())
+    others = [sorted(f().collect()) for f in (lambda: classic.describe(typed), lambda: classic.boxplot(typed), lambda: classic.group_aggregate(typed, "v"))]
     monkeypatch.setattr(quantiles, "DIRECT", 100)
+    for f, before in zip((lambda: classic.describe(typed), lambda: classic.boxplot(typed), lambda: classic.group_aggregate(typed, "v")), others):
+        for got, expected in zip(sorted(f().collect()), before):
+            assert got[0] == expected[0] and got[1:] == pytest.approx(expected[1:])
     assert profile.numeric_profile(typed).collect() == direct
     assert sorted(relations.group_summary(typed, ["k"]).select(*groups[0].__fields__).collect()) == groups
 
@@ -229,20 +233,94 @@ def test_ranks_at_the_boundary_of_ties(spark, monkeypatch, margin):
     columns_ = [[i % 2 for i in range(4000)], [i % 50 + 1 for i in range(4000)], [float(i % 2) if i % 4 else rng.random() for i in range(4000)]]
     df = spark.createDataFrame([tuple(map(float, v)) for v in zip(*columns_)], "x0 double, x1 double, x2 double").repartition(4)
     ranks = [0, 1000, 1999, 2000, 3000, 3999]
-    found = quantiles.ranked(df, {f"x{i}": ranks for i in range(3)}, few=50)
+    found = quantiles.ranked(quantiles.melted(df, {i: f"x{i}" for i in range(3)}), {i: (4000, ranks) for i in range(3)}, few=50)
     for i, values in enumerate(columns_):
-        assert [found[f"x{i}", r] for r in ranks] == [sorted(values)[r] for r in ranks]
+        assert [found[i, r] for r in ranks] == [sorted(values)[r] for r in ranks]
 
 
 def test_profile_of_long_even_flags(spark, monkeypatch):
     typed = columns.classify(spark.createDataFrame([("ab"[i // 2 % 2], float(i % 2)) for i in range(4000)], "k string, v double"))
     direct, groups = profile.numeric_profile(typed).collect(), sorted(relations.group_summary(typed, ["k"]).collect())
     monkeypatch.setattr(quantiles, "DIRECT", 100)
-    monkeypatch.setattr(quantiles.ranked, "__defaults__", (50,))
+    monkeypatch.setattr(quantiles, "FEW", 50)
     assert profile.numeric_profile(typed).collect() == direct
     assert sorted(relations.group_summary(typed, ["k"]).select(*groups[0].__fields__).collect()) == groups
 
 
+def test_groups_of_any_size(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(rng.choice("aaaaaaaab") if i % 40 else f"rare{i}", rng.random()) for i in range(2000)] + [("none", None), (None, 1.0)]
+    typed = columns.classify(spark.createDataFrame(rows, "k string, v double"))
+    direct = sorted(classic.group_aggregate(typed, "v").collect())
+    monkeypatch.setattr(quantiles, "DIRECT", 300)
+    assert sorted(classic.group_aggregate(typed, "v").collect()) == direct
+
+
+def test_ranks_of_very_many_categories(spark, monkeypatch):
+    rng = random.Random(16)
+    rows = [(f"name{rng.randrange(400):03}", rng.choice("xyz")) for _ in range(1500)]
+    typed = columns.classify(spark.createDataFrame(rows, "a string, b string").repartition(5))
+    counts = profile.value_counts(typed)
+    direct = sorted(profile.frequencies(counts).collect())
+    monkeypatch.setattr(quantiles, "DIRECT", 10)
+    assert sorted(profile.frequencies(counts).collect()) == direct
+    assert [r["rank"] for r in direct if r["column"] == "a"] == list(range(1, len({a for a, _ in rows}) + 1))
+
+
+def test_infinities_are_no_numbers(spark):
+    inf = float("inf")
+    typed = columns.classify(spark.createDataFrame([(1.0, 2.0), (inf, 3.0), (3.0, -inf), (2.0, 1.0)], "x double, y double"))
+    s = {r["column"]: r for r in profile.numeric_profile(typed).collect()}
+    assert (s["x"]["n"], s["x"]["max"], s["y"]["min"]) == (3, 3.0, 1.0)
+    assert profile.histogram(typed).agg(F.sum("count")).first()[0] == 6
+    assert relations.correlations(typed).first()["correlation"] == pytest.approx(-1)
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], ["a`b.c", "k (`)"])
+    p = analysis.analyze(df)
+    assert (p.numeric_names, p.categorical_names) == (["a`b.c"], ["k (`)"])
+    assert {r["column"]: r["nulls"] for r in classic.null_counts(df).collect()} == {"a`b.c": 0, "k (`)": 0}
+
+
+def test_heat_of_printed_values(spark):
+    r = spark.createDataFrame([(1.0,), (0.996,), (0.004,), (-0.004,), (-0.5,), (0.12,)], "correlation double")
+    got = [(x["intensity"], x["hue"]) for x in r.select(*relations.heat()).collect()]
+    assert got == [(90, "full"), (90, "full"), (0, "neutral"), (0, "neutral"), (50, "negative"), (10, "positive")]
+
+
+def test_reports(spark):
+    rows = [(float(i), 1000.0 - 3 * i, float(i % 7), "ab"[i % 4 == 0], f"id{i}") for i in range(1, 101)] + [(None, 5.0, 6.0, "a", "id0")]
+    p = analysis.analyze(spark.createDataFrame(rows, "age double, price double, other double, kind string, code string"))
+    assert p.reports["target"] == "price" and [r["column"] for r in p.reports["predictive"]["risk_adjusted"]][0] == "age"
+    assert [(r["col1"], r["col2"]) for r in p.reports["decision"]["drivers"]] == [("age", "price")]
+    assert [r["column"] for r in p.reports["quality"]["missing"]] == ["age"] and [r["column"] for r in p.reports["quality"]["key_like"]] == ["code"]
+    assert p.reports["segmentation"]["price_driver"][0]["col1"] == "age" and p.reports["segmentation"]["core"][0]["column"] == "code"
+    assert {r["role"] for r in p.reports["predictive"]["best_worst"]} == {"best", "worst"}
+    assert [sum(b["count"] for b in p.histograms[c]) for c in ("age", "price", "other")] == [100, 101, 101] and len(p.histograms["age"]) == 15
+    assert len(p.frequencies["code"]) == 50 and p.every_frequency.where("column = 'code'").count() == 101
+    text = render.reports_markdown(p)
+    assert "## Predicting price" in text and "age and price: r = -" in text and "101 records" in text
+    one = analysis.analyze(spark.createDataFrame([("x",), ("y",)], "k string"))
+    assert one.reports["target"] is None and "two numeric columns" in render.reports_markdown(one)
+
+
+def test_scratch_folder(spark, monkeypatch):
+    from quillon.sources import scratch
+
+    written = scratch.table(spark.range(3), "three")
+    path = written.inputFiles()[0]
+    assert written.count() == 3 and scratch.shared_root(spark) in path
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    root = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        with pytest.raises(RuntimeError):
+            scratch.shared_root(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", root)
+
+
 def test_partitions_dont_matter(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_type", "p_size", "p_retailprice")
     a, b = (columns.classify(d) for d in (df.coalesce(1), df.repartition(7)))

@@ -138,7 +138,7 @@ class Model:
         self.weight = examples.idf * examples.strength(rows)
         self.prior = float(self.labels.mean()) if len(self.labels) else 0.0
         term, self.row = examples.term()[mine], (np.cumsum(rows) - 1)[examples.row[mine]].astype(np.int32)
-        raw = (1 + np.log(examples.count[mine])) * self.weight[term]
+        raw = (1 + np.log(examples.count[mine].astype(float))) * self.weight[term]
         norm = np.sqrt(np.bincount(self.row, raw**2, len(self.labels)))
         self.post = raw / norm[self.row]
         # cells: the postings of one term in one block

@@ -2,8 +2,9 @@
 
 Every document gets a virtual finish time: the tokens of its source up to and including it, in shuffled order,
 divided by the source's target. The documents of all sources, repeated up to `MAX_EPOCHS` times, are put in order
-of that time and the mix is what comes before the total budget is used up. A hot source is no single task: its
-order is cut into buckets by the leading digits of the shuffle key, and prefix sums run over buckets first.
+of that time and the mix is what comes before the total budget is used up: the first one that would cross it ends the mix, so as much of the
+budget may stay unused as that document is long. A hot source is no single task: its order is cut into buckets by the leading digits of the shuffle key,
+and prefix sums run over buckets first. Buckets and slots of time grow in number with the documents. Only the table of sources is ordered in one task.
 
 Null texts have size 0. A document of size 0 takes nothing. Rows that are equal in id, source and text are one
 unit that is taken or left as a whole; a null source is a source of its own and comes last. Empty input gives empty output. Other columns
@@ -19,9 +20,10 @@ from quillon.llm.shared import table, words
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-#: Shuffle buckets: the first three hexadecimal digits of the key. With time slots they bound what one window task sorts.
-KEY_DIGITS = 3
-SLOTS = 4096
+#: Documents that one shuffle bucket or time slot is meant to have: they bound what one window task sorts.
+TOGETHER = 20_000
+#: Least number of hexadecimal digits of the key that name a bucket, and of slots; slots up to which their table is broadcast.
+KEY_DIGITS, SLOTS, BROADCAST_SLOTS = 3, 4096, 1_000_000
 
 
 def shuffle_key(doc_id: Column, text_hash: Column, seed: str) -> Column:
@@ -59,8 +61,12 @@ def source_targets(units: DataFrame) -> DataFrame:
 
 def plan(units: DataFrame, seed: str = "mix") -> DataFrame:
     """(doc_id, source, text_hash, source_size, target, copies) of every unit of `units` (doc_id, source, text_hash, size, rows, total)."""
+    n = units.count()
+    digits, slots_ = KEY_DIGITS, max(SLOTS, n // TOGETHER)
+    while n // 16**digits > TOGETHER:
+        digits += 1
     targets = source_targets(units)
-    keyed = units.withColumn("key", shuffle_key(F.col("doc_id"), F.col("text_hash"), seed)).withColumn("bucket", F.substring("key", 1, KEY_DIGITS))
+    keyed = units.withColumn("key", shuffle_key(F.col("doc_id"), F.col("text_hash"), seed)).withColumn("bucket", F.substring("key", 1, digits))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("total").alias("bucket_total"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("bucket_total").over(ahead), F.lit(0)).alias("ahead"))
@@ -71,7 +77,7 @@ def plan(units: DataFrame, seed: str = "mix") -> DataFrame:
     run = run.select("u.doc_id", "u.source", "u.text_hash", "u.key", "u.total", "source_size", "target", (F.col("ahead") + F.col("within")).alias("upto"))
     epochs = run.select("*", F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))).alias("epoch"))
     epochs = epochs.withColumn("finish", F.when(F.col("target") > 0, (F.col("upto") + F.col("epoch") * F.col("source_size")) / F.col("target")))
-    epochs = epochs.where(F.col("finish") < MAX_EPOCHS + 1).withColumn("slot", F.floor(F.col("finish") * SLOTS))
+    epochs = epochs.where(F.col("finish") < MAX_EPOCHS + 1).withColumn("slot", F.floor(F.col("finish") * slots_))
     epochs = table(epochs, "finish_times")
     # the order of finish times is cut into ranges (slots); the sums of the slots before a row's own are known from few rows
     slots = epochs.groupBy("slot").agg(F.sum("total").alias("slot_total"))
@@ -79,7 +85,8 @@ def plan(units: DataFrame, seed: str = "mix") -> DataFrame:
     slots = slots.select("slot", F.coalesce(F.sum("slot_total").over(earlier), F.lit(0)).alias("earlier"))
     inside = Window.partitionBy("slot").orderBy("finish", "key", "epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     budget = units.agg(F.sum("total")).first()[0] or 0
-    queued = epochs.withColumn("inside", F.sum("total").over(inside)).join(F.broadcast(slots), "slot")  # at most (MAX_EPOCHS + 1) * SLOTS rows
+    queued = epochs.withColumn("inside", F.sum("total").over(inside))
+    queued = queued.join(F.broadcast(slots) if (MAX_EPOCHS + 1) * slots_ <= BROADCAST_SLOTS else slots, "slot")
     taken = queued.where(F.col("earlier") + F.col("inside") <= budget)
     copies = taken.groupBy("doc_id", "source", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     same = F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.text_hash") == F.col("c.text_hash"))

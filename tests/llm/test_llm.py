@@ -209,42 +209,47 @@ def test_nearest_examples_are_exact():
         assert who.tolist() == [i for i, _ in expected] and np.allclose(how, [s for _, s in expected])
 
 
-def test_scores_are_votes_of_the_nearest(spark):
-    """Whole scores, from texts and labels, by exhaustive search and the definition of votes and of the fit."""
-    docs, labels = labelled(spark, 200)
-    trained = toxicity.train(docs, labels)
-    model = trained.examples.value.model()
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    words = {d: Counter(re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t))) for d, t in texts.items()}
-    used = [d for d in sorted(texts) if zlib.crc32(str(d).encode()) % 5]
-    assert model.ids.tolist() == used and model.labels.tolist() == [toxic[d] for d in used]
-    vocabulary = sorted(set().union(*(words[d] for d in used)))
-    assert len(vocabulary) == len(model.terms)
-    have = {w: sum(w in c for c in words.values()) for w in vocabulary}  # of all documents, held out or not
-    n, yes = len(used), sum(toxic[d] for d in used)
+def scores_by_hand(rows, toxic, steps):
+    """(score, evidence) of every row (doc_id, text), by exhaustive search and the definition of votes; toxic: labels by doc_id, one row for each."""
+    words = [Counter(re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t or ""))) for _, t in rows]
+    first = {}  # equal texts of one label are one example
+    for d, i in sorted((d, i) for i, (d, _) in enumerate(rows) if d in toxic and zlib.crc32(str(d).encode()) % 5):
+        first.setdefault((frozenset(words[i].items()), toxic[d]), (d, i))
+    used = sorted(first.values())
+    vocabulary = sorted(set().union(*(words[i] for _, i in used)))
+    n, yes = len(used), sum(toxic[d] for d, _ in used)
     weight = {}
     for w in vocabulary:
-        h, both = sum(w in words[d] for d in used), sum(toxic[d] for d in used if w in words[d])
+        have = sum(w in c for c in words)  # of all documents, held out or not
+        h, both = sum(w in words[i] for _, i in used), sum(toxic[d] for d, i in used if w in words[i])
         spread = h * (n - h) * yes * (n - yes)
         chi = n * (both * n - h * yes) ** 2 / spread if spread else 0
         strong = chi >= toxicity.ASSOCIATED + 2 * np.log(len(vocabulary)) and h >= toxicity.LEAST_EXAMPLES
-        weight[w] = (np.log((1 + len(texts)) / (1 + have[w])) + 1) * (1 if strong else toxicity.FAINT)
+        weight[w] = (np.log((1 + len(rows)) / (1 + have)) + 1) * (1 if strong else toxicity.FAINT)
 
-    def vector(d):
-        v = {w: (1 + np.log(c)) * weight[w] for w, c in words[d].items() if w in weight}
+    def vector(c):
+        v = {w: (1 + np.log(k)) * weight[w] for w, k in c.items() if w in weight}
         norm = sum(x * x for x in v.values()) ** 0.5
         return {w: x / norm for w, x in v.items()}
 
-    vectors = {d: vector(d) for d in texts}
+    examples, out = [(d, vector(words[i])) for d, i in used], []
+    for c in words:
+        v = vector(c)
+        near = sorted((-round(sum(x * e.get(w, 0) for w, x in v.items()), 12), d) for d, e in examples)[: toxicity.NEIGHBOURS]
+        near = [(-s, d) for s, d in near if s < 0]
+        votes = (sum(s * toxic[d] for s, d in near) + toxicity.PRIOR * yes / n) / (sum(s for s, _ in near) + toxicity.PRIOR)
+        out.append((0.98 * np.interp(votes, *steps) + 0.02 * votes, [d for _, d in near[:3]]))
+    return out
+
+
+def test_scores_are_votes_of_the_nearest(spark):
+    docs, labels = labelled(spark, 150)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    trained = toxicity.train(docs, labels)
     got = {r["doc_id"]: r for r in local(toxicity.report(docs, labels))}
-    for d in sorted(texts)[::9]:
-        near = sorted(((-round(sum(x * vectors[e].get(w, 0) for w, x in vectors[d].items()), 12), e) for e in used))[: toxicity.NEIGHBOURS]
-        near = [(-s, e) for s, e in near if s < 0]
-        votes = (sum(s * toxic[e] for s, e in near) + toxicity.PRIOR * yes / n) / (sum(s for s, _ in near) + toxicity.PRIOR)
-        score = 0.98 * np.interp(votes, *trained.steps) + 0.02 * votes
-        assert got[d]["score"] == pytest.approx(score) and got[d]["evidence"] == [e for _, e in near[:3]]
-    # the fit never falls, and is the mean label where it is flat
+    for (d, _), (score, evidence) in zip(rows, scores_by_hand(rows, {r["doc_id"]: r["toxic"] for r in labels.collect()}, trained.steps)):
+        assert got[d]["score"] == pytest.approx(score) and got[d]["evidence"] == evidence
+    # the fit never falls, and stays a share
     x, y = trained.steps
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 <= y[0] and y[-1] <= 1
 
@@ -545,7 +550,7 @@ def linked_by_hand(rows, percent=80):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            if rows[i][0] == rows[j][0] or sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -714,12 +719,14 @@ def test_copies_of_an_edited_item_are_found(spark):
         assert {r["doc_id"]: r["score"] for r in local(decontaminate.contaminated(docs, bench))} == {0: 1.0} | {i: score for i in range(1, 101)}
 
 
-def test_bound_of_alignments():
+def test_many_alignments_at_once(monkeypatch):
     rng = random.Random(12)
-    for _ in range(300):
-        item, passage = ([rng.randrange(9) for _ in range(n)] for n in (12, 15))
-        item, passage = np.array(item), np.array(passage)
-        assert decontaminate.align(item, passage)[0] <= decontaminate.bound(item, passage)
+    pairs = [tuple(np.array([rng.randrange(2, 9) for _ in range(n)], np.uint64) for n in (rng.randint(1, 20), rng.randint(0, 60))) for _ in range(300)]
+    expected = [decontaminate.align(*p)[0] for p in pairs]
+    for cells in (1, 200, decontaminate.CELLS):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        assert decontaminate.best_scores(pairs).tolist() == expected
+    assert decontaminate.best_scores([]).tolist() == []
 
 
 def test_rows_without_id_are_decontaminated(spark):
@@ -810,6 +817,57 @@ def test_oracle_sql(spark):
         assert rows == sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in expected.select(*names).fetchall()), name
 
 
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Every stage against brute force on its own input, with null and repeated ids, copies, toxic texts and benchmark items."""
+    rng = random.Random(17)
+    items = [(i, prose(20, rng)) for i in range(5)] + [(None, prose(20, rng))]
+    rows, labels = [], {}
+    for i in range(120):
+        words = prose(rng.randint(8, 50), rng).split()
+        if i % 5 == 0:
+            words.insert(3, "nasty")
+        elif i % 11 == 0:
+            words[4:4] = items[i % 6][1].split()
+        rows.append((i, " ".join(words), f"s{i % 3}" if i % 13 else None))
+        labels[i] = int(i % 5 == 0)
+    rows += [(200 + k, rows[k][1], rows[k][2]) for k in (1, 2, 3)] + [(300, rows[6][1] + " end", "s1"), rows[7], (8, rows[9][1], "s0"), (None, rows[12][1], "s0"), (None, prose(30, rng), None), (None, "nasty " + prose(10, rng), "s2"), (400, None, "s0"), (401, "", None)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("lang", F.lit("en")).withColumn("size", F.lit(7))
+    documents.repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs, key = documents, lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")
+    for name, stage in corpus_pipeline.STAGES:
+        before = sorted(map(tuple, docs.select("doc_id", "text", "source").collect()), key=key)
+        columns, result = docs.columns, corpus_pipeline.table(stage(spark, docs, f"file://{tmp_path}"), name)
+        assert name == "token_output" or result.columns == columns
+        if name == "toxicity":
+            steps = toxicity.train(docs, spark.read.parquet(f"file://{tmp_path}/labels.parquet")).steps
+            # a repeated id's rows are several examples
+            expected = [r for r, (score, _) in zip(before, scores_by_hand([r[:2] for r in before], labels, steps)) if score < 0.5]
+            assert 0 < len(expected) < len(before)
+        elif name == "near_duplicates":
+            named = [(r[0] if r[0] is not None else 10_000 + i, r[1]) for i, r in enumerate(before)]
+            kept = linked_by_hand(named)
+            expected = [r for i, r in enumerate(before) if kept[named[i][0]][1] == named[i][0]]
+            expected = [r for i, r in enumerate(expected) if r[0] is None or r[0] not in [x[0] for x in expected[:i]]]
+        elif name == "benchmark_decontamination":
+            bad = {i for i, _ in best_by_hand(list(enumerate(r[1] for r in before)), items)}
+            expected = [r for i, r in enumerate(before) if i not in bad]
+            assert bad
+        elif name == "source_mix":
+            copies, *_ = mixed_by_hand([(r[0], r[2], r[1]) for r in before])
+            expected = [r for r in before for _ in range(copies[r[0], r[2], r[1]])]
+        else:
+            order = sorted(before, key=lambda r: (r[0] is not None, r[0] or 0))
+            ids = encode_by_hand([r[1] for r in order])
+            got = result.orderBy("start").collect()
+            assert [r["doc_id"] for r in got] == [r[0] for r in order] and sum(r["n_tokens"] for r in got) == sum(map(len, ids))
+            assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids)
+            break
+        docs = result
+        assert sorted(map(tuple, docs.select("doc_id", "text", "source").collect()), key=key) == sorted(expected, key=key), name
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

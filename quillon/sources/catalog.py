@@ -32,9 +32,9 @@ class Catalog:
         return log.where(~F.col("deleted")).join(log.where("deleted").select("id"), "id", "left_anti").drop("deleted")
 
     def save(self, df: DataFrame, name: str) -> int:
-        """Writes df and adds it to the catalogue; returns its id, the time in milliseconds."""
+        """Writes df and adds it to the catalogue; returns its id, the time in milliseconds, or the next one that is free."""
         now = time.time()
-        id_, path = int(now * 1000), f"{self.root}/data/{uuid.uuid4().hex}"
+        id_, path = max(int(now * 1000), (self._log().agg(F.max("id")).first()[0] or 0) + 1), f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.parquet(path)
         rows = self.spark.read.parquet(path).count()
         self._append((id_, name, df.columns, rows, datetime.fromtimestamp(now, UTC), path, False))

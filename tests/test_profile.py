@@ -195,6 +195,12 @@ def test_catalog(spark, mixed, tmp_path):
         catalog.load(id_)
 
 
+def test_catalog_ids_are_unique(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quillon.sources.catalog.time.time", lambda: 1_700_000_000.0)
+    catalog = Catalog(spark, f"file://{tmp_path}/same")
+    assert len({catalog.save(spark.range(1), "a.csv") for _ in range(3)}) == 3 == catalog.list().count()
+
+
 def test_csv_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([('a"b', "x,y"), ("line\nfeed", None)], "p string, q string")
     files.write_csv(df, f"file://{tmp_path}/out")

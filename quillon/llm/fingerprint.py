@@ -14,9 +14,11 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Iterator
+from math import inf
 
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -26,6 +28,8 @@ from quillon.llm.textkernel import releasing
 
 #: Digests up to which a table of them is broadcast; a larger one is joined by shuffling.
 BROADCAST_DIGESTS = 1_000_000
+#: Bytes of text in a range of ids.
+RANGE_BYTES = 256 << 20
 
 
 def canonical(text: str | None) -> str:
@@ -103,11 +107,12 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(2, partitions(spark))
+    n = max(2, partitions(spark), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    bounds = sorted(set(bounds))
-    cuts = F.array(*(F.lit(b).cast("bigint") for b in bounds)) if bounds else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda b: b <= F.col("doc_id"))))
+    # the range of an id is found by binary search; rows without an id are in the first one
+    ranges = Bucketizer(splits=[-inf, *sorted(set(map(float, bounds or [0]))), inf], inputCol="id", outputCol="range", handleInvalid="keep")
+    docs = ranges.transform(docs.withColumn("id", F.col("doc_id").cast("double"))).drop("id")
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("range").cast("int"))
     # one row per range: its first id, and which range comes before it (the last one before the first)
     firsts = docs.groupBy(part.alias("part")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("first"))
     firsts = sorted((r["first"]["known"], r["part"], r["first"]["id"]) for r in firsts.collect())

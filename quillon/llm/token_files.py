@@ -24,7 +24,9 @@ from quillon.llm.textkernel import BLOCK, KEPT, buffers, ragged, releasing, slic
 
 PIECE = 1 << 16
 #: Rows of a row-index stride; words that a Python worker remembers (about 40 bytes each); bytes of text in one file.
-STRIDE, REMEMBERED, FILE_BYTES = 1000, 3_000_000, 256 << 20
+STRIDE, REMEMBERED, FILE_BYTES = 1000, 1_000_000, 256 << 20
+#: Words that the library encodes at once.
+AT_ONCE = 20_000
 #: Documents of several pieces up to which their table is broadcast; a larger one is joined by shuffling.
 BROADCAST_LONG = 1_000_000
 U = np.uint64
@@ -74,7 +76,7 @@ class Encoder:
         return got
 
     def _learn(self, value: np.ndarray, units: list[str]) -> None:
-        """Adds words that are not known yet: all are encoded as one text of lines, which a line's end tells apart."""
+        """Adds words that are not known yet, by rising hash: they are encoded as one text of lines, which a line's end tells apart."""
         odd = np.array([u[-1].isspace() or u.lstrip(" ")[0].isspace() for u in units])
         fine = [u for u, o in zip(units, odd, strict=True) if not o]
         got = self.ids("".join(f"{u}\n" for u in fine) + ".")[:-1]
@@ -86,11 +88,8 @@ class Encoder:
         at = np.zeros(len(units), np.int64)
         at[~odd] = np.r_[0, ends[:-1] + 1][: len(ends)] + len(self.flat)
         self.flat = np.concatenate([self.flat, got])
-        every = np.concatenate([self.hash, value])
-        order = np.argsort(every, kind="stable")
-        self.hash = every[order]
-        self.at, self.n = np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
-        self.again = np.concatenate([self.again, np.zeros(len(value), bool)])[order]
+        where = np.searchsorted(self.hash, value)
+        self.hash, self.at, self.n, self.again = (np.insert(old, where, new) for old, new in ((self.hash, value), (self.at, at), (self.n, n), (self.again, False)))
 
     def _forget(self) -> None:
         """Keeps words that came again since the last time, up to half of the room."""
@@ -130,8 +129,10 @@ class Encoder:
             some = np.zeros(len(distinct), np.int64)
             some[inverse] = np.arange(len(value))  # one of its places
             some = some[~known]
-            raw = data.tobytes()
-            self._learn(distinct[~known], [(" " if b else "") + raw[s:e].decode() for s, e, b in zip(start[some].tolist(), end[some].tolist(), blank[some].tolist(), strict=True)])
+            raw, new = data.tobytes(), distinct[~known]
+            for k in range(0, len(some), AT_ONCE):
+                where = some[k : k + AT_ONCE]
+                self._learn(new[k : k + AT_ONCE], [(" " if b else "") + raw[s:e].decode() for s, e, b in zip(start[where].tolist(), end[where].tolist(), blank[where].tolist(), strict=True)])
             place, _ = self._find(distinct)
         at, n = self.at[place][inverse], self.n[place][inverse]
 
@@ -177,7 +178,7 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, offset, number = encoder(path), 0, 0
         for batch in batches:
-            for part in slices(batch, "text", 4 * BLOCK):
+            for part in slices(batch, "text", BLOCK):
                 ids, begins = coder.encode(part.column("text"))
                 ids = np.insert(ids, begins[1:], end)  # the end id after each document
                 begins = begins + np.arange(len(begins))

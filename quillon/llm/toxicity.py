@@ -38,7 +38,9 @@ LEAST_EXAMPLES, ASSOCIATED = 3, 4.0
 FAINT = 0.01
 NEIGHBOURS, BLOCK = 15, 64
 #: Terms of more than one in so many examples are dealt with as a matrix, for so many documents together.
-FREQUENT, TOGETHER = 8, 256
+FREQUENT, TOGETHER = 8, 64
+#: Bytes of text that a task works on at once.
+TEXT_BYTES = 1 << 20
 #: Weight of the prior among the votes.
 PRIOR = 0.5
 FOLDS = 5
@@ -248,7 +250,7 @@ def _frequencies(shared):
         terms = shared.value
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
                 total += np.bincount(_known(terms, value, begins)[0], minlength=len(terms))
         some = np.flatnonzero(total)
@@ -282,12 +284,12 @@ def _score_all(shared, steps: tuple[np.ndarray, np.ndarray], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, done = shared.value.model(), {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
                 term, count, cut = _known(model.terms, value, begins)
                 bags = [(term[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 keys = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in bags]
-                if len(done) > 50_000:
+                if len(done) > 5_000:
                     done.clear()
                 new = {k: bag for k, bag in zip(keys, bags, strict=True) if k not in done}
                 for k, (who, how) in zip(new, model.nearest(list(new.values())), strict=True):

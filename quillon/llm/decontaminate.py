@@ -34,8 +34,10 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Bytes of items (8 for each word) that are sent to the tasks at once; more are taken in blocks, each with its own scans.
 ITEM_BYTES = 64 << 20
-#: Words of texts whose seeds are looked up at once.
-SEGMENT = 1 << 18
+#: Words of texts whose seeds are looked up at once, and words of passages that are aligned at once.
+SEGMENT, CELLS = 1 << 16, 1 << 15
+#: Bytes of text that a task works on at once.
+TEXT_BYTES = 1 << 20
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +67,7 @@ def index(ids: list[int | None], words: list[np.ndarray], counts: dict[int, int]
     for i, item in enumerate(words):
         n = len(item)
         least = max(1, int(np.ceil(n * threshold - 1e-9)))  # words that a copy has at least: each earns MATCH at most
-        c = max(1, least // 2)
+        c = max(1, least // 3)
         rarest = sorted(range(n), key=lambda k: (counts.get(int(item[k]), 0), int(item[k]), k))[: n - least + c]
         need.append(c)
         window.append(n + int(MATCH * n * (1 - threshold) / -GAP))  # the words put in cost as much as it may lose
@@ -94,13 +96,31 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def bound(item: np.ndarray, passage: np.ndarray) -> int:
-    """What no alignment with a passage can exceed: an item's word that doesn't occur in it costs at least a mismatch or a gap."""
-    best = here = 0
-    for there in np.isin(item, passage).tolist():
-        here = max(here + (MATCH if there else max(MISMATCH, GAP)), 0)
-        best = max(best, here)
-    return best
+def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Best local alignment scores of (item, passage) pairs, many at once: shorter ones are filled up with words that match nothing."""
+    out = np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][1]))
+    at = 0
+    while at < len(order):
+        some = [order[at]]
+        while at + len(some) < len(order) and (len(some) + 1) * len(pairs[order[at + len(some)]][1]) <= CELLS:
+            some.append(order[at + len(some)])
+        at += len(some)
+        width, length = len(pairs[some[-1]][1]), max(len(pairs[k][0]) for k in some)
+        item, passage = np.zeros((length, len(some), 1), np.uint64), np.ones((len(some), width), np.uint64)
+        for k, pair in enumerate(some):
+            item[: len(pairs[pair][0]), k, 0], passage[k, : len(pairs[pair][1])] = pairs[pair]
+        steps = np.arange(width + 1, dtype=np.int32) * GAP
+        above, best = np.zeros((len(some), width + 1), np.int32), np.zeros(len(some), np.int32)
+        for word in item:
+            here = np.zeros_like(above)
+            np.maximum(above[:, :-1] + np.where(passage == word, np.int32(MATCH), np.int32(MISMATCH)), above[:, 1:] + GAP, out=here[:, 1:])
+            np.maximum(here, 0, out=here)
+            here -= steps
+            above = np.maximum.accumulate(here, axis=1) + steps
+            np.maximum(best, above.max(1), out=best)
+        out[some] = best
+    return out
 
 
 def candidates(value: np.ndarray, begins: np.ndarray, items: Index) -> dict[tuple[int, int], list[tuple[int, int]]]:
@@ -137,16 +157,16 @@ def candidates(value: np.ndarray, begins: np.ndarray, items: Index) -> dict[tupl
 def copies(texts: pa.Array, items: Index) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, end) of the best copy of each item in each row."""
     value, _, _, begins = word_hashes(*buffers(texts), letters_only=True)
-    for (row, i), passages in candidates(value, begins, items).items():
-        item, best = items.words[i], (0, 0, 0)
-        perfect = MATCH * len(item)
-        for a, b in passages:
-            if bound(item, value[a:b]) >= items.threshold * perfect:
-                score, end = align(item, value[a:b])
-                best = max(best, (score, a, a + end))
-        if best[0] >= items.threshold * perfect:
-            _, length = align(item[::-1], value[best[1] : best[2]][::-1])
-            yield row, i, best[0] / perfect, best[2] - length - int(begins[row]), best[2] - int(begins[row])
+    places = [(row, i, a, b) for (row, i), passages in candidates(value, begins, items).items() for a, b in passages]
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for (row, i, a, b), score in zip(places, best_scores([(items.words[i], value[a:b]) for _, i, a, b in places]).tolist(), strict=True):
+        if score >= items.threshold * MATCH * len(items.words[i]):
+            found[row, i] = max(found.get((row, i), (0, 0, 0)), (score, a, b))
+    for (row, i), (score, a, b) in found.items():
+        item = items.words[i]
+        _, end = align(item, value[a:b])
+        _, length = align(item[::-1], value[a : a + end][::-1])
+        yield row, i, score / (MATCH * len(item)), a + end - length - int(begins[row]), a + end - int(begins[row])
 
 
 def _count(shared):
@@ -155,7 +175,7 @@ def _count(shared):
         words = shared.value
         total = np.zeros(len(words), np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 value, *_ = word_hashes(*buffers(part.column("text")), letters_only=True)
                 at = np.minimum(np.searchsorted(words, value), len(words) - 1)
                 total += np.bincount(at[words[at] == value], minlength=len(words))
@@ -192,7 +212,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", TEXT_BYTES):
                     doc_ids = part.column("doc_id")
                     out = [(doc_ids[r].as_py(), block.ids[i], *where) for r, i, *where in copies(part.column("text"), block)]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
@@ -213,7 +233,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
         @releasing
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", TEXT_BYTES):
                     keep = np.ones(part.num_rows, bool)
                     keep[[r for r, *_ in copies(part.column("text"), shared.value)]] = False
                     yield part.filter(pa.array(keep))

@@ -311,20 +311,21 @@ def test_reports(spark):
     assert one.reports["target"] is None and "two numeric columns" in render.reports_markdown(one)
 
 
-def test_scratch_folder(spark, monkeypatch):
+def test_scratch_folder(spark):
     from quillon.sources import scratch
 
     written = scratch.table(spark.range(3), "three")
     path = written.inputFiles()[0]
     assert written.count() == 3 and scratch.shared_root(spark) in path
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
-    root = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        with pytest.raises(RuntimeError):
-            scratch.shared_root(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", root)
+    class Cluster:  # a session without a shared folder whose executors are elsewhere
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_root(Cluster)
 
 
 def test_partitions_dont_matter(spark):

@@ -93,4 +93,42 @@ l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1) m ON m.doc_id = d.doc_id"""
 
-ORACLES = {"op3_mixing": OP3, "op4_secrets": OP4, "op6_warc": OP6, "op8_ngram_join": OP8, "op10_pii": OP10}
+_VECTORS = """SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0"""
+#: Rows are told apart by their number, so that only a query's own row is left out; shorter vectors count as if filled with zeros.
+OP11 = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS nth, * FROM ({_VECTORS})),
+s AS (SELECT q.nth, q.vec_id AS query_id, y.vec_id, y.nth AS other, CAST(coalesce(list_sum([q.v[i] * y.v[i] FOR i IN range(1, least(len(q.v), len(y.v)) + 1)]), 0) AS BIGINT) AS score FROM v q JOIN v y ON q.nth <> y.nth WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id NULLS LAST, other) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def _kmeans(k: int, rounds: int) -> str:
+    far = "list_sum([(v.v[i] - c.c[i]) * (v.v[i] - c.c[i]) FOR i IN range(1, 65)])"
+    out = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS nth, * FROM ({_VECTORS} AND len(embedding) = 64))""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id IS NULL, h, v) - 1 AS INT) AS n, v AS c FROM (SELECT vec_id, v, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v) QUALIFY n < {k})""",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT nth, vec_id, v, n AS cluster, far AS distance FROM (SELECT v.nth, v.vec_id, v.v, c.n, CAST({far} AS BIGINT) AS far FROM v CROSS JOIN c{r} c) QUALIFY row_number() OVER (PARTITION BY nth ORDER BY far, n) = 1)""")
+        if r < rounds:
+            out.append(f"""m{r} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (SELECT c.n, coalesce(l.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT cluster, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS c FROM m{r} GROUP BY cluster) l ON l.cluster = c.n)""")
+    return f"""WITH {", ".join(out)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.n = a.cluster"""
+
+
+OP12 = _kmeans(40, 5)
+
+_LOST = "CAST(sum(CASE WHEN m.mask & o.own <> 0 AND m.mask & o.before = 0 THEN m.{0} ELSE 0 END) AS BIGINT)"
+OP13 = rf"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t), lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(w.t, '[^A-Z]', '', 'g')) > 5 * length(w.t) THEN 4 ELSE 0 END
+ + CASE WHEN regexp_matches(w.t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > firsts.first THEN 16 ELSE 0 END AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w JOIN firsts ON firsts.t = w.t LEFT JOIN lab ON lab.doc_id = w.doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), p AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+o AS (SELECT filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS f, CAST(pow(2, ascii(substr(filter_order, step, 1)) - 65) AS INT) AS own, CAST(coalesce(list_sum([pow(2, ascii(substr(filter_order, i, 1)) - 65) FOR i IN range(1, step)]), 0) AS INT) AS before FROM p, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, o.f, CAST(sum(CASE WHEN m.mask & (o.own + o.before) = 0 THEN m.n ELSE 0 END) AS BIGINT) AS kept, {_LOST.format("n")} AS removed, CAST(sum(CASE WHEN m.mask & o.own <> 0 AND m.mask & o.before <> 0 THEN m.n ELSE 0 END) AS BIGINT) AS redundant,
+ CAST(sum(CASE WHEN m.mask = o.own THEN m.n ELSE 0 END) AS BIGINT) AS unique_fails, {_LOST.format("good")} AS good_lost, {_LOST.format("toxic")} AS toxic_lost FROM m CROSS JOIN o GROUP BY part, filter_order, step, o.f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+ORACLES = {"op3_mixing": OP3, "op4_secrets": OP4, "op6_warc": OP6, "op8_ngram_join": OP8, "op10_pii": OP10, "op11_knn_join": OP11, "op12_centroids": OP12, "op13_filter_audit": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, fingerprint, mixing, ngram_join, pii, secrets, token_counts, token_files, toxicity, warc
+from quillon.llm import centroids, decontaminate, filter_audit, fingerprint, knn_join, mixing, ngram_join, pii, secrets, token_counts, token_files, toxicity, warc
 from quillon.llm.oracles import ORACLES
 
 
@@ -58,8 +58,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.search(_read(spark, sf_dir, "embeddings"), every=50)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_mixing, op4_secrets, op5_token_files, op6_warc, op7_token_counts, op8_ngram_join, op9_decontaminate, op10_pii)}
+    every = (op1_fingerprint, op2_toxicity, op3_mixing, op4_secrets, op5_token_files, op6_warc, op7_token_counts, op8_ngram_join, op9_decontaminate, op10_pii, op11_knn_join, op12_centroids, op13_filter_audit)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +25,10 @@ def number(column: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+#: As many digits as any double has, before the point and after.
+_DIGITS = Context(prec=400)
+
+
 def quoted(name: str) -> Column:
     """A column by its name, whatever it is made of."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -57,7 +61,7 @@ def fixed(value: float | None, places: int) -> str:
     """The value with that many decimals; ties of its exact binary value go away from 0."""
     if value is None:
         return "N/A"
-    return str(Decimal(value).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP))
+    return str(Decimal(value).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP, context=_DIGITS))
 
 
 def plain(value: float) -> str:

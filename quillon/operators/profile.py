@@ -108,9 +108,11 @@ def histogram(typed: Typed, bins: int = 15, names: list[str] | None = None) -> D
             frame.append((c, 0, plain(low), low))
             bin_ = F.when(F.col(x).isNotNull(), F.lit(0))
         else:
-            step = (high - low) / bins
-            frame += [(c, b, f"{fixed(low + b * step, 0)}-{fixed(low + (b + 1) * step, 0)}", low + b * step) for b in range(bins)]
-            bin_ = F.when(F.col(x).isNotNull(), F.least(F.floor((F.col(x) - low) / step), F.lit(bins - 1)).cast("int"))
+            unit = 1.0 if high - low < float("inf") else 0.25  # the width may be more than a double holds
+            low, step = low * unit, (high * unit - low * unit) / bins
+            starts = [(low + b * step) / unit for b in range(bins)] + [high]
+            frame += [(c, b, f"{fixed(starts[b], 0)}-{fixed(starts[b + 1], 0)}", starts[b]) for b in range(bins)]
+            bin_ = F.when(F.col(x).isNotNull(), F.least(F.floor((F.col(x) * unit - low) / step), F.lit(bins - 1)).cast("int"))
         cells.append(F.struct(F.lit(c).alias("column"), bin_.alias("bin")))
     counted = wide.select(F.inline(F.array(*cells))).where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
     every = spark.createDataFrame(frame, "column string, bin int, range string, range_start double")

@@ -452,6 +452,25 @@ def prefix_target_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(reports.of_target(groups, "l_ext", prefix=True), 4, "mean").select("cat_col", "num_col", "category", "mean")
 
 
+#: A cell of three lines with quotes and commas in it.
+_NOTE = "concat('status ', o_orderstatus, chr(10), '\"', o_orderpriority, '\", ', chr(10), CAST(o_custkey AS VARCHAR(20)))"
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, {_NOTE} AS note, o_orderstatus FROM orders")
+def csv_quoted_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file whose cells hold newlines, read in many splits."""
+    from quillon.sources import files
+
+    path, most = scratch(spark, "csv"), "spark.sql.files.maxPartitionBytes"
+    files.write_csv(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", f"{_NOTE} AS note", "o_orderstatus"), path)
+    before = spark.conf.get(most)
+    spark.conf.set(most, "256k")
+    try:
+        return files.read_csv(spark, path)
+    finally:
+        spark.conf.set(most, before)
+
+
 QUESTIONS = ("summarize", "average of p_retailprice", "maximum of p_size", "distribution of p_size", "most frequent category of p_type", "correlation", "which columns", "hello")
 
 

@@ -6,6 +6,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.functions.numbers import quoted
+from quillon.sources import csv_records
+from quillon.sources.scratch import table
 
 CORRUPT = "_malformed"
 
@@ -16,24 +21,45 @@ def not_empty(df: DataFrame) -> DataFrame:
     return df
 
 
+_FORMAT = {"header": True, "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _cells(spark: SparkSession, path: str, corrupt: str | None = None) -> DataFrame:
+    """Every cell as text; corrupt: see `csv_records.parsed`. Files of more than one split are read in parallel; if cells hold newlines they are
+    written as a table, so that what follows, often several scans, doesn't join lines again."""
+    whole = spark.read.options(**_FORMAT, multiLine=True)
+    header = whole.csv(path).schema
+    if not header.names:
+        return spark.createDataFrame([], T.StructType([T.StructField(corrupt, T.StringType())] if corrupt else []))
+    sizes = spark.read.format("binaryFile").load(path).agg(F.max("length"), F.sum("length"), F.count(F.lit(1))).first()  # from the listing of the files
+    known = None
+    if sizes[0] > csv_records.split_bytes(spark, sizes[1], sizes[2]):
+        lines = csv_records.lines(spark, path)
+        known = csv_records.layout(lines)
+        if known.special and not known.unsplit:
+            return table(csv_records.parsed(csv_records.records(lines, known), header.names, corrupt), "csv_cells")  # its splits are those of now
+    reader = whole if known is None or known.special or known.unsplit else spark.read.options(**_FORMAT)
+    if corrupt:
+        reader = reader.options(columnNameOfCorruptRecord=corrupt, enforceSchema=True).schema(T.StructType([*header, T.StructField(corrupt, T.StringType())]))
+    return reader.csv(path)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every cell as text: types are found per cell, not per column.
+    """A CSV file, or a folder of them, with a header, every cell as text: types are found per cell, not per column.
 
     Short rows are filled with nulls, extra cells dropped, blank lines skipped, empty cells null.
     """
-    df = spark.read.options(header=True, multiLine=True, escape='"', mode="PERMISSIVE").csv(path)
+    df = _cells(spark, path)
     if not df.columns:
         raise ValueError("no data found")
-    return not_empty(df.select([F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]))
+    return not_empty(df.select([F.nullif(quoted(c), F.lit("")).alias(c) for c in df.columns]))
 
 
 def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
     """(row, cells) of each line whose cells don't match the header: the line itself and what was read from it."""
-    header = spark.read.options(header=True, multiLine=True, escape='"').csv(path).schema
-    schema = header.add(CORRUPT, "string")
-    rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True).csv(path)
+    rows = _cells(spark, path, CORRUPT)
     # Spark parses only the columns that are asked for, so they are part of the result
-    cells = F.struct(*(F.col(f"`{c}`") for c in header.fieldNames() if c != CORRUPT))
+    cells = F.struct(*(quoted(c) for c in rows.columns if c != CORRUPT))
     return rows.select(F.col(CORRUPT).alias("row"), cells.alias("cells")).where(F.col("row").isNotNull())
 
 

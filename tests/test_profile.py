@@ -195,6 +195,48 @@ def test_catalog(spark, mixed, tmp_path):
         catalog.load(id_)
 
 
+def test_damaged_versions_are_passed_over(spark, tmp_path, monkeypatch):
+    from quillon.sources import catalog as module
+
+    catalog = Catalog(spark, f"file://{tmp_path}/log")
+    a, b = (catalog.save(spark.range(n), f"{n}.csv") for n in (1, 2))
+    assert catalog.damaged() == []
+    (tmp_path / "log/log/00000000000000000001.json").write_text("PAR1 nonsense")
+    (tmp_path / "log/log/.00000000000000000001.json.crc").unlink(missing_ok=True)
+    assert catalog.damaged() == ["00000000000000000001.json"] and [r["id"] for r in catalog.list().collect()] == [b]
+    monkeypatch.setattr(module, "COMPACT", 4)
+    c = catalog.save(spark.range(3), "3.csv")
+    catalog.delete(b)  # writes a summary
+    d = catalog.save(spark.range(4), "4.csv")
+    assert (tmp_path / "log/log/00000000000000000004.summary").exists() and d > c > b > a
+    assert sorted(r["id"] for r in catalog.list().collect()) == [c, d] and catalog.load(d).count() == 4
+    (tmp_path / "log/log/00000000000000000004.summary").write_text("{")
+    (tmp_path / "log/log/.00000000000000000004.summary.crc").unlink(missing_ok=True)
+    assert sorted(r["id"] for r in catalog.list().collect()) == [c, d]  # from the versions themselves
+    for f in (tmp_path / "log/log").iterdir():
+        if f.suffix != ".crc":
+            f.write_text("{}")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert catalog.list().count() == 0 and len(catalog.damaged()) == 6
+    assert catalog.load(catalog.save(spark.range(5), "5.csv")).count() == 5
+
+
+def test_savers_at_the_same_time(spark, tmp_path, monkeypatch):
+    """A saver that another one overtakes takes the next version, and an id of its own."""
+    catalog, other = (Catalog(spark, f"file://{tmp_path}/race") for _ in range(2))
+    monkeypatch.setattr("time.time", lambda: 1_800_000_000.0)
+    create, ids = catalog._create, []
+
+    def overtaken(name, said):
+        if not ids:
+            ids.append(other.save(spark.range(1), "first.csv"))
+        return create(name, said)
+
+    monkeypatch.setattr(catalog, "_create", overtaken)
+    ids.append(catalog.save(spark.range(2), "second.csv"))
+    assert ids == [1_800_000_000_000, 1_800_000_000_001] and catalog.load(ids[1]).count() == 2 and catalog.list().count() == 2
+
+
 def test_catalog_ids_are_unique(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("quillon.sources.catalog.time.time", lambda: 1_700_000_000.0)
     catalog = Catalog(spark, f"file://{tmp_path}/same")
@@ -337,6 +379,14 @@ def test_partitions_dont_matter(spark):
     assert {r["n"] for r in sizes} == {200}
 
 
+def test_values_of_any_size(spark):
+    assert fixed(1e27, 2) == f"{int(1e27)}.00" and len(fixed(1.7e308, 2)) == 312 and fixed(-5e-324, 2) == "-0.00"
+    typed = numbers(spark, [-1.7e308, 0.0, 1.7e308])
+    bins = profile.histogram(typed, 3).orderBy("bin").collect()
+    assert [r["count"] for r in bins] == [1, 1, 1] and bins[0]["range_start"] == -1.7e308
+    assert f"- **Range:** {fixed(1e27, 2)} - {fixed(3e30, 2)}" in render.markdown(analysis.analyze(spark.createDataFrame([(1e27,), (3e30,)], "v double"), "v"))
+
+
 def test_formats():
     assert (fixed(1.005, 2), fixed(2.5, 0), fixed(None, 2)) == ("1.00", "3", "N/A")
     assert (plain(1e8), plain(0.5)) == ("100000000", "0.5")

@@ -8,43 +8,24 @@ from pyspark.sql import functions as F
 from quillon.functions.numbers import quoted
 from quillon.operators import quantiles
 from quillon.operators.columns import Typed
+from quillon.operators.quantiles import MEDIAN
 from quillon.operators.relations import mirrored
+from quillon.sources.scratch import table
 
 
-def _records(typed: Typed, of) -> DataFrame:
-    wide = typed.wide()
-    records = [F.struct(F.lit(c).alias("column"), *of(f"x{i}")) for i, c in enumerate(typed.numeric)]
-    return wide.agg(F.array(*records).alias("records")).select(F.inline("records"))
-
-
-SHARES = (0.25, 0.5, 0.75)
-
-
-def _quartiles(typed: Typed, *names: str):
-    """Interpolated quartiles of a column: parts of one aggregate, or constants where it is too long for one task."""
-    n = {f"x{i}": typed.numbers[c] for i, c in enumerate(typed.numeric)}
-    long_ = {i: (k, quantiles.linear_ranks(k, SHARES)) for i, k in enumerate(n.values()) if k > quantiles.DIRECT}
-    known = quantiles.ranked(quantiles.melted(typed.wide(), {i: f"x{i}" for i in long_}), long_) if long_ else {}
-
-    def of(x: str) -> list:
-        i = int(x[1:])
-        if i in long_:
-            return [F.lit(quantiles.linear(known, i, n[x], s)).alias(name) for s, name in zip(SHARES, names, strict=True)]
-        three = F.percentile(F.col(x), F.array(*map(F.lit, SHARES)))
-        return [three[k].alias(name) for k, name in enumerate(names)]
-
-    return of
+QUARTILES = ((0.25, "linear"), (0.5, "linear"), (0.75, "linear"))
 
 
 def describe(typed: Typed) -> DataFrame:
     """count, mean, sample deviation, min, interpolated quartiles, max of each numeric column."""
-    quartiles = _quartiles(typed, "p25", "p50", "p75")
-    return _records(typed, lambda x: [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *quartiles(x), F.max(x).alias("max")])
+    x = F.col
+    rows = quantiles.column_records(typed, lambda _, c: {"count": F.count(x(c)), "mean": F.avg(x(c)), "std": F.stddev_samp(x(c)), "min": F.min(x(c)), "max": F.max(x(c))}, QUARTILES, ("p25", "p50", "p75"))
+    return rows.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def boxplot(typed: Typed) -> DataFrame:
     """Interpolated quartiles and the fences at 1.5 times their distance."""
-    q = _records(typed, _quartiles(typed, "q1", "q2", "q3"))
+    q = quantiles.column_records(typed, lambda _, c: {}, QUARTILES, ("q1", "q2", "q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return q.select("*", (F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence"))
 
@@ -74,15 +55,11 @@ def group_aggregate(typed: Typed, target: str, by: str | None = None) -> DataFra
     by = by or typed.categorical[0]
     x = F.col("x")
     rows = typed.df.select(typed.k(by).alias("category"), typed.x(target).alias("x")).where("category is not null")
-    stats = rows.groupBy("category").agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-    median = F.percentile(x, F.lit(0.5)).alias("median")
-    large = [] if typed.rows <= quantiles.DIRECT else stats.where(F.col("count") > quantiles.DIRECT).select("category", "count").collect()
-    if large:  # one in DIRECT rows at most
-        keys = typed.df.sparkSession.createDataFrame([(r["category"], i) for i, r in enumerate(large)], "category string, key int")
-        values = rows.where("x is not null").join(F.broadcast(keys), "category").select("key", x.alias("value"))
-        known = quantiles.ranked(values, {i: (r["count"], quantiles.middle_ranks(r["count"])) for i, r in enumerate(large)})
-        found = [(r["category"], quantiles.linear(known, i, r["count"], 0.5)) for i, r in enumerate(large)]
-        medians = rows.join(F.broadcast(keys), "category", "left_anti").groupBy("category").agg(median).union(typed.df.sparkSession.createDataFrame(found, "category string, median double"))
+    stats = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    if typed.rows <= quantiles.DIRECT:
+        out = rows.groupBy("category").agg(F.percentile(x, F.lit(0.5)).alias("median"), *stats)
     else:
-        medians = rows.groupBy("category").agg(median)
-    return stats.join(medians, "category").select("category", "count", *(F.round(c, 2).alias(c) for c in ("mean", "median", "std", "min", "max")))
+        first = table(rows.groupBy("category").agg(*stats, quantiles.brackets(x, MEDIAN).alias("ends_0")), "groups")
+        medians = quantiles.selected(rows, ["category"], {0: "x"}, MEDIAN, first.select("category", "ends_0"))
+        out = first.join(medians.select("category", quantiles.middle().alias("median")), "category", "left")
+    return out.select("category", "count", *(F.round(c, 2).alias(c) for c in ("mean", "median", "std", "min", "max")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.numbers import at_floor, fixed, plain, variation
+from quillon.functions.numbers import fixed, plain, variation
 from quillon.operators import quantiles
 from quillon.operators.columns import Typed
 from quillon.sources.scratch import table
@@ -17,34 +17,25 @@ def missing_percent(typed: Typed, name: str) -> float:
     return (typed.rows - typed.present[name]) * 100.0 / typed.rows if typed.rows else 0.0
 
 
-def _middle(typed: Typed, wide: DataFrame) -> dict[str, tuple[Column, Column, Column]]:
-    """(q1, median, q3) of each numeric column as expressions: aggregates, or constants where a column is too long for one task."""
-    n = [typed.numbers[c] for c in typed.numeric]
-    long_ = {i: (k, sorted({int(k * 0.25), *quantiles.middle_ranks(k), int(k * 0.75)})) for i, k in enumerate(n) if k > quantiles.DIRECT}
-    known = quantiles.ranked(quantiles.melted(wide, {i: f"x{i}" for i in long_}), long_) if long_ else {}
-    out = {}
-    for i, k in enumerate(n):
-        if i in long_:
-            v = [known[i, r] for r in (int(k * 0.25), (k - 1) // 2, k // 2, int(k * 0.75))]
-            out[f"x{i}"] = F.lit(v[0]), F.lit((v[1] + v[2]) / 2), F.lit(v[3])
-        else:
-            out[f"x{i}"] = at_floor(f"x{i}", 0.25, k), F.percentile(F.col(f"x{i}"), F.lit(0.5)), at_floor(f"x{i}", 0.75, k)
-    return out
+def missing_shares(typed: Typed, names: list[str]) -> DataFrame:
+    """(ord, column, missing_pct) of columns, known from their types' scan."""
+    return typed.df.sparkSession.createDataFrame([(typed.ord(c), c, missing_percent(typed, c)) for c in names], "ord int, column string, missing_pct double")
+
+
+QUARTILES = ((0.25, "floor"), (0.5, "middle"), (0.75, "floor"))
 
 
 def numeric_profile(typed: Typed) -> DataFrame:
     """(ord, column, n, missing_pct, mean, median, min, max, q1, q3, std, cv): one aggregation for all columns."""
+    names = ["ord", "column", "n", "missing_pct", "mean", "median", "min", "max", "q1", "q3", "std"]
     if not typed.numeric:
         return typed.df.sparkSession.createDataFrame([], "ord int, column string, n bigint, missing_pct double, mean double, median double, min double, max double, q1 double, q3 double, std double, cv double")
-    wide = typed.wide()
-    middle = _middle(typed, wide)
-    records = []
-    for i, c in enumerate(typed.numeric):
-        x = F.col(f"x{i}")
-        q1, median, q3 = middle[f"x{i}"]
-        stats = {"ord": F.lit(typed.ord(c)), "column": F.lit(c), "n": F.count(x), "missing_pct": F.lit(missing_percent(typed, c)), "mean": F.avg(x), "median": median, "min": F.min(x), "max": F.max(x), "q1": q1, "q3": q3, "std": F.stddev_pop(x)}
-        records.append(F.struct(*(v.alias(k) for k, v in stats.items())))
-    rows = wide.agg(F.array(*records).alias("records")).select(F.inline("records"))
+
+    def stats(name: str, cell: str) -> dict[str, Column]:
+        x = F.col(cell)
+        return {"ord": F.lit(typed.ord(name)), "n": F.count(x), "missing_pct": F.lit(missing_percent(typed, name)), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.stddev_pop(x)}
+
+    rows = quantiles.column_records(typed, stats, QUARTILES, ("q1", "median", "q3")).select(*names)
     return rows.withColumn("cv", variation(F.col("std"), F.col("mean")))
 
 

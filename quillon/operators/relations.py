@@ -8,24 +8,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.numbers import pearson
-from quillon.operators import quantiles
+from quillon.operators import gram, quantiles
 from quillon.operators.columns import Typed
+from quillon.sources.scratch import table
 
-#: Pairs in one aggregation; wider tables take several scans.
+#: Pairs in one aggregation.
 PAIRS = 200
 LOW_CARDINALITY = 15
 CATEGORY_CHARS = 15
 
 
-def correlations(typed: Typed) -> DataFrame:
-    """(ord1, ord2, col1, col2, correlation) of all pairs in column order."""
+_PAIRS = "ord1 int, ord2 int, col1 string, col2 string, correlation double"
+
+
+def _of_pairs(typed: Typed, pairs: list[tuple[int, int]]) -> DataFrame:
+    """One aggregation for every PAIRS pairs."""
     wide, out = typed.wide(), None
-    pairs = list(combinations(range(len(typed.numeric)), 2))
     for at in range(0, len(pairs), PAIRS):
         records = [F.struct(F.lit(typed.ord(typed.numeric[i])).alias("ord1"), F.lit(typed.ord(typed.numeric[j])).alias("ord2"), F.lit(typed.numeric[i]).alias("col1"), F.lit(typed.numeric[j]).alias("col2"), pearson(F.col(f"x{i}"), F.col(f"x{j}")).alias("correlation")) for i, j in pairs[at : at + PAIRS]]
         part = wide.agg(F.array(*records).alias("records")).select(F.inline("records"))
         out = part if out is None else out.union(part)
-    return out if out is not None else typed.df.sparkSession.createDataFrame([], "ord1 int, ord2 int, col1 string, col2 string, correlation double")
+    return out if out is not None else typed.df.sparkSession.createDataFrame([], _PAIRS)
+
+
+def correlations(typed: Typed) -> DataFrame:
+    """(ord1, ord2, col1, col2, correlation) of all pairs in column order. More than PAIRS are found by matrix products (`gram`), but for the
+    pairs that these leave in doubt."""
+    pairs = list(combinations(range(len(typed.numeric)), 2))
+    if len(pairs) <= PAIRS:
+        return _of_pairs(typed, pairs)
+    found = table(gram.correlations(typed), "correlations")
+    doubtful = [(r["i"], r["j"]) for r in found.where("doubtful").select("i", "j").collect()]  # pairs of columns
+    names = typed.df.sparkSession.createDataFrame([(i, typed.ord(c), c) for i, c in enumerate(typed.numeric)], "nth int, ord int, column string")
+    first, second = (names.select(F.col("nth").alias(at), F.col("ord").alias(f"ord{k}"), F.col("column").alias(f"col{k}")) for at, k in (("i", 1), ("j", 2)))
+    clear = found.where("not doubtful").join(F.broadcast(first), "i").join(F.broadcast(second), "j").select("ord1", "ord2", "col1", "col2", "correlation")
+    return clear.union(_of_pairs(typed, doubtful)) if doubtful else clear
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -65,24 +82,14 @@ def group_summary(typed: Typed, categories: list[str], names: list[str] | None =
     cells = F.array(*(F.struct(F.lit(c).alias("cat_col"), F.col(f"k{typed.categorical.index(c)}").alias("category")) for c in categories))
     groups = typed.wide().select(F.inline(cells), *x.values()).where("category is not null")
     small = typed.rows <= quantiles.DIRECT
-    stats = {c: [F.avg(v).alias("mean"), (F.percentile(F.col(v), F.lit(0.5)) if small else F.lit(None).cast("double")).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count")] for c, v in x.items()}
-    records = F.array(*(F.struct(F.lit(c).alias("num_col"), *s) for c, s in stats.items()))
-    out = groups.groupBy("cat_col", "category").agg(records.alias("records")).select("cat_col", "category", F.inline("records")).where("count > 0")
-    if not small:
-        out = _with_medians(typed, out)
-    return out.select("cat_col", "num_col", F.substring("category", 1, CATEGORY_CHARS).alias("category"), "mean", "median", "min", "max", "count")
-
-
-def _with_medians(typed: Typed, summary: DataFrame) -> DataFrame:
-    """Medians by rank: there are few groups, since columns of many categories aren't summarised."""
-    groups = [(r["cat_col"], r["category"], r["num_col"], r["count"]) for r in summary.select("cat_col", "category", "num_col", "count").collect()]
-    keys = typed.df.sparkSession.createDataFrame([(i, k, c, x) for i, (k, c, x, _) in enumerate(groups)], "key int, cat_col string, category string, num_col string")
-    categories, names = sorted({g[0] for g in groups}), sorted({g[2] for g in groups})
-    by = F.array(*(F.struct(F.lit(c).alias("cat_col"), F.col(f"k{typed.categorical.index(c)}").alias("category")) for c in categories))
-    of = F.array(*(F.struct(F.lit(c).alias("num_col"), F.col(f"x{typed.numeric.index(c)}").alias("value")) for c in names))
-    rows = typed.wide().select(F.inline(by), of.alias("of")).select("cat_col", "category", F.inline("of")).where("value is not null")
-    rows = rows.join(F.broadcast(keys), ["cat_col", "category", "num_col"]).select("key", "value")
-    known = quantiles.ranked(rows, {i: (n, quantiles.middle_ranks(n)) for i, (*_, n) in enumerate(groups)})
-    found = [(k, c, x, quantiles.linear(known, i, n, 0.5)) for i, (k, c, x, n) in enumerate(groups)]
-    medians = typed.df.sparkSession.createDataFrame(found, "cat_col string, category string, num_col string, median double")
-    return summary.drop("median").join(F.broadcast(medians), ["cat_col", "category", "num_col"])
+    numbers = {i: (c, v) for i, (c, v) in enumerate(x.items())}
+    stats = {i: [F.lit(i).alias("col"), F.lit(c).alias("num_col"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"), *([F.percentile(F.col(v), F.lit(0.5)).alias("median")] if small else [])] for i, (c, v) in numbers.items()}
+    records = F.array(*(F.struct(*s) for s in stats.values())).alias("records")
+    key = ["cat_col", "category"]
+    if small:
+        out = groups.groupBy(*key).agg(records).select(*key, F.inline("records"))
+    else:
+        first = table(groups.groupBy(*key).agg(records, *(quantiles.brackets(F.col(v), quantiles.MEDIAN).alias(f"ends_{i}") for i, (_, v) in numbers.items())), "groups")
+        medians = quantiles.selected(groups, key, {i: v for i, (_, v) in numbers.items()}, quantiles.MEDIAN, first.drop("records"))
+        out = first.select(*key, F.inline("records")).join(medians.select(*key, "col", quantiles.middle().alias("median")), [*key, "col"], "left")
+    return out.where("count > 0").select("cat_col", "num_col", F.substring("category", 1, CATEGORY_CHARS).alias("category"), "mean", "median", "min", "max", "count")

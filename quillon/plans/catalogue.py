@@ -188,6 +188,18 @@ def strong_pair_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.strong_pairs(pairs).select("col1", "col2", F.when(F.col("correlation") > 0, "positive").otherwise("negative").alias("sign"), F.round("correlation", 6).alias("correlation"))
 
 
+#: 21 columns, each with missing cells of its own.
+WIDE = [f"CASE WHEN (l_orderkey + {i}) % 11 <> 0 THEN CAST((l_partkey * {i + 3} + l_suppkey * {i * i + 1} + l_linenumber * {7 * i}) % 101 AS DOUBLE) * l_quantity END AS w{i}" for i in range(21)]
+_WIDE_R = ", ".join(f'corr(w{i}, w{j}) AS "w{i}|w{j}"' for i in range(len(WIDE)) for j in range(i + 1, len(WIDE)))
+
+
+@query(f"""WITH w AS MATERIALIZED (SELECT {", ".join(WIDE)} FROM lineitem), r AS (SELECT {_WIDE_R} FROM w)
+SELECT split_part(name, '|', 1) AS col1, split_part(name, '|', 2) AS col2, round(value, 9) AS correlation FROM (UNPIVOT r ON COLUMNS(*))""")
+def wide_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More pairs than one aggregation takes."""
+    return relations.correlations(_typed(spark, sf_dir, "lineitem", *WIDE)).select("col1", "col2", F.round("correlation", 9).alias("correlation"))
+
+
 def _groups_sql(source: str, categories: list[str], names: list[str]) -> str:
     return _union([f"SELECT '{k}' AS cat_col, '{x}' AS num_col, substring(CAST({k} AS VARCHAR), 1, 15) AS category, avg({x}) AS mean, median({x}) AS median, min({x}) AS min, max({x}) AS max, count({x}) AS \"count\" FROM {source} WHERE {k} IS NOT NULL GROUP BY {k} HAVING count({x}) > 0" for k in categories for x in names])
 
@@ -274,7 +286,7 @@ def inconsistent_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'discount' AS "column", round(gone * 100.0 / rows, 1) AS missing_pct, gone AS missing_rows, CAST(floor(CAST(round(gone * 100.0 / rows, 1) AS DOUBLE) * rows / 100 + 0.5) AS BIGINT) AS affected_records FROM m WHERE round(gone * 100.0 / rows, 1) > 0""")
 def missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = _typed(spark, sf_dir, "lineitem", V1, "l_tax")
-    profiles = profile.numeric_profile(typed).select("ord", "column", "missing_pct")
+    profiles = profile.missing_shares(typed, typed.columns)
     present = spark.createDataFrame(list(typed.present.items()), "column string, present bigint")
     return reports.missing_summary(profiles, typed.rows, present).drop("ord")
 
@@ -291,7 +303,7 @@ n AS (SELECT count(*) FILTER (column_type = 'DOUBLE') AS num, count(*) FILTER (c
 SELECT (SELECT count(*) FROM t) AS records, num AS numeric_columns, cat AS categorical_columns, gone AS incomplete_columns, CASE WHEN gone = 0 THEN 'Clean' ELSE gone || ' Columns Affected' END AS status FROM n, i""")
 def quality_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = _typed(spark, sf_dir, "lineitem", V1, "l_tax", "l_returnflag")
-    return reports.quality_overview(profile.numeric_profile(typed), profile.categorical_profile(typed, profile.value_counts(typed)), typed.rows)
+    return reports.quality_overview(profile.missing_shares(typed, typed.numeric), profile.missing_shares(typed, typed.categorical), typed.rows)
 
 
 @query(f"""WITH s AS ({_numeric_sql("part", PART_NUMBERS)}), p AS ({_pairs_sql("part", PART_NUMBERS)}), m AS (SELECT col1, col2, correlation FROM p UNION ALL SELECT col2, col1, correlation FROM p)

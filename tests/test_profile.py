@@ -250,14 +250,38 @@ def test_csv_roundtrip(spark, tmp_path):
     assert files.export_name("Data.CSV") == "Data_export.csv"
 
 
-def test_ranks_of_long_columns(spark):
+def at_ranks(values, share, kind):
+    """The values at the lower and upper rank, by the definition."""
+    order, n = sorted(values), len(values)
+    low, high = {"floor": (int(n * share),) * 2, "middle": ((n - 1) // 2, n // 2), "linear": (math.floor((n - 1) * share), math.ceil((n - 1) * share))}[kind]
+    return order[low], order[high]
+
+
+WANTED = ((0.25, "floor"), (0.5, "middle"), (0.75, "linear"), (0.25, "linear"))
+
+
+@pytest.mark.parametrize(("few", "large", "margin", "broadcast"), [(50, 10**6, quantiles.MARGIN, 9), (50, 10, quantiles.MARGIN, 0), (10, 10**6, 0.0, 9), (10**6, 10, 0.1, 9)])
+def test_ranks_of_columns_and_groups(spark, monkeypatch, few, large, margin, broadcast):
+    """Ties at ranks, nulls, a null group, groups of one; brackets that miss (margin 0), counts sorted in ranges (large 10), brackets joined by a shuffle."""
+    for name, v in (("FEW", few), ("LARGE", large), ("MARGIN", margin), ("BROADCAST", broadcast)):
+        monkeypatch.setattr(quantiles, name, v)
     rng = random.Random(3)
-    values = [rng.expovariate(1) if i % 3 else 7.0 for i in range(20_000)]
-    df = spark.createDataFrame([(v,) for v in values], "x0 double").repartition(4)
-    ranks = [0, 5_000, 9_999, 10_000, 15_000, 19_999]
-    found = quantiles.ranked(quantiles.melted(df, {3: "x0"}), {3: (len(values), ranks)}, few=50)
-    order = sorted(values)
-    assert [found[3, r] for r in ranks] == [order[r] for r in ranks]
+    rows = [(rng.choice(("a", "a", "b", None)), rng.choice((rng.expovariate(1), 7.0)), float(i % 2), None if i % 3 else float(rng.randrange(50))) for i in range(5_000)]
+    rows += [("one", 1.5, -0.0, None), ("two", None, 2.0, 3.0), ("two", None, 4.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double").repartition(4)
+    cells = {0: "x", 5: "y", 2: "z"}
+    for by in ([], ["k"]):
+        got = {(*(r[b] for b in by), r["col"]): r for r in quantiles.selected(df, by, cells, WANTED).collect()}
+        groups = {(*(r[:1] if by else ()), i): [] for r in rows for i in cells}
+        for r in rows:
+            for i, v in zip(cells, r[1:], strict=True):
+                if v is not None:
+                    groups[(*(r[:1] if by else ()), i)].append(v)
+        groups = {k: v for k, v in groups.items() if v}
+        assert set(got) == set(groups)
+        for k, values in groups.items():
+            assert got[k]["n"] == len(values)
+            assert list(zip(got[k]["low"], got[k]["high"], strict=True)) == [at_ranks(values, *w) for w in WANTED], k
 
 
 def test_long_columns_take_ranks(spark, monkeypatch):
@@ -274,18 +298,6 @@ def test_long_columns_take_ranks(spark, monkeypatch):
     assert sorted(relations.group_summary(typed, ["k"]).select(*groups[0].__fields__).collect()) == groups
 
 
-@pytest.mark.parametrize("margin", [quantiles.MARGIN, 0])
-def test_ranks_at_the_boundary_of_ties(spark, monkeypatch, margin):
-    monkeypatch.setattr(quantiles, "MARGIN", margin)  # 0: brackets that may miss
-    rng = random.Random(6)
-    columns_ = [[i % 2 for i in range(4000)], [i % 50 + 1 for i in range(4000)], [float(i % 2) if i % 4 else rng.random() for i in range(4000)]]
-    df = spark.createDataFrame([tuple(map(float, v)) for v in zip(*columns_)], "x0 double, x1 double, x2 double").repartition(4)
-    ranks = [0, 1000, 1999, 2000, 3000, 3999]
-    found = quantiles.ranked(quantiles.melted(df, {i: f"x{i}" for i in range(3)}), {i: (4000, ranks) for i in range(3)}, few=50)
-    for i, values in enumerate(columns_):
-        assert [found[i, r] for r in ranks] == [sorted(values)[r] for r in ranks]
-
-
 def test_profile_of_long_even_flags(spark, monkeypatch):
     typed = columns.classify(spark.createDataFrame([("ab"[i // 2 % 2], float(i % 2)) for i in range(4000)], "k string, v double"))
     direct, groups = profile.numeric_profile(typed).collect(), sorted(relations.group_summary(typed, ["k"]).collect())
@@ -379,6 +391,38 @@ def test_partitions_dont_matter(spark):
     assert {r["n"] for r in sizes} == {200}
 
 
+@pytest.mark.parametrize(("tile", "fan_in"), [(100, 16), (7, 2)])
+def test_wide_correlations(spark, monkeypatch, tile, fan_in):
+    """Pairwise missing cells, constants, columns that are constant or absent where the other one is there, large and tiny values."""
+    import numpy as np
+
+    from quillon.operators import gram
+
+    monkeypatch.setattr(gram, "TILE", tile)
+    monkeypatch.setattr(gram, "FAN_IN", fan_in)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(400, 4))
+    cells = base @ rng.normal(size=(4, 30)) + rng.normal(size=(400, 30))
+    cells[:, 3], cells[:, 4] = 0.1, 5.0
+    cells[:, 5] = cells[:, 6] * 1e200
+    cells[:, 7] = 1e9 + cells[:, 8] * 1e-3
+    cells[rng.random(cells.shape) < 0.2] = np.nan
+    cells[:200, 9], cells[200:, 10], cells[200:, 9] = 0.3, np.nan, rng.normal(size=200)  # 9 is constant where 10 is there
+    cells[::2, 11], cells[1::2, 12] = np.nan, np.nan  # never both
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in cells], ", ".join(f"c{i} double" for i in range(30))).repartition(5)
+    typed = columns.classify(df)
+    plan = gram.correlations(typed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+    got = {(r["col1"], r["col2"]): r["correlation"] for r in relations.correlations(typed).collect()}
+    assert len(got) == 435
+    for (a, b), r in got.items():
+        x, y = cells[:, int(a[1:])], cells[:, int(b[1:])]
+        both = ~np.isnan(x) & ~np.isnan(y)
+        x, y = x[both] / (1e200 if a == "c5" else 1), y[both] / (1e200 if b == "c5" else 1)
+        expected = 0.0 if len(x) == 0 or (x == x[0]).all() or (y == y[0]).all() else np.corrcoef(x - x[0], y - y[0])[0, 1]
+        assert r == pytest.approx(expected, abs=1e-9), (a, b)
+
+
 def test_values_of_any_size(spark):
     assert fixed(1e27, 2) == f"{int(1e27)}.00" and len(fixed(1.7e308, 2)) == 312 and fixed(-5e-324, 2) == "-0.00"
     typed = numbers(spark, [-1.7e308, 0.0, 1.7e308])

@@ -9,7 +9,7 @@ reaches the threshold is missed, whichever words were edited: seeds of several w
 Documents are scanned twice, to count and to find; nothing is shuffled but counts and findings, so hot sources and groups of
 copies change nothing. Items are sent to all tasks in blocks of bounded size.
 
-Null and empty texts and items match nothing, as do items of fewer than `LEAST_WORDS` words, which are no evidence of a copy. Rows with
+Null and empty texts and items match nothing. An item of fewer than `SHORT` words (a parameter) matches as a whole only, with all its words in a row. Rows with
 equal doc_id are one document in the result of `contaminated`, and the best of them counts; a null doc_id is left out of it, a null item_id isn't.
 `decontaminated` looks at each row by itself, whatever its doc_id. Equal items are reported each. Empty input gives an
 empty result; other columns are ignored, and kept by `decontaminated`.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import table
 from quillon.llm.textkernel import buffers, ragged, releasing, slices, word_hashes
 
-LEAST_WORDS = 4
+SHORT = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a perfect copy's score from which a passage counts as a copy.
 THRESHOLD = 0.5
@@ -53,31 +53,32 @@ class Index:
 
     ids: list[int | None]
     words: list[np.ndarray]
-    need: np.ndarray  # of each item: seeds that every copy holds
+    share: np.ndarray  # of each item: of a perfect copy's score, what a copy has at least
+    need: np.ndarray  # seeds that every copy holds
     window: np.ndarray  # words over which a copy may reach
     seeds: np.ndarray  # sorted
     first: np.ndarray  # of each seed: where its items begin in owners, and their end
     owners: np.ndarray
-    threshold: float
 
 
-def index(ids: list[int | None], words: list[np.ndarray], counts: dict[int, int], threshold: float) -> Index:
-    """counts: how often each word occurs in all documents."""
-    seeds, owners, need, window = [], [], [], []
+def index(ids: list[int | None], words: list[np.ndarray], known: np.ndarray, counts: np.ndarray, threshold: float, short: int = SHORT) -> Index:
+    """known, counts: words in order, and how often each occurs in all documents; others don't."""
+    seeds, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    sizes = np.array([len(w) for w in words], np.int64)
+    share = np.where(sizes < short, 1.0, threshold)
+    least = np.maximum(1, np.ceil(sizes * share - 1e-9).astype(np.int64))  # words that a copy has at least: each earns MATCH at most
+    need = np.maximum(1, least // 3)
+    window = sizes + (MATCH * sizes * (1 - share) / -GAP).astype(np.int64)  # the words put in cost as much as it may lose
     for i, item in enumerate(words):
-        n = len(item)
-        least = max(1, int(np.ceil(n * threshold - 1e-9)))  # words that a copy has at least: each earns MATCH at most
-        c = max(1, least // 3)
-        rarest = sorted(range(n), key=lambda k: (counts.get(int(item[k]), 0), int(item[k]), k))[: n - least + c]
-        need.append(c)
-        window.append(n + int(MATCH * n * (1 - threshold) / -GAP))  # the words put in cost as much as it may lose
-        mine = sorted({int(item[k]) for k in rarest})
-        seeds += mine
-        owners += [i] * len(mine)
-    seed, owner = np.array(seeds, np.uint64), np.array(owners, np.int32)
+        at = np.minimum(np.searchsorted(known, item), max(0, len(known) - 1))
+        often = np.where(known[at] == item, counts[at], 0) if len(known) else np.zeros(len(item), np.int64)
+        mine = np.unique(item[np.lexsort((np.arange(len(item)), item, often))[: len(item) - least[i] + need[i]]])
+        seeds.append(mine)
+        owners.append(np.full(len(mine), i, np.int32))
+    seed, owner = np.concatenate(seeds), np.concatenate(owners)
     order = np.argsort(seed, kind="stable")
     distinct, first = np.unique(seed[order], return_index=True)
-    return Index(ids, words, np.array(need, np.int64), np.array(window, np.int64), distinct, np.r_[first, len(seed)], owner[order], threshold)
+    return Index(ids, words, share, need, window, distinct, np.r_[first, len(seed)], owner[order])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -160,7 +161,7 @@ def copies(texts: pa.Array, items: Index) -> Iterator[tuple[int, int, float, int
     places = [(row, i, a, b) for (row, i), passages in candidates(value, begins, items).items() for a, b in passages]
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     for (row, i, a, b), score in zip(places, best_scores([(items.words[i], value[a:b]) for _, i, a, b in places]).tolist(), strict=True):
-        if score >= items.threshold * MATCH * len(items.words[i]):
+        if score >= items.share[i] * MATCH * len(items.words[i]) - 1e-9:
             found[row, i] = max(found.get((row, i), (0, 0, 0)), (score, a, b))
     for (row, i), (score, a, b) in found.items():
         item = items.words[i]
@@ -185,10 +186,10 @@ def _count(shared):
     return run
 
 
-def _indexes(docs: DataFrame, items: DataFrame, threshold: float) -> Iterator[Index]:
+def _indexes(docs: DataFrame, items: DataFrame, threshold: float, short: int) -> Iterator[Index]:
     """The items of one block after the other. docs: (text)."""
     spark = docs.sparkSession
-    words = table(items.select("item_id", "text").mapInArrow(_item_words, "item_id bigint, n bigint, words binary").where(F.col("n") >= LEAST_WORDS), "items")
+    words = table(items.select("item_id", "text").mapInArrow(_item_words, "item_id bigint, n bigint, words binary").where(F.col("n") > 0), "items")
     blocks = -(-8 * (words.agg(F.sum("n")).first()[0] or 0) // ITEM_BYTES)
     for b in range(blocks):
         rows = words.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b).select("item_id", "words").toArrow()
@@ -196,11 +197,12 @@ def _indexes(docs: DataFrame, items: DataFrame, threshold: float) -> Iterator[In
         if ids:
             distinct = spark.sparkContext.broadcast(np.unique(np.concatenate(sequences)))
             counts = docs.select("text").mapInArrow(_count(distinct), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-            every = dict(zip(counts.column("word").to_numpy().view(np.uint64).tolist(), counts.column("n").to_pylist(), strict=True))
-            yield index(ids, sequences, every, threshold)
+            known, n = counts.column("word").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+            order = np.argsort(known)
+            yield index(ids, sequences, known[order], n[order], threshold, short)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, short: int = SHORT) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) of every document that holds a copy of an item; one row per pair."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
@@ -220,13 +222,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         return run
 
     found = spark.createDataFrame([], names)
-    for block in _indexes(docs, items, threshold):
+    for block in _indexes(docs, items, threshold, short):
         found = found.union(docs.mapInArrow(finder(spark.sparkContext.broadcast(block)), names))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "start_word", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, short: int = SHORT) -> DataFrame:
     """The rows of docs that hold no copy of an item."""
 
     def keeper(shared):
@@ -241,6 +243,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
         return run
 
     left = docs
-    for block in _indexes(docs, items, threshold):
+    for block in _indexes(docs, items, threshold, short):
         left = left.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
     return left

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import maybe_broadcast, scratch, table
+from quillon.llm.shared import scratch, table
 
 #: Fixed patterns: the base kinds, and kinds added to them. (kind, pattern, group that must be long, its least length)
 RULES = (
@@ -35,7 +35,7 @@ BASE = ("assign", "access", "hex")
 #: Changes whenever RULES does: findings of another version aren't used.
 VERSION = "2"
 #: Blobs or rows up to which a table of them is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 FINDINGS = "array<struct<start:bigint,ord:int,stop:bigint,kind:string>>"
@@ -77,17 +77,24 @@ class Ledger:
     def update(self, rows: DataFrame, versions: DataFrame) -> None:
         """Scans what is new. rows: (path, text); versions: (path, blob) of the same rows, already written."""
         seen = self.read().where(F.col("version") == VERSION).select("blob")
-        new = table(versions.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti"), "unseen")
-        # of the rows, those that are another's copy or whose blob is known aren't scanned; they are usually few, or nearly all.
-        # A path may have many blobs, and be null: rows are told apart by both.
-        same = [F.col("path").eqNullSafe(F.col("new_path")), F.col("blob") == F.col("new_blob")]
-        others = versions.join(new.select(F.col("blob").alias("new_blob"), F.col("path").alias("new_path")), same, "left_anti")
-        spare = table(others.select(F.col("blob").alias("spare_blob"), F.col("path").alias("spare")).distinct(), "spare")
+        new = table(versions.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti").select(F.col("blob").alias("new_blob"), F.col("path").alias("new_path")), "unseen")
         here = rows.select("path", blob(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-        kept = here.join(maybe_broadcast(spare, BROADCAST_ROWS), F.col("path").eqNullSafe(F.col("spare")) & (F.col("blob") == F.col("spare_blob")), "left_anti")
+        kept = unseen(here, versions, new)
         found = kept.select("blob", "text").mapInArrow(_scan, f"blob string, findings {FINDINGS}")
         hits = found.where(F.size("findings") > 0).dropDuplicates(["blob"])
-        new.select("blob").join(hits, "blob", "left").select("blob", F.lit(VERSION).alias("version"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")).write.mode("append").parquet(self.path)
+        new.select(F.col("new_blob").alias("blob")).join(hits, "blob", "left").select("blob", F.lit(VERSION).alias("version"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")).write.mode("append").parquet(self.path)
+
+
+def unseen(here: DataFrame, versions: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of here (path, blob, text) that new (new_path, new_blob) has. Texts aren't shuffled where what is new is little, as in later runs, or what isn't, as in a
+    first one; which is found from headers. A path may have many blobs, and be null: rows are told apart by both."""
+    same = [F.col("path").eqNullSafe(F.col("new_path")), F.col("blob") == F.col("new_blob")]
+    if new.count() <= BROADCAST_ROWS:
+        return here.join(F.broadcast(new), same, "left_semi")
+    spare = table(versions.join(new, same, "left_anti").select(F.col("blob").alias("spare_blob"), F.col("path").alias("spare")).distinct(), "spare")
+    if spare.count() <= BROADCAST_ROWS:
+        return here.join(F.broadcast(spare), F.col("path").eqNullSafe(F.col("spare")) & (F.col("blob") == F.col("spare_blob")), "left_anti")
+    return here.join(new, same, "left_semi")
 
 
 def blob(text: Column) -> Column:

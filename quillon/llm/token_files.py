@@ -34,21 +34,34 @@ U = np.uint64
 BLANK = U(0x5851F42D4C957F2D)
 
 
+def checks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each word a number made of its length, the sum of its bytes and the sum of these by place: what `word_hashes` doesn't use in this way."""
+    bytes_ = data.astype(np.int64)
+    plain, placed = (np.r_[0, np.cumsum(x)] for x in (bytes_, bytes_ * np.arange(len(data))))
+    one = plain[end] - plain[start]
+    two = placed[end] - placed[start] - start * one
+    with np.errstate(over="ignore"):
+        return (two.astype(U) * U(0x9E3779B97F4A7C15) + one.astype(U)) * U(0xC2B2AE3D27D4EB4F) + (end - start).astype(U)
+
+
 class Encoder:
     """Ids of texts: the library's ids of their words, one after the other.
 
     A unit is a run of anything but ASCII white space, with the blank before it, if there is one. Pre-tokens don't reach over units:
     white space belongs to a pre-token of something else only as the one blank before it. The rest of a white space run is its own
     pre-tokens: at a text's end one, elsewhere one for the last character, unless that is such a blank, and one for those before it.
-    So a word is encoded by the library once for each worker and found by its 64-bit hash from then on; texts aren't cut into
-    Python strings. Texts with a unit that begins or ends with other white space are encoded whole.
+    So a word is encoded by the library once for each worker and found by its 64-bit hash from then on, if its length and two sums of its bytes agree as well; texts aren't cut into
+    Python strings. Texts with a unit that begins or ends with other white space or has a special token in it, or with a word that shares the hash of another one, are encoded whole.
+    special: special tokens in a text are such, as the library has it; otherwise they are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self.whole = any(c.isspace() for t in self.special for c in t)  # then units don't keep them together
         self.newline = self.ids("\n")
         if len(self.newline) != 1:
             raise ValueError("the tokenizer has no id for a line's end")
@@ -56,8 +69,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """Forgets all words: hashes in order, where their ids begin and how many they are (-1: not a unit), whether they came again."""
-        self.hash, self.at, self.n, self.again = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        """Forgets all words: hashes in order, their checks, where their ids begin and how many they are (-1: not a unit), whether they came again."""
+        self.hash, self.check, self.at, self.n, self.again = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
         self.flat = np.zeros(0, np.int32)
 
     def ids(self, text: str) -> np.ndarray:
@@ -75,9 +88,9 @@ class Encoder:
                 self.gaps[gap, one] = got
         return got
 
-    def _learn(self, value: np.ndarray, units: list[str]) -> None:
+    def _learn(self, value: np.ndarray, check: np.ndarray, units: list[str]) -> None:
         """Adds words that are not known yet, by rising hash: they are encoded as one text of lines, which a line's end tells apart."""
-        odd = np.array([u[-1].isspace() or u.lstrip(" ")[0].isspace() for u in units])
+        odd = np.array([u[-1].isspace() or u.lstrip(" ")[0].isspace() or any(t in u for t in self.special) for u in units])
         fine = [u for u, o in zip(units, odd, strict=True) if not o]
         got = self.ids("".join(f"{u}\n" for u in fine) + ".")[:-1]
         ends = np.flatnonzero(got == self.newline[0])
@@ -89,14 +102,14 @@ class Encoder:
         at[~odd] = np.r_[0, ends[:-1] + 1][: len(ends)] + len(self.flat)
         self.flat = np.concatenate([self.flat, got])
         where = np.searchsorted(self.hash, value)
-        self.hash, self.at, self.n, self.again = (np.insert(old, where, new) for old, new in ((self.hash, value), (self.at, at), (self.n, n), (self.again, False)))
+        self.hash, self.check, self.at, self.n, self.again = (np.insert(old, where, new) for old, new in ((self.hash, value), (self.check, check), (self.at, at), (self.n, n), (self.again, False)))
 
     def _forget(self) -> None:
         """Keeps words that came again since the last time, up to half of the room."""
         keep = np.flatnonzero(self.again)[: REMEMBERED // 2]
         n = np.maximum(self.n[keep], 0)
         self.flat = self.flat[ragged(self.at[keep], n)]
-        self.hash, self.at, self.n, self.again = self.hash[keep], np.cumsum(n) - n, self.n[keep], np.zeros(len(keep), bool)
+        self.hash, self.check, self.at, self.n, self.again = self.hash[keep], self.check[keep], np.cumsum(n) - n, self.n[keep], np.zeros(len(keep), bool)
 
     def _find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the known words, whether it is known)."""
@@ -109,8 +122,12 @@ class Encoder:
         """(ids of all texts, where each one's begin in them, with their number at the end)."""
         if len(self.hash) > REMEMBERED:
             self._forget()
+        if self.whole:
+            parts = [self.ids(t or "") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.int32), *parts]), np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)]
         data, rows = buffers(texts)
         value, start, end, begins = word_hashes(data, rows, fold=False)
+        check = checks(data, start, end)
         # white space before each word, and after the last one of each text
         row = np.repeat(np.arange(len(rows) - 1), np.diff(begins))
         before = np.r_[0, end[:-1]][: len(end)]
@@ -132,9 +149,10 @@ class Encoder:
             raw, new = data.tobytes(), distinct[~known]
             for k in range(0, len(some), AT_ONCE):
                 where = some[k : k + AT_ONCE]
-                self._learn(new[k : k + AT_ONCE], [(" " if b else "") + raw[s:e].decode() for s, e, b in zip(start[where].tolist(), end[where].tolist(), blank[where].tolist(), strict=True)])
+                self._learn(new[k : k + AT_ONCE], check[where], [(" " if b else "") + raw[s:e].decode() for s, e, b in zip(start[where].tolist(), end[where].tolist(), blank[where].tolist(), strict=True)])
             place, _ = self._find(distinct)
         at, n = self.at[place][inverse], self.n[place][inverse]
+        n = np.where(self.check[place][inverse] == check, n, -1) if len(n) else n
 
         # other white space comes between as units of its own
         gaps = [(int(before[k]), int(start[k] - blank[k]), k, bool(blank[k])) for k in np.flatnonzero(start - blank > before).tolist()]

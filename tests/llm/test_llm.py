@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import components, decontaminate, fingerprint, mixing, ngram_join, pii, secrets, textkernel, token_counts, token_files, toxicity, warc
-from quillon.llm.shared import scratch
+from quillon.llm.shared import scratch, table
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -385,6 +385,19 @@ def test_ledger_equals_scanning_everything(spark, monkeypatch):
         assert sorted((r["blob"], r["version"]) for r in local(ledger.read())) == sorted(scanned)
 
 
+def test_texts_are_not_shuffled_where_little_is_new(spark, monkeypatch):
+    rows = [(i % 7, f"text {i % 11}") for i in range(60)]
+    here = spark.createDataFrame(rows, "path bigint, text string").select("path", secrets.blob(F.col("text")).alias("blob"), "text")
+    versions, new = here.select("path", "blob"), here.where("text in ('text 1', 'text 2')").groupBy("blob").agg(F.min("path").alias("new_path")).select(F.col("blob").alias("new_blob"), "new_path")
+    expected = sorted(tuple(r) for r in here.join(new, (F.col("blob") == F.col("new_blob")) & (F.col("path") == F.col("new_path"))).select("path", "text").collect())
+    for bound in (100, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", bound)
+        kept = secrets.unseen(here, versions, table(new, "new"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert not bound or "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert sorted(tuple(r) for r in kept.select("path", "text").collect()) == expected
+
+
 def test_ledger_written_twice(spark):
     ledger, docs = secrets.Ledger(spark), spark.createDataFrame([(1, "password=abcdef"), (2, "password=abcdef")], "doc_id bigint, text string")
     before = local(secrets.find_secrets(docs, ledger))
@@ -402,11 +415,11 @@ def test_scan_is_linear(text):
 # 5
 
 
-def encode_by_hand(texts):
+def encode_by_hand(texts, special=True):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
 
 
@@ -429,6 +442,22 @@ def test_encoder_is_the_library(monkeypatch, remembered):
         assert encoded(coder, texts) == encode_by_hand(texts)
 
 
+def test_special_tokens_in_texts():
+    texts = ["hello <|endoftext|> world", "a  <|endoftext|>  b", "x<|endoftext|>y z", "<|endoftext", "<|endoftext|>"]
+    assert encoded(token_files.Encoder(BPE), texts) == encode_by_hand(texts)
+    assert encoded(token_files.Encoder(BPE, special=False), texts) == encode_by_hand(texts, special=False) != encode_by_hand(texts)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """Hashes that don't tell words apart give the right ids all the same."""
+    hashes = token_files.word_hashes
+    monkeypatch.setattr(token_files, "word_hashes", lambda *a, **k: (hashes(*a, **k)[0] % np.uint64(7), *hashes(*a, **k)[1:]))
+    coder, rng = token_files.Encoder(BPE), random.Random(8)
+    for _ in range(3):
+        texts = [prose(rng.randint(0, 30), rng) for _ in range(30)]
+        assert encoded(coder, texts) == encode_by_hand(texts)
+
+
 def test_encoder_on_whole_documents():
     import pyarrow.parquet as pq
 
@@ -668,10 +697,10 @@ def best_by_hand(docs, items, threshold=decontaminate.THRESHOLD):
 
     for item_id, item in items:
         item = numbers(item)
-        if len(item) >= decontaminate.LEAST_WORDS:
+        if len(item):
             for doc_id, text in docs:
                 share = decontaminate.align(item, numbers(text))[0] / (2 * len(item))
-                if share >= threshold:
+                if share >= (1 if len(item) < decontaminate.SHORT else threshold):
                     found[doc_id, item_id] = share
     return found
 
@@ -710,6 +739,15 @@ def test_every_pair_that_scores_enough_is_found(spark, monkeypatch, small):
     assert {(how, k) for d, i, how, k in pairs if (d, i) in got} >= {("replace", 4), ("replace", 3), ("insert", 3), ("insert", 2), ("delete", 4), ("delete", 3)}
 
 
+def test_short_items_match_whole(spark):
+    docs = [(1, "x Alpha, beta y"), (2, "alpha gamma beta"), (3, "beta alpha"), (4, "gamma"), (5, "a gamma delta. epsilon b"), (6, "gamma delta x epsilon"), (7, None)]
+    items = [(1, "alpha beta"), (2, "gamma"), (3, "gamma delta epsilon"), (4, ""), (5, "absent")]
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    expected = {(1, 1), (2, 2), (4, 2), (5, 2), (6, 2), (5, 3)}
+    assert {(r["doc_id"], r["item_id"]) for r in local(decontaminate.contaminated(frame, bench))} == expected == set(best_by_hand(docs, items))
+    assert (3, 3) not in expected and (4, 2) in {(r["doc_id"], r["item_id"]) for r in local(decontaminate.contaminated(frame, bench, short=1))}
+
+
 def test_copies_of_an_edited_item_are_found(spark):
     item = [f"w{i}" for i in range(15)]
     middle, lone = ([f"edited{i}" if i in gone else w for i, w in enumerate(item)] for gone in ((7,), (3, 8, 12)))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from quillon.functions.numbers import quoted
 from quillon.llm.components import components
 from quillon.llm.shared import free, maybe_broadcast, table
 from quillon.llm.textkernel import releasing, shingle_sets, slices
@@ -331,7 +332,7 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     if not twice.isEmpty():
         few = maybe_broadcast(twice.withColumnRenamed("id", "__twice"), BROADCAST_IDS)
         here = F.col("doc_id") == F.col("__twice")
-        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        row = F.struct(*(quoted(c) for c in docs.columns))
         first = left.join(few, here, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("__row"))
         left = left.join(few, here, "left_anti").union(first.select("__row.*"))
     unnamed = docs.where("doc_id is null")
@@ -351,6 +352,6 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     known = sets.select(F.col("digest").alias(mark), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
     marked = marked.join(known, mark, "left")
     alone = marked.where("__root is null").select(*docs.columns)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*(quoted(c) for c in docs.columns))
     one = marked.where("__root is not null and __component is null").groupBy("__root").agg(F.min_by(row, "text").alias("__row"))
     return left.union(alone).union(one.select("__row.*"))

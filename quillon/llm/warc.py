@@ -19,6 +19,7 @@ import base64
 import hashlib
 import io
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,9 +91,10 @@ def _records(typed: DataFrame, date: str) -> DataFrame:
     return typed.withColumn("block", block).select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("block")).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes pages (page_id, url, html) as gzipped WARC files."""
+def write_warc(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Writes pages (page_id, url, html) as gzipped WARC files. date: of all records, the time of the run if none is given."""
     spark = pages.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     decided = table(resolve(pages), "revisits")
     total = decided.agg(F.sum("bytes")).first()[0] or 0

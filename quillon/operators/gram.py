@@ -66,8 +66,9 @@ def _added(tiles: pa.Table) -> pa.Table:
     return pa.table([tiles.column(c)[:1] for c in ("a", "b", "task")] + [pa.array([total], pa.list_(pa.float64()))], names=["a", "b", "task", "parts"])
 
 
-def correlations(typed: Typed) -> DataFrame:
-    """(i, j, correlation, doubtful) of all pairs i < j of numeric columns, over rows that have both; 0 where one doesn't vary."""
+def sums(typed: Typed) -> DataFrame:
+    """(i, j, n, mean1, mean2, m11, m22, m12, correlation, doubtful) of all pairs i < j of numeric columns, over rows that have both: means, squares and products of distances from them;
+    the correlation is 0 where one doesn't vary."""
     wide, names = typed.wide(), [f"x{i}" for i in range(len(typed.numeric))]
     shift, scale = shifts(wide, names)
     tasks = wide.rdd.getNumPartitions()
@@ -78,17 +79,26 @@ def correlations(typed: Typed) -> DataFrame:
         tiles = tiles.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("a", "b", "task").applyInArrow(_added, _TILE)
         tasks = -(-tasks // FAN_IN)
     width = len(names)
+    out = ("i", "j", "n", "mean1", "mean2", "m11", "m22", "m12", "correlation", "doubtful")
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, parts in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), batch.column("parts"), strict=True):
                 rows, columns = (np.arange(c * TILE, min((c + 1) * TILE, width)) for c in (a, b))
                 n, xy, x, y, xx, yy = parts.values.to_numpy().reshape(len(PARTS), len(rows), len(columns))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    both, vx, vy = xy / n - x / n * y / n, xx / n - (x / n) ** 2, yy / n - (y / n) ** 2
+                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                    x, y = x / n, y / n
+                    both, vx, vy = xy / n - x * y, np.maximum(xx / n - x**2, 0), np.maximum(yy / n - y**2, 0)
                     doubt = (xx > 0) & (vx < CLEAR * xx / n) | (yy > 0) & (vy < CLEAR * yy / n)
-                    r = np.where((vx > 0) & (vy > 0), both / np.sqrt(vx * vy), 0.0)
+                    r = np.clip(np.where((vx > 0) & (vy > 0), both / np.sqrt(vx * vy), 0.0), -1, 1)
+                    sx, sy = scale[rows][:, None], scale[columns]
+                    found = n, shift[rows][:, None] + sx * x, shift[columns] + sy * y, n * vx * sx**2, n * vy * sy**2, n * both * sx * sy, r, doubt
                 i, j = np.nonzero(rows[:, None] < columns)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i].astype(np.int32)), pa.array(columns[j].astype(np.int32)), pa.array(np.clip(r[i, j], -1, 1)), pa.array(doubt[i, j])], names=["i", "j", "correlation", "doubtful"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i].astype(np.int32)), pa.array(columns[j].astype(np.int32)), pa.array(n[i, j].astype(np.int64)), *(pa.array(f[i, j]) for f in found[1:])], names=out)
+
+    return tiles.mapInArrow(solved, "i int, j int, n bigint, mean1 double, mean2 double, m11 double, m22 double, m12 double, correlation double, doubtful boolean")
 
-    return tiles.mapInArrow(solved, "i int, j int, correlation double, doubtful boolean")
+
+def correlations(typed: Typed) -> DataFrame:
+    """(i, j, correlation, doubtful) of all pairs i < j of numeric columns."""
+    return sums(typed).select("i", "j", "correlation", "doubtful")

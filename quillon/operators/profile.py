@@ -83,27 +83,34 @@ def categorical_profile(typed: Typed, counts: DataFrame) -> DataFrame:
     return columns.join(found, "ord", "left").select("ord", "column", F.coalesce("unique", F.lit(0)).alias("unique"), mode.alias("mode"), "missing_pct")
 
 
-def histogram(typed: Typed, bins: int = 15, names: list[str] | None = None) -> DataFrame:
-    """(column, bin, range, range_start, count): equal widths, the last bin closed, empty bins kept; a constant column has one bin."""
+def bins_of(low: float, high: float, bins: int) -> tuple[list[tuple[int, str, float]], float, float, float]:
+    """(bin, range, start) of each bin, and low, step and unit with which a value's bin is floor((value * unit - low) / step)."""
+    if low == high:
+        return [(0, plain(low), low)], low, 1.0, 1.0
+    unit = 1.0 if high - low < float("inf") else 0.25  # the width may be more than a double holds
+    low, step = low * unit, (high * unit - low * unit) / bins
+    starts = [(low + b * step) / unit for b in range(bins)]
+    ends = [*starts[1:], (low + bins * step) / unit if unit == 1 else high]
+    return [(b, f"{fixed(s, 0)}-{fixed(e, 0)}", s) for b, (s, e) in enumerate(zip(starts, ends, strict=True))], low, step, unit
+
+
+def histogram(typed: Typed, bins: int = 15, names: list[str] | None = None, ends: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(column, bin, range, range_start, count): equal widths, the last bin closed, empty bins kept; a constant column has one bin. ends: least and greatest values, if they are known."""
     spark = typed.df.sparkSession
     names = [c for c in (names or typed.numeric) if c in typed.numeric]
     wide = typed.wide()
     at = {c: f"x{typed.numeric.index(c)}" for c in names}
     if not names:
         return spark.createDataFrame([], "column string, bin int, range string, range_start double, count bigint")
-    ends = wide.agg(*(f for x in at.values() for f in (F.min(x).alias(f"{x}_low"), F.max(x).alias(f"{x}_high")))).first()
+    if ends is None:
+        row = wide.agg(*(f for x in at.values() for f in (F.min(x).alias(f"{x}_low"), F.max(x).alias(f"{x}_high")))).first()
+        ends = {c: (row[f"{x}_low"], row[f"{x}_high"]) for c, x in at.items()}
     frame, cells = [], []
     for c, x in at.items():
-        low, high = ends[f"{x}_low"], ends[f"{x}_high"]
-        if low == high:
-            frame.append((c, 0, plain(low), low))
-            bin_ = F.when(F.col(x).isNotNull(), F.lit(0))
-        else:
-            unit = 1.0 if high - low < float("inf") else 0.25  # the width may be more than a double holds
-            low, step = low * unit, (high * unit - low * unit) / bins
-            starts = [(low + b * step) / unit for b in range(bins)] + [high]
-            frame += [(c, b, f"{fixed(starts[b], 0)}-{fixed(starts[b + 1], 0)}", starts[b]) for b in range(bins)]
-            bin_ = F.when(F.col(x).isNotNull(), F.least(F.floor((F.col(x) * unit - low) / step), F.lit(bins - 1)).cast("int"))
+        low, high = ends[c]
+        mine, low, step, unit = bins_of(low, high, bins)
+        frame += [(c, *m) for m in mine]
+        bin_ = F.when(F.col(x).isNotNull(), F.lit(0) if len(mine) == 1 else F.least(F.floor((F.col(x) * unit - low) / step), F.lit(bins - 1)).cast("int"))
         cells.append(F.struct(F.lit(c).alias("column"), bin_.alias("bin")))
     counted = wide.select(F.inline(F.array(*cells))).where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
     every = spark.createDataFrame(frame, "column string, bin int, range string, range_start double")

@@ -121,6 +121,11 @@ def _picked(running: DataFrame, by: list[str], wanted: Sequence[Rank]) -> DataFr
     return running.groupBy(*by, "col").agg(F.max("total").alias("n"), F.array(*(at(low) for low, _ in pairs)).alias("low"), F.array(*(at(high) for _, high in pairs)).alias("high"))
 
 
+def of_counts(counts: DataFrame, by: list[str], wanted: Sequence[Rank]) -> DataFrame:
+    """As `selected`, of values that are counted already: (by, col, place, value, n), with one place."""
+    return _picked(_running(counts, by), by, wanted)
+
+
 def middle() -> Column:
     """The median of a row of `selected`, if that is what was wanted."""
     low, high = F.get("low", F.lit(0)), F.get("high", F.lit(0))

@@ -91,10 +91,15 @@ def analyze(df: DataFrame, name: str = "dataset", dynamic: bool = False, top: in
     low = [r["column"] for r in categorical.collect() if r["unique"] < relations.LOW_CARDINALITY]
     groups = small(relations.group_summary(typed, low))
     found = small(insights.insights(numeric, frequencies, pairs, typed.rows, len(typed.df.columns), len(typed.numeric), len(low)).orderBy("seq"))
+    return analysis_of(name, typed, numeric, categorical, frequencies, pairs, groups, found, profile.histogram(typed, ends={r["column"]: (r["min"], r["max"]) for r in numeric.collect()}), profile.frequencies(counts))
+
+
+def analysis_of(name: str, typed: columns.Typed, numeric: DataFrame, categorical: DataFrame, frequencies: DataFrame, pairs: DataFrame, groups: DataFrame, found: DataFrame, histogram: DataFrame, every: DataFrame) -> Profile:
+    """The analysis from its parts, which but for `every`, all frequencies, are small."""
     return Profile(
         name,
         typed.rows,
-        list(df.columns),
+        list(typed.df.columns),
         _dicts(numeric),
         _dicts(categorical),
         _by_column(_dicts(frequencies), typed.categorical),
@@ -102,7 +107,7 @@ def analyze(df: DataFrame, name: str = "dataset", dynamic: bool = False, top: in
         sorted(_dicts(groups), key=lambda r: (typed.ord(r["cat_col"]), typed.ord(r["num_col"]), -r["mean"], r["category"])),
         _dicts(found),
         typed.unsupported,
-        _by_column(_dicts(profile.histogram(typed).orderBy("column", "bin")), typed.numeric),
+        _by_column(_dicts(histogram.orderBy("column", "bin")), typed.numeric),
         make_reports(typed, numeric, categorical, pairs, groups, found),
-        profile.frequencies(counts),
+        every,
     )

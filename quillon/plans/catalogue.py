@@ -267,6 +267,51 @@ def snapshot_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.snapshot(_all_insights(_typed(spark, sf_dir, "lineitem", *V2.split(", "), V3, V4))).select("seq", "rule")
 
 
+def _insight_texts_sql() -> str:
+    """(seq, agent, type, text) of the insights."""
+    source, names = f"(SELECT {V2}, {V3}, {V4} FROM lineitem)", ["gross", "net", "large"]
+    number = lambda e, places: f"printf('%.{places}f', CAST({e} AS DOUBLE))"
+    return f"""SELECT i.seq, i.agent, i.type, CASE i.rule WHEN 'skew' THEN '**' || col1 || '** looks **skewed**: mean ' || {number("s.mean", 0)} || ' against median ' || {number("s.median", 0)} || '.'
+ WHEN 'outlier' THEN '**' || col1 || '** has an extreme maximum of ' || {number("s.max", 0)} || ': an outlier, or a premium segment.'
+ WHEN 'dominance' THEN '**' || f.name || '** makes up ' || {number("f.percentage", 1)} || '% of **' || col1 || '**.'
+ WHEN 'strong_pair' THEN '**' || col1 || '** and **' || col2 || '** have a strong **' || CASE WHEN metric > 0 THEN 'positive' ELSE 'negative' END || '** correlation (r = ' || {number("metric", 2)} || ').'
+ ELSE 'Profiled **' || CAST(metric AS BIGINT) || ' records** with **4 columns**: **3** numeric and **1** categorical ones of few values.' END AS text
+ FROM ({_insight_sql()}) i LEFT JOIN ({_numeric_sql(source, names)}) s ON s."column" = i.col1 LEFT JOIN (SELECT * FROM ({_frequency_sql(source, ["size_class"])}) WHERE rank = 1) f ON f."column" = i.col1"""
+
+
+@query(f"SELECT seq, text FROM ({_insight_texts_sql()})")
+def insight_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_insights(_typed(spark, sf_dir, "lineitem", *V2.split(", "), V3, V4)).select("seq", "text")
+
+
+@query(f"SELECT 'any patterns?' AS question, string_agg('**' || agent || '**: ' || text, chr(10) || chr(10) ORDER BY seq) AS answer FROM ({_insight_texts_sql()}) WHERE type <> 'success'")
+def insight_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.plans.ask import ask
+
+    found = analyze(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*V2.split(", "), V3, V4), "lineitem.csv")
+    return spark.createDataFrame([("any patterns?", ask(found, "any patterns?"))], "question string, answer string")
+
+
+@query("SELECT 'lineitem' AS name, count(*) AS rows, CAST((SELECT count(*) FROM (DESCRIBE lineitem)) AS BIGINT) AS columns FROM lineitem UNION ALL SELECT 'part', count(*), CAST((SELECT count(*) FROM (DESCRIBE part)) AS BIGINT) FROM part")
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(t, *classic.shape(spark.read.parquet(f"{sf_dir}/{t}.parquet"))) for t in ("lineitem", "part")]
+    return spark.createDataFrame(found, "name string, rows bigint, columns bigint")
+
+
+#: Lines of a CSV file of which some have too few cells and some too many.
+_LINE = "concat_ws(',', CAST(o_orderkey AS VARCHAR(20)), o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR(20)) END, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0 THEN 'more' END)"
+
+
+@query(f"SELECT {_LINE} AS row, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS o_custkey FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0")
+def malformed_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources import files
+
+    path = scratch(spark, "csv")
+    lines = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(f"{_LINE} AS `o_orderkey,o_orderstatus,o_custkey`")
+    lines.write.options(header=True, sep="\x01").csv(path)
+    return files.malformed_rows(spark, path).select("row", "cells.o_orderkey", "cells.o_custkey")
+
+
 LABELS = ["quality", "toxic"]
 
 
@@ -483,6 +528,33 @@ def csv_quoted_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set(most, before)
 
 
+def _halves(spark: SparkSession, sf_dir: str, *cells: str):
+    """States of both halves of lineitem, as one."""
+    from quillon.plans import incremental
+
+    paths, df = [], spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    for half in (0, 1):
+        paths.append(scratch(spark, "state"))
+        incremental.save_state(df.where(f"l_orderkey % 2 = {half}").selectExpr(*cells), paths[-1])
+    return incremental.Merged(spark, paths)
+
+
+@query(f'SELECT "column", n, {_round_stats} FROM ({_numeric_sql("lineitem", LINE_NUMBERS)})')
+def incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, quartiles included, from the states of two halves."""
+    return _rounded(_halves(spark, sf_dir, *LINE_NUMBERS).numeric_profile(), 4, *STATS).drop("ord")
+
+
+@query(f"""SELECT 'group' AS kind, cat_col AS a, num_col AS b, category, round(mean, 4) AS value, round(median, 4) AS median, "count" AS n FROM ({_groups_sql("lineitem", ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"])})
+UNION ALL SELECT 'pair', col1, col2, NULL, round(correlation, 6), NULL, NULL FROM ({_pairs_sql("lineitem", ["l_quantity", "l_extendedprice"])})""")
+def incremental_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and correlations from the states of two halves."""
+    m = _halves(spark, sf_dir, "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
+    groups = m.group_summary(["l_returnflag", "l_linestatus"]).select(F.lit("group").alias("kind"), F.col("cat_col").alias("a"), F.col("num_col").alias("b"), "category", F.round("mean", 4).alias("value"), F.round("median", 4).alias("median"), F.col("count").alias("n"))
+    pairs = m.correlations().select(F.lit("pair"), "col1", "col2", F.lit(None).cast("string"), F.round("correlation", 6), F.lit(None).cast("double"), F.lit(None).cast("bigint"))
+    return groups.union(pairs)
+
+
 QUESTIONS = ("summarize", "average of p_retailprice", "maximum of p_size", "distribution of p_size", "most frequent category of p_type", "correlation", "which columns", "hello")
 
 

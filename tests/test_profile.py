@@ -423,6 +423,39 @@ def test_wide_correlations(spark, monkeypatch, tile, fan_in):
         assert r == pytest.approx(expected, abs=1e-9), (a, b)
 
 
+def test_states_add_up_to_the_whole(spark, tmp_path):
+    """The analysis of parts' states is that of all rows, and no row is read for it: the parts are gone. A column of texts in one part has numbers in another, another comes later."""
+    import shutil
+
+    from quillon.plans import incremental
+
+    rng = random.Random(6)
+    rows = [(str(rng.randrange(9)) if i % 3 else None, rng.choice("abcd"), rng.gauss(50, 9), "x" if i < 60 else str(i % 7), None if i < 60 else float(i % 5), [1], i % 2 == 0) for i in range(150)]
+    schema = "n string, k string, v double, mixed string, late double, list array<int>, flag boolean"
+    paths = []
+    for p, (a, b) in enumerate(((0, 60), (60, 100), (100, 150), (150, 150))):
+        part = spark.createDataFrame(rows[a:b], schema)
+        part = part.drop("late") if p == 0 else part
+        part.write.parquet(f"{tmp_path}/part{p}")
+        incremental.save_state(spark.read.parquet(f"{tmp_path}/part{p}"), f"{tmp_path}/state{p}", dynamic=True)
+        shutil.rmtree(tmp_path / f"part{p}")
+        paths.append(f"{tmp_path}/state{p}")
+    got = incremental.analyze_states(spark, paths, "d")
+    order = [c for c in got.columns]
+    expected = analysis.analyze(spark.createDataFrame(rows, schema).select(*order), "d", dynamic=True)
+    assert set(order) == {"n", "k", "v", "mixed", "late", "list", "flag"}
+
+    def close(a, b):
+        if isinstance(a, dict):
+            return set(a) == set(b) and all(close(a[k], b[k]) for k in a)
+        if isinstance(a, list):
+            return len(a) == len(b) and all(map(close, a, b))
+        return a == pytest.approx(b, rel=1e-9, abs=1e-9) if isinstance(a, float) else a == b
+
+    for field in ("rows", "columns", "numeric", "categorical", "frequencies", "correlations", "groups", "insights", "unsupported", "histograms", "reports"):
+        assert close(getattr(got, field), getattr(expected, field)), field
+
+
 def test_values_of_any_size(spark):
     assert fixed(1e27, 2) == f"{int(1e27)}.00" and len(fixed(1.7e308, 2)) == 312 and fixed(-5e-324, 2) == "-0.00"
     typed = numbers(spark, [-1.7e308, 0.0, 1.7e308])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.functions.numbers import fixed, plain, variation
+from quillon.functions.numbers import fixed, number, plain, quoted, variation
 from quillon.operators import quantiles
 from quillon.operators.columns import Typed
 from quillon.sources.scratch import table
@@ -39,6 +40,27 @@ def numeric_profile(typed: Typed) -> DataFrame:
     return rows.withColumn("cv", variation(F.col("std"), F.col("mean")))
 
 
+def order_statistics(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(column, n, min, q1, median_low, median_high, q3, max) of numeric columns, each as the text of a value of the column's own type: integers and decimals of
+    any length are as exact as they are in the data. The medians are the two middle elements; NaN and infinities don't count."""
+    own: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        if (names is None or f.name in names) and isinstance(f.dataType, T.NumericType):
+            own.setdefault("bigint" if isinstance(f.dataType, T.IntegralType) else f.dataType.simpleString() if isinstance(f.dataType, T.DecimalType) else "double", []).append(f.name)
+    out = {}
+    for kind, mine in own.items():
+        rows = df.select(*((number(quoted(c), T.DoubleType()) if kind == "double" else quoted(c).cast(kind)).alias(f"x{i}") for i, c in enumerate(mine)))
+        text = lambda c: c.cast("string")
+        ends = rows.agg(*(text(f(f"x{i}")).alias(f"{k}{i}") for i in range(len(mine)) for k, f in (("min", F.min), ("max", F.max)))).first()
+        found = quantiles.selected(rows, [], {i: f"x{i}" for i in range(len(mine))}, QUARTILES, kind=kind)
+        values = {r["col"]: r for r in found.select("col", "n", F.transform("low", text).alias("low"), F.transform("high", text).alias("high")).collect()}  # a row for each column
+        for i, c in enumerate(mine):
+            r = values.get(i)
+            out[c] = (c, r["n"], ends[f"min{i}"], r["low"][0], r["low"][1], r["high"][1], r["low"][2], ends[f"max{i}"]) if r else (c, 0, *[None] * 6)
+    schema = "column string, n bigint, min string, q1 string, median_low string, median_high string, q3 string, max string"
+    return df.sparkSession.createDataFrame([out[c] for c in df.columns if c in out], schema)
+
+
 def value_counts(typed: Typed) -> DataFrame:
     """(ord, column, name, value): rows of each non-null value of each categorical column; the value whole."""
     if not typed.categorical:

@@ -60,12 +60,12 @@ def _place(x: Column, ends: Column, n: int) -> Column:
     return out.otherwise(2 * n).cast("int")
 
 
-def _counted(rows: DataFrame, by: list[str], cells: dict[int, str], n_ends: int) -> DataFrame:
+def _counted(rows: DataFrame, by: list[str], cells: dict[int, str], n_ends: int, kind: str) -> DataFrame:
     """(by, col, place, value, n) of rows (by, cells, ends_<col>): value is null where many are counted together."""
     places = []
     for i, c in cells.items():
         place = _place(F.col(c), F.col(f"ends_{i}"), n_ends)
-        places.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("col"), place.alias("place"), F.col(c).cast("double").alias("x"))))
+        places.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("col"), place.alias("place"), F.col(c).cast(kind).alias("x"))))
     each = rows.select(*by, F.explode(F.array(*places)).alias("p")).where("p is not null")
     value = F.when(F.col("p.place") % 4 != 0, F.col("p.x"))
     return each.select(*by, "p.col", "p.place", value.alias("value")).groupBy(*by, "col", "place", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -86,8 +86,9 @@ def _running(counts: DataFrame, by: list[str]) -> DataFrame:
     return ordered.alias("o").join(sums.alias("s"), same).select("o.*", (F.col("before") + F.sum("o.n").over(within)).alias("upto"), "total").drop("at", "part")
 
 
-def selected(rows: DataFrame, by: list[str], cells: dict[int, str], wanted: Sequence[Rank], ends: DataFrame | None = None) -> DataFrame:
+def selected(rows: DataFrame, by: list[str], cells: dict[int, str], wanted: Sequence[Rank], ends: DataFrame | None = None, kind: str = "double") -> DataFrame:
     """(by, col, n, low, high): arrays of the values at the lower and the upper rank of each wanted quantile, of each column (cells: number and name) in each group of rows.
+    kind: the type of all these columns, which is that of the values.
 
     ends: (by, ends_<number>) by `brackets`, if another aggregation has made them; a table. Nulls don't count. The result is read from written tables.
     """
@@ -100,16 +101,16 @@ def selected(rows: DataFrame, by: list[str], cells: dict[int, str], wanted: Sequ
         placed = rows.alias("r").join((F.broadcast(ends) if few else ends).alias("e"), same).select("r.*", *(f"e.ends_{i}" for i in cells))
     else:
         one = ends.first()
-        placed = rows.withColumns({f"ends_{i}": F.lit(one[f"ends_{i}"]) if one and one[f"ends_{i}"] else F.lit(None).cast("array<double>") for i in cells})
-    out = _picked(_running(table(_counted(placed, by, cells, n_ends), "rank_counts"), by), by, wanted)
+        placed = rows.withColumns({f"ends_{i}": F.lit(one[f"ends_{i}"]) if one and one[f"ends_{i}"] else F.lit(None).cast(f"array<{kind}>") for i in cells})
+    out = _picked(_running(table(_counted(placed, by, cells, n_ends, kind), "rank_counts"), by), by, wanted)
     out = table(out, "quantiles")
     lost = out.where(~F.forall("low", lambda v: v.isNotNull()) | ~F.forall("high", lambda v: v.isNotNull()))
     if not lost.head(1):
         return out
     keys = table(lost.select(*by, "col"), "lost_ranks")
-    every = rows.withColumns({f"ends_{i}": F.lit(None).cast("array<double>") for i in cells})
+    every = rows.withColumns({f"ends_{i}": F.lit(None).cast(f"array<{kind}>") for i in cells})
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*by, "col"]]
-    again = _counted(every, by, cells, n_ends).alias("c").join(keys.alias("k"), same("c", "k"), "left_semi")
+    again = _counted(every, by, cells, n_ends, kind).alias("c").join(keys.alias("k"), same("c", "k"), "left_semi")
     again = table(_picked(_running(table(again, "rank_counts"), by), by, wanted), "quantiles")
     return out.alias("o").join(keys.alias("k"), same("o", "k"), "left_anti").union(again)
 

@@ -75,6 +75,22 @@ def floor_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].union(both[1]).select("column", "q1", "median", "q3")
 
 
+#: Numbers that doubles don't hold.
+_LONG = {"big": "9007199254740993 + CAST(l_orderkey AS BIGINT) * 3", "exact": "CAST(concat(CAST(l_partkey AS VARCHAR(20)), '123456789012345.', lpad(CAST(l_orderkey AS VARCHAR(20)), 10, '0')) AS DECIMAL(38, 10))"}
+
+
+def _order_sql(c: str) -> str:
+    at = lambda i: f"CAST(list({c} ORDER BY {c})[{i} + 1] AS VARCHAR)"
+    n = f"count({c})"
+    return f"""SELECT '{c}' AS "column", {n} AS n, CAST(min({c}) AS VARCHAR) AS min, {at(f"{n} // 4")} AS q1, {at(f"({n} - 1) // 2")} AS median_low, {at(f"{n} // 2")} AS median_high, {at(f"{n} * 3 // 4")} AS q3, CAST(max({c}) AS VARCHAR) AS max FROM (SELECT {_LONG[c]} AS {c} FROM lineitem)"""
+
+
+@query(_union([_order_sql(c) for c in _LONG]))
+def exact_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*(f"{e} AS {c}" for c, e in _LONG.items()))
+    return profile.order_statistics(df)
+
+
 def _histogram_sql(table: str, c: str, bins: int) -> str:
     return f"""WITH e AS (SELECT min({c}) AS lo, max({c}) AS hi, (max({c}) - min({c})) / {bins} AS step FROM {table}),
  h AS (SELECT least(CAST(floor(({c} - lo) / step) AS INT), {bins - 1}) AS bin, count(*) AS n FROM {table}, e WHERE {c} IS NOT NULL GROUP BY 1)

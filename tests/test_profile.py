@@ -456,6 +456,21 @@ def test_states_add_up_to_the_whole(spark, tmp_path):
         assert close(getattr(got, field), getattr(expected, field)), field
 
 
+@pytest.mark.parametrize("few", [quantiles.FEW, 5])
+def test_numbers_in_their_own_type(spark, monkeypatch, few):
+    from decimal import Decimal
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    big = [2**53 + 1 + i for i in range(40)] + [2**62, -(2**63), None]
+    exact = [Decimal(10) ** 27 + Decimal(i) / 10**10 for i in range(42)] + [None]
+    df = spark.createDataFrame([(b, e, float("nan"), None) for b, e in zip(big, exact, strict=True)], "big bigint, exact decimal(38,10), none double, `odd``name` int")
+    got = {r["column"]: r for r in profile.order_statistics(df).collect()}
+    for name, values in (("big", sorted(big[:-1])), ("exact", sorted(exact[:-1]))):
+        r, n = got[name], 42
+        assert [r[c] for c in ("n", "min", "q1", "median_low", "median_high", "q3", "max")] == [n, *(str(values[i]) if name == "big" else f"{values[i]:.10f}" for i in (0, n // 4, (n - 1) // 2, n // 2, n * 3 // 4, n - 1))]
+    assert tuple(got["none"])[1:] == tuple(got["odd`name"])[1:] == (0, *[None] * 6)
+
+
 def test_values_of_any_size(spark):
     assert fixed(1e27, 2) == f"{int(1e27)}.00" and len(fixed(1.7e308, 2)) == 312 and fixed(-5e-324, 2) == "-0.00"
     typed = numbers(spark, [-1.7e308, 0.0, 1.7e308])

@@ -209,6 +209,25 @@ def test_nearest_examples_are_exact():
         assert who.tolist() == [i for i, _ in expected] and np.allclose(how, [s for _, s in expected])
 
 
+def test_most_blocks_are_not_scored():
+    """On the given documents, bounds rule out more than half of the blocks."""
+    import pyarrow.parquet as pq
+
+    from quillon.llm.textkernel import buffers, word_hashes
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]), pq.read_table(f"{folder}/labels.parquet").to_pylist()
+    value, _, _, begins = word_hashes(*buffers(docs.column("text").combine_chunks()), letters_only=True)
+    bags = [np.unique(value[a:b], return_counts=True) for a, b in zip(begins[:-1], begins[1:])]
+    toxic, ids = {r["doc_id"]: r["toxic"] for r in labels}, docs.column("doc_id").to_pylist()
+    terms, have = np.unique(np.concatenate([t for t, _ in bags]), return_counts=True)
+    examples = toxicity.Examples.of([(i, toxic[i], t, c.astype(np.int32)) for i, (t, c) in zip(ids, bags) if i in toxic][:3000], dict(zip(terms.tolist(), have.tolist())), len(ids))
+    model = examples.model()
+    queries = [(np.searchsorted(model.terms, t), c) for i, (t, c) in list(zip(ids, bags))[:3000:10] if i in toxic]
+    model.nearest(queries)
+    assert len(queries) > 50 and 0 < model.scored < model.blocks / 2
+
+
 def scores_by_hand(rows, toxic, steps):
     """(score, evidence) of every row (doc_id, text), by exhaustive search and the definition of votes; toxic: labels by doc_id, one row for each."""
     words = [Counter(re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t or ""))) for _, t in rows]

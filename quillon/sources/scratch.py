@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,22 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end; what reads them must have been written elsewhere by then."""
+    key = spark.sparkContext.applicationId, shared_root(spark)
+    before = _homes.get(key)
+    _homes[key] = home = f"{key[1]}/quillon-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        if before is None:
+            _homes.pop(key, None)
+        else:
+            _homes[key] = before
+        remove(spark, home)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application; results that read them must have been written before."""
     for key in [k for k in _homes if k[0] == spark.sparkContext.applicationId]:

@@ -382,6 +382,18 @@ def test_scratch_folder(spark):
         scratch.shared_root(Cluster)
 
 
+def test_temporary_tables_go(spark):
+    from pathlib import Path
+
+    from quillon.sources import scratch
+
+    kept = scratch.table(spark.range(3), "kept")
+    with scratch.temporary(spark):
+        gone = Path(scratch.table(kept, "gone").inputFiles()[0].removeprefix("file://"))
+        assert gone.exists()
+    assert not gone.exists() and kept.count() == 3 and scratch.table(kept, "later").count() == 3
+
+
 def test_partitions_dont_matter(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_type", "p_size", "p_retailprice")
     a, b = (columns.classify(d) for d in (df.coalesce(1), df.repartition(7)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, mixing, ngram_join, token_files, toxicity
-from quillon.llm.shared import table
+from quillon.sources import scratch
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's own tables go when its result is written, and its input when the next one's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), name)
+        path = scratch.scratch(spark, name)
+        with scratch.temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            scratch.remove(spark, before)
+        before = path
     return docs

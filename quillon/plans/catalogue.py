@@ -486,6 +486,14 @@ def csv_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv(spark, path)
 
 
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_type FROM part")
+def csv_named_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, named after the data set."""
+    from quillon.sources import files
+
+    return files.read_csv(spark, files.export_csv(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type"), scratch(spark, "exports"), "Part.csv"))
+
+
 @query("SELECT 'orders.csv' AS name, ['o_orderkey', 'o_orderstatus'] AS columns, count(*) AS row_count FROM orders")
 def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two data sets saved, one of them deleted."""

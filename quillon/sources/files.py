@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,21 @@ def export_name(name: str, ending: str = "_export.csv") -> str:
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV files with headers, quoted so that read_csv() gets the same cells back."""
     df.write.mode("overwrite").options(header=True, escape='"', emptyValue="", nullValue="").csv(path)
+
+
+def export_csv(df: DataFrame, folder: str, name: str) -> str:
+    """One CSV file in folder, named after the data set by `export_name`; returns its path. One task writes it, row by row as the others' rows arrive, since file systems take a file from one writer;
+    `write_csv` is for what should stay in parts. It replaces a file of that name only when it is whole."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    parts, target = path(f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"), path(f"{folder.rstrip('/')}/{export_name(name)}")
+    write_csv(df.repartition(1), parts.toString())
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        written = next(f.getPath() for f in system.listStatus(parts) if f.getPath().getName().startswith("part-"))  # also of no rows there is one, with the header
+        system.delete(target, False)
+        if not system.rename(written, target):
+            raise OSError(f"can't write {target.toString()}")
+    finally:
+        system.delete(parts, True)
+    return target.toString()

@@ -260,6 +260,15 @@ def at_ranks(values, share, kind):
 WANTED = ((0.25, "floor"), (0.5, "middle"), (0.75, "linear"), (0.25, "linear"))
 
 
+def test_export_of_one_file(spark, tmp_path):
+    df = spark.createDataFrame([('a"b', "x,y"), ("line\nfeed", None)] * 20, "p string, `q,r` string").repartition(5)
+    for rows in (df.where("p is null"), df, df):  # the last replaces the one before
+        path = files.export_csv(rows, f"file://{tmp_path}/out", "Data.CSV")
+    assert path.endswith("/out/Data_export.csv") and [f.name for f in (tmp_path / "out").iterdir() if f.suffix == ".csv"] == ["Data_export.csv"]
+    got = files.read_csv(spark, path)
+    assert got.columns == ["p", "q,r"] and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+
+
 @pytest.mark.parametrize(("few", "large", "margin", "broadcast"), [(50, 10**6, quantiles.MARGIN, 9), (50, 10, quantiles.MARGIN, 0), (10, 10**6, 0.0, 9), (10**6, 10, 0.1, 9)])
 def test_ranks_of_columns_and_groups(spark, monkeypatch, few, large, margin, broadcast):
     """Ties at ranks, nulls, a null group, groups of one; brackets that miss (margin 0), counts sorted in ranges (large 10), brackets joined by a shuffle."""

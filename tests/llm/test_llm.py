@@ -895,7 +895,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     docs, key = documents, lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")
     for name, stage in corpus_pipeline.STAGES:
         before = sorted(map(tuple, docs.select("doc_id", "text", "source").collect()), key=key)
-        columns, result = docs.columns, corpus_pipeline.table(stage(spark, docs, f"file://{tmp_path}"), name)
+        columns, result = docs.columns, table(stage(spark, docs, f"file://{tmp_path}"), name)
         assert name == "token_output" or result.columns == columns
         if name == "toxicity":
             steps = toxicity.train(docs, spark.read.parquet(f"file://{tmp_path}/labels.parquet")).steps
@@ -931,7 +931,7 @@ def test_pipeline(spark):
     sizes = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         columns = docs.columns
-        docs = corpus_pipeline.table(stage(spark, docs, sf), name)
+        docs = table(stage(spark, docs, sf), name)
         sizes.append(docs.count())
         if name != "token_output":
             assert docs.columns == columns
@@ -939,3 +939,5 @@ def test_pipeline(spark):
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     last = docs.orderBy("start").collect()
     assert [r["start"] for r in last] == [0, *np.cumsum([r["n_tokens"] for r in last])[:-1].tolist()]
+    whole = corpus_pipeline.run(spark, sf)
+    assert whole.columns == docs.columns and sorted(map(tuple, whole.collect())) == sorted(map(tuple, last))

@@ -35,13 +35,14 @@ BLANK = U(0x5851F42D4C957F2D)
 
 
 def checks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of each word a number made of its length, the sum of its bytes and the sum of these by place: what `word_hashes` doesn't use in this way."""
-    bytes_ = data.astype(np.int64)
-    plain, placed = (np.r_[0, np.cumsum(x)] for x in (bytes_, bytes_ * np.arange(len(data))))
-    one = plain[end] - plain[start]
-    two = placed[end] - placed[start] - start * one
-    with np.errstate(over="ignore"):
-        return (two.astype(U) * U(0x9E3779B97F4A7C15) + one.astype(U)) * U(0xC2B2AE3D27D4EB4F) + (end - start).astype(U)
+    """Of each word a number made of its length, the sum of its bytes, and its first and last four bytes."""
+    out = (end - start).astype(U)
+    if len(out):
+        sums = np.add.reduceat(np.append(data, np.uint8(0)), np.column_stack([start, end]).ravel(), dtype=np.int64)[::2]
+        with np.errstate(over="ignore"):
+            for part in (sums, *(data[at] for k in range(4) for at in (np.minimum(start + k, end - 1), np.maximum(end - 1 - k, start)))):
+                out = out * U(0x9E3779B97F4A7C15) + part.astype(U)
+    return out
 
 
 class Encoder:
@@ -50,7 +51,7 @@ class Encoder:
     A unit is a run of anything but ASCII white space, with the blank before it, if there is one. Pre-tokens don't reach over units:
     white space belongs to a pre-token of something else only as the one blank before it. The rest of a white space run is its own
     pre-tokens: at a text's end one, elsewhere one for the last character, unless that is such a blank, and one for those before it.
-    So a word is encoded by the library once for each worker and found by its 64-bit hash from then on, if its length and two sums of its bytes agree as well; texts aren't cut into
+    So a word is encoded by the library once for each worker and found by its 64-bit hash from then on, if its length, the sum of its bytes and its first and last ones agree as well; texts aren't cut into
     Python strings. Texts with a unit that begins or ends with other white space or has a special token in it, or with a word that shares the hash of another one, are encoded whole.
     special: special tokens in a text are such, as the library has it; otherwise they are text like any other.
     """

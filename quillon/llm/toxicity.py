@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from quillon.llm.shared import partitions, table
+from quillon.llm.shared import table
 from quillon.llm.textkernel import buffers, ragged, releasing, slices, word_hashes
 
 #: The bounds of what is fitted: labelled examples, and distinct terms of all of them, counted for each. Examples are taken in pseudo-random order.
@@ -38,7 +38,9 @@ LEAST_EXAMPLES, ASSOCIATED = 3, 4.0
 FAINT = 0.01
 NEIGHBOURS, BLOCK = 15, 16
 #: Terms of more than one in so many examples are dealt with as a matrix, for so many documents together.
-FREQUENT, TOGETHER = 16, 64
+FREQUENT, TOGETHER = 16, 32
+#: Cells (a term's postings in a block) that are dealt with together, unless one document has more; blocks that are scored first.
+CELLS, FIRST = 1 << 19, 16
 #: Directions along which examples are put in order of likeness.
 DIRECTIONS = 8
 #: Bytes of text that a task works on at once.
@@ -96,6 +98,14 @@ class Examples:
     def term(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.terms)), np.diff(self.first))
 
+    def bags(self, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, counts) of the examples at these places, which ascend."""
+        mine = np.flatnonzero(np.isin(self.row, places))
+        row, term, count = self.row[mine], self.term()[mine], self.count[mine].astype(np.int64)
+        order = np.lexsort((term, row))
+        cut = np.searchsorted(row[order], places)
+        return [(term[some], count[some]) for some in np.split(order, cut[1:])]
+
     def model(self, but: int | None = None) -> Model:
         """The model of all examples, or of those outside a fold; the last one is kept."""
         kept = self.__dict__.get("kept")
@@ -208,47 +218,61 @@ class Model:
     def nearest(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(examples, similarities) of the nearest ones of each bag (terms, counts), exactly."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
+        some, cells = [], 0
+        for bag in bags:
+            n = int((self.term_cells[bag[0] + 1] - self.term_cells[bag[0]]).sum())
+            if some and (len(some) == TOGETHER or cells + n > CELLS):
+                out += self._nearest(some)
+                some, cells = [], 0
+            some.append(bag)
+            cells += n
+        return out + self._nearest(some) if some else out
+
+    def _nearest(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, blocks = len(self.labels), len(self.starts)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(bags)
         column, matrix = self._frequent()
-        for at in range(0, len(bags), TOGETHER):
-            some = [(t, self.vector(t, c)) if len(t) else (t, np.zeros(0)) for t, c in bags[at : at + TOGETHER]]
-            frequent = np.zeros((len(some), len(matrix)))
-            rest = []
-            for i, (term, weight) in enumerate(some):
-                where = column[term]
-                there = where >= 0
-                frequent[i, where[there]] = weight[there]
-                rest.append((term[~there], weight[~there]))
-            out += [self._nearest(*r, known) for r, known in zip(rest, frequent @ matrix, strict=True)]
-        return out
-
-    def _nearest(self, term: np.ndarray, weight: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """known: what frequent terms add to the similarity of each example."""
-        who, how = np.zeros(0, np.int64), np.zeros(0)
-        if not len(known):
-            return who, how
-        n = self.term_cells[term + 1] - self.term_cells[term]
-        cell, mine = ragged(self.term_cells[term], n), np.repeat(weight, n)
-        block = self.cell_block[cell]
-        bound = np.maximum.reduceat(known, self.starts) + np.bincount(block, mine * self.cell_most[cell], len(self.starts))
-        order, at, step = np.argsort(-bound, kind="stable"), 0, 16
-        self.blocks += len(order)
-        while at < len(order):
-            take = order[at : at + step]
-            take = take[bound[take] > (how[-1] - 1e-12 if len(how) == NEIGHBOURS else 0.0)]
-            if not len(take):
+        term = np.concatenate([t for t, _ in bags])
+        weight = np.concatenate([self.vector(t, c) if len(t) else np.zeros(0) for t, c in bags])
+        doc = np.repeat(np.arange(len(bags)), [len(t) for t, _ in bags])
+        there = column[term] >= 0
+        frequent = np.zeros((len(bags), len(matrix)))
+        frequent[doc[there], column[term[there]]] = weight[there]
+        near = frequent @ matrix  # what frequent terms add to the similarity of each example
+        doc, term, weight = doc[~there], term[~there], weight[~there]
+        cells = self.term_cells[term + 1] - self.term_cells[term]
+        cell, weight = ragged(self.term_cells[term], cells), np.repeat(weight, cells)
+        block = np.repeat(doc * blocks, cells) + self.cell_block[cell]
+        bound = np.maximum.reduceat(near, self.starts, axis=1)
+        bound += np.bincount(block, weight * self.cell_most[cell], bound.size).reshape(bound.shape)
+        place = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        width = np.diff(np.r_[self.starts, n])
+        scored, least, at, step = np.zeros(bound.shape, bool), np.zeros(len(bags)), 0, FIRST
+        known = np.zeros_like(near)  # similarities in blocks that were scored
+        while True:
+            chosen = (place >= at) & (place < at + step) & (bound > np.maximum(least - 1e-12, 0)[:, None])
+            if not chosen.any():
                 break
-            self.scored += len(take)
-            chosen = np.zeros(len(self.starts), bool)
-            chosen[take] = True
-            some = np.flatnonzero(chosen[block])
+            scored |= chosen
+            some = np.flatnonzero(chosen.ravel()[block])
             begin = self.cell_first[cell[some]]
             size = self.cell_first[cell[some] + 1] - begin
             post = ragged(begin, size)
-            near = known + np.bincount(self.row[post], np.repeat(mine[some], size) * self.post[post], len(known))
-            found = np.flatnonzero((near > 0) & np.repeat(chosen, BLOCK)[: len(near)])
-            who, how = nearest_of(np.concatenate([who, self.back[found]]), np.concatenate([how, near[found]]))
+            where = np.repeat(block[some] // blocks * n, size) + self.row[post]
+            near += np.bincount(where, np.repeat(weight[some], size) * self.post[post], near.size).reshape(near.shape)
+            np.copyto(known, near, where=np.repeat(chosen, width, axis=1))
+            for i, row in enumerate(known):
+                some = row[row > 0]
+                least[i] = np.partition(some, -NEIGHBOURS)[-NEIGHBOURS] if len(some) >= NEIGHBOURS else 0.0
             at, step = at + step, step * 4
-        return who, how
+        self.scored += int(scored.sum())
+        self.blocks += scored.size
+        out = []
+        for row, enough in zip(known, least, strict=True):
+            found = np.flatnonzero((row > 0) & (row >= enough - 1e-11))
+            out.append(nearest_of(self.back[found], row[found]))
+        return out
 
     def votes(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
         return [vote(how, self.labels[who], self.prior) for who, how in self.nearest(bags)]
@@ -274,43 +298,41 @@ def _known(terms: np.ndarray, value: np.ndarray, begins: np.ndarray) -> tuple[np
     """(term, count) of the known terms of all rows, and where those of each row begin."""
     at = np.minimum(np.searchsorted(terms, value), max(0, len(terms) - 1))
     hit = np.flatnonzero(terms[at] == value) if len(terms) else np.zeros(0, np.int64)
-    row = np.searchsorted(begins, hit, "right") - 1
+    row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[hit]
     key, count = np.unique(row * max(1, len(terms)) + at[hit], return_counts=True)
     row, term = np.divmod(key, max(1, len(terms)))
     return term, count, np.searchsorted(row, np.arange(len(begins)))
 
 
 def _frequencies(shared):
+    """(term, rows that have it), and the number of rows under no term."""
+
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
-        total = np.zeros(len(terms), np.int64)
+        total, rows = np.zeros(len(terms), np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             for part in slices(batch, "text", TEXT_BYTES):
                 value, _, _, begins = word_hashes(*buffers(part.column("text")), letters_only=True)
                 total += np.bincount(_known(terms, value, begins)[0], minlength=len(terms))
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(terms[some].view(np.int64)), pa.array(total[some])], names=["term", "n"])
+        yield pa.record_batch([pa.array([None, *terms[some].view(np.int64).tolist()], pa.int64()), pa.array([rows, *total[some].tolist()], pa.int64())], names=["term", "n"])
 
     return run
 
 
 def _votes(shared):
-    """(place, votes): of each example that examples outside its fold vote on."""
+    """(place, votes) of the examples of a fold, by those outside it."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = shared.value
-        place = {int(d): i for i, d in enumerate(examples.ids)}
-        bags = []
-        for batch in batches:  # a share of a bounded sample
-            for d, t, c in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "terms", "counts")), strict=True):
-                if d in place:
-                    bags.append((place[d], np.searchsorted(examples.terms, np.frombuffer(t, np.uint64)), np.frombuffer(c, np.int32)))
-        for f in range(FOLDS):
-            mine = [b for b in bags if examples.fold[b[0]] == f]
-            if mine:
-                yield pa.record_batch([pa.array([b[0] for b in mine], pa.int64()), pa.array(examples.model(f).votes([b[1:] for b in mine]), pa.float64())], names=["place", "votes"])
+        for fold in (f for batch in batches for f in batch.column("id").to_pylist()):
+            places = np.flatnonzero(examples.fold == fold)
+            if len(places):
+                votes = examples.model(fold).votes(examples.bags(places))
+                yield pa.record_batch([pa.array(places, pa.int64()), pa.array(votes, pa.float64())], names=["place", "votes"])
 
     return run
 
@@ -364,15 +386,15 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, postings
     frequency, documents = {}, 0
     if len(terms):
         counts = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(terms)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        frequency = dict(zip(counts.column("term").to_numpy().view(np.uint64).tolist(), counts.column("n").to_pylist(), strict=True))
-        documents = docs.count()
+        known = dict(zip(counts.column("term").to_pylist(), counts.column("n").to_pylist(), strict=True))
+        documents = known.pop(None, 0)
+        frequency = {t % 2**64: n for t, n in known.items()}
     of = Examples.of(found, frequency, documents)
     shared = spark.sparkContext.broadcast(of)
     prior = float(of.labels.mean()) if found else 0.0
     votes = np.full(len(found), prior)
     if found:
-        voted = bags.select("doc_id", "terms", "counts").repartition(partitions(spark)).mapInArrow(_votes(shared), "place bigint, votes double")
-        for r in voted.groupBy("place").agg(F.min("votes").alias("votes")).collect():
+        for r in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(_votes(shared), "place bigint, votes double").collect():
             votes[r["place"]] = r["votes"]
     return Trained(shared, _monotone(votes, of.labels.astype(float)) if found else (np.zeros(1), np.zeros(1)))
 

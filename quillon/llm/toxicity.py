@@ -396,7 +396,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, postings
     if found:
         for r in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(_votes(shared), "place bigint, votes double").collect():
             votes[r["place"]] = r["votes"]
-    return Trained(shared, _monotone(votes, of.labels.astype(float)) if found else (np.zeros(1), np.zeros(1)))
+    return Trained(shared, _monotone(votes.round(12), of.labels.astype(float)) if found else (np.zeros(1), np.zeros(1)))
 
 
 def scored(docs: DataFrame, trained: Trained, out: tuple[str, str, str] = ("toxicity", "evidence", "evidence_similarity")) -> DataFrame:

@@ -228,14 +228,9 @@ def test_most_blocks_are_not_scored():
     assert len(queries) > 50 and 0 < model.scored < model.blocks / 2
 
 
-def scores_by_hand(rows, toxic, steps):
-    """(score, evidence) of every row (doc_id, text), by exhaustive search and the definition of votes; toxic: labels by doc_id, one row for each."""
-    words = [Counter(re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t or ""))) for _, t in rows]
-    first = {}  # equal texts of one label are one example
-    for d, i in sorted((d, i) for i, (d, _) in enumerate(rows) if d in toxic and zlib.crc32(str(d).encode()) % 5):
-        first.setdefault((frozenset(words[i].items()), toxic[d]), (d, i))
-    used = sorted(first.values())
-    vocabulary = sorted(set().union(*(words[i] for _, i in used)))
+def votes_by_hand(words, vocabulary, used, queries, toxic):
+    """(votes, nearest) of queries (counts of words), by the examples used (doc_id, row), their terms being vocabulary; words: counts of all documents."""
+    here = set().union(*(words[i] for _, i in used))
     n, yes = len(used), sum(toxic[d] for d, _ in used)
     weight = {}
     for w in vocabulary:
@@ -243,8 +238,8 @@ def scores_by_hand(rows, toxic, steps):
         h, both = sum(w in words[i] for _, i in used), sum(toxic[d] for d, i in used if w in words[i])
         spread = h * (n - h) * yes * (n - yes)
         chi = n * (both * n - h * yes) ** 2 / spread if spread else 0
-        strong = chi >= toxicity.ASSOCIATED + 2 * np.log(len(vocabulary)) and h >= toxicity.LEAST_EXAMPLES
-        weight[w] = (np.log((1 + len(rows)) / (1 + have)) + 1) * (1 if strong else toxicity.FAINT)
+        strong = chi >= toxicity.ASSOCIATED + 2 * np.log(len(here)) and h >= toxicity.LEAST_EXAMPLES
+        weight[w] = (np.log((1 + len(words)) / (1 + have)) + 1) * (1 if strong else toxicity.FAINT)
 
     def vector(c):
         v = {w: (1 + np.log(k)) * weight[w] for w, k in c.items() if w in weight}
@@ -252,21 +247,51 @@ def scores_by_hand(rows, toxic, steps):
         return {w: x / norm for w, x in v.items()}
 
     examples, out = [(d, vector(words[i])) for d, i in used], []
-    for c in words:
+    for c in queries:
         v = vector(c)
         near = sorted((-round(sum(x * e.get(w, 0) for w, x in v.items()), 12), d) for d, e in examples)[: toxicity.NEIGHBOURS]
         near = [(-s, d) for s, d in near if s < 0]
-        votes = (sum(s * toxic[d] for s, d in near) + toxicity.PRIOR * yes / n) / (sum(s for s, _ in near) + toxicity.PRIOR)
-        out.append((0.98 * np.interp(votes, *steps) + 0.02 * votes, [d for _, d in near[:3]]))
+        out.append(((sum(s * toxic[d] for s, d in near) + toxicity.PRIOR * yes / n) / (sum(s for s, _ in near) + toxicity.PRIOR), [d for _, d in near[:3]]))
     return out
 
 
+def fit_by_hand(x, y):
+    """The non-decreasing least-squares fit by its min-max formula: (mean x, mean y) of each run of one value."""
+    at = np.unique(x)
+    n, total = (np.array([f(y[x == v]) for v in at], float) for f in (len, sum))
+    mean = lambda i, j: total[i : j + 1].sum() / n[i : j + 1].sum()
+    value = np.array([max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]).round(12)
+    runs = [value == v for v in np.unique(value)]
+    return np.array([(at[r] * n[r]).sum() / n[r].sum() for r in runs]), np.unique(value)
+
+
+def scores_by_hand(rows, toxic, folds, steps=None):
+    """(score, evidence) of every row (doc_id, text), and the fit, by exhaustive search and the definition of votes; toxic: labels by doc_id, one row for each; folds: of examples, unless the fit is given."""
+    words = [Counter(re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t or ""))) for _, t in rows]
+    first = {}  # equal texts of one label are one example
+    for d, i in sorted((d, i) for i, (d, _) in enumerate(rows) if d in toxic and zlib.crc32(str(d).encode()) % 5):
+        first.setdefault((frozenset(words[i].items()), toxic[d]), (d, i))
+    used = sorted(first.values())
+    vocabulary = sorted(set().union(*(words[i] for _, i in used)))
+    votes = {}
+    for f in set(folds.values()) if steps is None else ():
+        mine = [u for u in used if folds[u[0]] == f]
+        votes.update(zip((d for d, _ in mine), (v for v, _ in votes_by_hand(words, vocabulary, [u for u in used if folds[u[0]] != f], [words[i] for _, i in mine], toxic))))
+    if steps is None:
+        steps = fit_by_hand(np.array([votes[d] for d, _ in used]).round(12), np.array([toxic[d] for d, _ in used], float))
+    return [(0.98 * np.interp(v, *steps) + 0.02 * v, near) for v, near in votes_by_hand(words, vocabulary, used, words, toxic)], steps
+
+
 def test_scores_are_votes_of_the_nearest(spark):
     docs, labels = labelled(spark, 150)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     trained = toxicity.train(docs, labels)
     got = {r["doc_id"]: r for r in local(toxicity.report(docs, labels))}
-    for (d, _), (score, evidence) in zip(rows, scores_by_hand(rows, {r["doc_id"]: r["toxic"] for r in labels.collect()}, trained.steps)):
+    examples = trained.examples.value
+    scores, steps = scores_by_hand(rows, {r["doc_id"]: r["toxic"] for r in labels.collect()}, dict(zip(examples.ids.tolist(), examples.fold.tolist())))
+    assert len(set(examples.fold.tolist())) == toxicity.FOLDS
+    assert all(len(mine) == len(hand) and mine == pytest.approx(hand) for mine, hand in zip(trained.steps, steps))
+    for (d, _), (score, evidence) in zip(rows, scores):
         assert got[d]["score"] == pytest.approx(score) and got[d]["evidence"] == evidence
     # the fit never falls, and stays a share
     x, y = trained.steps
@@ -900,7 +925,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if name == "toxicity":
             steps = toxicity.train(docs, spark.read.parquet(f"file://{tmp_path}/labels.parquet")).steps
             # a repeated id's rows are several examples
-            expected = [r for r, (score, _) in zip(before, scores_by_hand([r[:2] for r in before], labels, steps)) if score < 0.5]
+            expected = [r for r, (score, _) in zip(before, scores_by_hand([r[:2] for r in before], labels, {}, steps)[0]) if score < 0.5]
             assert 0 < len(expected) < len(before)
         elif name == "near_duplicates":
             named = [(r[0] if r[0] is not None else 10_000 + i, r[1]) for i, r in enumerate(before)]

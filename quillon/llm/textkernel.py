@@ -91,7 +91,13 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _block_words(data: np.ndarray, cuts: np.ndarray, letters_only: bool, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _alphanumeric() -> np.ndarray:
+    """Whether a byte is an ASCII letter or digit."""
+    return np.array([k < 128 and chr(k).isalnum() for k in range(256)])
+
+
+def _block_words(data: np.ndarray, cuts: np.ndarray, letters_only: bool, fold: bool, trailing: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of the words of a block; cuts: where rows begin in it."""
     low, sep = _tables(letters_only, fold)
     data = low[data]
@@ -105,6 +111,8 @@ def _block_words(data: np.ndarray, cuts: np.ndarray, letters_only: bool, fold: b
     first[cuts] = word[cuts]
     last[cuts - 1] = word[cuts - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if trailing is not None:
+        end = end - (trailing[data[end - 1]] & (end - start > 1) & _alphanumeric()[data[end - 2]])
     size = max(2 * BLOCK, 1 << int(n).bit_length())
     up, down = _powers(size)
     total = np.zeros(n + 1, dtype=U)
@@ -112,8 +120,11 @@ def _block_words(data: np.ndarray, cuts: np.ndarray, letters_only: bool, fold: b
     return start, end, _scramble((total[end] - total[start]) * down[start] + (end - start).astype(U))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = False, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, end byte) of all words and, for each row, where its words begin in these arrays."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = False, fold: bool = True, trailing: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, end byte) of all words and, for each row, where its words begin in these arrays.
+
+    trailing: which bytes are left out where one of them ends a word after an ASCII letter or digit.
+    """
     _, sep = _tables(letters_only)
     at, n, found = 0, len(data), []
     while at < n:
@@ -126,7 +137,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = Fals
                 ahead = np.flatnonzero(sep[data[at:]])
                 to = min(at + int(ahead[0]) + 1 if len(ahead) else n, int(offsets[np.searchsorted(offsets, at, "right")]))
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at
-        start, end, value = _block_words(data[at:to], inner, letters_only, fold)
+        start, end, value = _block_words(data[at:to], inner, letters_only, fold, trailing)
         found.append((value, start + at, end + at))
         at = to
     if not found:

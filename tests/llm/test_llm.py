@@ -502,6 +502,29 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
         assert encoded(coder, texts) == encode_by_hand(texts)
 
 
+def test_words_are_encoded_once_whatever_mark_follows(monkeypatch):
+    coder, sent = token_files.Encoder(BPE), []
+    ids = coder.ids
+    monkeypatch.setattr(coder, "ids", lambda text: sent.append(text) or ids(text))
+    words = [f"w{k}ord" for k in range(300)]
+    texts = [" ".join(w + mark for w in words) for mark in ("", ".", ",", ";", ":", "!", "?")]
+    assert encoded(coder, texts) == encode_by_hand(texts)
+    assert sum(map(len, sent)) < 1.5 * len(texts[0])
+
+
+@pytest.mark.parametrize("remembered", [token_files.REMEMBERED, 40])
+def test_marks_and_blanks_around_words(monkeypatch, remembered):
+    """Also where all words begin at one place of the table, and where long words differ in the middle only."""
+    hashes = token_files.word_hashes
+    monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+    monkeypatch.setattr(token_files, "word_hashes", lambda *a, **k: (hashes(*a, **k)[0] << np.uint64(12), *hashes(*a, **k)[1:]))
+    rng, coder = random.Random(5), token_files.Encoder(BPE)
+    bits = ["a", "Z9", "it's", "é", "ß", " ", " ", " ", "  ", "\n", "\n\n", "\t", ".", ",", ";", ":", "!", "?", "..", "?!", ").", "<|endoftext|>", "<|endoftext|>.", "\u2003", "\x1f", "averylongword1inallofit", "averylongword2inallofit"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(100)] + [None, ".", "a", "a.", ".a", "\n"]
+        assert encoded(coder, texts) == encode_by_hand(texts)
+
+
 def test_encoder_on_whole_documents():
     import pyarrow.parquet as pq
 

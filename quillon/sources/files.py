@@ -27,7 +27,7 @@ _FORMAT = {"header": True, "escape": '"', "mode": "PERMISSIVE"}
 
 def _cells(spark: SparkSession, path: str, corrupt: str | None = None) -> DataFrame:
     """Every cell as text; corrupt: see `csv_records.parsed`. Files of more than one split are read in parallel; if cells hold newlines they are
-    written as a table, so that what follows, often several scans, doesn't join lines again."""
+    written as a table, so that what follows, often several scans, doesn't join lines again. With corrupt the result is a table, too, of at least the rows that have it."""
     whole = spark.read.options(**_FORMAT, multiLine=True)
     header = whole.csv(path).schema
     if not header.names:
@@ -41,7 +41,8 @@ def _cells(spark: SparkSession, path: str, corrupt: str | None = None) -> DataFr
             return table(csv_records.parsed(csv_records.records(lines, known), header.names, corrupt), "csv_cells")  # its splits are those of now
     reader = whole if known is None or known.special or known.unsplit else spark.read.options(**_FORMAT)
     if corrupt:
-        reader = reader.options(columnNameOfCorruptRecord=corrupt, enforceSchema=True).schema(T.StructType([*header, T.StructField(corrupt, T.StringType())]))
+        rows = reader.options(columnNameOfCorruptRecord=corrupt, enforceSchema=True).schema(T.StructType([*header, T.StructField(corrupt, T.StringType())])).csv(path)
+        return table(rows.where(F.col(corrupt).isNotNull()), "csv_malformed")  # Spark finds them only where it reads all cells, and whoever gets them may ask for fewer
     return reader.csv(path)
 
 
@@ -59,7 +60,6 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
     """(row, cells) of each line whose cells don't match the header: the line itself and what was read from it."""
     rows = _cells(spark, path, CORRUPT)
-    # Spark parses only the columns that are asked for, so they are part of the result
     cells = F.struct(*(quoted(c) for c in rows.columns if c != CORRUPT))
     return rows.select(F.col(CORRUPT).alias("row"), cells.alias("cells")).where(F.col("row").isNotNull())
 

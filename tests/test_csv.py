@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
+from quillon.plans.catalogue import ORACLES, QUERIES
 from quillon.sources import csv_records, files
 
 
@@ -97,3 +99,28 @@ def test_long_lines(spark):
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     assert df.selectExpr(f"value rlike r'{csv_records.OPENS}'", f"value rlike r'{csv_records.STAYS}'").count() == 7
     assert len(df.selectExpr(f"value rlike r'{csv_records.OPENS}'", f"value rlike r'{csv_records.STAYS}'").collect()) == 7
+
+
+@pytest.mark.parametrize("size", [64, 1 << 20])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_malformed_rows_whatever_is_asked_of_them(spark, tmp_path, small_splits, newline, size):
+    """Lines are compared with the header by all their cells, in many splits and in one, also if the result is asked for some of the cells, or none."""
+    lines = [("{0},y", "{0},y,z", "{0},y,z,more")[i % 3].format(i) for i in range(90)]
+    (tmp_path / "a.csv").write_text(newline.join(["a,b,c", *lines, ""]), newline="")
+    small_splits(size)
+    expected = sorted((line, *(line + ",").split(",")[:3]) for line in lines if line.count(",") != 2)
+    expected = [(line, a, b, c or None) for line, a, b, c in expected]
+    found = files.malformed_rows(spark, str(tmp_path))
+    assert rows(found.select("row", "cells.*")) == sorted(expected, key=repr)
+    assert rows(found.select("row", "cells.a", "cells.c")) == sorted(((r, a, c) for r, a, _, c in expected), key=repr)
+    assert rows(found.select("cells.b")) == [("y",)] * 60
+    assert rows(found.select("row")) == sorted(((r[0],) for r in expected), key=repr)
+    assert found.count() == 60
+
+
+def test_query_of_malformed_rows_in_splits(spark, small_splits):
+    data = "/root/testdata/sf0.001"
+    expected = duckdb.sql(ORACLES["malformed_csv_rows"].replace("FROM orders", f"FROM '{data}/orders.parquet'")).fetchall()
+    small_splits(4096)
+    df = QUERIES["malformed_csv_rows"](spark, data)
+    assert len(expected) > 400 and rows(df.select("row", "o_orderkey", "o_custkey")) == sorted(expected, key=repr)
